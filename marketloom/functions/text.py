@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..plans.bind import half_up, iso_week
 
@@ -174,7 +175,7 @@ def _clean(text: str | None) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def clean_article(c: pd.Series) -> pd.Series:
     """Unescaped, NFKC, decoding damage mended, blank runs and lines collapsed."""
     return c.map(_clean)
@@ -188,7 +189,7 @@ def _tail(paragraphs: list[str], most: int = 5) -> list[str]:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def drop_repeated_tail(c: pd.Series) -> pd.Series:
     """Neighbouring equal paragraphs once, and a repeated block of up to five last paragraphs once."""
     return c.map(lambda t: "\n".join(_tail([p for p in (t or "").split("\n") if p.strip()])))
@@ -208,7 +209,7 @@ def _summary(text: str | None, least: int = 30, most: int = 500, stops=("subscri
     return " ".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def summarize(c: pd.Series) -> pd.Series:
     """Leading sentences of some length, up to a size, until boilerplate begins."""
     return c.map(_summary)

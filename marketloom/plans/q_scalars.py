@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -46,7 +45,7 @@ def p6(t):
     return t.prices.select("observation_id", T.parse_price(raw).alias("price"))
 
 
-@query("p7", """select observation_id, list_distinct_ordered as prices from (select observation_id, case when price_kes < 1000 then [] when a = b then [a] else [a, b] end as list_distinct_ordered
+@query("p7", """select observation_id, list_distinct_ordered as prices from (select observation_id, case when a < 1000 and b < 1000 then [] when a < 1000 then [b] when a = b then [a] else [a, b] end as list_distinct_ordered
     from (select observation_id, price_kes, floor(price_kes) as a, floor(price_kes) + observation_id % 2 as b from prices))""")
 def p7(t):
     a, b = F.floor("price_kes"), F.floor("price_kes") + F.col("observation_id") % 2
@@ -122,8 +121,8 @@ def p18(t):
     return t.news.select("news_id", T.truncate(F.col("headline"), 60).alias("short"), T.truncate_words(F.col("headline"), 60).alias("words"))
 
 
-@query("p19", """select news_id, case when at > 0 then substr(body, greatest(at - 220, 1), at + 5 + 220 - greatest(at - 220, 1)) else '' end as context
-    from (select news_id, coalesce(body, '') as body, strpos(coalesce(body, ''), ' the ') as at from news)""")
+@query("p19", """select news_id, case when pos > 0 then substr(body, greatest(pos - 220, 1), pos + 5 + 220 - greatest(pos - 220, 1)) else '' end as context
+    from (select news_id, coalesce(body, '') as body, strpos(coalesce(body, ''), ' the ') as pos from news)""")
 def p19(t):
     return t.news.select("news_id", T.around(F.coalesce("body", F.lit("")), F.lit(" the "), 220).alias("context"))
 
@@ -143,7 +142,7 @@ def p21(t):
     partition by strftime(observed_date, '%Y-%m') order by observation_id) as varchar), 6, '0') as finding_id from prices""")
 def p22(t):
     last = t.prices.select(F.date_format("observed_date", "yyyy-MM").alias("month")).distinct().withColumn("last", F.lit(100))
-    return S.mint_ids(t.prices.withColumn("month", F.date_format("observed_date", "yyyy-MM")), last, "observation_id", 6).select("observation_id", "finding_id")
+    return S.mint_ids(t.prices.withColumn("month", F.date_format("observed_date", "yyyy-MM")), last, ["observation_id", "model", "price_kes"], 6).select("observation_id", "finding_id")
 
 
 @query("p23", "select news_id, substr(sha1('http://news.' || publisher || '.example.com/a/' || (news_id % 700) || '/?id=' || (news_id % 700)), 1, 16) as id from news")
@@ -340,7 +339,7 @@ def s8(t):
     return t.spark.read.schema("platform string, social_type string, n long").json(S.write_json(d, S.scratch(t.spark, "s8")))
 
 
-@query("s9", """select 'CI-' || strftime(observed_date, '%Y-%m') || '-' || lpad(cast(row_number() over (partition by strftime(observed_date, '%Y-%m') order by observation_id) as varchar), 6, '0') as finding_id,
+@query("s9", """select 'CI-' || strftime(observed_date, '%Y-%m') || '-' || lpad(cast(row_number() over (partition by strftime(observed_date, '%Y-%m') order by observation_id, model, price_kes) as varchar), 6, '0') as finding_id,
     observation_id, price_kes, product_name from prices""")
 def s9(t):
     none = t.spark.createDataFrame([], "month string, last int")
@@ -379,5 +378,3 @@ def s14(t):
     pages = rows.groupBy("bucket").agg(F.concat(F.lit("<script>var items=["), F.array_join(F.collect_list(one), ","), F.lit("];</script>")).alias("html"))
     return S.embedded_items(pages).select("product_id", "item_name", "model_no")
 
-
-_ = W

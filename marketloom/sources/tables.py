@@ -74,16 +74,16 @@ def one_shape(maps: list[tuple[str, DataFrame, dict[str, str]]]) -> DataFrame:
     return out
 
 
-def mint_ids(df: DataFrame, last: DataFrame, order: str, width: int = 5) -> DataFrame:
+def mint_ids(df: DataFrame, last: DataFrame, order: list[str], width: int = 5) -> DataFrame:
     """finding_id CI-YYYY-MM-NNNNN, continuing each month (column month) after last(month, last)."""
-    numbered = df.withColumn("seq", F.row_number().over(W.partitionBy("month").orderBy(order))).join(F.broadcast(last), "month", "left")
+    numbered = df.withColumn("seq", F.row_number().over(W.partitionBy("month").orderBy(*order))).join(last, "month", "left")
     n = (F.col("seq") + F.coalesce("last", F.lit(0))).cast("string")
     return numbered.withColumn("finding_id", F.concat(F.lit("CI-"), "month", F.lit("-"), F.lpad(n, width, "0"))).drop("seq", "last")
 
 
 def split_header_child(df: DataFrame, last: DataFrame, *child: str) -> tuple[DataFrame, DataFrame]:
     """Header rows and child rows of new observations under minted ids."""
-    named = mint_ids(df.withColumn("month", F.date_format("observed_date", "yyyy-MM")), last, "observation_id", 6)
+    named = mint_ids(df.withColumn("month", F.date_format("observed_date", "yyyy-MM")), last, ["observation_id", "model", "price_kes"], 6)
     return named.select("finding_id", "observation_id", "competitor_id", "brand", "observed_date"), named.select("finding_id", *child)
 
 
