@@ -26,7 +26,7 @@ def resolve_scope(df: DataFrame, competitors: DataFrame) -> DataFrame:
 def mentions(df: DataFrame, text: str, aliases: DataFrame) -> DataFrame:
     """(row, alias) for each alias that the text contains. Aliases of one and two words are met by equality on the
     text's words and word pairs, so there is no nested loop."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9#&]+", " ")), " ")
+    words = F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9#&_]+", " ")), " ")
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(words, i, 2)))
     grams = df.withColumn("alias", F.explode(F.array_distinct(F.concat(words, pairs))))
     return grams.join(aliases, "alias")

@@ -102,7 +102,7 @@ def j9(t):
 
 
 RESOLVE = """select a.observation_id, coalesce(n.competitor_id, b.competitor_id) as competitor_id from
-    (select observation_id, case when observation_id % 2 = 0 then 'Supplier#' || lpad(cast(competitor_id as varchar), 9, '0') end as name, case competitor_id % 3 when 0 then 'KENYA' when 1 then 'FRANCE' else 'CHINA' end as brand from social) a
+    (select observation_id, case when observation_id % 2 = 0 then 'Supplier#' || lpad(cast(competitor_id as varchar), 9, '0') end as name, case competitor_id % 3 when 0 then 'NATION_7' when 1 then 'NATION_12' else 'NATION_20' end as brand from social) a
     left join (select lower(competitor_name) as k, min(competitor_id) as competitor_id from competitors group by 1 having count(distinct competitor_id) = 1) n on lower(a.name) = n.k
     left join (select lower(brand_name) as k, min(competitor_id) as competitor_id from competitors group by 1 having count(distinct competitor_id) = 1) b on lower(a.brand) = b.k"""
 
@@ -111,7 +111,7 @@ RESOLVE = """select a.observation_id, coalesce(n.competitor_id, b.competitor_id)
 def j10(t):
     from ..operators.signals import resolve_unique
 
-    brand = F.expr("case competitor_id % 3 when 0 then 'KENYA' when 1 then 'FRANCE' else 'CHINA' end")
+    brand = F.expr("case competitor_id % 3 when 0 then 'NATION_7' when 1 then 'NATION_12' else 'NATION_20' end")
     name = F.when(F.col("observation_id") % 2 == 0, F.concat(F.lit("Supplier#"), F.lpad(F.col("competitor_id").cast("string"), 9, "0")))
     return resolve_unique(t.social.select("observation_id", name.alias("name"), brand.alias("brand")), t.competitors).select("observation_id", "competitor_id")
 
@@ -135,20 +135,20 @@ def j12(t):
 
 
 @query("j13", """select q.conv_id, q.turn, list_sort(list(distinct c.s_suppkey)) as competitor_ids from questions q join (select s_suppkey, lower(s_name) as alias from supplier
-    union all select s_suppkey, lower(n_name) from supplier join nation on s_nationkey = n_nationkey) c on c.alias = case q.conv_id % 3 when 0 then 'kenya' when 1 then 'supplier#000000007' else 'nowhere' end group by all""")
+    union all select s_suppkey, lower(n_name) from supplier join nation on s_nationkey = n_nationkey) c on c.alias = case q.conv_id % 3 when 0 then 'nation_7' when 1 then 'supplier#000000007' else 'nowhere' end group by all""")
 def j13(t):
     from ..operators.reports import resolve_scope
 
-    alias = F.expr("case conv_id % 3 when 0 then 'Kenya' when 1 then 'Supplier#000000007' else 'nowhere' end")
+    alias = F.expr("case conv_id % 3 when 0 then 'Nation_7' when 1 then 'Supplier#000000007' else 'nowhere' end")
     return resolve_scope(t.questions.select("conv_id", "turn", alias.alias("alias")), t.competitors).select("conv_id", "turn", "competitor_ids")
 
 
-@query("j14", """select q.conv_id, q.turn, count(distinct c.alias) as mentioned from (select conv_id, turn, lower(coalesce(question, '')) || ' kenya and france' as q from questions where conv_id % 2 = 0
-    union all select conv_id, turn, lower(coalesce(question, '')) from questions where conv_id % 2 <> 0) q join (select distinct lower(n_name) as alias from nation) c on contains(q.q, c.alias) group by all""")
+@query("j14", """select q.conv_id, q.turn, count(distinct c.alias) as mentioned from (select conv_id, turn, lower(coalesce(question, '')) || ' nation_7 and nation_12' as q from questions where conv_id % 2 = 0
+    union all select conv_id, turn, lower(coalesce(question, '')) from questions where conv_id % 2 <> 0) q join (select distinct lower(n_name) as alias from nation) c on regexp_matches(q.q, '(^|[^a-z0-9#&_])' || c.alias || '([^a-z0-9#&_]|$)') group by all""")
 def j14(t):
     from ..operators.reports import mentions
 
-    q = F.concat(F.lower(F.coalesce("question", F.lit(""))), F.when(F.col("conv_id") % 2 == 0, " kenya and france").otherwise(""))
+    q = F.concat(F.lower(F.coalesce("question", F.lit(""))), F.when(F.col("conv_id") % 2 == 0, " nation_7 and nation_12").otherwise(""))
     return mentions(t.questions.select("conv_id", "turn", q.alias("q")), "q", t.raw("nation").select(F.lower("n_name").alias("alias")).distinct()).groupBy("conv_id", "turn").agg(F.count_distinct("alias").alias("mentioned"))
 
 

@@ -245,11 +245,11 @@ def f11(t):
 
 
 @query("f12", """select observation_id from prices p join competitors c using (competitor_id) where c.competitor_id = 7 or (p.brand = 'Brand#3')
-    or (c.brand_name = 'KENYA' and (select count(*) from competitors where brand_name = 'KENYA') = 1)""")
+    or (c.brand_name = 'NATION_7' and (select count(*) from competitors where brand_name = 'NATION_7') = 1)""")
 def f12(t):
-    one = t.competitors.where("brand_name = 'KENYA'").agg(F.count("*").alias("n_scope"))
+    one = t.competitors.where("brand_name = 'NATION_7'").agg(F.count("*").alias("n_scope"))
     j = t.prices.join(t.competitors, "competitor_id").crossJoin(F.broadcast(one))
-    return j.where((F.col("competitor_id") == 7) | (F.col("brand") == "Brand#3") | ((F.col("brand_name") == "KENYA") & (F.col("n_scope") == 1))).select("observation_id")
+    return j.where((F.col("competitor_id") == 7) | (F.col("brand") == "Brand#3") | ((F.col("brand_name") == "NATION_7") & (F.col("n_scope") == 1))).select("observation_id")
 
 
 @query("f13", """select news_id, case when regexp_matches(lower(coalesce(headline, '')), 'rights reserved|licensed under|released under') then true else false end as boilerplate,
