@@ -17,14 +17,12 @@ def missing_parents(checks: list[tuple[str, DataFrame, DataFrame, str]]) -> Data
 
 def field_checks(df: DataFrame, enums: dict[str, list[str]], required: list[str], dates: list[str]) -> DataFrame:
     """(check, field, n): unknown values, nulls or blanks, and texts that are no date."""
-    out = None
     rules = [("unknown", c, ~F.col(c).isin(*v)) for c, v in enums.items()]
     rules += [("blank", c, F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")) for c in required]
-    rules += [("bad date", c, F.col(c).isNotNull() & F.try_to_date(F.col(c).cast("string"), F.lit("yyyy-MM-dd")).isNull()) for c in dates]
+    rules += [("bad date", c, F.col(c).isNotNull() & F.try_to_date(F.col(c).cast("string"), "yyyy-MM-dd").isNull()) for c in dates]
     one = df.agg(*(F.count_if(cond).alias(f"c{i}") for i, (_, _, cond) in enumerate(rules)))
     rows = F.array(*(F.struct(F.lit(k).alias("check"), F.lit(c).alias("field"), F.col(f"c{i}").alias("n")) for i, (k, c, _) in enumerate(rules)))
-    out = one.select(F.explode(rows).alias("r"))
-    return out.select("r.*")
+    return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def against_expectation(actual: DataFrame, expected: DataFrame, key: str) -> DataFrame:

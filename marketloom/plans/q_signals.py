@@ -230,8 +230,8 @@ def r3(t):
     return R.answer_rows(routed, counts.withColumn("intent", intent)).select("conv_id", "turn", "intent", "competitor_id", "n")
 
 
-@query("r4", """select state, count(*) as n from (select case when scope_status = 'OUT' then 'skipped' when news_id >= 700 then 'duplicate' when news_id < 100 then 'duplicate' when contains(lower(coalesce(body, '')), ' the ') then 'finding' else 'market_news' end as state
-    from (select * from news where news_id < 100 or news_id >= 200 or true) where not (news_id >= 700 and news_id % 700 >= 100 and false)) group by 1""")
+@query("r4", """select state, count(*) as n from (select case when scope_status = 'OUT' then 'skipped' when exists (select 1 from news s where (s.news_id % 700 < 100 or s.news_id >= 700)
+    and (s.news_id = n.news_id or (s.publisher = n.publisher and s.news_id % 700 = n.news_id % 700))) then 'duplicate' when contains(lower(coalesce(body, '')), ' the ') then 'finding' else 'market_news' end as state from news n) group by 1""")
 def r4(t):
     rows = t.news.withColumn("identity", T.url_identity(F.col("source_url")))
     stored = rows.where("news_id % 700 < 100 or news_id >= 700").select("news_id", "identity")
@@ -259,7 +259,7 @@ def q1(t):
 
 
 @query("q2", """select 'unknown' as "check", 'status' as field, count(*) filter (status not in ('active', 'upcoming')) as n from campaigns union all select 'blank', 'status', count(*) filter (status is null) from campaigns
-    union all select 'blank', 'end_date', count(*) filter (end_date is null) from campaigns union all select 'bad date', 'observed_date', 0 from campaigns union all select 'bad date', 'campaign_name', count(*) from campaigns""")
+    union all select 'blank', 'end_date', count(*) filter (end_date is null) from campaigns union all select 'bad date', 'observed_date', count(*) filter (observed_date is null) from campaigns union all select 'bad date', 'campaign_name', count(*) from campaigns""")
 def q2(t):
     return Q.field_checks(t.campaigns, {"status": ["active", "upcoming"]}, ["status", "end_date"], ["observed_date", "campaign_name"])
 

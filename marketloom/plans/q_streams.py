@@ -29,31 +29,13 @@ def z2(t):
 
 @query("z3", "select competitor_id || '|' || id_brand || '|' || id_model || '|' || id_product as identity, previous_date, observed_date, previous_price, current_price from movements")
 def z3(t):
-    """Days are written in date order as a stream source; the stateful job must find the batch operator's movements."""
+    """Days are written as a stream source; the streaming job must find the batch operator's movements."""
     path = scratch(t.spark, "z3-days")
     days = P.with_identity(t.prices).select(F.concat_ws("|", *P.IDENTITY).alias("identity"), "observation_id", "price_kes", "observed_date")
     top = days.groupBy("identity", "observed_date").agg(F.max(F.struct("observation_id", "price_kes")).alias("r")).select("identity", "observed_date", "r.*")
-    top.write.parquet(path)
-    s = t.spark.readStream.schema(top.schema).parquet(path)
-    with stateful(t.spark):
-        out = Z.run_to_end(Z.live_movements(s), "update", "z3")
-    return out.select("identity", "previous_date", "observed_date", "previous_price", "current_price")
-
-
-class stateful:
-    """RocksDB state store, which arbitrary state needs, for the time of one stream."""
-
-    KEY, VALUE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-    def __init__(self, spark):
-        self.conf = spark.conf
-
-    def __enter__(self):
-        self.old = self.conf.get(self.KEY, None)
-        self.conf.set(self.KEY, self.VALUE)
-
-    def __exit__(self, *_):
-        self.conf.set(self.KEY, self.old) if self.old else self.conf.unset(self.KEY)
+    top.repartitionByRange(4, "observed_date").sortWithinPartitions("observed_date").write.parquet(path)
+    s = t.spark.readStream.schema(top.schema).option("maxFilesPerTrigger", 1 << 20).parquet(path)
+    return Z.movements_by_batch(s, "z3")[0]
 
 
 @query("z4", "select cast(ts as date) as day, post_url, arg_max(likes, observation_id) as likes, count(*) as n from social group by 1, 2")

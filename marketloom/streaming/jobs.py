@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import DateType, DoubleType, LongType, StringType, StructField, StructType
@@ -79,11 +80,65 @@ class LastPrice(StatefulProcessor):
         pass
 
 
+class state_store:
+    """The RocksDB state store, which arbitrary state needs, for the time of one stream."""
+
+    KEY, VALUE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+    def __init__(self, spark: SparkSession):
+        self.conf = spark.conf
+
+    def __enter__(self):
+        self.old = self.conf.get(self.KEY, None)
+        self.conf.set(self.KEY, self.VALUE)
+
+    def __exit__(self, *_):
+        self.conf.set(self.KEY, self.old) if self.old else self.conf.unset(self.KEY)
+
+
 def live_movements(prices: DataFrame) -> DataFrame:
     """Price movements as rows arrive in date order by batch; prices has identity, observation_id, price_kes, observed_date."""
     return prices.groupBy("identity").transformWithStateInPandas(LastPrice(), MOVEMENT, "update", "none")
 
 
+def movements_by_batch(prices: DataFrame, label: str = "movements") -> tuple[DataFrame, DataFrame]:
+    """Price movements of a stream without a Python call per key: (movements, late rows) after all input has passed.
+
+    State is a table with the last two days of each identity. A batch joins it once; rows older than the last day are
+    set aside as late. A day that changes again (a higher id on the same day) replaces its movement, by epoch.
+    """
+    spark, path = prices.sparkSession, scratch(prices.sparkSession, label)
+    columns = ["identity", "observed_date", "observation_id", "price_kes"]
+    last: list[str] = []
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        new = batch.select(*columns, F.lit(True).alias("fresh"))
+        if last:
+            state = spark.read.parquet(last[-1])
+            edge = state.groupBy("identity").agg(F.max("observed_date").alias("edge"))
+            aged = new.join(edge, "identity", "left")
+            aged.where("observed_date < edge").select(*columns).write.parquet(f"{path}/late/epoch={epoch}")
+            new = aged.where("edge is null or observed_date >= edge").drop("edge").unionByName(state.withColumn("fresh", F.lit(False)))
+        days = new.groupBy("identity", "observed_date").agg(F.max(F.struct("observation_id", "price_kes")).alias("r"), F.bool_or("fresh").alias("fresh"))
+        w = W.partitionBy("identity").orderBy("observed_date")
+        days = days.select("identity", "observed_date", "r.*", "fresh").withColumns({"previous_price": F.lag("price_kes").over(w), "previous_date": F.lag("observed_date").over(w)})
+        days = days.withColumn("age", F.row_number().over(W.partitionBy("identity").orderBy(F.desc("observed_date"))))
+        days.write.parquet(f"{path}/days/epoch={epoch}")
+        done = spark.read.parquet(f"{path}/days/epoch={epoch}")
+        state_path = f"{path}/state/epoch={epoch}"
+        done.where("age <= 2").select(*columns).write.parquet(state_path)
+        last.append(state_path)
+
+    q = prices.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(step).start()
+    q.awaitTermination()
+    days = spark.read.parquet(f"{path}/days").where("fresh and previous_price is not null")
+    newest = days.groupBy("identity", "observed_date").agg(F.max_by(F.struct("previous_date", "previous_price", "price_kes"), "epoch").alias("r"))
+    moved = newest.select("identity", "r.previous_date", "observed_date", "r.previous_price", F.col("r.price_kes").alias("current_price"))
+    none = spark.createDataFrame([], prices.select(*columns).schema)
+    late = spark.read.parquet(f"{path}/late").select(*columns) if len(last) > 1 else none
+    return moved.where("previous_price <> current_price"), late
+
+
 def run_to_end(stream: DataFrame, mode: str = "append", label: str = "stream") -> DataFrame:
     """Runs a stream over all that is there and returns what the sink holds at the end.
 
