@@ -67,10 +67,10 @@ def _covered(w: Words, n: int) -> np.ndarray:
 def _lines(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first byte, end byte) of each \\n-split line that has a word."""
     cut = np.flatnonzero(w.buf == 10)
-    starts = np.concatenate([w.offsets[:-1], cut + 1])
-    starts = np.unique(starts[starts < len(w.buf)])
-    stops = np.unique(np.concatenate([w.offsets[1:], cut]))
-    ends = stops[np.searchsorted(stops, starts, "left")] if len(starts) else starts
+    starts = np.unique(np.concatenate([w.offsets[:-1], cut + 1]))
+    starts = starts[starts < len(w.buf)]
+    owner = np.searchsorted(w.offsets, starts, "right") - 1
+    ends = np.minimum(np.append(cut, len(w.buf))[np.searchsorted(cut, starts, "left")], w.offsets[owner + 1])
     has = np.searchsorted(w.starts, ends, "left") > np.searchsorted(w.starts, starts, "left")
     starts, ends = starts[has], ends[has]
     return np.searchsorted(w.offsets, starts, "right") - 1, starts, ends
