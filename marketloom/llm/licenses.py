@@ -72,6 +72,9 @@ class Index:
             for p in range(len(h)):  # every place: the text's own winnowing decides which one meets
                 self.posts[int(h[p])].append((d, p))
         self.keys = np.array(sorted(self.posts), np.uint64)
+        brief = {d for d, x in enumerate(self.words) if len(x) < GRAM + WINNOW - 1}
+        #: Fingerprints of templates too short for winnowing to be sure to keep one.
+        self.brief = np.array(sorted(k for k, v in self.posts.items() if any(d in brief for d, _ in v)), np.uint64)
 
 
 def align(a: np.ndarray, b: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
@@ -105,7 +108,7 @@ def scan_text(words: np.ndarray, index: Index) -> list[tuple[str, int, int, int,
     """(template, matched words, first word, end word, coverage) of one text's word hashes."""
     h = gram_hashes(words, GRAM)
     at = winnow(h)
-    at = at[np.isin(h[at], index.keys)]
+    at = np.union1d(at[np.isin(h[at], index.keys)], np.flatnonzero(np.isin(h, index.brief)))
     hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for p in at.tolist():
         for d, q in index.posts[int(h[p])]:
