@@ -1,7 +1,7 @@
 """Language identification by compression: the language whose raw-content dictionary shrinks a text most.
 
 Each language has a zstandard dictionary of raw text, fitted on a bounded sample: the SAMPLE_ROWS rows of a language
-with the smallest hash of their id, of which DICT_BYTES are kept. A text is compressed in pieces with every
+with the smallest hash of their id within salts, of which DICT_BYTES are kept. A text is compressed in pieces with every
 dictionary; the smallest sum wins, and the margin to the second gives the score and the rejection.
 
 Defined results: null texts and texts without a letter are `und` with score 0; without training rows everything is
@@ -12,22 +12,26 @@ rows get equal rows; an empty table gives none; lang, source and doc_id are neve
 from __future__ import annotations
 
 import math
+import re
 from functools import lru_cache
 
 import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_chunks
+from .common import map_arrow, materialize, text_chunks
 
 SAMPLE_ROWS = 400
 DICT_BYTES = 96 << 10
+#: Languages up to which the sample's ids are broadcast; beyond, they are joined by a shuffle.
+MOST_LANGUAGES = 1000
 PIECE_CHARS = 4096
 #: A margin of fewer bits per byte than this between the two best languages is narrow.
 NARROW = 0.02
-LEVEL = 3
+#: Compression levels of long and of brief texts.
+LEVEL, BRIEF_LEVEL, BRIEF_CHARS = 5, 13, 1000
+_OTHER = re.compile(r"[\W\d_]+")
 
 
 def fold(doc_id: F.Column) -> F.Column:
@@ -36,51 +40,54 @@ def fold(doc_id: F.Column) -> F.Column:
 
 
 def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(lang, text): up to `rows` rows of each language by the smallest hash of their id.
+    """(lang, text): of each language the row of smallest hash in each of `rows` salts.
 
-    Ranked without texts in two steps, within salts and then over the salts' best, so no task sees a language whole.
-    """
-    keys = labelled.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    best = keys
-    for part in (["lang", F.pmod(F.col("h"), F.lit(4096))], ["lang"]):
-        rank = F.row_number().over(W.partitionBy(*part).orderBy("h", "doc_id"))
-        best = best.withColumn("rank", rank).where(F.col("rank") <= rows).drop("rank")
-        rows = max(rows, 1)
-    picked = best.select("doc_id", "lang").distinct()
-    return labelled.join(picked, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    Ids are reduced by partial aggregation before any shuffle; only then the few picked texts are read."""
+    keys = labelled.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    best = keys.groupBy("lang", F.pmod("h", F.lit(rows)).alias("salt")).agg(F.min_by("doc_id", "h").alias("doc_id"))
+    picked = materialize(best.select("lang", "doc_id"), "language-sample")
+    small = picked.count() <= MOST_LANGUAGES * rows
+    return labelled.join(F.broadcast(picked) if small else picked, ["doc_id", "lang"], "left_semi").select("lang", "text")
 
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """language -> dictionary bytes; the driver gets rows * (dict_bytes / rows) bytes of each language at most."""
+    """language -> dictionary bytes. The driver gets 4 * dict_bytes characters of each language at most."""
     per_row = max(64, 4 * dict_bytes // rows)
     parts = sample(labelled, rows).select("lang", F.substring("text", 1, per_row).alias("text"))
     out: dict[str, list[str]] = {}
     for lang, text in sorted(tuple(r) for r in parts.collect()):
-        out.setdefault(lang, []).append(text)
-    return {k: "\n".join(v).encode()[:dict_bytes] for k, v in sorted(out.items())}
+        out.setdefault(lang, []).append(normalize(text))
+    return {k: " ".join(v).encode()[:dict_bytes] for k, v in sorted(out.items())}
 
 
 @lru_cache(maxsize=4)
 def compressors(dictionaries: tuple[tuple[str, bytes], ...]):
-    params = zstd.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+    """[(language, compressor of brief texts, compressor of others)]; brief texts take the costlier search."""
     out = []
     for lang, raw in dictionaries:
-        d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(compression_params=params)
-        out.append((lang, zstd.ZstdCompressor(dict_data=d, compression_params=params)))
+        pair = []
+        for level in (BRIEF_LEVEL, LEVEL):
+            params = zstd.ZstdCompressionParameters.from_level(level, min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+            d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=params)
+            pair.append(zstd.ZstdCompressor(dict_data=d, compression_params=params))
+        out.append((lang, *pair))
     return out
 
 
-def has_letter(text: str) -> bool:
-    return any(map(str.isalpha, text))
+def normalize(text: str) -> str:
+    """Lower case, everything but letters as one blank: marks and case say nothing about a language."""
+    return _OTHER.sub(" ", text.lower())
 
 
 def classify(text: str, machines) -> tuple[str, str | None, float, bool]:
     """(language, second language, score, rejected) of one text."""
-    if not machines or not has_letter(text):
+    plain = normalize(text)
+    if not machines or not any(map(str.isalpha, plain)):
         return "und", None, 0.0, True
-    pieces = [text[i : i + PIECE_CHARS].encode() for i in range(0, len(text), PIECE_CHARS)]
-    sizes = sorted((sum(len(c.compress(p)) for p in pieces), lang) for lang, c in machines)
+    pieces = [plain[i : i + PIECE_CHARS].encode() for i in range(0, len(plain), PIECE_CHARS)]
+    brief = len(plain) <= BRIEF_CHARS
+    sizes = sorted((sum(len((a if brief else b).compress(p)) for p in pieces), lang) for lang, a, b in machines)
     n = sum(map(len, pieces))
     best = sizes[0][0]
     score = 1 / sum(math.exp(-min(50.0, 200 * (s - best) / (n + 40))) for s, _ in sizes)
