@@ -205,8 +205,10 @@ def match_spans(text: Column, rule: Rule, order: int) -> Column:
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with found: array<struct<s, o, e, kind>> of all kinds by start, then rule order; all columns kept."""
+    """docs with found: array<struct<s, o, e, kind>> of all kinds by start, then rule order; other columns are kept,
+    but a column of docs that is named found gives way."""
     picked = materialize(candidates(docs, rules), "secret-candidates")
+    kept = [c for c in docs.columns if c != "found"]
     keyed = docs.withColumn("_loom_key", text_key(F.coalesce("text", F.lit(""))))
     keyed = keyed.join(picked.select(F.col("key").alias("_loom_key"), F.col("kinds").alias("_loom_kinds")), "_loom_key", "left")
     text, none = F.coalesce("text", F.lit("")), F.array().cast("array<struct<s:int,o:int,e:int,kind:string>>")
@@ -216,7 +218,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         wanted = text.rlike(r.pattern) if full else F.coalesce(F.array_contains("_loom_kinds", r.kind), F.lit(False))
         parts.append(F.when(wanted, match_spans(text, r, order)).otherwise(none))
     found = F.array_sort(F.concat(*parts))
-    return keyed.select(*(F.col(c) for c in docs.columns), found.alias("found"))
+    return keyed.select(*(F.col(c) for c in kept), found.alias("found"))
 
 
 def spans_text(found: Column) -> Column:
@@ -225,7 +227,10 @@ def spans_text(found: Column) -> Column:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with every span of text replaced by [kind]; overlapping spans are cut once. Null texts stay null."""
+    """docs with every span of text replaced by [kind]; overlapping spans are cut once. Null texts stay null.
+
+    A column n_chars follows the new text where something was cut."""
+    other = docs.withColumnRenamed("found", "_loom_found") if "found" in docs.columns else docs
     text = F.col("text")
     cut = F.aggregate(
         F.col("found"),
@@ -241,6 +246,9 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             ),
         ).otherwise(acc),
     )
-    clean = F.when(F.size("found") == 0, text).otherwise(F.concat(cut["out"], F.substring(text, cut["at"] + 1, F.length("text"))))
-    out = find_secrets(docs, rules)
-    return out.select(*(clean.alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    joined = F.concat(cut["out"], F.substring(text, cut["at"] + 1, F.length("text")))
+    out = find_secrets(other, rules).withColumn("_loom_text", F.when(F.size("found") == 0, text).otherwise(joined))
+    new = {"text": F.col("_loom_text"), "found": F.col("_loom_found") if "found" in docs.columns else None}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.size("found") > 0, F.length("_loom_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.select(*(new[c].alias(c) if new.get(c) is not None else F.col(c) for c in docs.columns))
