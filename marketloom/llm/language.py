@@ -51,8 +51,8 @@ def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
 
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """language -> dictionary bytes. The driver gets 4 * dict_bytes characters of each language at most."""
-    per_row = max(64, 4 * dict_bytes // rows)
+    """language -> dictionary bytes. The driver gets 1.25 * dict_bytes characters of each language at most."""
+    per_row = max(64, 5 * dict_bytes // (4 * rows))  # short excerpts of many rows: more words than long ones of few
     parts = sample(labelled, rows).select("lang", F.substring("text", 1, per_row).alias("text"))
     out: dict[str, list[str]] = {}
     for lang, text in sorted(tuple(r) for r in parts.collect()):
