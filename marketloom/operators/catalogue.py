@@ -33,15 +33,19 @@ def own_rival(df: DataFrame, own: str, keys: tuple[str, ...] = ("category", "sub
 
 
 def position(own: Column, rival: Column) -> Column:
-    return T.first_rule([((own > 0) & (rival > 0), "SHARED"), (own > 0, "OWN_ONLY"), (rival > 0, "COMPETITOR_ONLY")], "NONE")
+    return T.first_rule([((own > 0) & (rival > 0), "SHARED"), (own > 0, "OWN_ONLY"), (rival > 0, "COMPETITOR_ONLY")], "NO_COVERAGE")
 
 
 def gap_signals(df: DataFrame) -> DataFrame:
     """Coverage, breadth and assessment of own and rival counts."""
     own, rival = F.col("own"), F.col("rival")
-    breadth = T.first_rule([((own > 0) & (own > rival), "OWN_BROADER"), ((own > 0) & (own == rival), "EQUAL"), ((own > 0) & (rival > 0), "COMPETITOR_BROADER")], "NOT_COMPARABLE")
     coverage = position(own, rival)
-    assess = T.first_rule([(coverage == "COMPETITOR_ONLY", "POTENTIAL_GAP"), (coverage == "OWN_ONLY", "OWN_ADVANTAGE"), (breadth == "COMPETITOR_BROADER", "NARROWER_RANGE")], "NO_GAP")
+    shared = coverage == "SHARED"
+    breadth = T.first_rule([
+        (shared & (own > rival), "OWN_CATALOGUE_BREADTH_HIGHER"), (shared & (own < rival), "COMPETITOR_CATALOGUE_BREADTH_HIGHER"), (shared, "SIMILAR_CATALOGUE_BREADTH"),
+        (coverage == "OWN_ONLY", "OWN_UNIQUE_COVERAGE"), (coverage == "COMPETITOR_ONLY", "COMPETITOR_COVERAGE_NOT_IN_OWN_CATALOGUE"),
+    ], "NO_COVERAGE")
+    assess = F.when(coverage.isin("OWN_ONLY", "COMPETITOR_ONLY"), "VALIDATE_BEFORE_GAP_CLAIM").otherwise("COMPARABLE_COVERAGE")
     return df.select("category", "sub_category", "own", "rival", coverage.alias("coverage"), breadth.alias("breadth"), assess.alias("assessment"))
 
 
@@ -51,10 +55,12 @@ def gap_rollup(df: DataFrame) -> DataFrame:
         F.count_if((own > 0) & (rival > 0)).alias("shared"), F.count_if((own == 0) & (rival > 0)).alias("gaps"))
 
 
-def model_quality(c: Column) -> Column:
-    """missing: blank or a placeholder; reliable: letters and digits, four characters or more; else weak."""
+def model_quality(c: Column, brands: tuple[str, ...] = ()) -> Column:
+    """missing: blank; weak: a placeholder or brand name, under four characters, or a bare number or measure; else reliable."""
     m = F.upper(T.squeeze(c))
-    return T.first_rule([(m.isin("", "N/A", "NA", "NONE", "UNKNOWN", "-"), "missing"), ((F.length(m) >= 4) & m.rlike("[A-Z]") & m.rlike("[0-9]"), "reliable")], "weak")
+    measure = m.rlike(r"^[0-9]+([.][0-9]+)?\s*(W|KW|L|KG|CM|MM|INCH|INCHES)?$")
+    weak = m.isin("N/A", "NA", "NONE", "UNKNOWN", *(b.upper() for b in brands)) | (F.length(m) < 4) | measure
+    return T.first_rule([(m == "", "missing"), (weak, "weak")], "reliable")
 
 
 def identity_string(identifier: Column, *parts: Column) -> Column:
@@ -65,12 +71,12 @@ def identity_string(identifier: Column, *parts: Column) -> Column:
 
 def new_product_status(first_seen: Column, baseline: str) -> Column:
     day = F.lit(baseline).cast("date")
-    return T.first_rule([(first_seen.isNull(), "UNKNOWN"), (first_seen > day, "NEW_SINCE_BASELINE")], "BASELINE")
+    return T.first_rule([(first_seen.isNull(), "INSUFFICIENT_HISTORY"), (first_seen > day, "NEW_PRODUCT_CANDIDATE")], "BASELINE_PRODUCT")
 
 
 def new_model_status(first_seen: Column, quality: Column, baseline: str) -> Column:
     day = F.lit(baseline).cast("date")
-    return T.first_rule([(first_seen.isNull(), "UNKNOWN"), (first_seen <= day, "BASELINE"), (quality == "reliable", "NEW_MODEL"), (quality == "weak", "NEW_MODEL_WEAK_IDENTITY")], "NEW_PRODUCT_NO_MODEL")
+    return T.first_rule([(first_seen.isNull(), "INSUFFICIENT_HISTORY"), (first_seen <= day, "BASELINE_MODEL"), (quality == "reliable", "NEW_MODEL_CANDIDATE"), (quality == "weak", "MODEL_IDENTIFIER_WEAK")], "MODEL_IDENTIFIER_MISSING")
 
 
 def date_range(df: DataFrame) -> DataFrame:
@@ -84,7 +90,7 @@ def historical_presence(df: DataFrame, keys: list[str], days: int = 7) -> DataFr
     j = df.crossJoin(F.broadcast(last))  # one row
     span = F.datediff("last_seen_date", "first_seen_date")
     gap = F.datediff("catalogue_last", "last_seen_date")
-    state = T.first_rule([(span < days, "INSUFFICIENT_HISTORY"), (gap >= days, "POSSIBLE_DISCONTINUATION")], "CURRENT")
+    state = T.first_rule([(span < days, "INSUFFICIENT_HISTORY"), (gap >= days, "POSSIBLE_DISCONTINUATION")], "CURRENTLY_OBSERVED")
     return j.select(*keys, span.alias("span_days"), gap.alias("gap_days"), state.alias("presence"))
 
 

@@ -74,27 +74,33 @@ def assess_pairs(pairs: DataFrame, brands: list[str]) -> DataFrame:
     known = F.col("family_a").isNotNull() & F.col("family_b").isNotNull()
     width_only = (F.col("matches") == 1) & (F.col("features.width_cm") == "MATCH")
     level = T.first_rule([
-        (F.size("hard") > 0, "NO_DEFENSIBLE"), (F.size("brand_conflicts") > 0, "NO_DEFENSIBLE"), (known & (F.col("family_a") != F.col("family_b")), "NO_DEFENSIBLE"),
-        (width_only, "TYPE_ONLY"), (F.col("matches") >= 2, "STRONG"), ((F.col("matches") >= 1) & F.col("family_a").isin(*DECISIVE), "COMPARABLE"), (known, "TYPE_ONLY"),
-    ], "NO_DEFENSIBLE")
+        (F.size("hard") > 0, "NO_DEFENSIBLE_MATCH"), (F.size("brand_conflicts") > 0, "NO_DEFENSIBLE_MATCH"), (known & (F.col("family_a") != F.col("family_b")), "NO_DEFENSIBLE_MATCH"),
+        (width_only, "TYPE_ONLY"), (F.col("matches") >= 2, "STRONG_COMPARABLE"), ((F.col("matches") >= 1) & F.col("family_a").isin(*DECISIVE), "COMPARABLE"), (known, "TYPE_ONLY"),
+    ], "NO_DEFENSIBLE_MATCH")
     return p.withColumn("match_level", level)
 
 
-LEVELS = {"STRONG": 3, "COMPARABLE": 2, "TYPE_ONLY": 1, "NO_DEFENSIBLE": 0}
+LEVELS = {"STRONG_COMPARABLE": 3, "COMPARABLE": 2, "TYPE_ONLY": 1, "NO_DEFENSIBLE_MATCH": 0}
 
 
 def level_rank(c: Column) -> Column:
     return T.first_rule([(c == k, v) for k, v in LEVELS.items()], 0)
 
 
+#: Price statuses that a comparison may use; of these, the promotional ones compare with each other only.
+USABLE = ["VERIFIED_OFFICIAL_PRICE", "VERIFIED_OFFICIAL_SALE", "VERIFIED_RETAIL_PRICE", "VERIFIED_RETAIL_PROMOTIONAL_PRICE"]
+PROMOTIONAL = ["VERIFIED_OFFICIAL_SALE", "VERIFIED_RETAIL_PROMOTIONAL_PRICE"]
+
+
 def price_positioning(df: DataFrame) -> DataFrame:
     """Difference and premium of own against competitor prices where both sides are usable and alike (regular or promotion)."""
-    usable = F.col("own_status").isin("VERIFIED_OFFICIAL", "VERIFIED_RETAIL") & F.col("other_status").isin("VERIFIED_OFFICIAL", "VERIFIED_RETAIL")
+    usable = F.col("own_status").isin(*USABLE) & F.col("other_status").isin(*USABLE)
+    own_promo, other_promo = F.col("own_status").isin(*PROMOTIONAL), F.col("other_status").isin(*PROMOTIONAL)
     priced = (F.col("own_price") > 0) & (F.col("other_price") > 0)
-    state = T.first_rule([(~usable, "PRICE_NOT_USABLE"), (~F.coalesce(priced, F.lit(False)), "NO_PRICE"), (F.col("own_type") != F.col("other_type"), "PROMOTION_MISMATCH")], "COMPARABLE")
+    state = T.first_rule([(~usable, "PRICE_COMPARISON_NOT_AVAILABLE"), (~F.coalesce(priced, F.lit(False)), "PRICE_COMPARISON_NOT_AVAILABLE"), (own_promo != other_promo, "PRICE_COMPARISON_REQUIRES_PROMOTION_ALIGNMENT")], "PRICE_COMPARISON_AVAILABLE")
     diff = F.col("own_price") - F.col("other_price")
     side = T.first_rule([(diff > 0, "PREMIUM"), (diff < 0, "DISCOUNT")], "PARITY")
-    ok = state == "COMPARABLE"
+    ok = state == "PRICE_COMPARISON_AVAILABLE"
     return df.select("*", state.alias("positioning_status"), F.when(ok, T.half_up(diff)).alias("difference"), F.when(ok, T.half_up(diff / F.col("other_price") * 100)).alias("premium_pct"), F.when(ok, side).alias("position"))
 
 

@@ -34,25 +34,29 @@ def mentions(df: DataFrame, text: str, aliases: DataFrame) -> DataFrame:
 
 INTENTS = [
     ("CAMPAIGNS", ["campaign", "promotion", "offer", "sale"]),
-    ("PRICE_MOVEMENTS", ["price movement", "price change", "price increase", "price decrease", "price drop"]),
-    ("ALERTS", ["alert", "urgent"]),
-    ("MARKET_TRENDS", ["trend", "market"]),
-    ("SOCIAL", ["social", "facebook", "instagram", "post"]),
-    ("CATALOGUE", ["catalogue", "catalog", "product"]),
-    ("COMPARISON", ["compare", "versus", " vs "]),
+    ("PRICE_MOVEMENTS", ["price movement", "price change", "price increase", "price decrease", "price drop", "prices change"]),
+    ("STRATEGIC_ALERTS", ["alert", "warning"]),
+    ("MARKET_TRENDS", ["market"]),
+    ("SOCIAL_EVIDENCE", ["social", "facebook", "instagram", "post"]),
+    ("PRODUCT_CATALOGUE", ["catalog", "products", "product range", "sku", "product launch"]),
+    ("COMPETITOR_COMPARISON", ["compare", "comparison", "versus", " vs "]),
 ]
 
 
-def question_intent(c: Column) -> Column:
-    """The first intent with a term in the question; campaign questions split into active and upcoming."""
-    q = T.squeeze(F.lower(c))
+def question_intent(c: Column, alias: Column | None = None) -> Column:
+    """The first intent with a term in the question; campaign questions split into active and upcoming.
+
+    A question without such a term is about a competitor's activity if it names one (alias), else unsupported."""
+    q = F.concat(F.lit(" "), T.squeeze(F.lower(c)), F.lit(" "))
     rules = []
     for name, terms in INTENTS:
         hit = T.contains_any(q, terms)
         if name == "CAMPAIGNS":
             rules += [(hit & T.contains_any(q, ["active", "currently running"]), "CAMPAIGNS_ACTIVE"), (hit & T.contains_any(q, ["upcoming", "next", "coming"]), "CAMPAIGNS_UPCOMING")]
         rules.append((hit, name))
-    return T.first_rule([(q == "", "UNSUPPORTED"), *rules], "UNSUPPORTED")
+    if alias is not None:
+        rules.append((alias.isNotNull(), "COMPETITOR_ACTIVITY"))
+    return T.first_rule([(F.trim(q) == "", "UNSUPPORTED"), *rules], "UNSUPPORTED")
 
 
 def longest_alias(c: Column, aliases: dict[str, str]) -> Column:

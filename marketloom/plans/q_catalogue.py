@@ -12,7 +12,7 @@ from .registry import query
 VIEWS |= {
     "own_rival": f"select category, sub_category, count(*) filter (brand = '{OWN_BRAND}') as own, count(*) filter (brand <> '{OWN_BRAND}') as rival from canonical group by 1, 2",
     "titled": """select * replace (item_name || case product_id % 4 when 0 then ' 12000 btu inverter air conditioner' when 1 then ' 9000 btu air conditioner' when 2 then ' 200 litres fridge' else ' 60 cm cooker 4 burner' end as item_name) from canonical""",
-    "assessed": f"""select own_id, other_id, pa, pb, case when pa <> pb and not (pa in (0, 1) and pb in (0, 1)) then 'NO_DEFENSIBLE' when pa <> pb then 'NO_DEFENSIBLE' when pa = 0 then 'STRONG' when pa = 1 then 'COMPARABLE' when pa = 2 then 'TYPE_ONLY' else 'STRONG' end as match_level,
+    "assessed": f"""select own_id, other_id, pa, pb, case when pa <> pb and not (pa in (0, 1) and pb in (0, 1)) then 'NO_DEFENSIBLE_MATCH' when pa <> pb then 'NO_DEFENSIBLE_MATCH' when pa = 0 then 'STRONG_COMPARABLE' when pa = 1 then 'COMPARABLE' when pa = 2 then 'TYPE_ONLY' else 'STRONG_COMPARABLE' end as match_level,
         case when pa <> pb then case when (pa = 0 and pb = 1) or (pa = 1 and pb = 0) then 0 else 0 end when pa = 0 then 2 when pa = 1 then 1 when pa = 2 then 1 else 2 end as matches,
         own_price, other_price, size_gap from (select a.product_id as own_id, b.product_id as other_id, a.product_id % 4 as pa, b.product_id % 4 as pb, a.price as own_price, b.price as other_price, abs(a.size - b.size) as size_gap
         from canonical a join canonical b on a.category = b.category and a.sub_category = b.sub_category where a.brand = '{OWN_BRAND}' and b.brand <> '{OWN_BRAND}')""",
@@ -29,15 +29,15 @@ def assessed(t):
                     F.abs(F.col("own.size") - F.col("other.size")).alias("size_gap"))
 
 
-@query("h1", f"select competitor_id, identifier, case when first_seen_date > date '{BASELINE}' then 'NEW_SINCE_BASELINE' else 'BASELINE' end as status from catalogue")
+@query("h1", f"select competitor_id, identifier, case when first_seen_date > date '{BASELINE}' then 'NEW_PRODUCT_CANDIDATE' else 'BASELINE_PRODUCT' end as status from catalogue")
 def h1(t):
     return t.catalogue.select("competitor_id", "identifier", C.new_product_status(F.col("first_seen_date"), BASELINE).alias("status"))
 
 
-QUALITY = "case when model = '' then 'missing' when length(model) >= 4 and regexp_matches(model, '[A-Z]') and regexp_matches(model, '[0-9]') then 'reliable' else 'weak' end"
+QUALITY = "case when model = '' then 'missing' when length(model) < 4 or regexp_matches(model, '^[0-9]+$') then 'weak' else 'reliable' end"
 
 
-@query("h2", f"""select competitor_id, identifier, case when first_seen_date <= date '{BASELINE}' then 'BASELINE' when q = 'reliable' then 'NEW_MODEL' when q = 'weak' then 'NEW_MODEL_WEAK_IDENTITY' else 'NEW_PRODUCT_NO_MODEL' end as status
+@query("h2", f"""select competitor_id, identifier, case when first_seen_date <= date '{BASELINE}' then 'BASELINE_MODEL' when q = 'reliable' then 'NEW_MODEL_CANDIDATE' when q = 'weak' then 'MODEL_IDENTIFIER_WEAK' else 'MODEL_IDENTIFIER_MISSING' end as status
     from (select *, {QUALITY} as q from (select * replace (case when model <> '' and cast(identifier as bigint) % 3 = 0 then 'MX' || model else model end as model) from catalogue))""")
 def h2(t):
     c = t.catalogue.withColumn("model", F.expr("case when model <> '' and cast(identifier as bigint) % 3 = 0 then 'MX' || model else model end"))
@@ -50,7 +50,7 @@ def h3(t):
 
 
 @query("h4", """select competitor_id, identifier, cast(last_seen_date - first_seen_date as integer) as span_days, cast((select max(last_seen_date) from catalogue) - last_seen_date as integer) as gap_days,
-    case when last_seen_date - first_seen_date < 7 then 'INSUFFICIENT_HISTORY' when (select max(last_seen_date) from catalogue) - last_seen_date >= 7 then 'POSSIBLE_DISCONTINUATION' else 'CURRENT' end as presence from catalogue""")
+    case when last_seen_date - first_seen_date < 7 then 'INSUFFICIENT_HISTORY' when (select max(last_seen_date) from catalogue) - last_seen_date >= 7 then 'POSSIBLE_DISCONTINUATION' else 'CURRENTLY_OBSERVED' end as presence from catalogue""")
 def h4(t):
     return C.historical_presence(t.catalogue, ["competitor_id", "identifier"])
 
@@ -58,10 +58,10 @@ def h4(t):
 @query("h5", f"select competitor_id, identifier from catalogue where first_seen_date > date '{BASELINE}' and model <> ''")
 def h5(t):
     c = t.catalogue.withColumn("status", C.new_product_status(F.col("first_seen_date"), BASELINE))
-    return c.where("status = 'NEW_SINCE_BASELINE' and model <> ''").select("competitor_id", "identifier")
+    return c.where("status = 'NEW_PRODUCT_CANDIDATE' and model <> ''").select("competitor_id", "identifier")
 
 
-POSITION = "case when own > 0 and rival > 0 then 'SHARED' when own > 0 then 'OWN_ONLY' when rival > 0 then 'COMPETITOR_ONLY' else 'NONE' end"
+POSITION = "case when own > 0 and rival > 0 then 'SHARED' when own > 0 then 'OWN_ONLY' when rival > 0 then 'COMPETITOR_ONLY' else 'NO_COVERAGE' end"
 
 
 @query("g1", f"select category, sub_category, {POSITION} as position from own_rival union all select category, null, {POSITION} from (select category, sum(own) as own, sum(rival) as rival from own_rival group by 1)")
@@ -71,8 +71,8 @@ def g1(t):
     return fine.unionByName(coarse).select("category", "sub_category", C.position(F.col("own"), F.col("rival")).alias("position"))
 
 
-GAPS = f"""select category, sub_category, own, rival, coverage, breadth, case when coverage = 'COMPETITOR_ONLY' then 'POTENTIAL_GAP' when coverage = 'OWN_ONLY' then 'OWN_ADVANTAGE' when breadth = 'COMPETITOR_BROADER' then 'NARROWER_RANGE' else 'NO_GAP' end as assessment
-    from (select *, {POSITION} as coverage, case when own > 0 and own > rival then 'OWN_BROADER' when own > 0 and own = rival then 'EQUAL' when own > 0 and rival > 0 then 'COMPETITOR_BROADER' else 'NOT_COMPARABLE' end as breadth from own_rival)"""
+GAPS = f"""select category, sub_category, own, rival, coverage, breadth, case when coverage in ('OWN_ONLY', 'COMPETITOR_ONLY') then 'VALIDATE_BEFORE_GAP_CLAIM' else 'COMPARABLE_COVERAGE' end as assessment
+    from (select *, {POSITION} as coverage, case when own > 0 and rival > 0 then case when own > rival then 'OWN_CATALOGUE_BREADTH_HIGHER' when own < rival then 'COMPETITOR_CATALOGUE_BREADTH_HIGHER' else 'SIMILAR_CATALOGUE_BREADTH' end when own > 0 then 'OWN_UNIQUE_COVERAGE' when rival > 0 then 'COMPETITOR_COVERAGE_NOT_IN_OWN_CATALOGUE' else 'NO_COVERAGE' end as breadth from own_rival)"""
 
 
 @query("g2", GAPS)
@@ -80,10 +80,10 @@ def g2(t):
     return C.gap_signals(C.own_rival(t.canonical, OWN_BRAND))
 
 
-@query("g3", f"select assessment, count(*) as n, cast(sum(rival) as bigint) as rival_products from ({GAPS}) where assessment in ('POTENTIAL_GAP', 'NARROWER_RANGE') group by 1")
+@query("g3", f"select breadth, count(*) as n, cast(sum(rival) as bigint) as rival_products from ({GAPS}) where breadth in ('COMPETITOR_COVERAGE_NOT_IN_OWN_CATALOGUE', 'COMPETITOR_CATALOGUE_BREADTH_HIGHER') group by 1")
 def g3(t):
-    g = C.gap_signals(C.own_rival(t.canonical, OWN_BRAND)).where(F.col("assessment").isin("POTENTIAL_GAP", "NARROWER_RANGE"))
-    return g.groupBy("assessment").agg(F.count("*").alias("n"), F.sum("rival").alias("rival_products"))
+    g = C.gap_signals(C.own_rival(t.canonical, OWN_BRAND)).where(F.col("breadth").isin("COMPETITOR_COVERAGE_NOT_IN_OWN_CATALOGUE", "COMPETITOR_CATALOGUE_BREADTH_HIGHER"))
+    return g.groupBy("breadth").agg(F.count("*").alias("n"), F.sum("rival").alias("rival_products"))
 
 
 @query("g4", f"""select 'products' as metric, count(*) as value from canonical union all select 'own products', count(*) from canonical where brand = '{OWN_BRAND}' union all select 'brands', count(distinct brand) from canonical union all select 'categories', count(distinct category) from canonical""")
@@ -134,24 +134,24 @@ def x4(t):
     return assessed(t).groupBy("match_level").agg(F.count("*").alias("pairs"), F.count_distinct("own_id").alias("own_products"), F.count_distinct("other_id").alias("other_products"))
 
 
-RANKED = """select own_id, other_id, match_level, row_number() over (partition by own_id order by case match_level when 'STRONG' then 3 when 'COMPARABLE' then 2 when 'TYPE_ONLY' then 1 else 0 end desc, matches desc, size_gap, other_id) as rn from assessed"""
+RANKED = """select own_id, other_id, match_level, row_number() over (partition by own_id order by case match_level when 'STRONG_COMPARABLE' then 3 when 'COMPARABLE' then 2 when 'TYPE_ONLY' then 1 else 0 end desc, matches desc, size_gap, other_id) as rn from assessed"""
 
 
 def ranked(t):
     return M.best_and_rest(assessed(t).withColumns({"rank_level": M.level_rank(F.col("match_level")), "score": -F.col("size_gap")}))
 
 
-@query("x5", f"select c.product_id as own_id, case when r.match_level in ('STRONG', 'COMPARABLE') then r.other_id end as other_id, case when r.match_level in ('STRONG', 'COMPARABLE') then r.match_level else 'NO_DEFENSIBLE' end as match_level from canonical c left join ({RANKED}) r on c.product_id = r.own_id and r.rn = 1 where c.brand = 'Brand#1'")
+@query("x5", f"select c.product_id as own_id, case when r.match_level in ('STRONG_COMPARABLE', 'COMPARABLE') then r.other_id end as other_id, case when r.match_level in ('STRONG_COMPARABLE', 'COMPARABLE') then r.match_level else 'NO_DEFENSIBLE_MATCH' end as match_level from canonical c left join ({RANKED}) r on c.product_id = r.own_id and r.rn = 1 where c.brand = 'Brand#1'")
 def x5(t):
     best = ranked(t).where("rank = 1").select("own_id", "other_id", "match_level")
     own = t.canonical.where(F.col("brand") == OWN_BRAND).select(F.col("product_id").alias("own_id")).join(best, "own_id", "left")
-    ok = F.coalesce(F.col("match_level").isin("STRONG", "COMPARABLE"), F.lit(False))
-    return own.select("own_id", F.when(ok, F.col("other_id")).alias("other_id"), F.when(ok, F.col("match_level")).otherwise("NO_DEFENSIBLE").alias("match_level"))
+    ok = F.coalesce(F.col("match_level").isin("STRONG_COMPARABLE", "COMPARABLE"), F.lit(False))
+    return own.select("own_id", F.when(ok, F.col("other_id")).alias("other_id"), F.when(ok, F.col("match_level")).otherwise("NO_DEFENSIBLE_MATCH").alias("match_level"))
 
 
-@query("x6", f"select own_id, other_id, match_level from ({RANKED}) where rn > 1 and match_level in ('TYPE_ONLY', 'NO_DEFENSIBLE')")
+@query("x6", f"select own_id, other_id, match_level from ({RANKED}) where rn > 1 and match_level in ('TYPE_ONLY', 'NO_DEFENSIBLE_MATCH')")
 def x6(t):
-    return ranked(t).where((F.col("rank") > 1) & F.col("match_level").isin("TYPE_ONLY", "NO_DEFENSIBLE")).select("own_id", "other_id", "match_level")
+    return ranked(t).where((F.col("rank") > 1) & F.col("match_level").isin("TYPE_ONLY", "NO_DEFENSIBLE_MATCH")).select("own_id", "other_id", "match_level")
 
 
 @query("x7", """select model, case when n = 0 then 'PRICE_NOT_EXPOSED' when r = 1 and s = 1 then 'VERIFIED_PROMOTIONAL' when n = 1 and official then 'VERIFIED_OFFICIAL' when n = 1 then 'VERIFIED_RETAIL' else 'MULTIPLE_PRICES' end as verdict from
@@ -164,15 +164,14 @@ def x7(t):
 
 
 def positioned(t):
-    state = lambda c: F.when(F.col(c) % 3 == 0, "MULTIPLE_PRICES").otherwise("VERIFIED_RETAIL")
-    kind = lambda c: F.when(F.col(c) % 5 == 0, "promotion").otherwise("regular")
+    state = lambda c: F.when(F.col(c) % 3 == 0, "MULTIPLE_PRICES").when(F.col(c) % 5 == 0, "VERIFIED_RETAIL_PROMOTIONAL_PRICE").otherwise("VERIFIED_RETAIL_PRICE")
     rows = assessed(t).select("own_id", "other_id", "own_price", "other_price")
-    return M.price_positioning(rows.withColumns({"own_status": state("own_id"), "other_status": state("other_id"), "own_type": kind("own_id"), "other_type": kind("other_id")}))
+    return M.price_positioning(rows.withColumns({"own_status": state("own_id"), "other_status": state("other_id")}))
 
 
-VIEWS["positioned"] = """select own_id, other_id, st as positioning_status, case when st = 'COMPARABLE' then floor((own_price - other_price) * 100 + 0.5) / 100 end as difference,
-    case when st = 'COMPARABLE' then floor((own_price - other_price) / other_price * 100 * 100 + 0.5) / 100 end as premium_pct, case when st = 'COMPARABLE' then case when own_price > other_price then 'PREMIUM' when own_price < other_price then 'DISCOUNT' else 'PARITY' end end as position,
-    own_price, other_price from (select *, case when own_id % 3 = 0 or other_id % 3 = 0 then 'PRICE_NOT_USABLE' when not (own_price > 0 and other_price > 0) then 'NO_PRICE' when (own_id % 5 = 0) <> (other_id % 5 = 0) then 'PROMOTION_MISMATCH' else 'COMPARABLE' end as st from assessed)"""
+VIEWS["positioned"] = """select own_id, other_id, st as positioning_status, case when st = 'PRICE_COMPARISON_AVAILABLE' then floor((own_price - other_price) * 100 + 0.5) / 100 end as difference,
+    case when st = 'PRICE_COMPARISON_AVAILABLE' then floor((own_price - other_price) / other_price * 100 * 100 + 0.5) / 100 end as premium_pct, case when st = 'PRICE_COMPARISON_AVAILABLE' then case when own_price > other_price then 'PREMIUM' when own_price < other_price then 'DISCOUNT' else 'PARITY' end end as position,
+    own_price, other_price from (select *, case when own_id % 3 = 0 or other_id % 3 = 0 then 'PRICE_COMPARISON_NOT_AVAILABLE' when not (own_price > 0 and other_price > 0) then 'PRICE_COMPARISON_NOT_AVAILABLE' when (own_id % 5 = 0) <> (other_id % 5 = 0) then 'PRICE_COMPARISON_REQUIRES_PROMOTION_ALIGNMENT' else 'PRICE_COMPARISON_AVAILABLE' end as st from assessed)"""
 
 
 @query("x8", "select own_id, other_id, positioning_status, difference, premium_pct, position from positioned")
@@ -185,9 +184,9 @@ def x9(t):
     return M.one_price(t.prices.withColumn("price", F.floor(F.col("price_kes") / 400)), "model")
 
 
-@query("x10", "select own_id, other_id, 'own' as side, own_price as price from positioned where positioning_status <> 'COMPARABLE' union all select own_id, other_id, 'competitor', other_price from positioned where positioning_status <> 'COMPARABLE'")
+@query("x10", "select own_id, other_id, 'own' as side, own_price as price from positioned where positioning_status <> 'PRICE_COMPARISON_AVAILABLE' union all select own_id, other_id, 'competitor', other_price from positioned where positioning_status <> 'PRICE_COMPARISON_AVAILABLE'")
 def x10(t):
-    return M.two_sides(positioned(t).where("positioning_status <> 'COMPARABLE'"), ["own_id", "other_id"], {"own": ["own_price"], "competitor": ["other_price"]}, ["price"])
+    return M.two_sides(positioned(t).where("positioning_status <> 'PRICE_COMPARISON_AVAILABLE'"), ["own_id", "other_id"], {"own": ["own_price"], "competitor": ["other_price"]}, ["price"])
 
 
 @query("x11", "select own_id, other_id, match_level, 'own' as side, own_id as product_id, own_price as price from assessed union all select own_id, other_id, match_level, 'competitor', other_id, other_price from assessed")
@@ -195,8 +194,8 @@ def x11(t):
     return M.two_sides(assessed(t), ["own_id", "other_id", "match_level"], {"own": ["own_id", "own_price"], "competitor": ["other_id", "other_price"]}, ["product_id", "price"])
 
 
-@query("x12", "select own_id, other_id, match_level from assessed where match_level in ('STRONG', 'COMPARABLE')")
+@query("x12", "select own_id, other_id, match_level from assessed where match_level in ('STRONG_COMPARABLE', 'COMPARABLE')")
 def x12(t):
-    return assessed(t).where(F.col("match_level").isin("STRONG", "COMPARABLE")).select("own_id", "other_id", "match_level")
+    return assessed(t).where(F.col("match_level").isin("STRONG_COMPARABLE", "COMPARABLE")).select("own_id", "other_id", "match_level")
 
 

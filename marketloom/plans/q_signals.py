@@ -220,13 +220,13 @@ def r2(t):
     return j.groupBy("campaign_type", "status").agg(F.count("*").alias("campaigns"), F.count("post").alias("posts"))
 
 
-@query("r3", f"""select q.conv_id, q.turn, q.intent, e.competitor_id, e.n from (select conv_id, turn, case conv_id % 3 when 0 then 'CAMPAIGNS' when 1 then 'SOCIAL' else 'CATALOGUE' end as intent, case when conv_id % 2 = 0 then conv_id % 100 end as scope_id from questions) q
-    join (select case evidence_type when 'campaign' then 'CAMPAIGNS' when 'social' then 'SOCIAL' when 'catalogue' then 'CATALOGUE' end as intent, competitor_id, n from ({EVIDENCE})) e on q.intent = e.intent and (q.scope_id is null or q.scope_id = e.competitor_id)""")
+@query("r3", f"""select q.conv_id, q.turn, q.intent, e.competitor_id, e.n from (select conv_id, turn, case conv_id % 3 when 0 then 'CAMPAIGNS' when 1 then 'SOCIAL_EVIDENCE' else 'PRODUCT_CATALOGUE' end as intent, case when conv_id % 2 = 0 then conv_id % 100 end as scope_id from questions) q
+    join (select case evidence_type when 'campaign' then 'CAMPAIGNS' when 'social' then 'SOCIAL_EVIDENCE' when 'catalogue' then 'PRODUCT_CATALOGUE' end as intent, competitor_id, n from ({EVIDENCE})) e on q.intent = e.intent and (q.scope_id is null or q.scope_id = e.competitor_id)""")
 def r3(t):
     said = F.expr("case conv_id % 3 when 0 then 'campaign report' when 1 then 'facebook activity' else 'catalogue coverage' end")
     routed = t.questions.select("conv_id", "turn", R.question_intent(said).alias("intent"), F.when(F.col("conv_id") % 2 == 0, F.col("conv_id") % 100).alias("scope_id"))
     counts = R.evidence_counts({"campaign": t.campaigns, "social": t.social, "catalogue": t.catalogue})
-    intent = T.first_rule([(F.col("evidence_type") == "campaign", "CAMPAIGNS"), (F.col("evidence_type") == "social", "SOCIAL")], "CATALOGUE")
+    intent = T.first_rule([(F.col("evidence_type") == "campaign", "CAMPAIGNS"), (F.col("evidence_type") == "social", "SOCIAL_EVIDENCE")], "PRODUCT_CATALOGUE")
     return R.answer_rows(routed, counts.withColumn("intent", intent)).select("conv_id", "turn", "intent", "competitor_id", "n")
 
 

@@ -84,7 +84,7 @@ def c8(t):
     return t.canonical.select("product_id", X.model_from_title(title, F.concat(F.lit("ID"), "product_id")).alias("model"))
 
 
-@query("c9", """select product_id, case when model_no = '' then 'missing' when length(model_no) >= 4 and regexp_matches(model_no, '[A-Z]') and regexp_matches(model_no, '[0-9]') then 'reliable' else 'weak' end as quality from canonical""")
+@query("c9", """select product_id, case when model_no = '' then 'missing' when length(model_no) < 4 then 'weak' else 'reliable' end as quality from canonical""")
 def c9(t):
     return t.canonical.select("product_id", C.model_quality(F.col("model_no")).alias("quality"))
 
@@ -201,19 +201,19 @@ def c23(t):
     return t.prices.select("observation_id", kind.alias("promotion_type"))
 
 
-ASK = "case conv_id % 5 when 0 then ' active campaigns of nation_7?' when 1 then ' price drop by nation_7 region' when 2 then ' market trend' when 3 then ' facebook posts' else '' end"
+ASK = "case conv_id % 5 when 0 then ' active campaigns of nation_7?' when 1 then ' about nation_7 region' when 2 then ' market trend' when 3 then ' facebook posts' else '' end"
 
 
 @query("c24", f"""select conv_id, turn, case when trim(q) = '' then 'UNSUPPORTED' when contains(q, 'campaign') or contains(q, 'promotion') or contains(q, 'offer') or contains(q, 'sale') then
     case when contains(q, 'active') or contains(q, 'currently running') then 'CAMPAIGNS_ACTIVE' when contains(q, 'upcoming') or contains(q, 'next') or contains(q, 'coming') then 'CAMPAIGNS_UPCOMING' else 'CAMPAIGNS' end
-    when contains(q, 'price movement') or contains(q, 'price change') or contains(q, 'price increase') or contains(q, 'price decrease') or contains(q, 'price drop') then 'PRICE_MOVEMENTS'
-    when contains(q, 'alert') or contains(q, 'urgent') then 'ALERTS' when contains(q, 'trend') or contains(q, 'market') then 'MARKET_TRENDS' when contains(q, 'social') or contains(q, 'facebook') or contains(q, 'instagram') or contains(q, 'post') then 'SOCIAL'
-    when contains(q, 'catalogue') or contains(q, 'catalog') or contains(q, 'product') then 'CATALOGUE' when contains(q, 'compare') or contains(q, 'versus') or contains(q, ' vs ') then 'COMPARISON' else 'UNSUPPORTED' end as intent,
+    when contains(q, 'price movement') or contains(q, 'price change') or contains(q, 'price increase') or contains(q, 'price decrease') or contains(q, 'price drop') or contains(q, 'prices change') then 'PRICE_MOVEMENTS'
+    when contains(q, 'alert') or contains(q, 'warning') then 'STRATEGIC_ALERTS' when contains(q, 'market') then 'MARKET_TRENDS' when contains(q, 'social') or contains(q, 'facebook') or contains(q, 'instagram') or contains(q, 'post') then 'SOCIAL_EVIDENCE'
+    when contains(q, 'catalog') or contains(q, 'products') or contains(q, 'product range') or contains(q, 'sku') or contains(q, 'product launch') then 'PRODUCT_CATALOGUE' when contains(q, 'compare') or contains(q, 'comparison') or contains(q, 'versus') or contains(q, ' vs ') then 'COMPETITOR_COMPARISON' when conv_id % 5 in (0, 1) then 'COMPETITOR_ACTIVITY' else 'UNSUPPORTED' end as intent,
     case conv_id % 5 when 0 then 'N7' when 1 then 'N7 region' end as alias from (select conv_id, turn, trim(regexp_replace(lower(coalesce(question, '') || {ASK}), '\\s+', ' ', 'g')) as q from questions)""")
 def c24(t):
     q = F.concat(F.coalesce("question", F.lit("")), F.expr(ASK))
     alias = R.longest_alias(q, {"nation_7": "N7", "nation_7 region": "N7 region"})
-    return t.questions.select("conv_id", "turn", R.question_intent(q).alias("intent"), alias.alias("alias"))
+    return t.questions.select("conv_id", "turn", R.question_intent(q, alias).alias("intent"), alias.alias("alias"))
 
 
 @query("c25", "select conv_id, turn, (conv_id % 4 = 0 or contains(lower(question), 'latest') or contains(lower(question), 'today') or contains(lower(question), 'current') or contains(lower(question), 'news')) as needs from questions")

@@ -140,7 +140,7 @@ def test_match_levels(spark):
     others = ["12000 btu inverter split air conditioner", "9000 btu air conditioner", "12000 btu air conditioner by Acme", "200 litres fridge"]
     rows = [("c", "s", "Own", own, 0)] + [("c", "s", "Rival", o, i + 1) for i, o in enumerate(others)]
     got = {r["other"]["product_id"]: r["match_level"] for r in M.assess_pairs(M.block_pairs(spark.createDataFrame(rows, cols), "Own"), ["Acme"]).collect()}
-    assert got == {1: "STRONG", 2: "NO_DEFENSIBLE", 3: "NO_DEFENSIBLE", 4: "NO_DEFENSIBLE"}
+    assert got == {1: "STRONG_COMPARABLE", 2: "NO_DEFENSIBLE_MATCH", 3: "NO_DEFENSIBLE_MATCH", 4: "NO_DEFENSIBLE_MATCH"}
     rows = [("c", "s", "Own", "60 cm hob", 0), ("c", "s", "Rival", "60 cm gas hob", 1)]
     assert M.assess_pairs(M.block_pairs(spark.createDataFrame(rows, cols), "Own"), []).first()["match_level"] == "TYPE_ONLY"
 
@@ -148,7 +148,7 @@ def test_match_levels(spark):
 def test_history(spark):
     rows = [(1, D1, D1), (2, dt.date(2026, 8, 1), D1), (3, dt.date(2026, 8, 1), dt.date(2026, 8, 20))]
     got = {r["k"]: r["presence"] for r in C.historical_presence(spark.createDataFrame(rows, "k int, first_seen_date date, last_seen_date date"), ["k"]).collect()}
-    assert got == {1: "INSUFFICIENT_HISTORY", 2: "CURRENT", 3: "POSSIBLE_DISCONTINUATION"}
+    assert got == {1: "INSUFFICIENT_HISTORY", 2: "CURRENTLY_OBSERVED", 3: "POSSIBLE_DISCONTINUATION"}
 
 
 def test_price_alert_tiers(spark):
