@@ -1,17 +1,16 @@
 """Substring dedup by level-wise doubling of repeated word windows.
 
-Level 1 takes windows of half the length (7 words for 13) at content-chosen places: of the half windows inside each
+Level 1 takes windows of half the length (6 words for 13) at content-chosen places: of the half windows inside each
 full window, the one with the smallest hash, so equal full windows choose equal halves. Halves that start in one
 document alone are done; full windows are hashed only where the chosen half survived, and only those that repeat in a
 document with a smaller doc_id are removed. `repeat_levels` goes on to twice the length, over and over, from the
 windows that survived, until none is left.
 
 Keys are combined by partial minima before each shuffle, so a passage that a third of all documents share is one row
-per task; the join back is split by the adaptive join. Documents that copy an earlier one exactly are settled by their
-text digest and take no further part.
+per task; the join back is split by the adaptive join.
 
 Defined results: a null or empty text has no words; windows need 13 words of one document; rows that share a doc_id
-never remove each other's words; a null doc_id neither removes nor is removed; an empty table gives no rows; other
+are taken as copies of one row and never remove each other's words; a null doc_id neither removes nor is removed; an empty table gives no rows; other
 columns are ignored or passed on.
 """
 
@@ -79,7 +78,7 @@ def full_windows(docs: DataFrame, window: int, half: int) -> DataFrame:
             lists = part.column(2)
             sizes = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
             halves = lists.flatten().to_numpy(zero_copy_only=False)
-            alive[np.repeat(w.first[:-1], sizes) + halves] = True
+            alive[within(w, sizes, halves)] = True
             keep = alive[pick]
             starts = starts[keep]
             places, grams = w.grams(window)
@@ -93,33 +92,29 @@ def full_windows(docs: DataFrame, window: int, half: int) -> DataFrame:
     return map_arrow(docs, run, "hash long, doc_id long, at int")
 
 
+def within(w: Words, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places in each text (sizes[d] of them for text d) as places in the chunk; places past a text's end are dropped."""
+    place = np.repeat(w.first[:-1], sizes) + at.astype(np.int64)
+    return place[place < np.repeat(w.first[1:], sizes)]
+
+
 def shared(windows: DataFrame) -> DataFrame:
     """(hash, first_doc) of the windows that start in two documents or more."""
     ends = windows.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     return ends.where("first_doc < last_doc").select("hash", "first_doc")
 
 
-def originals(docs: DataFrame) -> DataFrame:
-    """(digest, first_doc) of texts that occur under two ids or more."""
-    ends = docs.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    return ends.where("first_doc < last_doc").select("digest", "first_doc")
-
+def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """windows(hash, doc_id, at, first_doc) that start in two documents or more; first_doc is the smallest of them.
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(windows, copies): windows(hash, doc_id, at) of distinct texts that start in two documents or more, with
-    first_doc; copies(doc_id, digest) of the documents that copy an earlier one exactly and were left out."""
-    half = (window + 1) // 2
-    one = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    digest = F.sha2("text", 256).substr(1, 32).alias("digest")
-    named = one.select("doc_id", digest)
-    copies = named.join(originals(named), "digest").where("doc_id > first_doc").select("doc_id", "digest")
-    copies = materialize(copies, "copies")
-    fresh = one.withColumn("digest", digest).join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", "text")
-    halves = materialize(half_windows(fresh, window, half), "halves")
+    Half windows are made twice rather than stored: they are the largest intermediate by far."""
+    half = window // 2
+    one = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
+    halves = half_windows(one, window, half)
     alive = halves.join(shared(halves), "hash").groupBy("doc_id").agg(F.collect_list("at").alias("halves"))
     alive = materialize(alive, "alive")
-    full = materialize(full_windows(fresh.join(alive, "doc_id").select("doc_id", "text", "halves"), window, half), "windows")
-    return full.join(shared(full), "hash"), copies
+    full = materialize(full_windows(one.join(alive, "doc_id").select("doc_id", "text", "halves"), window, half), "windows")
+    return full.join(shared(full), "hash")
 
 
 def repeat_levels(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -127,7 +122,7 @@ def repeat_levels(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A window of twice the length is the pair of survivors that follow each other, so a level reads no text.
     """
-    level, _ = repeated_windows(docs, window)
+    level = repeated_windows(docs, window)
     level = materialize(level.select("hash", "doc_id", "at"), "level")
     out, size = None, window
     while not level.isEmpty():
@@ -143,13 +138,9 @@ def repeat_levels(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, kept_text (words joined by one blank)."""
-    windows, copies = repeated_windows(docs, window)
-    cut = windows.where("doc_id > first_doc").groupBy("doc_id").agg(F.collect_list("at").alias("cuts"))
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256).substr(1, 32).alias("digest")
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), digest)
-    whole = copies.distinct().select("doc_id", "digest", F.lit(True).alias("copy"))
-    rows = rows.join(cut, "doc_id", "left").join(whole, ["doc_id", "digest"], "left")
-    rows = rows.select("doc_id", "text", "cuts", F.coalesce("copy", F.lit(False)).alias("copy"))
+    cut = repeated_windows(docs, window).where("doc_id > first_doc").groupBy("doc_id").agg(F.collect_list("at").alias("cuts"))
+    cut = materialize(cut, "cuts")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(cut, "doc_id", "left").select("doc_id", "text", "cuts")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
     def run(batches):
@@ -158,12 +149,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             counts = w.counts()
             edge = np.zeros(len(w.hashes) + window + 1, np.int64)
             sizes = np.asarray(part.column(2).value_lengths().fill_null(0)).astype(np.int64)
-            at = part.column(2).flatten().to_numpy(zero_copy_only=False) + np.repeat(w.first[:-1], sizes)
-            copy = part.column(3).to_numpy(zero_copy_only=False).astype(bool)
-            np.add.at(edge, at.astype(np.int64), 1)
-            np.add.at(edge, at.astype(np.int64) + window, -1)
+            at = within(w, sizes, part.column(2).flatten().to_numpy(zero_copy_only=False))
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + window, -1)
             gone = np.cumsum(edge)[: len(w.hashes)] > 0
-            gone |= np.repeat(copy & (counts >= window), counts)
             raw, kept, removed = w.buf.tobytes(), [], []
             for d in range(len(w)):
                 i = np.arange(w.first[d], w.first[d + 1])[~gone[w.first[d] : w.first[d + 1]]]
