@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -35,13 +37,25 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and rereads it, which cuts lineage and survives lost executors."""
+    """Writes df as Parquet in the shared folder and rereads it, which cuts lineage and survives lost executors.
+
+    Then the driver is asked to collect garbage, so that Spark's cleaner removes the shuffle files of
+    steps that have ended instead of keeping them until memory happens to run low."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/loom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Drops what finished steps hold; twice on a cluster, where listeners keep a query's plan until they see its end."""
+    for pause in (0.0,) if spark.sparkContext.master.startswith("local[") else (0.0, 0.7):
+        time.sleep(pause)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 # ---------------------------------------------------------------- Arrow batches
 
 
