@@ -233,15 +233,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     keys = band_keys(reps)
     counts = keys.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("size")).where("m > 1")
     members = materialize(keys.join(counts, "key"), "buckets")
-    texts = one.withColumnRenamed("doc_id", "rep")
-    small = members.where(f"m <= {SMALL}")
+    small, large = members.where(f"m <= {SMALL}"), members.where(f"m > {SMALL}").select("key", "rep", "size")
     pairs = materialize(small_pairs(small.select("key", "rep", "n"), reps, percent / 100), "pairs")
-    links = confirm(pairs, first_texts(texts, pairs), percent)
-    large = members.where(f"m > {SMALL}").select("key", "rep", "size")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(large.select("rep")).distinct()
+    texts = one.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi")
+    texts = materialize(texts, "near-texts")  # the one shuffle of texts
+    links = confirm(pairs, texts, percent)
     if not large.isEmpty():
         blocks = large.groupBy("key").agg(F.ceil(F.max("size") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-        more = large_links(large.select("key", "rep"), blocks, first_texts(texts, large.select(F.col("rep").alias("a"), F.col("rep").alias("b"))), percent)
-        links = links.unionByName(more)
+        links = links.unionByName(large_links(large.select("key", "rep"), blocks, texts, percent))
     comps = connected_components(links, "near")
     named = reps.select("set_key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("set_key", F.coalesce("component", "rep").alias("component"))
@@ -250,13 +250,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 
-def first_texts(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """texts(rep, text), one row for each id that pairs name; ids given twice are represented once."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    return texts.join(ids, "rep", "left_semi")
-
-
 def filter_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One document of each group stays: the rows whose doc_id is the smallest of their component."""
-    groups = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti")
+    gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
+    return docs.join(materialize(gone, "near-gone"), "doc_id", "left_anti")
