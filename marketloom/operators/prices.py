@@ -67,20 +67,23 @@ def top_per_group(df: DataFrame, keys: list[str], order: list, k: int) -> DataFr
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def concurrent_campaigns(movements: DataFrame, campaigns: DataFrame) -> DataFrame:
-    """Movement and campaign pairs of one brand scope where either movement date lies in the campaign interval.
+def overlapping_campaigns(movements: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """Movement and campaign pairs, whoever runs the campaign, where either movement date lies in the campaign interval.
 
-    Bounded intervals are exploded into their days and met by equality on day, so there is no nested loop; half-open
-    ones meet on the competitor and a date comparison. Pairs that meet on both dates count once.
+    Open sides are clipped to the movements' first and last day (a scalar subquery), so every interval is exploded into
+    its days and met by equality on day: no nested loop. Pairs that meet on both dates count once; a campaign without
+    any date meets nothing.
     """
-    dates = F.array_distinct(F.array("previous_date", "observed_date"))
-    m = movements.withColumn("day", F.explode(dates))
+    m = movements.withColumn("day", F.explode(F.array_distinct(F.array("previous_date", "observed_date"))))
+    first = movements.agg(F.least(F.min("previous_date"), F.min("observed_date"))).scalar()
+    last = movements.agg(F.greatest(F.max("previous_date"), F.max("observed_date"))).scalar()
     keep = ["campaign_id", "campaign_competitor", "start_date", "end_date"]
-    c = campaigns.withColumnRenamed("competitor_id", "campaign_competitor").select(*keep)
-    closed = c.where("start_date is not null and end_date is not null and start_date <= end_date")
-    by_day = closed.withColumn("day", F.explode(F.sequence("start_date", "end_date")))
-    bounded = m.join(by_day, (m["day"] == by_day["day"]) & (m["competitor_id"] == by_day["campaign_competitor"])).drop("day")
-    half = c.where("(start_date is null) <> (end_date is null)")
-    in_half = F.coalesce(m["day"] >= half["start_date"], F.lit(True)) & F.coalesce(m["day"] <= half["end_date"], F.lit(True))
-    opened = m.join(half, (m["competitor_id"] == half["campaign_competitor"]) & in_half).drop("day")
-    return bounded.unionByName(opened).distinct()
+    c = campaigns.withColumnRenamed("competitor_id", "campaign_competitor").select(*keep).where("start_date is not null or end_date is not null")
+    c = c.withColumns({"_first": F.greatest("start_date", first), "_last": F.least("end_date", last)}).where("_first <= _last")
+    by_day = c.withColumn("day", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
+    return m.join(by_day, "day").drop("day").distinct()
+
+
+def concurrent_campaigns(movements: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """The overlapping pairs whose campaign is run by the movement's own competitor."""
+    return overlapping_campaigns(movements, campaigns).where("competitor_id = campaign_competitor")

@@ -59,6 +59,16 @@ def test_concurrency_bounds(spark):
     assert sorted(r["campaign_id"] for r in P.concurrent_campaigns(m, c).collect()) == [2, 4, 5]
 
 
+def test_overlaps_of_any_competitor(spark):
+    m = spark.createDataFrame([(1, D1, D3), (2, D2, D2)], "competitor_id long, previous_date date, observed_date date")
+    c = spark.createDataFrame(
+        [(1, 1, None, None), (2, 1, None, D1), (3, 1, D4, None), (4, 3, D3, None), (5, None, D1, D4), (6, 2, D3, D2), (7, 1, D2, D2), (8, 3, D4, D4)],
+        "campaign_id long, competitor_id long, start_date date, end_date date",
+    )
+    got = sorted((r["competitor_id"], r["campaign_id"]) for r in P.overlapping_campaigns(m, c).collect())
+    assert got == [(1, 2), (1, 4), (1, 5), (2, 5), (2, 7)]
+
+
 def test_previous_price_tie(spark):
     rows = [(1, 1, "A", "M", "P", 1.0, D1), (2, 1, "A", "M", "P", 2.0, D1), (3, 1, "A", "M", "P", 3.0, D2)]
     got = {r["observation_id"]: r["previous_price"] for r in P.previous_price(price_rows(spark, rows), ["model"]).collect()}
