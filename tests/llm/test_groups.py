@@ -248,6 +248,18 @@ def test_copies_of_an_article_are_no_template(spark):
     assert {r["text"] for r in wrappers.extract_main_text(pages(spark, rows)).collect()} == {"\n\n".join([NOTICE, *want])}
 
 
+def test_template_of_a_layout(spark):
+    """A menu without telling markup on a fifth of a host's pages goes from all of them; copies do not hide it."""
+    rng = random.Random(11)
+    made = [(i, prose(rng, 15)) for i in range(200)]
+    menu = "<section class=left><p>Start here</p><p>All our goods</p></section>"
+    rows = [(i, f"http://one.com/{i}", f"<body>{menu if i % 5 == 0 else ''}<div>{t} {i}</div></body>") for i, t in made]
+    rows += [(1000 + i, f"http://one.com/c{i}", f"<body><div>copied {made[0][1]}</div></body>") for i in range(600)]
+    got = {r["page_id"]: r for r in wrappers.extract_main_text(pages(spark, rows).repartition(3)).collect()}
+    assert all((got[i]["text"], got[i]["n_template"]) == (f"{t} {i}", 2 * (i % 5 == 0)) for i, t in made)
+    assert {got[1000 + i]["text"] for i in range(600)} == {f"copied {made[0][1]}"}
+
+
 @pytest.mark.parametrize(
     ("html", "want"),
     [
