@@ -260,6 +260,14 @@ def test_template_of_a_layout(spark):
     assert {got[1000 + i]["text"] for i in range(600)} == {f"copied {made[0][1]}"}
 
 
+def test_template_larger_than_the_articles(spark):
+    rng = random.Random(12)
+    frame = f"<div>{prose(rng, 60)}</div>"
+    rows = [(i, f"http://one.com/{i}", f"<body>{frame}<div>news {i}</div></body>") for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_main_text(pages(spark, rows)).collect()}
+    assert got == {i: f"news {i}" for i in range(20)}
+
+
 @pytest.mark.parametrize(
     ("html", "want"),
     [
