@@ -2,9 +2,8 @@
 
 Each permutation of the shingle hashes keeps its minimum and its maximum, so 32 hash evaluations give 64 signature
 values; bands of four values make candidate buckets (16 bands: a pair at similarity 0.85 shares one with probability
-1 - 7e-6). Texts with equal shingle sets are one class and take part once. Buckets of up to SMALL classes are compared
-by their signatures in one Arrow call, and pairs that could reach the threshold are confirmed on the full shingle sets
-of both texts. Larger buckets are dealt out as pairs of blocks of bounded size, each compared on full shingle sets in
+1 - 7e-6). Texts with equal shingle sets are one class and take part once. Of buckets of up to SMALL classes every pair
+whose sizes allow the threshold is confirmed on the full shingle sets of both texts. Larger buckets are dealt out as pairs of blocks of bounded size, each compared on full shingle sets in
 one task that returns only links which join two groups: a hub is tried first, so members that it links cost one
 comparison each. No partner is dropped and no cap applies.
 
@@ -26,12 +25,10 @@ from .common import Words, connected_components, gram_hashes, map_arrow, materia
 
 WORDS, PERMUTATIONS, ROWS = 5, 32, 4
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Classes in a bucket that one Arrow call compares by signature.
+#: Classes in a bucket whose pairs are made in one Arrow call.
 SMALL = 64
 #: Shingles in a block of a larger bucket.
 BLOCK_SHINGLES = 400_000
-#: Signature agreement below which a pair is not confirmed: 0.85 less 3.5 standard errors of 64 values.
-SLACK = 0.155
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _mul = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,11 +94,9 @@ def band_keys(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "n", F.explode(F.array(*one)).alias("key"))
 
 
-def small_pairs(members: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of buckets of up to SMALL classes whose sizes and signatures allow the threshold."""
-    rows = members.join(reps.select("rep", "sig"), "rep")
-    groups = rows.groupBy("key").agg(F.collect_list(F.struct("rep", "n", "sig")).alias("m"))
-    least = threshold - SLACK
+def small_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of buckets of up to SMALL classes whose sizes allow the threshold."""
+    groups = members.groupBy("key").agg(F.collect_list(F.struct("rep", "n")).alias("m"))
 
     def run(batches):
         for batch in batches:
@@ -111,12 +106,10 @@ def small_pairs(members: DataFrame, reps: DataFrame, threshold: float) -> DataFr
             flat = m.values
             rep = flat.field("rep").to_numpy(zero_copy_only=False)
             n = flat.field("n").to_numpy(zero_copy_only=False)
-            sig = flat.field("sig").flatten().to_numpy(zero_copy_only=False).reshape(-1, 2 * PERMUTATIONS)
             for s, e in zip(ends[:-1], ends[1:], strict=True):
-                r, size, g = rep[s:e], n[s:e], sig[s:e]
-                same = (g[:, None, :] == g[None, :, :]).mean(2)
-                fits = np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :])
-                i, j = np.nonzero((same >= least) & fits & (r[:, None] < r[None, :]))
+                r, size = rep[s:e], n[s:e]
+                fits = 100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :])
+                i, j = np.nonzero(fits & (r[:, None] < r[None, :]))
                 out_a.append(r[i])
                 out_b.append(r[j])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
@@ -234,7 +227,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     counts = keys.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("size")).where("m > 1")
     members = materialize(keys.join(counts, "key"), "buckets")
     small, large = members.where(f"m <= {SMALL}"), members.where(f"m > {SMALL}").select("key", "rep", "size")
-    pairs = materialize(small_pairs(small.select("key", "rep", "n"), reps, percent / 100), "pairs")
+    pairs = materialize(small_pairs(small.select("key", "rep", "n"), percent), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(large.select("rep")).distinct()
     texts = one.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi")
     texts = materialize(texts, "near-texts")  # the one shuffle of texts
