@@ -23,13 +23,26 @@ def resolve_scope(df: DataFrame, competitors: DataFrame) -> DataFrame:
     return j.groupBy(*df.columns).agg(F.array_sort(F.collect_set("competitor_id")).alias("competitor_ids"))
 
 
+def mention_words(c: Column) -> Column:
+    """Lower-cased words of [a-z0-9#&_]; each character beyond ASCII is a word of its own."""
+    spaced = F.regexp_replace(F.lower(c), r"([^\x00-\x7f])", " $1 ")
+    return F.split(F.trim(F.regexp_replace(spaced, r"[^a-z0-9#&_\x{80}-\x{10ffff}]+", " ")), " ")
+
+
 def mentions(df: DataFrame, text: str, aliases: DataFrame) -> DataFrame:
-    """(row, alias) for each alias that the text contains. Aliases of one and two words are met by equality on the
-    text's words and word pairs, so there is no nested loop."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9#&_]+", " ")), " ")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(words, i, 2)))
-    grams = df.withColumn("alias", F.explode(F.array_distinct(F.concat(words, pairs))))
-    return grams.join(aliases, "alias")
+    """(row, alias) for each alias that the text contains, in any case, between other characters than [a-z0-9#&_].
+
+    Word runs of every length that occurs among the aliases are met by equality, so there is no nested loop; the pairs
+    are then held against the text as it stands. A blank alias, or one of punctuation alone, meets nothing."""
+    keyed = aliases.withColumn("_key", F.concat_ws(" ", mention_words("alias"))).where("_key <> ''")
+    lengths = keyed.agg(F.array_sort(F.collect_set(F.size(F.split("_key", " "))))).scalar()
+    words = mention_words(F.col(text))
+    df = df.withColumn("_lengths", lengths).withColumn("_n", F.explode("_lengths")).where(F.size(words) >= F.col("_n"))
+    runs = F.transform(F.sequence(F.lit(1), F.size(words) - F.col("_n") + 1), lambda i: F.concat_ws(" ", F.slice(words, i, F.col("_n"))))
+    grams = df.withColumn("_key", F.explode(F.array_distinct(runs))).drop("_lengths", "_n")
+    name = F.concat(F.lit(r"\Q"), F.trim(F.lower("alias")), F.lit(r"\E"))  # in lower case it holds no \E itself
+    found = F.regexp_like(F.lower(text), F.concat(F.lit("(^|[^a-z0-9#&_])"), name, F.lit("([^a-z0-9#&_]|$)")))
+    return grams.join(keyed, "_key").where(found).drop("_key")
 
 
 INTENTS = [

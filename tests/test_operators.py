@@ -229,3 +229,12 @@ def test_stateful_processor(spark, tmp_path):
     with Z.state_store(spark):
         out = Z.run_to_end(Z.live_movements(s), "update")
     assert [(r["observed_date"], r["previous_price"], r["current_price"]) for r in out.collect()] == [(D3, 10.0, 9.0)]
+
+
+def test_mentions_of_any_name(spark):
+    names = ["Acme", "Hot Point East Africa", "O'Neil & Co.", "Jet-Line", "Café Mika", "caf", "北京", "a.b\\E(", " "]
+    aliases = spark.createDataFrame([(n,) for n in names], "alias string")
+    texts = ["does HOT POINT east africa beat acme?", "o'neil & co. and jet-line", "jet line, acmes, o neil & co", "café mika 北京", "a.b\\e( x", "", None]
+    got = R.mentions(spark.createDataFrame(list(enumerate(texts)), "id long, q string"), "q", aliases).collect()
+    want = {(0, "Acme"), (0, "Hot Point East Africa"), (1, "O'Neil & Co."), (1, "Jet-Line"), (3, "Café Mika"), (3, "caf"), (3, "北京"), (4, "a.b\\E(")}
+    assert sorted((r["id"], r["alias"]) for r in got) == sorted(want)
