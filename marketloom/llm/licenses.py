@@ -2,8 +2,8 @@
 
 Words are runs of ASCII letters and digits (A-Z lowered) and of bytes above ASCII. The index maps the fingerprint of
 each GRAM-word run that winnowing keeps to (template, place). A text's own winnowed fingerprints are looked up in it;
-hits of one template that lie together open a candidate, and a banded local alignment of the template's words with the
-text's words there reports coverage and span.
+hits of one template on neighbouring diagonals open a candidate, and banded local alignments of the template's words
+with the text's words there report coverage and span, each on words that no other match of the template has taken.
 
 Defined results: texts without a match give no row, and so do null and empty texts; repeated rows give repeated
 matches; an empty table gives none; other columns are ignored. Matches of one template do not overlap. The index is
@@ -77,14 +77,17 @@ class Index:
         self.brief = np.array(sorted(k for k, v in self.posts.items() if any(d in brief for d, _ in v)), np.uint64)
 
 
-def align(a: np.ndarray, b: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
-    """(matched words, first and end word of b) of the best local alignment of a with b near b = a + shift."""
+def align(a: np.ndarray, b: np.ndarray, shift: int, band: int, taken: np.ndarray) -> tuple[int, int, int]:
+    """(matched words, first and end word of b) of the best local alignment of a with b near b = a + shift; none
+    passes a taken word of b."""
     best, end = 0, (0, 0)
     rows: list[dict[int, tuple[int, int, int]]] = [{}]  # column -> (score, matches, first column)
     for i in range(1, len(a) + 1):
         low, high = max(1, i + shift - band), min(len(b), i + shift + band)
         row, above = {}, rows[-1]
         for j in range(low, high + 1):
+            if taken[j - 1]:
+                continue
             diagonal = above.get(j - 1, (0, 0, j - 1))
             same = a[i - 1] == b[j - 1]
             options = [(diagonal[0] + (2 if same else -1), diagonal[1] + bool(same), diagonal[2])]
@@ -117,19 +120,23 @@ def scan_text(words: np.ndarray, index: Index) -> list[tuple[str, int, int, int,
     for d, found in hits.items():
         t = index.words[d]
         band = 4 + len(t) // 8
-        open_at, group = -1, []
-        for p, q in sorted(found) + [(1 << 60, 0)]:
-            if group and p - q > open_at + len(t):
-                diagonals = sorted(x - y for x, y in group)
-                shift = diagonals[len(diagonals) // 2]
-                low = max(0, shift - band)
-                matched, first, end = align(t, words[low : shift + len(t) + band], shift - low, band)
-                if matched >= LEAST_COVERAGE * len(t):
-                    out.append((index.names[d], matched, low + first, low + end, matched / len(t)))
-                group = []
-            if not group:
-                open_at = p - q
-            group.append((p, q))
+        groups: list[list[tuple[int, int]]] = []  # (diagonal, place) of hits whose diagonals fit one band
+        for hit in sorted((p - q, p) for p, q in found):
+            if not groups or hit[0] > groups[-1][0][0] + band:
+                groups.append([])
+            groups[-1].append(hit)
+        taken = np.zeros(len(words), bool)
+        matches = []
+        for group in sorted(groups, key=lambda g: (-len(g), g[0])):
+            shift = group[len(group) // 2][0]
+            low, high = max(0, shift - band), shift + len(t) + band
+            while any(not taken[p] for _, p in group):
+                matched, first, end = align(t, words[low:high], shift - low, band, taken[low:high])
+                if matched < LEAST_COVERAGE * len(t):
+                    break
+                taken[low + first : low + end] = True
+                matches.append((low + first, low + end, matched))
+        out += [(index.names[d], n, a, b, n / len(t)) for a, b, n in sorted(matches)]
     return out
 
 

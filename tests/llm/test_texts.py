@@ -122,6 +122,23 @@ def test_licenses(spark):
         licenses.Index({"x": "a " * licenses.MOST_TEMPLATE_BYTES})
 
 
+def test_adjacent_licenses(spark):
+    mit = licenses.TEMPLATES["mit-text"]
+    line = "Released under the MIT License"
+    texts = [" ".join([mit] * 3), "All rights reserved. " * 7, f"{line}. {line[9:]} {line}", f"{mit} {mit[mit.index('free of'):]} x {mit}"]
+    found = {}
+    for r in scan_sorted(spark, texts):
+        found.setdefault((r["doc_id"], r["license"]), []).append((r["start_char"], r["end_char"], texts[r["doc_id"]][r["start_char"] : r["end_char"]]))
+    assert {k: len(v) for k, v in found.items()} == {(0, "mit-text"): 3, (1, "reserved-line"): 7, (2, "mit-line"): 3, (3, "mit-text"): 3}
+    for spans in found.values():
+        assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+    assert {x[2] for x in found[0, "mit-text"]} == {mit.rstrip(".")} and {x[2] for x in found[1, "reserved-line"]} == {"All rights reserved"}
+
+
+def scan_sorted(spark, texts):
+    return sorted(licenses.scan_licenses(docs(spark, texts)).collect(), key=lambda r: (r["doc_id"], r["license"], r["start_char"]))
+
+
 # ---------------------------------------------------------------- repetition
 
 
