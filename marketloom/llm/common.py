@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,6 +16,9 @@ from ..session import ship
 #: Text bytes that one numpy step works on; a longer single text is a step of its own.
 CHUNK_BYTES = 2 << 20
 
+#: Removes shuffle files when a statement ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: ASCII white space \x20 \x09-\x0D, which ends a word.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -39,23 +40,18 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and rereads it, which cuts lineage and survives lost executors.
 
-    Then the driver is asked to collect garbage, so that Spark's cleaner removes the shuffle files of
-    steps that have ended instead of keeping them until memory happens to run low."""
+    Spark removes the step's shuffle files at its end, since only the table is read later."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/loom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    release(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Drops what finished steps hold; twice on a cluster, where listeners keep a query's plan until they see its end."""
-    for pause in (0.0,) if spark.sparkContext.master.startswith("local[") else (0.0, 0.7):
-        time.sleep(pause)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-
-
 # ---------------------------------------------------------------- Arrow batches
 
 
@@ -196,6 +192,41 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+# ---------------------------------------------------------------- joins on hot keys and large sides
+
+#: Keys that hold more than 1 / HOT_KEYS of all rows are fewer than this, whatever the data.
+HOT_KEYS = 10_000
+#: Bloom filters have this many words of 64 bits at most; with more keys they let more rows pass, never fewer.
+BLOOM_WORDS = 1 << 20
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """rows joined with keyed, which has each key once and in weight its number of rows; total: rows in all.
+
+    Keys with more than max(1000, total / HOT_KEYS) rows are fewer than HOT_KEYS and are broadcast, so that their rows
+    stay where they are; all others are joined by a shuffle in which no key is hot. Both inputs are read twice."""
+    limit = max(1000, total // HOT_KEYS)
+    hot, cold = keyed.where(F.col(weight) > limit), keyed.where(F.col(weight) <= limit)
+    here = rows.join(F.broadcast(hot), key)
+    there = rows.join(F.broadcast(hot.select(key)), key, "left_anti").hint("merge").join(cold, key)
+    return here.unionByName(there)
+
+
+def maybe_in(rows: DataFrame, key: str, keyed: DataFrame) -> DataFrame:
+    """The rows whose key is in keyed (a written table), and some others: a semi join by a Bloom filter.
+
+    The filter is a table of BLOOM_WORDS rows at most, so its broadcast has a bound at every size."""
+    words = 1 << 10
+    while words < BLOOM_WORDS and words * 4 < keyed.count():
+        words *= 2
+    at = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(words))
+    bit = lambda c, k: F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64({c}, 2), {6 * k}), 64) as int))")
+    mask = lambda c: bit(c, 0).bitwiseOR(bit(c, 1)).bitwiseOR(bit(c, 2))
+    bloom = keyed.select(at(key).alias("_loom_at"), mask(key).alias("m")).groupBy("_loom_at").agg(F.bit_or("m").alias("_loom_bits"))
+    both = rows.withColumn("_loom_at", at(key)).join(F.broadcast(bloom), "_loom_at")
+    return both.where(F.col("_loom_bits").bitwiseAND(mask(key)) == mask(key)).select(*rows.columns)
+
+
 # ---------------------------------------------------------------- connected components
 
 
