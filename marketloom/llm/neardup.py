@@ -35,8 +35,8 @@ WORDS, PERMUTATIONS, ROWS = 5, 32, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Classes in a bucket whose open pairs are listed; larger buckets are compared in blocks.
 LIGHT = 64
-#: Shingles in a block.
-BLOCK_SHINGLES = 400_000
+#: Shingles of a hub's members that are compared in one group, and in a block of the second round.
+STAR_SHINGLES, BLOCK_SHINGLES = 16_000, 400_000
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _mul = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -217,9 +217,9 @@ def batch_of(links: np.ndarray) -> pa.RecordBatch:
 # ---------------------------------------------------------------- job
 
 
-def blocks(shingles_in_all: Column) -> Column:
-    """Blocks of about BLOCK_SHINGLES, a power of two."""
-    return F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), shingles_in_all / BLOCK_SHINGLES)))).cast("long")
+def blocks(shingles_in_all: Column, size: int) -> Column:
+    """Blocks of about size shingles, a power of two."""
+    return F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), shingles_in_all / size)))).cast("long")
 
 
 def fits(n: Column, m: Column, percent: int) -> Column:
@@ -244,7 +244,7 @@ def buckets(classes: DataFrame) -> DataFrame:
 def star_round(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links of every member with its bucket's hub; a hub's members are dealt to groups of bounded size."""
     pairs = members.where((F.col("rep") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"), percent))
-    pairs = pairs.groupBy("hub", "rep").agg(blocks(F.max("size")).alias("blocks"))
+    pairs = pairs.groupBy("hub", "rep").agg(blocks(F.max("size"), STAR_SHINGLES).alias("blocks"))
     pairs = pairs.withColumn("gid", F.xxhash64("hub", "blocks", F.pmod(F.xxhash64("rep"), "blocks")))
     left = pairs.select("gid", F.lit(0).alias("side"), F.col("hub").alias("rep"), F.col("hub").alias("label")).distinct()
     return compare(left.unionByName(pairs.select("gid", F.lit(1).alias("side"), "rep", F.col("rep").alias("label"))), texts, percent)
@@ -269,7 +269,7 @@ def rest_round(members: DataFrame, found: DataFrame, texts: DataFrame, percent:
     left = pairs.select(own.alias("gid"), F.lit(0).alias("side"), F.col("x").alias("rep"), F.col("x").alias("label")).distinct()
     right = pairs.select(own.alias("gid"), F.lit(1).alias("side"), F.col("y").alias("rep"), F.col("y").alias("label"))
 
-    heavy = rows.where(f"m > {LIGHT}").withColumns({"i": blocks(F.col("open")), "j": blocks(F.col("size"))})
+    heavy = rows.where(f"m > {LIGHT}").withColumns({"i": blocks(F.col("open"), BLOCK_SHINGLES), "j": blocks(F.col("size"), BLOCK_SHINGLES)})
     mine = lambda of: F.pmod(F.xxhash64("rep", "key"), of)
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of).cast("int") - 1))
     low = heavy.where("not linked").select("key", "rep", "label", mine(F.col("i")).alias("p"), every("j").alias("q"))
