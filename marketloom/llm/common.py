@@ -200,31 +200,40 @@ HOT_KEYS = 10_000
 BLOOM_WORDS = 1 << 20
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
     """rows joined with keyed, which has each key once and in weight its number of rows; total: rows in all.
 
     Keys with more than max(1000, total / HOT_KEYS) rows are fewer than HOT_KEYS and are broadcast, so that their rows
-    stay where they are; all others are joined by a shuffle in which no key is hot. Both inputs are read twice."""
+    stay where they are; all others are joined by a shuffle in which no key is hot. Both inputs are read twice.
+    how: inner or left."""
     limit = max(1000, total // HOT_KEYS)
     hot, cold = keyed.where(F.col(weight) > limit), keyed.where(F.col(weight) <= limit)
     here = rows.join(F.broadcast(hot), key)
-    there = rows.join(F.broadcast(hot.select(key)), key, "left_anti").hint("merge").join(cold, key)
+    there = rows.join(F.broadcast(hot.select(key)), key, "left_anti").hint("merge").join(cold, key, how)
     return here.unionByName(there)
 
 
-def maybe_in(rows: DataFrame, key: str, keyed: DataFrame) -> DataFrame:
-    """The rows whose key is in keyed (a written table), and some others: a semi join by a Bloom filter.
+def split_in(rows: DataFrame, key: str, keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be in keyed, rows whose key is not), by a Bloom filter over keyed (a written table).
 
-    The filter is a table of BLOOM_WORDS rows at most, so its broadcast has a bound at every size."""
-    words = 1 << 10
-    while words < BLOOM_WORDS and words * 4 < keyed.count():
+    The filter is a table of BLOOM_WORDS rows at most, so its broadcast has a bound at every size. A null key is in the
+    second part."""
+    words, n = 1 << 10, keyed.count()
+    while words < BLOOM_WORDS and words * 4 < n:
         words *= 2
     at = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(words))
     bit = lambda c, k: F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64({c}, 2), {6 * k}), 64) as int))")
     mask = lambda c: bit(c, 0).bitwiseOR(bit(c, 1)).bitwiseOR(bit(c, 2))
     bloom = keyed.select(at(key).alias("_loom_at"), mask(key).alias("m")).groupBy("_loom_at").agg(F.bit_or("m").alias("_loom_bits"))
-    both = rows.withColumn("_loom_at", at(key)).join(F.broadcast(bloom), "_loom_at")
-    return both.where(F.col("_loom_bits").bitwiseAND(mask(key)) == mask(key)).select(*rows.columns)
+    both = rows.withColumn("_loom_at", F.when(F.col(key).isNotNull(), at(key))).join(F.broadcast(bloom), "_loom_at", "left")
+    maybe = F.coalesce(F.col("_loom_bits").bitwiseAND(mask(key)) == mask(key), F.lit(False))
+    names = [f"`{c}`" for c in rows.columns]
+    return both.where(maybe).select(*names), both.where(~maybe).select(*names)
+
+
+def maybe_in(rows: DataFrame, key: str, keyed: DataFrame) -> DataFrame:
+    """The rows whose key is in keyed (a written table), and some others."""
+    return split_in(rows, key, keyed)[0]
 
 
 # ---------------------------------------------------------------- connected components

@@ -3,13 +3,15 @@
 A pattern is a run of item words: every window of `window` words, or a whole shorter item. Patterns are grouped by
 length m. Over a text, the search looks at the block of two words that ends at a position: a block that no pattern of
 the group has shifts by up to m - 1 words, a block that ends patterns opens the bucket of that suffix, and each bucket
-entry is compared word by word. Patterns reach the tasks in blocks of bounded size; a larger benchmark takes more
-passes over the documents, which are summed by document.
+entry is compared word by word. Items reach the tasks in blocks of bounded size, which build their tables themselves;
+the driver holds one block at a time. A larger benchmark takes more passes over the documents; the hits of each pass
+are written before the next begins, and summed by document at the end.
 
 Defined results: a null text or an item without words has no words, hits or windows; repeated items are one item per
 item_id; repeated documents are judged one by one (rows that share a doc_id get one row each as long as the benchmark
 fits one block, and are numbered to stay apart otherwise); an empty benchmark leaves every document clean; columns
-besides doc_id, text, item_id are ignored.
+besides doc_id, text, item_id, whatever their names, are ignored; a very long text is a step of its own, a very long item
+a block of its own; items with equal windows are all found.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_chunks
+from .common import map_arrow, materialize, text_chunks
 
-#: Bytes of pattern text that one pass holds in each task.
+#: Bytes of item text that one pass holds in each task, on average over the passes.
 BLOCK_BYTES = 16 << 20
 
 _table = bytearray(b" " * 128 + bytes(range(128, 256)))
@@ -80,32 +82,52 @@ def build(items: list[tuple[str, list[bytes]]], window: int) -> list[WuManber]:
     return [WuManber(p, m) for m, p in sorted(by_length.items())]
 
 
-def item_blocks(benchmark: DataFrame, limit: int):
-    """Blocks of (item_id as string, words) whose texts sum to limit bytes or are one item; never all at once."""
-    block, size = [], 0
-    rows = benchmark.where("text is not null").select(F.col("item_id").cast("string"), "text")
-    for item, text in rows.toLocalIterator():
-        if block and size + len(text) > limit:
-            yield block
-            block, size = [], 0
-        block.append((item or "", words(text)))
-        size += len(text)
-    yield block
+_built: dict[str, list[WuManber]] = {}
 
 
-def scan(docs: DataFrame, machines: list[WuManber]) -> DataFrame:
-    """doc_id, n_words, hits (array of covered word indices), items for one block of patterns."""
-    schema = "doc_id long, row long, n_words long, hits array<int>, items array<string>"
+def machines_of(held, window: int) -> list[WuManber]:
+    """The tables of a broadcast block of items, built once in each Python worker, which keeps those of one block."""
+    key, items = held.value
+    if key not in _built:
+        _built.clear()
+        _built[key] = build([(item, words(text)) for item, text in items], window)
+    return _built[key]
+
+
+def item_blocks(benchmark: DataFrame, limit: int) -> list[DataFrame]:
+    """Blocks of (item_id as string, text), dealt by a hash of the item, of limit bytes each on average."""
+    rows = benchmark.where("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // limit))
+    return [rows.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) for k in range(n)]
+
+
+def held(block: DataFrame):
+    """A block as a broadcast; its size has a bound."""
+    items = sorted(tuple(r) for r in block.collect())
+    return block.sparkSession.sparkContext.broadcast((hashlib.sha256(repr(items).encode()).hexdigest(), items))
+
+
+def search(text: str, machines: list[WuManber]) -> tuple[int, bytearray, set[str]]:
+    """(words, mark of each word that is hit, items) of one text."""
+    w = words(text)
+    hit, found = bytearray(len(w)), set()
+    for x in machines:
+        x.search(w, hit, found)
+    return len(w), hit, found
+
+
+def scan(docs: DataFrame, block: DataFrame, window: int) -> DataFrame:
+    """doc_id, row, n_words, hits (covered word indices), items of docs(doc_id, row, text) for one block."""
+    schema, items_held = "doc_id long, row long, n_words long, hits array<int>, items array<string>", held(block)
 
     def run(batches):
+        machines = machines_of(items_held, window)
         for part, col in text_chunks(batches, "text"):
             n_words, hits, items = [], [], []
             for text in col.to_pylist():
-                w = words(text)
-                hit, found = bytearray(len(w)), set()
-                for x in machines:
-                    x.search(w, hit, found)
-                n_words.append(len(w))
+                n, hit, found = search(text, machines)
+                n_words.append(n)
                 hits.append([i for i, v in enumerate(hit) if v] if found else [])
                 items.append(sorted(found))
             yield pa.RecordBatch.from_arrays(
@@ -122,11 +144,13 @@ def find_contamination(
     """One row per document: doc_id, n_words, n_hit, n_items, items (sorted), contaminated."""
     blocks = item_blocks(benchmark, block_bytes)
     one = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), "text")
-    out, passes = None, 0
-    for block in blocks:
-        part = scan(one, build(block, window))
-        out, passes = part if out is None else out.unionByName(part), passes + 1
-    if passes > 1:
+    if len(blocks) == 1:
+        out = scan(one, blocks[0], window)
+    else:
+        one = materialize(one, "numbered")  # so that a row keeps its number in every pass
+        out = scan(one, blocks[0], window)
+        for k, block in enumerate(blocks[1:]):
+            out = materialize(out, f"hits-{k}").unionByName(scan(one, block, window).where("size(items) > 0"))
         out = out.groupBy("doc_id", "row").agg(
             F.max("n_words").alias("n_words"),
             F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
@@ -142,30 +166,27 @@ def find_contamination(
 def filter_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs that are not contaminated (20 * hit words < words), all columns unchanged.
 
-    One pass judges rows in place. With more blocks of patterns, contaminated row numbers are joined out.
+    One pass judges rows in place. With more blocks of items, contaminated row numbers are joined out.
     """
     blocks = item_blocks(benchmark, block_bytes)
-    first, more = next(blocks), next(blocks, None)
-    if more:
-        marked = docs.withColumn("_loom_row", F.monotonically_increasing_id())
+    if len(blocks) > 1:
+        marked = materialize(docs.withColumn("_loom_row", F.monotonically_increasing_id()), "marked")
         keyed = marked.select(F.col("_loom_row").alias("doc_id"), "text")
         bad = find_contamination(keyed, benchmark, window, block_bytes=block_bytes).where("contaminated")
         return marked.join(bad.select(F.col("doc_id").alias("_loom_row")), "_loom_row", "left_anti").drop("_loom_row")
-    machines, schema = build(first, window), docs.schema
+    items_held = held(blocks[0])
 
     def run(batches):
+        machines = machines_of(items_held, window)
         for part, col in text_chunks(batches, "text"):
             keep = []
             for text in col.to_pylist():
-                w = words(text)
-                hit, found = bytearray(len(w)), set()
-                for x in machines:
-                    x.search(w, hit, found)
-                n = hit.count(1)
-                keep.append(not (n and 20 * n >= len(w)))
+                n, hit, _ = search(text, machines)
+                marks = hit.count(1)
+                keep.append(not (marks and 20 * marks >= n))
             yield part.filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(docs, run, schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def items_digest(items: F.Column) -> F.Column:

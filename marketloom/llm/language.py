@@ -1,12 +1,14 @@
 """Language identification by compression: the language whose raw-content dictionary shrinks a text most.
 
-Each language has a zstandard dictionary of raw text, fitted on a bounded sample: the SAMPLE_ROWS rows of a language
-with the smallest hash of their id within salts, of which DICT_BYTES are kept. A text is compressed in pieces with every
-dictionary; the smallest sum wins, and the margin to the second gives the score and the rejection.
+Each language has a zstandard dictionary of raw text: its most frequent words over the whole texts of all labelled rows,
+DICT_BYTES of them, the most frequent last. A text is compressed in pieces with every dictionary, by one setting for all
+texts; the smallest sum wins, and the margin to the second gives the score and the rejection. Bounds of what is learned:
+DICT_BYTES a language, the LANGUAGES languages with most rows, words of WORD_CHARS letters at most.
 
 Defined results: null texts and texts without a letter are `und` with score 0; without training rows everything is
-`und`; very long texts are compressed piece by piece; equal sums go to the alphabetically first language; repeated
-rows get equal rows; an empty table gives none; lang, source and doc_id are never read for a prediction.
+`und`; very long texts are compressed piece by piece; equal sums go to the alphabetically first language, equally
+frequent words to a dictionary by a hash; repeated rows and ids count and answer like any others; an empty table gives
+none; lang, source and doc_id are never read for a prediction, and other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -18,19 +20,19 @@ from functools import lru_cache
 import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, text_chunks
 
-SAMPLE_ROWS = 400
 DICT_BYTES = 96 << 10
-#: Languages up to which the sample's ids are broadcast; beyond, they are joined by a shuffle.
-MOST_LANGUAGES = 1000
+LANGUAGES, WORD_CHARS = 200, 40
 PIECE_CHARS = 4096
 #: A margin of fewer bits per byte than this between the two best languages is narrow.
 NARROW = 0.02
-#: Compression levels of long and of brief texts.
-LEVEL, BRIEF_LEVEL, BRIEF_CHARS = 5, 13, 1000
+LEVEL = 5
+#: Words of one language whose counts fall in one of these many cells of a power of two go to a dictionary together.
+CELLS = 1024
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -39,39 +41,40 @@ def fold(doc_id: F.Column) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
 
 
-def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(lang, text): of each language the row of smallest hash in each of `rows` salts.
+def frequent_words(labelled: DataFrame, dict_bytes: int = DICT_BYTES, languages: int = LANGUAGES) -> DataFrame:
+    """(lang, word, n): each language's most frequent words, dict_bytes in all at most.
 
-    Ids are reduced by partial aggregation before any shuffle; only then the few picked texts are read."""
-    keys = labelled.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    best = keys.groupBy("lang", F.pmod("h", F.lit(rows)).alias("salt")).agg(F.min_by("doc_id", "h").alias("doc_id"))
-    picked = materialize(best.select("lang", "doc_id"), "language-sample")
-    small = picked.count() <= MOST_LANGUAGES * rows
-    return labelled.join(F.broadcast(picked) if small else picked, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    Counts are exact; they are cut by a histogram of counts and hash cells, so no task sorts a language's words."""
+    rows = labelled.where("lang is not null and text is not null").select("lang", "text")
+    top = rows.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(languages)
+    plain = F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " ")
+    words = rows.join(F.broadcast(top.select("lang")), "lang").select("lang", F.explode(F.split(F.trim(plain), " ")).alias("word"))
+    words = words.where(F.length("word").between(1, WORD_CHARS)).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    cell = F.pmod(F.xxhash64("word"), F.lit(CELLS))
+    words = materialize(words.select("lang", "word", "n", F.floor(F.log2("n")).alias("level"), cell.alias("cell")), "language-words")
+    cells = words.groupBy("lang", "level", "cell").agg(F.sum(F.octet_length("word") + 1).alias("bytes"))
+    w = W.partitionBy("lang").orderBy(F.desc("level"), "cell")
+    taken = cells.withColumn("so_far", F.sum("bytes").over(w)).where(F.col("so_far") <= dict_bytes)
+    return words.join(F.broadcast(taken.select("lang", "level", "cell")), ["lang", "level", "cell"]).select("lang", "word", "n")
 
 
-def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """language -> dictionary bytes. The driver gets 1.25 * dict_bytes characters of each language at most."""
-    per_row = max(64, 5 * dict_bytes // (4 * rows))  # short excerpts of many rows: more words than long ones of few
-    parts = sample(labelled, rows).select("lang", F.substring("text", 1, per_row).alias("text"))
+def fit(labelled: DataFrame, dict_bytes: int = DICT_BYTES, languages: int = LANGUAGES) -> dict[str, bytes]:
+    """language -> dictionary bytes. The driver gets dict_bytes of each language at most."""
     out: dict[str, list[str]] = {}
-    for lang, text in sorted(tuple(r) for r in parts.collect()):
-        out.setdefault(lang, []).append(normalize(text))
-    return {k: " ".join(v).encode()[:dict_bytes] for k, v in sorted(out.items())}
+    for lang, _, word in sorted((r["lang"], r["n"], r["word"]) for r in frequent_words(labelled, dict_bytes, languages).collect()):
+        out.setdefault(lang, []).append(word)
+    return {k: f" {' '.join(v)} ".encode() for k, v in out.items()}
 
 
 @lru_cache(maxsize=4)
 def compressors(dictionaries: tuple[tuple[str, bytes], ...]):
-    """[(language, compressor of brief texts, compressor of others)]; brief texts take the costlier search."""
+    """[(language, compressor)]."""
+    params = zstd.ZstdCompressionParameters.from_level(LEVEL, min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
     out = []
     for lang, raw in dictionaries:
-        pair = []
-        for level in (BRIEF_LEVEL, LEVEL):
-            params = zstd.ZstdCompressionParameters.from_level(level, min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
-            d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=params)
-            pair.append(zstd.ZstdCompressor(dict_data=d, compression_params=params))
-        out.append((lang, *pair))
+        d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=params)
+        out.append((lang, zstd.ZstdCompressor(dict_data=d, compression_params=params)))
     return out
 
 
@@ -86,8 +89,7 @@ def classify(text: str, machines) -> tuple[str, str | None, float, bool]:
     if not machines or not any(map(str.isalpha, plain)):
         return "und", None, 0.0, True
     pieces = [plain[i : i + PIECE_CHARS].encode() for i in range(0, len(plain), PIECE_CHARS)]
-    brief = len(plain) <= BRIEF_CHARS
-    sizes = sorted((sum(len((a if brief else b).compress(p)) for p in pieces), lang) for lang, a, b in machines)
+    sizes = sorted((sum(len(c.compress(p)) for p in pieces), lang) for lang, c in machines)
     n = sum(map(len, pieces))
     best = sizes[0][0]
     score = 1 / sum(math.exp(-min(50.0, 200 * (s - best) / (n + 40))) for s, _ in sizes)

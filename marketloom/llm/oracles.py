@@ -3,13 +3,25 @@
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _grams(n: int) -> str:
+    """Runs of n words of x(rid, i, word) as one string, null where the text ends before."""
+    return "word || " + " || ".join(f"' ' || lead(word, {k}) over p" for k in range(1, n))
+
+
 #: Links between distinct shingle sets that share a shingle, then the smallest id that can be reached.
 NEAR = rf"""
-with recursive w as (
-    select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') as w from documents
+with recursive d as (
+    select row_number() over () as rid, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') as w from documents
+), x as (
+    select rid, unnest(w) as word, generate_subscripts(w, 1) as i from d where len(w) >= 5
+), g as (
+    select rid, {_grams(5)} as g from x window p as (partition by rid order by i)
+), t as (
+    select rid, list_sort(list(distinct g)) as s from g where g is not null group by rid
 ), s as (
-    select doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
-        else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)) as s from w
+    select d.doc_id, coalesce(t.s, case when len(d.w) = 0 then [] else [array_to_string(d.w, ' ')] end) as s from d left join t on d.rid = t.rid
 ), c as (
     select s, min(doc_id) as rep from s where len(s) > 0 group by s
 ), e as (
@@ -32,25 +44,33 @@ from s left join c on len(s.s) > 0 and c.s = s.s left join k on k.x = c.rep
 """
 
 SUBSTRINGS = rf"""
-with w as (
-    select doc_id, {_WORDS} as w from documents
+with recursive d as (
+    select row_number() over () as rid, doc_id, {_WORDS} as w from documents
+), x as (
+    select rid, doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from d
 ), g as (
-    select doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) as h
-    from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from w where len(w) >= 13)
+    select rid, doc_id, i, md5({_grams(13)}) as h from x window p as (partition by rid order by i)
 ), f as (
-    select h, min(doc_id) as first from g group by h
+    select h, min(doc_id) as first, max(doc_id) as last from g where h is not null group by h
 ), hit as (
-    select distinct doc_id, i + k as i from (select g.doc_id, g.i from g join f on g.h = f.h where g.doc_id > f.first),
+    select distinct rid, i + k as i from (select g.rid, g.i from g join f on g.h = f.h where g.doc_id > f.first),
         (select unnest(range(0, 13)) as k)
-), x as (
-    select doc_id, w[i] as word, i from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from w)
+), lv as (
+    select 13 as size, g.doc_id, g.i, g.h from g join f on g.h = f.h where f.first < f.last
+    union all
+    select size, doc_id, i, h from (
+        select *, min(doc_id) over (partition by h) as first, max(doc_id) over (partition by h) as last from (
+            select 2 * a.size as size, a.doc_id, a.i, md5(a.h || b.h) as h from lv a join lv b on a.doc_id = b.doc_id and b.i = a.i + a.size))
+    where first < last
+), m as (
+    select doc_id, max(size) as size from lv group by doc_id
 ), kept as (
-    select x.doc_id, string_agg(x.word, ' ' order by x.i) as t, count(*) as n
-    from x anti join hit on x.doc_id = hit.doc_id and x.i = hit.i group by x.doc_id
+    select x.rid, string_agg(x.word, ' ' order by x.i) as t, count(*) as n
+    from x anti join hit on x.rid = hit.rid and x.i = hit.i group by x.rid
 )
-select w.doc_id, cast(len(w.w) as bigint) as n_words, cast(len(w.w) - coalesce(kept.n, 0) as bigint) as n_removed,
-    sha256(coalesce(kept.t, '')) as kept_sha256
-from w left join kept on w.doc_id = kept.doc_id
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(len(d.w) - coalesce(kept.n, 0) as bigint) as n_removed,
+    sha256(coalesce(kept.t, '')) as kept_sha256, cast(coalesce(m.size, 0) as bigint) as longest_repeat
+from d left join kept on d.rid = kept.rid left join m on d.doc_id = m.doc_id
 """
 
 _BENCH_WORDS = rf"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -1,13 +1,15 @@
 """Secret scans with a trigram inverted index, in DataFrame functions only.
 
 A Boolean trigram query is derived from each rule's pattern. The index holds, for the trigrams that some query names,
-the postings (trigram -> texts); postings are intersected and united by key with one bitwise aggregation, and only
-candidate texts meet the pattern. Rules without a mandatory trigram scan every text.
+the postings (trigram -> texts) found in one pass over each text; postings are intersected and united by key with one
+bitwise aggregation, and only candidate texts meet the pattern. Rules without a mandatory trigram scan every text. A
+Bloom filter of the candidates' keys keeps all other texts out of the shuffle, and a text with very many copies is
+joined by broadcast.
 
 Defined results: a null text is empty and has no spans; texts are keyed by a hash of the whole text, so repeated rows
 and repeated or null ids are judged alike, and a hash collision can only add candidates, which the pattern then
-rejects; an empty table gives no rows; other columns are ignored or passed on. Matches are leftmost and do not overlap
-within a kind; a match with too short a value is dropped but still consumes its text.
+rejects; an empty table gives no rows; other columns, whatever their names, are ignored or passed on; a very long text
+is one row throughout. Matches are leftmost and do not overlap within a kind, equal starts go by the order of the kinds; a match with too short a value is dropped but still consumes its text.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_hot, materialize, split_in
 
 
 @dataclass(frozen=True)
@@ -167,22 +169,37 @@ def vocabulary(rules: tuple[Rule, ...]) -> list[str]:
     return sorted(frozenset().union(*(trigrams_of(trigram_query(r.pattern)) for r in rules)))
 
 
+def any_of(words: list[str]) -> str:
+    """A pattern that matches, without consuming it, each of some words of three characters: a trie in two levels."""
+    tree: dict[str, dict[str, str]] = {}
+    for w in words:
+        tree.setdefault(w[0], {}).setdefault(w[1], "")
+        tree[w[0]][w[1]] += w[2]
+    safe = lambda c: c if c.isalnum() else f"\\x{ord(c):02x}"
+    one = lambda tails: f"[{''.join(map(safe, tails))}]"
+    branch = lambda c, below: safe(c) + "(?:" + "|".join(safe(d) + one(t) for d, t in sorted(below.items())) + ")"
+    return f"(?={one(sorted(tree))})(?=(" + "|".join(branch(c, below) for c, below in sorted(tree.items())) + "))"
+
+
 def build_postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Inverted index: postings(trigram, key), trigram being a place in vocabulary(rules)."""
+    """Inverted index: postings(trigram, key, copies), trigram being a place in vocabulary(rules); copies is 1 in one
+    posting of each row and 0 in the others."""
+    words = vocabulary(rules)
     low = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    low = low.select(text_key(F.col("text")).alias("key"), F.lower("text").alias("low"))
-    present = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(vocabulary(rules)))))
-    return low.select("key", present.alias("present")).select("key", F.explode("present").alias("trigram"))
+    low = low.select(text_key(F.col("text")).alias("key"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(any_of(words)), F.lit(1))).alias("present"))
+    place = F.create_map(*(F.lit(x) for i, w in enumerate(words) for x in (w, i)))
+    rows = low.select("key", F.posexplode("present").alias("p", "word"))
+    return rows.select("key", place[F.col("word")].alias("trigram"), (F.col("p") == 0).cast("long").alias("copies"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(key, kinds): texts that satisfy the trigram query of a rule, with the kinds to verify."""
+    """(key, kinds, copies): texts that satisfy the trigram query of a rule, with the kinds to verify."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not ANY}
     bits = {t: i for i, t in enumerate(vocabulary(rules))}
     mask = lambda k: F.bit_or(F.expr(f"if(trigram div 60 = {k}, shiftleft(1L, trigram % 60), 0L)")).alias(f"m{k}")
-    masks = build_postings(docs, rules).groupBy("key").agg(*map(mask, range(-(-len(bits) // 60))))
+    masks = build_postings(docs, rules).groupBy("key").agg(*map(mask, range(-(-len(bits) // 60))), F.sum("copies").alias("copies"))
     kinds = F.array_compact(F.array(*(F.when(_holds(q, bits), F.lit(k)) for k, q in queries.items())))
-    return masks.select("key", kinds.alias("kinds")).where(F.size("kinds") > 0)
+    return masks.select("key", kinds.alias("kinds"), "copies").where(F.size("kinds") > 0)
 
 
 def match_spans(text: Column, rule: Rule, order: int) -> Column:
@@ -208,9 +225,12 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with found: array<struct<s, o, e, kind>> of all kinds by start, then rule order; other columns are kept,
     but a column of docs that is named found gives way."""
     picked = materialize(candidates(docs, rules), "secret-candidates")
+    picked = picked.select(F.col("key").alias("_loom_key"), F.col("kinds").alias("_loom_kinds"), F.col("copies").alias("_loom_copies"))
     kept = [c for c in docs.columns if c != "found"]
-    keyed = docs.withColumn("_loom_key", text_key(F.coalesce("text", F.lit(""))))
-    keyed = keyed.join(picked.select(F.col("key").alias("_loom_key"), F.col("kinds").alias("_loom_kinds")), "_loom_key", "left")
+    keyed = docs.select(*(F.col(f"`{c}`") for c in kept), text_key(F.coalesce("text", F.lit(""))).alias("_loom_key"))
+    some, other = split_in(keyed, "_loom_key", picked)
+    some = join_hot(some, picked, "_loom_key", "_loom_copies", docs.count(), how="left").drop("_loom_copies")
+    keyed = some.unionByName(other.withColumn("_loom_kinds", F.lit(None).cast("array<string>")))
     text, none = F.coalesce("text", F.lit("")), F.array().cast("array<struct<s:int,o:int,e:int,kind:string>>")
     parts = []
     for order, r in enumerate(rules):
@@ -218,7 +238,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         wanted = text.rlike(r.pattern) if full else F.coalesce(F.array_contains("_loom_kinds", r.kind), F.lit(False))
         parts.append(F.when(wanted, match_spans(text, r, order)).otherwise(none))
     found = F.array_sort(F.concat(*parts))
-    return keyed.select(*(F.col(c) for c in kept), found.alias("found"))
+    return keyed.select(*(F.col(f"`{c}`") for c in kept), found.alias("found"))
 
 
 def spans_text(found: Column) -> Column:

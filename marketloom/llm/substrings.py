@@ -1,17 +1,19 @@
 """Substring dedup by level-wise doubling of repeated word windows.
 
-Level 1 takes windows of half the length (6 words for 13) at content-chosen places: of the half windows inside each
-full window, the one with the smallest hash, so equal full windows choose equal halves. Halves that start in one
-document alone are done; full windows are hashed only where the chosen half survived, and only those that repeat in a
-document with a smaller doc_id are removed. `repeat_levels` goes on to twice the length, over and over, from the
-windows that survived, until none is left.
+The levels are windows of window, 2 * window, 4 * window ... words. A window of twice the length is tried only where two
+windows that follow each other both start in several documents, and the levels end when none survives; the longest level
+of each document is reported. The first level alone says which words go, since every longer repeat consists of its
+windows. It is reached from half of its length: of the half windows inside each full window the one with the smallest
+hash is chosen, so equal full windows choose equal halves, and full windows are hashed only where their half repeats.
 
 Keys are combined by partial minima before each shuffle, so a passage that a third of all documents share is one row
-per task; the join back is split by the adaptive join.
+per task; keys with very many rows are joined by broadcast (their number has a bound), all others by a shuffle, after a
+Bloom filter has dropped the windows that occur once. Texts without a repeated window are not shuffled.
 
 Defined results: a null or empty text has no words; windows need 13 words of one document; rows that share a doc_id
-are taken as copies of one row and never remove each other's words; a null doc_id neither removes nor is removed; an empty table gives no rows; other
-columns are ignored or passed on.
+are taken as copies of one row and never remove each other's words; of equal windows the smallest doc_id keeps its own;
+a null doc_id neither removes nor is removed; a very long text is a step of its own; an empty table gives no rows; other
+columns, whatever their names, are ignored or passed on.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, map_arrow, materialize, text_chunks
+from .common import Words, join_hot, map_arrow, materialize, maybe_in, split_in, text_chunks
 
 WINDOW = 13
 
@@ -99,9 +101,16 @@ def within(w: Words, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def shared(windows: DataFrame) -> DataFrame:
-    """(hash, first_doc) of the windows that start in two documents or more."""
-    ends = windows.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    return ends.where("first_doc < last_doc").select("hash", "first_doc")
+    """(hash, first_doc, n) of the windows that start in two documents or more; n rows have it."""
+    ends = windows.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n"))
+    return ends.where("first_doc < last_doc").select("hash", "first_doc", "n")
+
+
+def with_shared(windows: DataFrame, label: str) -> DataFrame:
+    """The windows that start in two documents or more, with first_doc, the smallest of them."""
+    again = materialize(shared(windows), f"{label}-again")
+    some = materialize(maybe_in(windows, "hash", again), f"{label}-some")
+    return join_hot(some, again, "hash", "n", some.count()).drop("n")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -110,38 +119,41 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Half windows are made twice rather than stored: they are the largest intermediate by far."""
     half = window // 2
     one = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    halves = half_windows(one, window, half)
-    alive = halves.join(shared(halves), "hash").groupBy("doc_id").agg(F.collect_list("at").alias("halves"))
+    alive = with_shared(half_windows(one, window, half), "halves").groupBy("doc_id").agg(F.collect_list("at").alias("halves"))
     alive = materialize(alive, "alive")
-    full = materialize(full_windows(one.join(alive, "doc_id").select("doc_id", "text", "halves"), window, half), "windows")
-    return full.join(shared(full), "hash")
+    some = maybe_in(one, "doc_id", alive).hint("merge").join(alive, "doc_id")
+    full = materialize(full_windows(some.select("doc_id", "text", "halves"), window, half), "windows")
+    return materialize(with_shared(full, "windows"), "repeats")
 
 
-def repeat_levels(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, at, words): every repeated window, at each level of window, 2 * window, 4 * window, ... words.
+def repeat_levels(repeats: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, at, words): every repeated window at each level of window, 2 * window, 4 * window, ... words.
 
-    A window of twice the length is the pair of survivors that follow each other, so a level reads no text.
-    """
-    level = repeated_windows(docs, window)
-    level = materialize(level.select("hash", "doc_id", "at"), "level")
+    repeats: those of the first level. A level reads the one before it, no text."""
+    level = repeats.select("hash", "doc_id", "at")
     out, size = None, window
-    while not level.isEmpty():
+    while out is None or not level.isEmpty():
         rows = level.select("doc_id", "at", F.lit(size).alias("words"))
         out = rows if out is None else out.unionByName(rows)
         after = level.select("doc_id", (F.col("at") - size).alias("at"), F.col("hash").alias("next"))
-        twice = level.join(after, ["doc_id", "at"]).select(F.xxhash64("hash", "next").alias("hash"), "doc_id", "at")
-        twice = materialize(twice, f"twice-{size}")
-        level = materialize(twice.join(shared(twice), "hash", "left_semi"), f"level-{2 * size}")
+        twice = level.hint("merge").join(after, ["doc_id", "at"]).select(F.xxhash64("hash", "next").alias("hash"), "doc_id", "at")
         size *= 2
-    return level.select("doc_id", "at", F.lit(window).alias("words")) if out is None else out
+        twice = materialize(twice, f"twice-{size}")
+        level = materialize(with_shared(twice, f"level-{size}").select("hash", "doc_id", "at"), f"level-{size}")
+    return out
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256, kept_text (words joined by one blank)."""
-    cut = repeated_windows(docs, window).where("doc_id > first_doc").groupBy("doc_id").agg(F.collect_list("at").alias("cuts"))
-    cut = materialize(cut, "cuts")
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(cut, "doc_id", "left").select("doc_id", "text", "cuts")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    """One row per document: doc_id, n_words, n_removed, kept_sha256, longest_repeat (words of the longest level that it
+    has a repeated window of; 0 if none), kept_text (words joined by one blank)."""
+    repeats = repeated_windows(docs, window)
+    longest = repeat_levels(repeats, window).groupBy("doc_id").agg(F.max("words").cast("long").alias("longest"))
+    cut = repeats.groupBy("doc_id").agg(F.collect_list(F.when(F.col("doc_id") > F.col("first_doc"), F.col("at"))).alias("cuts"))
+    cut = materialize(cut.hint("merge").join(longest, "doc_id"), "cuts")
+    some, other = split_in(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", cut)
+    rows = some.hint("merge").join(cut, "doc_id", "left").select("doc_id", "text", "cuts", "longest")
+    rows = rows.unionByName(other.select("doc_id", "text", F.lit(None).cast("array<int>").alias("cuts"), F.lit(None).cast("long").alias("longest")))
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, longest_repeat long, kept_text string"
 
     def run(batches):
         for part, col in text_chunks(batches, "text"):
@@ -159,8 +171,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 removed.append(int(counts[d]) - len(i))
                 kept.append(b" ".join(raw[s:e] for s, e in zip(w.starts[i].tolist(), w.ends[i].tolist(), strict=True)))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(counts), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array([x.decode() for x in kept], pa.string())],
-                ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
+                [part.column(0), pa.array(counts), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), part.column(3).fill_null(0), pa.array([x.decode() for x in kept], pa.string())],
+                ["doc_id", "n_words", "n_removed", "kept_sha256", "longest_repeat", "kept_text"],
             )
 
     return map_arrow(rows, run, schema)

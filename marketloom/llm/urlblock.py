@@ -5,8 +5,9 @@ and its refresh redirect. A url with a rule of its own has that rule's verdict (
 blocked component); a url without one is blocked if any url of its component has a block rule, else allowed.
 
 Defined results: a null url or one without `://` has an empty host and path, no rule, and is allowed unless its page
-declares a blocked alias; repeated rows get equal rows; an empty table gives none; other columns are ignored. Of rules
-of equal length the one with the longer host wins.
+declares a blocked alias; repeated rows and urls get equal rows; an empty table gives none; a very long page is one row
+throughout; other columns, whatever their names, are ignored. Of rules of equal length the one with the longer host
+wins, of equal rules block.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, join_hot, materialize
 
 
 @dataclass(frozen=True)
@@ -57,31 +58,49 @@ def with_parts(df: DataFrame, url: str = "url") -> DataFrame:
     return df.withColumns({"host": ascii_lower(host), "path": path, "key": key})
 
 
+def ranked(rules: tuple[UrlRule, ...]) -> list[UrlRule]:
+    return sorted(rules, key=lambda r: (len(r.text), len(r.host), r.verdict), reverse=True)
+
+
 def rule_of(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> Column:
     """struct(text, verdict) of the longest rule that fits, or null."""
-    if len(rules) > INLINE_RULES:
-        raise ValueError("use match_rule_table")
-    ranked = sorted(rules, key=lambda r: (-len(r.text), -len(r.host), r.verdict, r.text))
     out = F.lit(None).cast("struct<text:string,verdict:string>")
-    for r in reversed(ranked):
+    for r in reversed(ranked(rules)):
         fits = ((host == r.host) | F.endswith(host, F.lit("." + r.host))) & F.startswith(path, F.lit(r.path))
         out = F.when(fits, F.struct(F.lit(r.text).alias("text"), F.lit(r.verdict).alias("verdict"))).otherwise(out)
     return out
 
 
 def match_rule_table(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(key, rule struct) by joining each host's suffixes with rules(verdict, host, path); for long rule lists."""
+    """(key, rule struct) by joining each host's suffixes with rules(verdict, host, path); for long rule lists.
+
+    A suffix such as a country's has a large part of all urls: it is joined as a hot key."""
     labels = F.split("host", "[.]")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    one = urls.where("key is not null").select("key", "path", F.explode(suffixes).alias("at")).distinct()
-    r = rules.select(F.col("host").alias("at"), F.col("path").alias("rule_path"), "verdict")
-    hit = one.join(r, "at").where(F.startswith("path", F.col("rule_path")))
-    text = F.concat("at", "rule_path")
+    one = urls.where("key is not null").groupBy("key").agg(F.min("host").alias("host"), F.min("path").alias("path"))
+    one = materialize(one.select("key", "path", F.explode(suffixes).alias("at")), "url-suffixes")
+    r = rules.groupBy(F.col("host").alias("at")).agg(F.collect_set(F.struct("path", "verdict")).alias("rules"))
+    r = materialize(r.join(one.groupBy("at").agg(F.count("*").alias("urls")), "at"), "url-rules")
+    hit = join_hot(one, r, "at", "urls", one.count()).select("key", "path", "at", F.explode("rules").alias("r")).where(F.startswith("path", F.col("r.path")))
+    text = F.concat("at", "r.path")
     return hit.groupBy("key").agg(
-        F.max_by(F.struct(text.alias("text"), "verdict"), F.struct(F.length(text), F.length("at"), "verdict")).alias("rule")
+        F.max_by(F.struct(text.alias("text"), F.col("r.verdict").alias("verdict")), F.struct(F.length(text), F.length("at"), "r.verdict")).alias("rule")
     )
 
 
+def with_rule(urls: DataFrame, rules: tuple[UrlRule, ...]) -> DataFrame:
+    """urls(host, path, key, ...) with own: struct(text, verdict) of the rule that fits. A list of more than INLINE_RULES
+    rules is joined, with equal results."""
+    if len(rules) <= INLINE_RULES:
+        return urls.withColumn("own", rule_of(F.col("host"), F.col("path"), rules))
+    table = urls.sparkSession.createDataFrame([(r.verdict, r.host, r.path) for r in rules], "verdict string, host string, path string")
+    found = match_rule_table(urls, table)
+    sizes = urls.where("key is not null").groupBy("key").agg(F.count("*").alias("_loom_n"))
+    found = materialize(found.join(sizes, "key").withColumnRenamed("rule", "own"), "url-found")
+    known = join_hot(urls.where("key is not null"), found, "key", "_loom_n", urls.count(), how="left").drop("_loom_n")
+    return known.unionByName(urls.where("key is null").withColumn("own", F.lit(None).cast("struct<text:string,verdict:string>")))
+
+
 def _absolute(link: Column, url: Column, host: Column) -> Column:
     """A link as an absolute url; relative links are resolved against the page."""
     scheme = F.regexp_extract(url, r"^(?s)(.*?)://", 1)
@@ -110,19 +129,29 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     return with_parts(out, "to").select("a", F.col("key").alias("b")).where("b is not null and a <> b").distinct()
 
 
-def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, alias_blocked."""
-    parts = with_parts(pages.select("page_id", "url"))
-    rule = rule_of(F.col("host"), F.col("path"), rules)
-    judged = parts.withColumn("own", rule)
+def blocked_aliases(pages: DataFrame, rules: tuple[UrlRule, ...]) -> DataFrame | None:
+    """(key, pages): urls with pages in the table whose component holds a blocked url; None without links."""
     edges = materialize(alias_edges(pages), "alias-edges")
     if edges.isEmpty():
+        return None
+    comps = connected_components(edges, "alias")
+    nodes = with_parts(comps.select(F.concat(F.lit("x://"), "node").alias("u"), "node", "component"), "u")
+    blocked = with_rule(nodes, rules).where(F.col("own.verdict") == "block").select("component").distinct()
+    hit = comps.join(blocked, "component", "left_semi").select(F.col("node").alias("key"))
+    here = with_parts(pages.select("url")).where("key is not null").groupBy("key").agg(F.count("*").alias("pages"))
+    return materialize(here.join(hit, "key"), "alias-blocked")
+
+
+def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict, alias_blocked."""
+    judged = with_rule(with_parts(pages.select("page_id", "url")), rules)
+    hit = blocked_aliases(pages, rules)
+    if hit is None:
         marked = judged.withColumn("alias_blocked", F.lit(False))
     else:
-        comps = connected_components(edges, "alias")
-        nodes = with_parts(comps.select(F.concat(F.lit("x://"), "node").alias("u"), "node", "component"), "u")
-        blocked = nodes.where(rule_of(F.col("host"), F.col("path"), rules)["verdict"] == "block").select("component").distinct()
-        hit = comps.join(blocked, "component", "left_semi").select(F.col("node").alias("key"), F.lit(True).alias("hit"))
-        marked = judged.join(hit, "key", "left").withColumn("alias_blocked", F.coalesce("hit", F.lit(False)))
+        hit = hit.withColumn("hit", F.lit(True))
+        marked = join_hot(judged.where("key is not null"), hit, "key", "pages", judged.count(), how="left").drop("pages")
+        marked = marked.unionByName(judged.where("key is null").withColumn("hit", F.lit(False)))
+        marked = marked.withColumn("alias_blocked", F.coalesce("hit", F.lit(False)))
     verdict = F.coalesce(F.col("own.verdict"), F.when(F.col("alias_blocked"), "block").otherwise("allow"))
     return marked.select("page_id", "host", "path", F.col("own.text").alias("rule"), verdict.alias("verdict"), "alias_blocked")

@@ -220,9 +220,10 @@ def test_substrings_brute_force(spark):
 def test_substring_levels_and_edges(spark):
     rng = random.Random(7)
     long = " ".join(f"s{rng.randint(0, 10**9)}" for _ in range(60))
-    levels = {(r["words"], r["n"]) for r in substrings.repeat_levels(docs(spark, [long, f"a {long} b", "c d"])).groupBy("words").agg(F.count("*").alias("n")).collect()}
+    repeats = substrings.repeated_windows(docs(spark, [long, f"a {long} b", "c d"]))
+    levels = {(r["words"], r["n"]) for r in substrings.repeat_levels(repeats).groupBy("words").agg(F.count("*").alias("n")).collect()}
     assert levels == {(13, 2 * 48), (26, 2 * 35), (52, 2 * 9)}
-    assert substrings.repeat_levels(docs(spark, ["a", None])).count() == 0
+    assert [r["longest_repeat"] for r in substrings.remove_repeats(docs(spark, [long, f"a {long} b", "c d"])).sort("doc_id").collect()] == [52, 52, 0]
     assert substrings.remove_repeats(docs(spark, [])).count() == 0
     null = substrings.remove_repeats(docs(spark, [long, long], [None, 1])).collect()
     assert {(r["doc_id"], r["n_removed"]) for r in null} == {(None, 0), (1, 0)}
@@ -307,7 +308,7 @@ def test_wrapper_induction(spark):
     got = {r["page_id"]: r for r in wrappers.extract_main_text(pages(spark, rows).repartition(3)).collect()}
     for i, (_, want) in enumerate(made):
         assert got[i]["text"] == "\n\n".join(want), i
-        assert got[i]["n_chars"] == len(got[i]["text"]) and got[i]["n_template"] == 1
+        assert got[i]["n_chars"] == len(got[i]["text"]) and got[i]["n_template"] == (5 if i % 2 == 0 else 1)
     # One page of a host gives no wrapper: what markup does not rule out stays.
     assert got[100]["text"] == "\n\n".join([NOTICE, *made[0][1]])
     assert got[101]["text"] == "\n\n".join([NOTICE, *made[1][1]])
@@ -330,6 +331,7 @@ def test_template_of_a_layout(spark):
     rows += [(1000 + i, f"http://one.com/c{i}", f"<body><div>copied {made[0][1]}</div></body>") for i in range(600)]
     got = {r["page_id"]: r for r in wrappers.extract_main_text(pages(spark, rows).repartition(3)).collect()}
     assert all((got[i]["text"], got[i]["n_template"]) == (f"{t} {i}", 2 * (i % 5 == 0)) for i, t in made)
+    assert all(r["n_template"] == 0 for i, r in got.items() if i >= 1000)
     assert {got[1000 + i]["text"] for i in range(600)} == {f"copied {made[0][1]}"}
 
 
@@ -341,6 +343,79 @@ def test_template_larger_than_the_articles(spark):
     assert got == {i: f"news {i}" for i in range(20)}
 
 
+def tree(nested):
+    label, *kids = nested
+    t = wrappers.Tree(label)
+    t.kids = [tree(k) for k in kids]
+    return t
+
+
+def brute_match(a, b):
+    """Size of the largest top-down alignment of two trees that keeps order, by trying all of them."""
+    if a.label != b.label:
+        return 0
+
+    def best(x, y):
+        if not x or not y:
+            return 0
+        both = brute_match(x[0], y[0])
+        return max(best(x[1:], y), best(x, y[1:]), both + best(x[1:], y[1:]) if both else 0)
+
+    return 1 + best(a.kids, b.kids)
+
+
+def test_alignment_is_largest():
+    rng = random.Random(4)
+
+    def random_tree(depth):
+        labels = rng.sample("abcde", rng.randint(0, 4)) if depth else []
+        return ["r" if depth == 3 else "x", *([k, *random_tree(depth - 1)[1:]] for k in labels)]
+
+    for _ in range(200):
+        a, b = tree(random_tree(3)), tree(random_tree(3))
+        pairs = wrappers.align(a, b)
+        assert len(pairs) == brute_match(a, b) and all(x.label == y.label for x, y in pairs)
+        again = wrappers.decode(wrappers.encode(a))[0]
+        assert wrappers.encode(again) == wrappers.encode(a)
+
+
+def test_slot_without_markup(spark):
+    """Menus, adverts and footers whose words change from page to page go by structure alone: no class, no telling tag."""
+    rng = random.Random(13)
+    rows, want, zones = [], {}, {}
+    for i in range(40):
+        paras = [f"{prose(rng, rng.randint(8, 60))} {i}" for _ in range(rng.randint(2, 9))]
+        links = "".join(f"<i><a href=/{k}>{prose(rng, 1)}</a></i>" for k in range(6))
+        frame = f"<section>{links}</section><div>Buy {prose(rng, 5)} {i}</div>"
+        body = f"<center><h1>T {i}</h1>" + "".join(f"<p>{p}</p>" for p in paras) + "</center>"
+        rows.append((i, f"http://one.com/{i}", f"<body>{frame}{body}<dl>by {prose(rng, 3)} {i}</dl></body>"))
+        want[i] = "\n\n".join([f"T {i}", *paras])
+    rows.append((99, "http://two.com/1", rows[0][2]))
+    got = {r["page_id"]: r for r in wrappers.extract_main_text(pages(spark, rows).repartition(3)).collect()}
+    assert {i: got[i]["text"] for i in range(40)} == want
+    assert got[99]["text"] != want[0] and "Buy" in got[99]["text"]
+    withheld = wrappers.learn_wrappers(pages(spark, rows)).where("false")
+    alone = {r["page_id"]: r["text"] for r in wrappers.extract_main_text(pages(spark, rows), withheld).collect()}
+    assert all("Buy" in alone[i] for i in range(40))
+
+
+def test_wrappers_alone_decide_given_pages(spark):
+    """On the given tables the wrappers find the article without any declared zone."""
+    given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    with_markup = {r["page_id"]: r["text"] for r in wrappers.extract_main_text(given).collect()}
+    alone = wrappers.extract_main_text(given, markup=False).where("n_template > 0").collect()
+    withheld = wrappers.extract_main_text(given, wrappers.learn_wrappers(given.limit(0)), markup=False).collect()
+    assert len(alone) > 200 and sum(r["text"] == with_markup[r["page_id"]] for r in alone) >= 0.98 * len(alone)
+    assert not any(r["text"] == with_markup[r["page_id"]] for r in withheld if r["text"])
+
+
+def test_main_text_edges(spark):
+    long = "<body><div>" + "".join(f"<p>word {i} text</p>" for i in range(30000)) + "</div></body>"
+    rows = [(1, "http://a.com/1", long), (1, "http://a.com/1", long), (2, "http://a.com/2", "<body><div><p>x</p></div></body>"), (3, "http://a.com/3", "<body><div><p>y</p><p>z</p></div></body>")]
+    got = wrappers.extract_main_text(pages(spark, rows)).collect()
+    assert sorted(r["page_id"] for r in got) == [1, 1, 2, 3] and {r["n_chars"] for r in got if r["page_id"] == 1} == {len("\n\n".join(f"word {i} text" for i in range(30000)))}
+
+
 @pytest.mark.parametrize(
     ("html", "want"),
     [

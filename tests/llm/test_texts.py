@@ -97,10 +97,23 @@ def test_language_edges(spark):
     assert language.predict(docs(spark, []), learned).count() == 0
 
 
-def test_language_sample_is_bounded(spark):
-    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("the text").alias("text"))
-    assert language.sample(rows, 50).count() <= 50
-    assert language.fit(rows.where("false")) == {}
+def test_language_words_are_exact_and_bounded(spark):
+    rng = random.Random(8)
+    texts = [prose(rng, 300) + " Zwölf 12 x" for _ in range(30)]
+    rows = [(i, "en" if i % 3 else "fr", t) for i, t in enumerate(texts)] + [(99, None, "gone"), (100, "en", None)]
+    labelled = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    want = {}
+    for _, lang, t in rows:
+        for w in language.normalize(t or "").split() if lang else ():
+            want[lang, w] = want.get((lang, w), 0) + 1
+    assert {(r["lang"], r["word"]): r["n"] for r in language.frequent_words(labelled).collect()} == want
+    for size in (60, 300):
+        learned = language.fit(labelled, size)
+        assert set(learned) == {"en", "fr"} and all(len(v) <= size + 2 for v in learned.values())
+        cut = min(want["en", w] for w in learned["en"].decode().split())
+        assert all(w in learned["en"].decode().split() for (lang, w), n in want.items() if lang == "en" and n >= 2 * cut)
+    assert list(language.fit(labelled, languages=1)) == ["en"]
+    assert language.fit(labelled.where("false")) == {}
 
 
 # ---------------------------------------------------------------- licences
