@@ -1,13 +1,17 @@
 """Licence scans: winnowed fingerprints of templates in an inverted index pick candidates, banded alignment confirms.
 
 Words are runs of ASCII letters and digits (A-Z lowered) and of bytes above ASCII. The index maps the fingerprint of
-each GRAM-word run that winnowing keeps to (template, place). A text's own winnowed fingerprints are looked up in it;
-hits of one template on neighbouring diagonals open a candidate, and banded local alignments of the template's words
-with the text's words there report coverage and span, each on words that no other match of the template has taken.
+each GRAM-word run that winnowing keeps to (template, place); templates shorter than GRAM + WINNOW - 1 words, which
+winnowing may miss, are indexed at every place. A text's own winnowed fingerprints are looked up in it: a run of
+GRAM + WINNOW - 1 words in common is sure to give a hit. Hits of one template on neighbouring diagonals open a
+candidate, and banded local alignments (numpy, one row of the band at a time) of the template's words with the text's
+words there report coverage and span, each on words that no other match of the template has taken.
 
 Defined results: texts without a match give no row, and so do null and empty texts; repeated rows give repeated
-matches; an empty table gives none; other columns are ignored. Matches of one template do not overlap. The index is
-built from the parameter `templates` (MOST_TEMPLATE_BYTES at most), so what each task holds does not grow with the data.
+matches; an empty table gives none; other columns, whatever their names, are ignored; a very long text is a step of its
+own. Matches of one template do not overlap; of alignments with equal score that with more matches, then the later start
+is taken; templates match one by one, so a notice within a longer one is reported as well. The index is built from the
+parameter `templates` (MOST_TEMPLATE_BYTES at most), so what each task holds does not grow with the data.
 """
 
 from __future__ import annotations
@@ -33,6 +37,18 @@ TEMPLATES = {
     "apache-notice": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "mit-disclaimer": "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "bsd-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "bsd-third-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "gpl-2-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "cc0-notice": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    "zlib-text": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    "boost-text": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so",
+    "apache-warranty": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "mit-line": "Released under the MIT License",
     "apache-line": "Licensed under the Apache License, Version 2.0",
     "gpl-line": "This work is licensed under the GNU General Public License, version 3",
@@ -69,7 +85,7 @@ class Index:
         self.posts: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for d, x in enumerate(self.words):
             h = gram_hashes(x, min(GRAM, len(x)))
-            for p in range(len(h)):  # every place: the text's own winnowing decides which one meets
+            for p in winnow(h).tolist() if len(x) >= GRAM + WINNOW - 1 else range(len(h)):
                 self.posts[int(h[p])].append((d, p))
         self.keys = np.array(sorted(self.posts), np.uint64)
         brief = {d for d, x in enumerate(self.words) if len(x) < GRAM + WINNOW - 1}
@@ -77,34 +93,41 @@ class Index:
         self.brief = np.array(sorted(k for k, v in self.posts.items() if any(d in brief for d, _ in v)), np.uint64)
 
 
+#: An alignment cell is score, matched words and first word of the text in one integer, compared in this order.
+_MATCHES, _SCORE = 1 << 20, 1 << 36
+
+
 def align(a: np.ndarray, b: np.ndarray, shift: int, band: int, taken: np.ndarray) -> tuple[int, int, int]:
     """(matched words, first and end word of b) of the best local alignment of a with b near b = a + shift; none
-    passes a taken word of b."""
-    best, end = 0, (0, 0)
-    rows: list[dict[int, tuple[int, int, int]]] = [{}]  # column -> (score, matches, first column)
-    for i in range(1, len(a) + 1):
-        low, high = max(1, i + shift - band), min(len(b), i + shift + band)
-        row, above = {}, rows[-1]
-        for j in range(low, high + 1):
-            if taken[j - 1]:
-                continue
-            diagonal = above.get(j - 1, (0, 0, j - 1))
-            same = a[i - 1] == b[j - 1]
-            options = [(diagonal[0] + (2 if same else -1), diagonal[1] + bool(same), diagonal[2])]
-            if j in above:
-                options.append((above[j][0] - 1, *above[j][1:]))
-            if j - 1 in row:
-                options.append((row[j - 1][0] - 1, *row[j - 1][1:]))
-            cell = max(options, key=lambda x: (x[0], x[1], x[2]))
-            if cell[0] > 0:
-                row[j] = cell
-                if cell[0] > best:
-                    best, end = cell[0], (i, j)
-        rows.append(row)
+    passes a taken word of b. A match counts 2, a mismatch or a gap -1."""
+    if not len(b):
+        return 0, 0, 0
+    columns = np.arange(len(b), dtype=np.int64)
+    stretch = np.cumsum(taken & ~np.append(False, taken[:-1]))  # so that a running maximum does not cross taken words
+    above, best, end = np.full(len(b) + 1, -1, np.int64), 0, 0  # above[j + 1] is column j; negative: no cell
+    for i in range(len(a)):
+        low, high = max(0, i + shift - band), min(len(b), i + 1 + shift + band)
+        if low >= high:
+            above = np.full(len(b) + 1, -1, np.int64)
+            continue
+        at = columns[low:high]
+        start = np.where(above[low:high] >= 0, above[low:high], at)
+        cell = np.where(b[low:high] == a[i], start + 2 * _SCORE + _MATCHES, start - _SCORE)
+        cell = np.maximum(cell, np.where(above[low + 1 : high + 1] >= 0, above[low + 1 : high + 1] - _SCORE, -1))
+        cell[taken[low:high] | (cell < _SCORE)] = -1
+        apart = (stretch[low:high] - stretch[low]) << 54
+        slope = (at - low) * _SCORE + apart
+        run = np.maximum.accumulate(np.where(cell >= 0, cell + slope, apart)) - slope
+        cell = np.maximum(cell, np.where(taken[low:high], -1, run))
+        cell[cell < _SCORE] = -1
+        above = np.full(len(b) + 1, -1, np.int64)
+        above[low + 1 : high + 1] = cell
+        k = int(np.argmax(cell // _SCORE))
+        if cell[k] // _SCORE > best // _SCORE:
+            best, end = int(cell[k]), low + k + 1
     if not best:
         return 0, 0, 0
-    _, matches, first = rows[end[0]][end[1]]
-    return matches, first, end[1]
+    return best % _SCORE // _MATCHES, best % _MATCHES, end
 
 
 def scan_text(words: np.ndarray, index: Index) -> list[tuple[str, int, int, int, float]]:

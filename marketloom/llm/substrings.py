@@ -139,7 +139,8 @@ def repeat_levels(repeats: DataFrame, window: int = WINDOW) -> DataFrame:
         twice = level.hint("merge").join(after, ["doc_id", "at"]).select(F.xxhash64("hash", "next").alias("hash"), "doc_id", "at")
         size *= 2
         twice = materialize(twice, f"twice-{size}")
-        level = materialize(with_shared(twice, f"level-{size}").select("hash", "doc_id", "at"), f"level-{size}")
+        again = materialize(shared(twice), f"again-{size}")
+        level = materialize(join_hot(twice, again, "hash", "n", twice.count()).select("hash", "doc_id", "at"), f"level-{size}")
     return out
 
 

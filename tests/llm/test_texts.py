@@ -135,6 +135,50 @@ def test_licenses(spark):
         licenses.Index({"x": "a " * licenses.MOST_TEMPLATE_BYTES})
 
 
+def licenses_brute(words):
+    """(template, matched words, first, end) by full alignment of every template with the whole text, no index, no band."""
+    index, out = licenses.Index(licenses.TEMPLATES), []
+    for name, t in zip(index.names, index.words):
+        taken = [False] * len(words)
+        while True:
+            best, rows = (0, 0, 0, 0), [(0, 0, 0)] * (len(words) + 1)
+            for x in t.tolist():
+                last, rows = rows, [(0, 0, 0)]
+                for j, y in enumerate(words.tolist(), 1):
+                    if taken[j - 1]:
+                        rows.append((0, 0, 0))
+                        continue
+                    s, m, f = last[j - 1] if last[j - 1][0] else (0, 0, j - 1)
+                    options = [(s + (2 if x == y else -1), m + (x == y), f), (last[j][0] - 1, *last[j][1:]), (rows[-1][0] - 1, *rows[-1][1:])]
+                    cell = max(options)
+                    rows.append(cell if cell[0] > 0 else (0, 0, 0))
+                    if rows[-1][0] > best[0]:
+                        best = (*cell, j)
+            if best[1] < licenses.LEAST_COVERAGE * len(t):
+                break
+            out.append((name, best[1], best[2], best[3]))
+            taken[best[2] : best[3]] = [True] * (best[3] - best[2])
+    return sorted(out)
+
+
+def test_licenses_brute_force():
+    import pyarrow as pa
+
+    rng = random.Random(14)
+    index = licenses.Index(licenses.TEMPLATES)
+    names = [n for n in index.names if len(index.words[index.names.index(n)]) < 40]
+    for _ in range(6):
+        parts = []
+        for name in rng.sample(names, 3):
+            w = licenses.TEMPLATES[name].split()
+            for _ in range(rng.randint(0, len(w) // 12)):
+                k = rng.randrange(len(w))
+                w[k : k + 1] = rng.choice([[], ["changed"], [w[k], "more"]])
+            parts += [prose(rng, rng.randint(0, 12)), " ".join(w)]
+        words = licenses.Words(pa.array([" ".join(parts)]), table=licenses._table).hashes
+        assert sorted(x[:4] for x in licenses.scan_text(words, index)) == licenses_brute(words)
+
+
 def test_adjacent_licenses(spark):
     mit = licenses.TEMPLATES["mit-text"]
     line = "Released under the MIT License"
