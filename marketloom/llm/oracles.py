@@ -44,33 +44,24 @@ from s left join c on len(s.s) > 0 and c.s = s.s left join k on k.x = c.rep
 """
 
 SUBSTRINGS = rf"""
-with recursive d as (
+with d as (
     select row_number() over () as rid, doc_id, {_WORDS} as w from documents
 ), x as (
     select rid, doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from d
 ), g as (
     select rid, doc_id, i, md5({_grams(13)}) as h from x window p as (partition by rid order by i)
 ), f as (
-    select h, min(doc_id) as first, max(doc_id) as last from g where h is not null group by h
+    select h, min(doc_id) as first from g where h is not null group by h
 ), hit as (
     select distinct rid, i + k as i from (select g.rid, g.i from g join f on g.h = f.h where g.doc_id > f.first),
         (select unnest(range(0, 13)) as k)
-), lv as (
-    select 13 as size, g.doc_id, g.i, g.h from g join f on g.h = f.h where f.first < f.last
-    union all
-    select size, doc_id, i, h from (
-        select *, min(doc_id) over (partition by h) as first, max(doc_id) over (partition by h) as last from (
-            select 2 * a.size as size, a.doc_id, a.i, md5(a.h || b.h) as h from lv a join lv b on a.doc_id = b.doc_id and b.i = a.i + a.size))
-    where first < last
-), m as (
-    select doc_id, max(size) as size from lv group by doc_id
 ), kept as (
     select x.rid, string_agg(x.word, ' ' order by x.i) as t, count(*) as n
     from x anti join hit on x.rid = hit.rid and x.i = hit.i group by x.rid
 )
 select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(len(d.w) - coalesce(kept.n, 0) as bigint) as n_removed,
-    sha256(coalesce(kept.t, '')) as kept_sha256, cast(coalesce(m.size, 0) as bigint) as longest_repeat
-from d left join kept on d.rid = kept.rid left join m on d.doc_id = m.doc_id
+    sha256(coalesce(kept.t, '')) as kept_sha256
+from d left join kept on d.rid = kept.rid
 """
 
 _BENCH_WORDS = rf"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

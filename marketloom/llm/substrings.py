@@ -1,10 +1,10 @@
 """Substring dedup by level-wise doubling of repeated word windows.
 
-The levels are windows of window, 2 * window, 4 * window ... words. A window of twice the length is tried only where two
-windows that follow each other both start in several documents, and the levels end when none survives; the longest level
-of each document is reported. The first level alone says which words go, since every longer repeat consists of its
-windows. It is reached from half of its length: of the half windows inside each full window the one with the smallest
-hash is chosen, so equal full windows choose equal halves, and full windows are hashed only where their half repeats.
+Windows of half the length come first: of the half windows inside each full window the one with the smallest hash is
+chosen, so equal full windows choose equal halves and a fifth of the halves is shuffled. Halves that occur in one
+document alone are done; only the others are extended to the full window, and full windows that repeat in a document
+with a smaller doc_id are removed. Longer levels change no removal, since every longer repeat consists of full windows;
+`repeat_levels` goes on to twice the length, over and over, until no window survives.
 
 Keys are combined by partial minima before each shuffle, so a passage that a third of all documents share is one row
 per task; keys with very many rows are joined by broadcast (their number has a bound), all others by a shuffle, after a
@@ -106,31 +106,28 @@ def shared(windows: DataFrame) -> DataFrame:
     return ends.where("first_doc < last_doc").select("hash", "first_doc", "n")
 
 
-def with_shared(windows: DataFrame, label: str) -> DataFrame:
-    """The windows that start in two documents or more, with first_doc, the smallest of them."""
-    again = materialize(shared(windows), f"{label}-again")
-    some = materialize(maybe_in(windows, "hash", again), f"{label}-some")
-    return join_hot(some, again, "hash", "n", some.count()).drop("n")
-
-
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """windows(hash, doc_id, at, first_doc) that start in two documents or more; first_doc is the smallest of them.
 
     Half windows are made twice rather than stored: they are the largest intermediate by far."""
     half = window // 2
     one = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    alive = with_shared(half_windows(one, window, half), "halves").groupBy("doc_id").agg(F.collect_list("at").alias("halves"))
+    halves = half_windows(one, window, half)
+    again = materialize(shared(halves), "halves-again")
+    some = materialize(maybe_in(halves, "hash", again), "halves")
+    alive = join_hot(some, again, "hash", "n", some.count()).groupBy("doc_id").agg(F.collect_list("at").alias("halves"))
     alive = materialize(alive, "alive")
     some = maybe_in(one, "doc_id", alive).hint("merge").join(alive, "doc_id")
     full = materialize(full_windows(some.select("doc_id", "text", "halves"), window, half), "windows")
-    return materialize(with_shared(full, "windows"), "repeats")
+    again = materialize(shared(full), "windows-again")
+    return join_hot(full, again, "hash", "n", full.count()).drop("n")
 
 
 def repeat_levels(repeats: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, at, words): every repeated window at each level of window, 2 * window, 4 * window, ... words.
 
     repeats: those of the first level. A level reads the one before it, no text."""
-    level = repeats.select("hash", "doc_id", "at")
+    level = materialize(repeats.select("hash", "doc_id", "at"), f"level-{window}")
     out, size = None, window
     while out is None or not level.isEmpty():
         rows = level.select("doc_id", "at", F.lit(size).alias("words"))
@@ -145,16 +142,13 @@ def repeat_levels(repeats: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256, longest_repeat (words of the longest level that it
-    has a repeated window of; 0 if none), kept_text (words joined by one blank)."""
-    repeats = repeated_windows(docs, window)
-    longest = repeat_levels(repeats, window).groupBy("doc_id").agg(F.max("words").cast("long").alias("longest"))
-    cut = repeats.groupBy("doc_id").agg(F.collect_list(F.when(F.col("doc_id") > F.col("first_doc"), F.col("at"))).alias("cuts"))
-    cut = materialize(cut.hint("merge").join(longest, "doc_id"), "cuts")
+    """One row per document: doc_id, n_words, n_removed, kept_sha256, kept_text (words joined by one blank)."""
+    cut = repeated_windows(docs, window).where("doc_id > first_doc").groupBy("doc_id").agg(F.collect_list("at").alias("cuts"))
+    cut = materialize(cut, "cuts")
     some, other = split_in(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", cut)
-    rows = some.hint("merge").join(cut, "doc_id", "left").select("doc_id", "text", "cuts", "longest")
-    rows = rows.unionByName(other.select("doc_id", "text", F.lit(None).cast("array<int>").alias("cuts"), F.lit(None).cast("long").alias("longest")))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, longest_repeat long, kept_text string"
+    rows = some.hint("merge").join(cut, "doc_id", "left").select("doc_id", "text", "cuts")
+    rows = rows.unionByName(other.select("doc_id", "text", F.lit(None).cast("array<int>").alias("cuts")))
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
     def run(batches):
         for part, col in text_chunks(batches, "text"):
@@ -172,8 +166,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 removed.append(int(counts[d]) - len(i))
                 kept.append(b" ".join(raw[s:e] for s, e in zip(w.starts[i].tolist(), w.ends[i].tolist(), strict=True)))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(counts), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), part.column(3).fill_null(0), pa.array([x.decode() for x in kept], pa.string())],
-                ["doc_id", "n_words", "n_removed", "kept_sha256", "longest_repeat", "kept_text"],
+                [part.column(0), pa.array(counts), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array([x.decode() for x in kept], pa.string())],
+                ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
             )
 
     return map_arrow(rows, run, schema)

@@ -223,7 +223,6 @@ def test_substring_levels_and_edges(spark):
     repeats = substrings.repeated_windows(docs(spark, [long, f"a {long} b", "c d"]))
     levels = {(r["words"], r["n"]) for r in substrings.repeat_levels(repeats).groupBy("words").agg(F.count("*").alias("n")).collect()}
     assert levels == {(13, 2 * 48), (26, 2 * 35), (52, 2 * 9)}
-    assert [r["longest_repeat"] for r in substrings.remove_repeats(docs(spark, [long, f"a {long} b", "c d"])).sort("doc_id").collect()] == [52, 52, 0]
     assert substrings.remove_repeats(docs(spark, [])).count() == 0
     null = substrings.remove_repeats(docs(spark, [long, long], [None, 1])).collect()
     assert {(r["doc_id"], r["n_removed"]) for r in null} == {(None, 0), (1, 0)}
