@@ -393,8 +393,7 @@ def test_slot_without_markup(spark):
     got = {r["page_id"]: r for r in wrappers.extract_main_text(pages(spark, rows).repartition(3)).collect()}
     assert {i: got[i]["text"] for i in range(40)} == want
     assert got[99]["text"] != want[0] and "Buy" in got[99]["text"]
-    withheld = wrappers.learn_wrappers(pages(spark, rows)).where("false")
-    alone = {r["page_id"]: r["text"] for r in wrappers.extract_main_text(pages(spark, rows), withheld).collect()}
+    alone = {r["page_id"]: r["text"] for r in wrappers.extract_main_text(pages(spark, rows), withheld=True).collect()}
     assert all("Buy" in alone[i] for i in range(40))
 
 
@@ -403,7 +402,7 @@ def test_wrappers_alone_decide_given_pages(spark):
     given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     with_markup = {r["page_id"]: r["text"] for r in wrappers.extract_main_text(given).collect()}
     alone = wrappers.extract_main_text(given, markup=False).where("n_template > 0").collect()
-    withheld = wrappers.extract_main_text(given, wrappers.learn_wrappers(given.limit(0)), markup=False).collect()
+    withheld = wrappers.extract_main_text(given, markup=False, withheld=True).collect()
     assert len(alone) > 200 and sum(r["text"] == with_markup[r["page_id"]] for r in alone) >= 0.98 * len(alone)
     assert not any(r["text"] == with_markup[r["page_id"]] for r in withheld if r["text"])
 
@@ -429,7 +428,7 @@ def test_main_text_edges(spark):
     ],
 )
 def test_main_text_cases(html, want):
-    assert wrappers.extract(html, None)[0] == want
+    assert "\n\n".join(wrappers.own_text(html)) == want
 
 
 def test_hosts():
