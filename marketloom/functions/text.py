@@ -11,9 +11,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..plans.bind import half_up, iso_week
 
-__all__ = ["half_up", "iso_week"]
+def iso_week(c) -> Column:
+    return F.concat(F.extract(F.lit("YEAROFWEEK"), c).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(c).cast("string"), 2, "0"))
+
+
+def half_up(c: Column, places: int = 2) -> Column:
+    """Rounding that Spark and SQL agree on: floor(x * 10^places + 0.5) / 10^places."""
+    m = 10**places
+    return F.floor(c * m + 0.5) / F.lit(float(m))
 
 
 def squeeze(c: Column) -> Column:

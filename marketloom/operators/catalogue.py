@@ -85,12 +85,12 @@ def date_range(df: DataFrame) -> DataFrame:
 
 
 def historical_presence(df: DataFrame, keys: list[str], days: int = 7) -> DataFrame:
-    """Short histories are insufficient, a gap up to the catalogue's last date may be a discontinuation, others are current."""
+    """Short or undated histories are insufficient, a gap up to the catalogue's last date may be a discontinuation, others are current."""
     last = df.agg(F.max("last_seen_date").alias("catalogue_last"))
     j = df.crossJoin(F.broadcast(last))  # one row
     span = F.datediff("last_seen_date", "first_seen_date")
     gap = F.datediff("catalogue_last", "last_seen_date")
-    state = T.first_rule([(span < days, "INSUFFICIENT_HISTORY"), (gap >= days, "POSSIBLE_DISCONTINUATION")], "CURRENTLY_OBSERVED")
+    state = T.first_rule([(span.isNull() | (span < days), "INSUFFICIENT_HISTORY"), (gap >= days, "POSSIBLE_DISCONTINUATION")], "CURRENTLY_OBSERVED")
     return j.select(*keys, span.alias("span_days"), gap.alias("gap_days"), state.alias("presence"))
 
 

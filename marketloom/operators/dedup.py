@@ -24,17 +24,32 @@ def coalesced_key(df: DataFrame, *columns: str) -> Column:
     return F.coalesce(*(F.when(F.trim(F.col(c).cast("string")) != "", F.concat(F.lit(f"{i}:"), F.lower(F.trim(F.col(c).cast("string"))))) for i, c in enumerate(columns)))
 
 
+def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The first row of each key by order, with all columns, by partial aggregation."""
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*(c for c in df.columns if c not in keys)), order).alias("_r")).select(*keys, "_r.*")
+
+
 def merge_categories(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """One row per key: sorted distinct categories, first non-blank model, cheapest price, whether any row is on sale."""
+    """One row per key: sorted distinct categories and the first non-blank model."""
     filled = F.when(F.col("model") != "", F.col("model"))
     return df.withColumn("key", key).groupBy("key").agg(
         F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"),
         F.min_by(filled, F.when(filled.isNotNull(), F.col(order))).alias("model"),
-        F.min("price").alias("price"),
-        F.bool_or("is_sale").alias("is_sale"),
     )
 
 
+def merge_offers(df: DataFrame, order: str) -> DataFrame:
+    """One row per sku, else url, else name: prices of the first row in order that has a sale price, regular and sale
+    together (else the first regular price), whether any row is on sale, and the first sku."""
+    key = F.coalesce(F.concat(F.lit("sku:"), "sku"), F.concat(F.lit("url:"), "url"), F.concat(F.lit("name:"), "product_name"))
+    on_sale = F.when(F.col("sale_price").isNotNull(), F.col(order))
+    offer = F.min_by(F.struct("regular_price", "sale_price"), on_sale).alias("offer")
+    plain = F.min_by("regular_price", order).alias("plain")
+    sku = F.min_by("sku", F.when(F.col("sku").isNotNull(), F.col(order))).alias("sku")
+    g = df.withColumn("key", key).groupBy("key").agg(offer, plain, F.bool_or("is_sale").alias("is_sale"), sku)
+    return g.select("key", F.coalesce("offer.regular_price", "plain").alias("regular_price"), "offer.sale_price", "is_sale", "sku")
+
+
 def upsert_seen(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """First and last seen dates after a batch: a union and one aggregation, the same for any batch order."""
     both = stored.select(*keys, "first_seen_date", "last_seen_date").unionByName(
@@ -57,10 +72,12 @@ def get_or_create(stored: DataFrame, incoming: DataFrame, keys: list[str], id_co
     return rows.where("old_id is not null").select(F.col("old_id").alias(id_column), *keys, *values).unionByName(made)
 
 
-def dense_rank_rows(df: DataFrame, keys: list[str], name: str, buckets: int = 64) -> DataFrame:
+def dense_rank_rows(df: DataFrame, keys: list[str], name: str, buckets: int | None = None) -> DataFrame:
     """Adds name: 1, 2, 3, ... one by one, in an order that the keys fix, without a single-partition sort.
 
-    Rows are numbered within buckets of the first key's hash, and buckets start after each other."""
+    Rows are numbered within buckets of the keys' hash (by default 16 for each shuffle partition), and buckets start
+    after each other."""
+    buckets = buckets or 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bucketed = df.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     local = bucketed.withColumn("_n", F.row_number().over(W.partitionBy("_b").orderBy(*keys)))
     sizes = bucketed.groupBy("_b").agg(F.count("*").alias("_size"))
@@ -68,6 +85,21 @@ def dense_rank_rows(df: DataFrame, keys: list[str], name: str, buckets: int = 64
     return local.join(F.broadcast(starts), "_b").withColumn(name, F.col("_start") + F.col("_n")).drop("_b", "_n", "_start")
 
 
+def number_in_order(df: DataFrame, group: str, order: list[str], name: str, buckets: int = 64) -> DataFrame:
+    """Adds name: 1, 2, 3, ... in each group by order, as row_number would, without one task for each group.
+
+    The first order column is cut at its quantiles into buckets that follow each other; rows are numbered in their bucket
+    and start after the rows of the buckets before. At most `buckets` small rows a group are summed to find the starts."""
+    first = F.col(order[0])
+    cuts = df.agg(F.percentile_approx(first, [i / buckets for i in range(1, buckets)]).alias("cuts"))
+    placed = df.crossJoin(F.broadcast(cuts))  # one row
+    placed = placed.withColumn("_b", F.coalesce(F.size(F.filter("cuts", lambda x: x < first)), F.lit(0))).drop("cuts")
+    local = placed.withColumn("_n", F.row_number().over(W.partitionBy(group, "_b").orderBy(*order)))
+    sizes = placed.groupBy(group, "_b").agg(F.count("*").alias("_size"))
+    starts = sizes.withColumn("_start", F.sum("_size").over(W.partitionBy(group).orderBy("_b")) - F.col("_size")).drop("_size")
+    return local.join(starts, [group, "_b"]).withColumn(name, F.col("_start") + F.col("_n")).drop("_b", "_n", "_start")
+
+
 def longest_per_key(df: DataFrame, keys: list[Column], text: str, tie: str) -> DataFrame:
     """The row with the longest text of each key; the smallest tie column decides."""
     named = df.withColumns({f"_k{i}": k for i, k in enumerate(keys)})

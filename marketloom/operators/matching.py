@@ -2,89 +2,164 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-FEATURES = ["btu", "litres", "burners", "inverter", "installation", "width_cm", "inches"]
-#: A conflict in one of these rules a pair out; the others only count against a match.
-HARD = ["btu", "inverter", "burners", "installation", "inches"]
-#: Families in which a single matching feature decides.
-DECISIVE = ["air conditioner", "television", "cooker"]
+FEATURES = ["btu", "litres", "burners", "inverter", "installation", "width_cm", "tv_inches"]
+#: A conflict in one of these features rules a pair out; litres and width only fail to support it.
+HARD = {
+    "btu": "BTU_CAPACITY_CONFLICT",
+    "inverter": "INVERTER_CONFIGURATION_CONFLICT",
+    "burners": "BURNER_COUNT_CONFLICT",
+    "installation": "INSTALLATION_CONFIGURATION_CONFLICT",
+    "tv_inches": "TV_SCREEN_SIZE_CONFLICT",
+}
+#: Product families with their terms; the first family with a term in the text is taken.
+FAMILIES = {
+    "AIR_CONDITIONER": ["air conditioner", "air conditioning", "split ac", "split air", "inverter ac"],
+    "OVEN": ["oven"],
+    "COOKER_STOVE": ["cooker", "stove", "gas burner"],
+    "REFRIGERATOR": ["refrigerator", "fridge", "double door", "side by side", "top mount", "bottom mount", "freezer"],
+    "TV": ["television", "smart tv", "android tv", "qled", "oled", "led tv", "tv "],
+    "WASHING_MACHINE": ["washing machine", "washer"],
+    "MICROWAVE": ["microwave"],
+    "BLENDER": ["blender"],
+    "AIR_FRYER": ["air fryer"],
+    "KETTLE": ["kettle"],
+}
+#: Families in which one matching feature decides, sub-categories in which width alone does not count.
+DECISIVE = ["AIR_CONDITIONER", "REFRIGERATOR", "TV", "WASHING_MACHINE", "COOKER_STOVE"]
+WIDTH_ALONE = ["built-in ovens", "cooker hoods"]
+#: Words that say nothing about a product.
+STOP_WORDS = "mika bruhm haier the and with for new model series black white silver stainless steel appliance appliances".split()
+#: Sizes that stand for a feature.
+BTU_THOUSANDS, WIDTHS = "9|12|18|24", "50|55|60|70|75|80|90"
+INCHES = "24|32|40|42|43|50|55|58|60|65|70|75|85|86|98"
+
+
+def plain_text(*parts: Column) -> Column:
+    """Parts in lower case, separators as blanks, one blank between words."""
+    text = F.translate(F.lower(F.concat_ws(" ", *parts)), "-_/,()", "      ")
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
 def block_pairs(df: DataFrame, own: str, keys: tuple[str, ...] = ("category", "sub_category")) -> DataFrame:
-    """Own and competitor rows of one block as structs own and other; an equi-join on the block key."""
+    """Own and competitor rows of one block as structs own and other, an equi-join on the block key. df should hold
+    what the pairs need and no more."""
     a = df.where(F.col("brand") == own).select(*keys, F.struct(*df.columns).alias("own"))
     b = df.where(F.col("brand") != own).select(*keys, F.struct(*df.columns).alias("other"))
     return a.join(b, list(keys))
 
 
-def token_jaccard(a: Column, b: Column, stop: list[str], least: int = 3) -> Column:
-    """Shared share of name tokens of some length outside a stop list; null if neither side has one."""
-    tokens = lambda c: F.filter(T.name_tokens(c), lambda t: (F.length(t) >= least) & ~t.isin(*stop))
-    x, y = tokens(a), tokens(b)
-    both = F.size(F.array_union(x, y))
-    return F.when(both > 0, F.size(F.array_intersect(x, y)) / both)
+def telling_tokens(c: Column, stop: list[str], least: int = 3) -> Column:
+    """Distinct words of some length outside a stop list."""
+    return F.array_distinct(F.filter(F.split(plain_text(c), " "), lambda t: (F.length(t) >= least) & ~t.isin(*stop)))
+
 
+def token_jaccard(x: Column, y: Column) -> Column:
+    """Shared share of two token arrays; 0 if one has none."""
+    both = F.size(F.array_intersect(x, y))
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), both / (F.size(x) + F.size(y) - both)).otherwise(F.lit(0.0))
 
-def product_features(c: Column) -> Column:
-    """struct of btu, litres (largest of 20-1000), burners, inverter, installation, width_cm, inches; null where not named."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    num = lambda p: F.regexp_extract(F.replace(low, F.lit(","), F.lit("")), p, 1).try_cast("int")
-    litres = F.filter(F.transform(F.regexp_extract_all(low, F.lit(r"(\d+) ?(?:l|ltr|ltrs|litre|litres|liters)\b"), F.lit(1)), lambda x: x.try_cast("int")), lambda v: v.between(20, 1000))
-    inverter = F.when(low.rlike("non[ -]?inverter"), "non-inverter").when(F.contains(low, F.lit("inverter")), "inverter")
-    installed = F.when(low.rlike("built[ -]?in"), "built-in").when(low.rlike("free[ -]?standing"), "free-standing")
-    return F.struct(num(r"(\d{4,6}) ?btu").alias("btu"), F.array_max(litres).alias("litres"), num(r"(\d) ?(?:burner|gas)").alias("burners"), inverter.alias("inverter"),
-                    installed.alias("installation"), num(r"(\d{2,3}) ?cm\b").alias("width_cm"), num(r"(\d{2,3}) ?(?:inch|\")").alias("inches"))
 
+def product_features(text: Column) -> Column:
+    """struct of FEATURES from plain text, null where not named: BTU as thousands or written out, the largest litres from
+    20 to 1000, two to six burners, inverter or not, installation, a usual width, a usual screen size."""
+    num = lambda p: F.regexp_extract(text, p, 1).try_cast("int")
+    btu = F.coalesce(
+        num(rf"\b({BTU_THOUSANDS})\s*k\s*(?:btu)?\b") * 1000,
+        num(rf"\b((?:{BTU_THOUSANDS})000)\s*btu\b"),
+        num(rf"\b({BTU_THOUSANDS})\s*000\s*btu\b") * 1000,
+    )
+    litres = F.regexp_extract_all(text, F.lit(r"\b(\d{2,4})\s*(?:litres?|liters?|lt|l)\b"), F.lit(1))
+    litres = F.filter(F.transform(litres, lambda x: x.try_cast("int")), lambda v: v.between(20, 1000))
+    inverter = F.when(F.contains(text, F.lit("non inverter")), "NON_INVERTER").when(text.rlike(r"\binverter\b"), "INVERTER")
+    installed = F.when(F.contains(text, F.lit("built in")), "BUILT_IN").when(text.rlike("free ?standing"), "FREESTANDING")
+    return F.struct(
+        btu.alias("btu"),
+        F.array_max(litres).alias("litres"),
+        F.coalesce(num(r"\b([2-6])\s*gas\s*burner"), num(r"\b([2-6])\s*burners?\b")).alias("burners"),
+        inverter.alias("inverter"),
+        installed.alias("installation"),
+        num(rf"\b({WIDTHS})\s*cm\b").alias("width_cm"),
+        num(rf"\b({INCHES})\s*(?:inch|inches|in\b|\")").alias("tv_inches"),
+    )
 
-def product_family(c: Column) -> Column:
-    """First family whose term the text has."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    terms = [("air condition", "air conditioner"), ("btu", "air conditioner"), ("television", "television"), (" tv", "television"), ("refrigerator", "refrigerator"), ("fridge", "refrigerator"),
-             ("freezer", "freezer"), ("washing", "washing machine"), ("washer", "washing machine"), ("microwave", "microwave"), ("cooker", "cooker"), ("oven", "oven"), ("hob", "hob")]
-    return T.first_rule([(F.contains(low, F.lit(t)), f) for t, f in terms]).cast("string")
+
+def product_family(text: Column) -> Column:
+    """First family with a term in plain text of category, sub-category and name."""
+    return T.first_rule([(T.contains_any(text, terms), f) for f, terms in FAMILIES.items()]).cast("string")
 
 
 def compare_features(a: Column, b: Column) -> Column:
     """struct of UNKNOWN, MATCH or CONFLICT for each feature."""
-    one = lambda f: F.when(a[f].isNull() | b[f].isNull(), "UNKNOWN").when(a[f].cast("string") == b[f].cast("string"), "MATCH").otherwise("CONFLICT").alias(f)
+    one = lambda f: F.when(a[f].isNull() | b[f].isNull(), "UNKNOWN").when(a[f] == b[f], "MATCH").otherwise("CONFLICT").alias(f)
     return F.struct(*map(one, FEATURES))
 
 
 def brand_conflict(text: Column, brand: Column, brands: list[str]) -> Column:
-    """Other known brands that a row's text names, sorted."""
-    low = F.lower(text)
-    found = F.array(*(F.when(F.contains(low, F.lit(b.lower())) & (F.lower(brand) != b.lower()), F.lit(b)) for b in brands))
-    return F.array_sort(F.array_compact(found))
-
-
-def assess_pairs(pairs: DataFrame, brands: list[str]) -> DataFrame:
-    """Match level of each block pair with own, other: precedence of hard conflict, named other brand, family
-    mismatch, width as the only match, two matches, one match in a decisive family, known families, none."""
-    p = pairs.withColumns({"fa": product_features(F.col("own.item_name")), "fb": product_features(F.col("other.item_name")),
-                           "family_a": product_family(F.col("own.item_name")), "family_b": product_family(F.col("other.item_name"))})
-    p = p.withColumn("features", compare_features(F.col("fa"), F.col("fb")))
-    count = lambda v: sum((F.when(F.col(f"features.{f}") == v, 1).otherwise(0) for f in FEATURES), F.lit(0))
-    hard = F.array_compact(F.array(*(F.when(F.col(f"features.{f}") == "CONFLICT", F.lit(f)) for f in HARD), F.when(F.col("family_a") != F.col("family_b"), "family")))
-    named = brand_conflict(F.col("other.item_name"), F.col("other.brand"), brands)
-    p = p.withColumns({"matches": count("MATCH"), "hard": hard, "brand_conflicts": named})
-    known = F.col("family_a").isNotNull() & F.col("family_b").isNotNull()
-    width_only = (F.col("matches") == 1) & (F.col("features.width_cm") == "MATCH")
+    """Other known brands that a row's plain text names as a word, sorted."""
+    named = lambda b: text.rlike(rf"\b{re.escape(b.lower())}\b") & (F.upper(F.trim(brand)) != b.upper())
+    return F.array_sort(F.array_compact(F.array(*(F.when(named(b), F.lit(b)) for b in brands)).cast("array<string>")))
+
+
+def profile(df: DataFrame, brands: list[str], keep: list[str], keys: tuple[str, ...]) -> DataFrame:
+    """What a pair needs of each product, computed once: keys, brand, kept columns, features, family, conflicts, tokens."""
+    scope = F.col("product_scope") if "product_scope" in df.columns else F.lit("")
+    text = plain_text(F.col("item_name"), F.col("category"), F.col("sub_category"), scope)
+    return df.select(
+        *keys, "brand", *(c for c in keep if c not in (*keys, "brand")),
+        product_features(text).alias("features"),
+        product_family(plain_text(F.col("category"), F.col("sub_category"), F.col("item_name"))).alias("family"),
+        (F.size(brand_conflict(plain_text(F.col("item_name"), scope), F.col("brand"), brands)) > 0).alias("brand_conflict"),
+        telling_tokens(F.col("item_name"), STOP_WORDS).alias("tokens"),
+    )
+
+
+def assess_pairs(df: DataFrame, own: str, brands: list[str], keep: list[str], keys: tuple[str, ...] = ("category", "sub_category")) -> DataFrame:
+    """Match level of each block pair, with own, other (keep and profile), features, hard, matches and name_score.
+
+    Precedence: hard conflict, another brand named on either side, width alone where it does not count, two matches,
+    one match in a decisive family, known families, none."""
+    p = block_pairs(profile(df, brands, keep, keys), own, keys)
+    p = p.withColumn("features", compare_features(F.col("own.features"), F.col("other.features")))
+    one, two = F.col("own.family"), F.col("other.family")
+    family = F.when(one != two, F.concat(F.lit("PRODUCT_FAMILY_CONFLICT:"), one, F.lit("!="), two))
+    conflicts = (F.when(F.col(f"features.{f}") == "CONFLICT", F.lit(reason)) for f, reason in HARD.items())
+    matched = lambda fs: sum((F.when(F.col(f"features.{f}") == "MATCH", 1).otherwise(0) for f in fs), F.lit(0))
+    p = p.withColumns({
+        "hard": F.array_compact(F.array(family, *conflicts)),
+        "matches": matched(FEATURES),
+        "name_score": token_jaccard(F.col("own.tokens"), F.col("other.tokens")),
+    })
+    narrow = F.lower(F.trim("own.sub_category")).isin(*WIDTH_ALONE) if "sub_category" in keys else F.lit(False)
+    width_alone = narrow & (F.col("features.width_cm") == "MATCH") & (F.col("matches") == 1)
     level = T.first_rule([
-        (F.size("hard") > 0, "NO_DEFENSIBLE_MATCH"), (F.size("brand_conflicts") > 0, "NO_DEFENSIBLE_MATCH"), (known & (F.col("family_a") != F.col("family_b")), "NO_DEFENSIBLE_MATCH"),
-        (width_only, "TYPE_ONLY"), (F.col("matches") >= 2, "STRONG_COMPARABLE"), ((F.col("matches") >= 1) & F.col("family_a").isin(*DECISIVE), "COMPARABLE"), (known, "TYPE_ONLY"),
+        (F.size("hard") > 0, "NO_DEFENSIBLE_MATCH"),
+        (F.col("own.brand_conflict") | F.col("other.brand_conflict"), "NO_DEFENSIBLE_MATCH"),
+        (width_alone, "TYPE_ONLY"),
+        (F.col("matches") >= 2, "STRONG_COMPARABLE"),
+        ((F.col("matches") >= 1) & F.coalesce(one.isin(*DECISIVE), F.lit(False)), "COMPARABLE"),
+        (one.isNotNull() & two.isNotNull(), "TYPE_ONLY"),
     ], "NO_DEFENSIBLE_MATCH")
     return p.withColumn("match_level", level)
 
 
-LEVELS = {"STRONG_COMPARABLE": 3, "COMPARABLE": 2, "TYPE_ONLY": 1, "NO_DEFENSIBLE_MATCH": 0}
+LEVELS = {"STRONG_COMPARABLE": 4, "COMPARABLE": 3, "TYPE_ONLY": 2, "NO_DEFENSIBLE_MATCH": 1}
+
 
+def best_candidates(assessed: DataFrame) -> DataFrame:
+    """(own_id, best_id, best_level) of the valid candidates: level, technical matches, name score, smallest id.
 
-def level_rank(c: Column) -> Column:
-    return T.first_rule([(c == k, v) for k, v in LEVELS.items()], 0)
+    One partial maximum by product, no sort of its candidates."""
+    level = T.first_rule([(F.col("match_level") == k, v) for k, v in LEVELS.items()], 0)
+    order = F.struct(level.alias("level"), "matches", "name_score", (-F.col("other_id")).alias("id"), "match_level")
+    best = assessed.where("match_level <> 'NO_DEFENSIBLE_MATCH'").groupBy("own_id").agg(F.max(order).alias("b"))
+    return best.select("own_id", (-F.col("b.id")).alias("best_id"), F.col("b.match_level").alias("best_level"))
 
 
 #: Price statuses that a comparison may use; of these, the promotional ones compare with each other only.
@@ -105,11 +180,17 @@ def price_positioning(df: DataFrame) -> DataFrame:
 
 
 def evidence_verdict(regular: Column, sale: Column, every: Column, source: Column) -> Column:
-    """Verdict from the distinct regular, sale and all prices seen at a source of some type."""
+    """Price status from the distinct regular, sale and all prices seen at a source; the type of an official source ends
+    in _OFFICIAL. A sale price goes before a regular one, then a single price of any kind."""
+    official = F.endswith(source, F.lit("_OFFICIAL"))
+    pick = lambda a, b: F.when(official, a).otherwise(b)
+    promotional = pick("VERIFIED_OFFICIAL_SALE", "VERIFIED_RETAIL_PROMOTIONAL_PRICE")
+    plain = pick("VERIFIED_OFFICIAL_PRICE", "VERIFIED_RETAIL_PRICE")
     return T.first_rule([
-        (F.size(every) == 0, "PRICE_NOT_EXPOSED"), ((F.size(regular) == 1) & (F.size(sale) == 1), "VERIFIED_PROMOTIONAL"),
-        ((F.size(every) == 1) & (source == "OFFICIAL"), "VERIFIED_OFFICIAL"), (F.size(every) == 1, "VERIFIED_RETAIL"),
-    ], "MULTIPLE_PRICES")
+        ((F.size(sale) == 1) & (F.size(regular) <= 1), promotional), ((F.size(regular) == 1) & (F.size(sale) == 0), plain),
+        (F.size(every) == 1, plain), (F.size(every) > 1, "MULTIPLE_PRICE_CANDIDATES"),
+        (official, "PRICE_NOT_EXPOSED_OFFICIAL_SOURCE"),
+    ], "PRICE_NOT_FOUND")
 
 
 def one_price(df: DataFrame, key: str) -> DataFrame:
@@ -124,11 +205,3 @@ def two_sides(df: DataFrame, keep: list[str], sides: dict[str, list[str]], field
     """A long table with one row for each comparison and side."""
     rows = F.array(*(F.struct(F.lit(s).alias("side"), *(F.col(c).alias(f) for c, f in zip(cols, fields, strict=True))) for s, cols in sides.items()))
     return df.select(*keep, F.explode(rows).alias("r")).select(*keep, "r.*")
-
-
-def best_and_rest(assessed: DataFrame) -> DataFrame:
-    """Candidates ranked within their own product: level, matches, name score, then the competitor's id."""
-    from .prices import top_per_group
-
-    order = [F.desc("rank_level"), F.desc("matches"), F.desc("score"), "other_id"]
-    return top_per_group(assessed, ["own_id"], order, 1 << 30)

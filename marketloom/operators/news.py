@@ -31,30 +31,68 @@ def attribute(df: DataFrame, entities: list[str]) -> DataFrame:
     return df.withColumn("entity", T.first_rule(place("headline") + place("body")).cast("string"))
 
 
-def news_type(c: Column, rules: list[tuple[str, list[str]]], otherwise: str = "industry") -> Column:
-    """Ordered types, the first with a term in the subject text."""
-    return T.first_rule([(c.rlike("|".join(T.word(t) for t in terms)), k) for k, terms in rules], otherwise)
-
-
-def scope(entities: Column, topics: Column, relevant: Column) -> Column:
-    """struct(status, reason)."""
+#: Words that tell what an article is about.
+PARTNERSHIP = ["partnership", "partnerships", "partner", "partners", "collaboration", "collaborates", "alliance", "joint venture", "strategic partnership"]
+DISTRIBUTION = [
+    "distributor", "distribution", "retailer", "retail partner", "marketplace", "digital store", "online store", "e-commerce", "ecommerce", "direct to consumer",
+    "direct-to-consumer", "outlet", "sales channel", "distribution channel",
+]
+EXPANSION = [
+    "expands", "expanded", "expansion", "new store", "new outlet", "new showroom", "new facility", "new plant", "factory", "assembly plant", "local assembly",
+    "manufacturing plant", "enters", "entered", "new market", "footprint",
+]
+COMPANY = [
+    "launch", "launches", "launched", "introduces", "introduced", "unveils", "unveiled", "expands", "expansion", "partnership", "partners", "investment", "assembly",
+    "manufacturing", "factory", "store", "showroom", "roadshow", "campaign", "promotion", "sale", "discount", "price", "pricing", "service", "digital store",
+    "direct to consumer", "local plant", "local assembly", "new facility", "new outlet", "opens", "opened", "opening", "rolls out", "rolled out", "introducing",
+]
+MARKET = [
+    "market", "industry", "demand", "consumers", "consumer demand", "retail", "sales", "homes", "households", "electrification", "investment", "manufacturing",
+    "technology", "adoption", "growth",
+]
+#: Types in order of precedence: name, words (None: any text), whether a tracked entity must be named.
+TYPES = [
+    ("PARTNERSHIP", PARTNERSHIP, True), ("DISTRIBUTION", DISTRIBUTION, True), ("EXPANSION", EXPANSION, True), ("COMPANY_DEVELOPMENT", COMPANY, True),
+    ("MARKET_DEVELOPMENT", MARKET, False), ("COMPANY_DEVELOPMENT", None, True),
+]
+
+
+def subject_text(title: Column, body: Column, lead: int = 800) -> Column:
+    """The headline and the opening characters of the body, normalised."""
+    clean = lambda c: T.squeeze(F.translate(F.lower(F.coalesce(c, F.lit(""))), "\u2019\u2018\u201c\u201d\u2013\u2014", "''\"\"--"))
+    return F.trim(F.concat_ws(" ", clean(title), F.substring(clean(body), 1, lead)))
+
+
+def news_type(subject: Column, entities: Column, types: list[tuple[str, list[str] | None, bool]] = TYPES, otherwise: str = "INDUSTRY_NEWS") -> Column:
+    """The first type whose words the subject text has and whose entity condition holds."""
+    words = lambda terms: subject.rlike("|".join(T.word(t) for t in terms)) if terms else F.lit(True)
+    return T.first_rule([((F.size(entities) > 0) & words(w) if named else words(w), k) for k, w, named in types], otherwise)
+
+
+def scope(entities: Column, products: Column, local: Column, kind: Column) -> Column:
+    """struct(status, reason) from the tracked entities, products and local terms of an article and its type."""
     make = lambda s, r: F.struct(F.lit(s).alias("status"), F.lit(r).alias("reason"))
+    some = lambda c: F.size(c) > 0
     return (
-        F.when((F.size(entities) > 0) & (F.size(topics) > 0), make("IN", "entity and topic"))
-        .when(F.size(entities) > 0, make("REVIEW", "entity without topic"))
-        .when((F.size(topics) > 0) & relevant, make("REVIEW", "topic without entity"))
-        .otherwise(make("OUT", "no market evidence"))
+        F.when(some(entities) & (some(local) | some(products)), make("IN_SCOPE", "TRACKED_ENTITY_WITH_MARKET_ACTIVITY"))
+        .when(some(entities), make("IN_SCOPE", "TRACKED_ENTITY"))
+        .when(some(products) & some(local), make("IN_SCOPE", "LOCAL_PRODUCT_MARKET"))
+        .when((kind == "MARKET_DEVELOPMENT") & some(local), make("REVIEW", "LOCAL_MARKET_NO_PRODUCT_SIGNAL"))
+        .when(some(local), make("REVIEW", "LOCAL_REFERENCE_REQUIRES_MARKET_RELEVANCE_REVIEW"))
+        .otherwise(make("OUT_OF_SCOPE", "NO_RELEVANT_MARKET_SIGNAL"))
     )
 
 
-def confidence(title: Column, body: Column, dated: Column, url: Column, entities: Column, topics: Column) -> Column:
-    """HIGH, MEDIUM or LOW from summed evidence terms."""
-    n = F.length(body)
-    points = (
-        F.when(F.length(title) >= 20, 1).otherwise(0) + F.when(n >= 1500, 3).when(n >= 600, 2).when(n >= 200, 1).otherwise(0)
-        + F.when(dated, 1).otherwise(0) + F.when(url, 1).otherwise(0) + F.when(F.size(entities) > 0, 2).otherwise(0) + F.when(F.size(topics) > 0, 1).otherwise(0)
-    )
-    return T.first_rule([(points >= 7, "HIGH"), (points >= 4, "MEDIUM")], "LOW")
+def confidence(title: Column, body: Column, dated: Column, url: Column, entities: Column, products: Column, status: Column) -> Column:
+    """HIGH, MEDIUM or LOW from summed evidence; HIGH also needs a body, a web address, an entity or product, and scope."""
+    one = lambda c, n=1: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0)
+    n, web = F.length(F.coalesce(body, F.lit(""))), F.coalesce(F.lower(url).rlike("^https?://"), F.lit(False))
+    named, shown = F.size(entities) > 0, F.size(products) > 0
+    size = F.when(n >= 1000, 2).when(n >= 500, 1).otherwise(0)
+    scoped = F.when(status == "IN_SCOPE", 1).when(status == "REVIEW", -1).otherwise(0)
+    points = one(F.trim(title) != "") + size + one(dated) + one(web) + one(named, 2) + one(shown) + scoped
+    high = (points >= 9) & (n >= 500) & web & (named | shown) & (status == "IN_SCOPE")
+    return T.first_rule([(high, "HIGH"), (points >= 6, "MEDIUM")], "LOW")
 
 
 def text_quality(c: Column) -> Column:

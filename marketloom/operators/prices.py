@@ -70,20 +70,19 @@ def top_per_group(df: DataFrame, keys: list[str], order: list, k: int) -> DataFr
 def overlapping_campaigns(movements: DataFrame, campaigns: DataFrame) -> DataFrame:
     """Movement and campaign pairs, whoever runs the campaign, where either movement date lies in the campaign interval.
 
-    Open sides are clipped to the movements' first and last day (a scalar subquery), so every interval is exploded into
-    its days and met by equality on day: no nested loop. Pairs that meet on both dates count once; a campaign without
-    any date meets nothing.
+    Open sides are clipped to the movements' first and last day (a scalar subquery). Intervals are exploded into months
+    and meet by equality on month, then by date: no nested loop. A pair that meets on both dates comes from the later
+    one alone, so pairs need no distinct; a campaign without any date meets nothing.
     """
-    m = movements.withColumn("day", F.explode(F.array_distinct(F.array("previous_date", "observed_date"))))
+    month = lambda c: F.year(c) * 12 + F.month(c)
+    roles = F.array(F.struct(F.lit(True).alias("later"), F.col("observed_date").alias("on")), F.struct(F.lit(False).alias("later"), F.col("previous_date").alias("on")))
+    m = movements.withColumn("_r", F.explode(roles)).select(*movements.columns, "_r.later", "_r.on", month(F.col("_r.on")).alias("_month"))
     first = movements.agg(F.least(F.min("previous_date"), F.min("observed_date"))).scalar()
     last = movements.agg(F.greatest(F.max("previous_date"), F.max("observed_date"))).scalar()
-    keep = ["campaign_id", "campaign_competitor", "start_date", "end_date"]
+    keep = ["campaign_id", "campaign_competitor", *(c for c in ["campaign_name"] if c in campaigns.columns), "start_date", "end_date"]
     c = campaigns.withColumnRenamed("competitor_id", "campaign_competitor").select(*keep).where("start_date is not null or end_date is not null")
     c = c.withColumns({"_first": F.greatest("start_date", first), "_last": F.least("end_date", last)}).where("_first <= _last")
-    by_day = c.withColumn("day", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
-    return m.join(by_day, "day").drop("day").distinct()
-
-
-def concurrent_campaigns(movements: DataFrame, campaigns: DataFrame) -> DataFrame:
-    """The overlapping pairs whose campaign is run by the movement's own competitor."""
-    return overlapping_campaigns(movements, campaigns).where("competitor_id = campaign_competitor")
+    by_month = c.withColumn("_month", F.explode(F.sequence(month(F.col("_first")), month(F.col("_last")))))
+    within = lambda d: F.col(d).between(F.col("_first"), F.col("_last"))
+    pairs = m.join(by_month, "_month").where(within("on") & (F.col("later") | ~within("observed_date")))
+    return pairs.drop("later", "on", "_month", "_first", "_last")

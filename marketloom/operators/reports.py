@@ -79,9 +79,25 @@ def longest_alias(c: Column, aliases: dict[str, str]) -> Column:
     return F.array_max(hits)["name"]
 
 
-def needs_research(question: Column, evidence: Column) -> Column:
-    """More evidence is needed without internal rows, or for questions about now."""
-    return (evidence == 0) | T.contains_any(F.lower(question), ["latest", "today", "current", "news"])
+#: Wordings that ask for research outside, and intents without an internal answer.
+ASKS_FOR_WEB = [
+    "search the web", "search online", "search the internet", "look online", "look it up online", "check online", "check the web", "check the internet", "web research",
+    "external research", "online research", "what is online", "according to the web", "according to online sources",
+]
+NO_INTENT = ["", "UNKNOWN", "UNSUPPORTED", "GENERAL", "INTERNAL_ERROR"]
+
+
+def needs_research(question: Column, intent: Column, answer: Column, evidence: Column, confidence: Column) -> Column:
+    """Research outside is needed if the question asks for it, if no intent or answer was found, or if an answer without
+    evidence rows is not of high confidence. Words such as latest or market alone never call for it."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    return (
+        F.when(T.contains_any(F.lower(blank(question)), ASKS_FOR_WEB), True)
+        .when(F.upper(blank(intent)).isin(*NO_INTENT), True)
+        .when(blank(answer) == "", True)
+        .when(F.coalesce(evidence, F.lit(0)) > 0, False)
+        .otherwise(F.upper(blank(confidence)).isin("LOW", "MEDIUM"))
+    )
 
 
 def answer_rows(routed: DataFrame, evidence: DataFrame) -> DataFrame:

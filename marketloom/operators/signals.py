@@ -80,9 +80,11 @@ def price_signals(movements: DataFrame, ambiguous: DataFrame) -> DataFrame:
 
 
 def brand_trends(movements: DataFrame, least: int = 2) -> DataFrame:
-    way = F.when(F.col("pct") > 0, "UP").otherwise("DOWN")
+    """Brands of which several products moved the same way."""
+    way = F.when(F.col("pct") > 0, "increase").otherwise("decrease")
     g = movements.groupBy("id_brand", way.alias("direction")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return _signal(g, "BRAND_PRICE_TREND", F.col("id_brand"), F.concat(F.col("id_brand"), F.lit(" prices "), F.lower("direction")), F.col("n"), F.lit("MEDIUM"))
+    title = F.concat("id_brand", F.lit(" multi-product price "), "direction", F.lit(" trend"))
+    return _signal(g, "BRAND_PRICE_TREND", F.col("id_brand"), title, F.col("n"), F.lit("HIGH"))
 
 
 def market_wide(movements: DataFrame, brands: int = 3, least: int = 3) -> DataFrame:
@@ -91,23 +93,29 @@ def market_wide(movements: DataFrame, brands: int = 3, least: int = 3) -> DataFr
 
 
 def campaign_signals(campaigns: DataFrame) -> DataFrame:
-    """Activity per competitor, several competitors at once, and the category with most campaigns."""
-    sure = F.when(F.bool_and(F.col("confidence") == "HIGH"), "HIGH").otherwise("MEDIUM").alias("c")
-    one = campaigns.groupBy("competitor_id").agg(F.count("*").alias("n"), sure)
-    a = _signal(one, "CAMPAIGN_ACTIVITY", F.col("competitor_id"), F.concat(F.col("n").cast("string"), F.lit(" campaigns")), F.col("n"), F.col("c"))
-    every = campaigns.agg(F.count_distinct("competitor_id").alias("n"), sure).where("n >= 2")
-    b = _signal(every, "MULTI_COMPETITOR", F.lit("market"), F.concat(F.col("n").cast("string"), F.lit(" competitors")), F.col("n"), F.col("c"))
-    top = campaigns.groupBy("category").agg(F.count("*").alias("n"), F.min("campaign_id").alias("first"), sure).orderBy(F.desc("n"), "first").limit(1)
-    return a.unionByName(b).unionByName(_signal(top, "CATEGORY_CONCENTRATION", F.col("category"), F.concat(F.col("category"), F.lit(" leads")), F.col("n"), F.col("c")))
+    """Activity at all, activity of several competitors, and the category with most campaigns (the first seen of equals);
+    HIGH only if all campaigns are."""
+    sure = F.when(F.bool_and(F.coalesce(F.upper("confidence") == "HIGH", F.lit(False))), "HIGH").otherwise("MEDIUM").alias("c")
+    named = campaigns.withColumn("category", F.coalesce("category", F.lit("UNSPECIFIED")))
+    every = named.agg(F.count("*").alias("n"), F.count_distinct("competitor_id").alias("competitors"), sure)
+    a = _signal(every.where("n > 0"), "CAMPAIGN_ACTIVITY", F.lit(None), F.lit("Verified competitor campaign activity"), F.col("n"), F.col("c"))
+    b = _signal(every.where("competitors >= 2"), "MULTI_COMPETITOR_CAMPAIGN", F.lit(None), F.lit("Multi-competitor campaign activity"), F.col("n"), F.col("c"))
+    top = named.groupBy("category").agg(F.count("*").alias("n"), F.min("campaign_id").alias("first")).orderBy(F.desc("n"), "first").limit(1)
+    title = F.concat(F.lit("Campaign activity concentrated in "), "category")
+    return a.unionByName(b).unionByName(_signal(top, "CAMPAIGN_CATEGORY_CONCENTRATION", F.col("category"), title, F.col("n"), every.select("c").scalar()))
 
 
 def catalogue_signals(summary: DataFrame) -> DataFrame:
-    return _signal(summary.where("persistent > 0"), "CATALOGUE_PERSISTENCE", F.col("brand"), F.concat(F.col("persistent").cast("string"), F.lit(" persistent products")), F.col("persistent"), F.lit("MEDIUM"))
+    title = F.concat("brand", F.lit(" catalogue persistence"))
+    return _signal(summary.where("persistent > 0"), "CATALOGUE_PERSISTENCE", F.col("brand"), title, F.col("persistent"), F.lit("HIGH"))
 
 
-def concurrency_signals(pairs: DataFrame) -> DataFrame:
-    title = F.concat(F.col("id_model"), F.lit(" with campaign "), F.col("campaign_id").cast("string"))
-    return _signal(pairs, "PRICE_CAMPAIGN_CONCURRENCY", F.col("competitor_id"), title, F.lit(2), F.lit("LOW"))
+def concurrency_signals(pairs: DataFrame, competitors: DataFrame) -> DataFrame:
+    """One signal per campaign owner, title and movement dates of the overlapping pairs."""
+    owners = competitors.select(F.col("competitor_id").alias("campaign_competitor"), "competitor_name")
+    title = F.concat_ws(" ", "id_brand", "id_model", F.lit("and"), "competitor_name", "campaign_name", F.lit("date overlap")).alias("title")
+    once = pairs.join(owners, "campaign_competitor").select("competitor_name", title, "previous_date", "observed_date").distinct()
+    return _signal(once, "PRICE_CAMPAIGN_CONCURRENCY", F.col("competitor_name"), F.col("title"), F.lit(2), F.lit("MEDIUM"))
 
 
 def facts(df: DataFrame, dimension: str, metrics: list[str]) -> DataFrame:
@@ -125,24 +133,25 @@ def price_alerts(movements: DataFrame) -> DataFrame:
 
 
 def campaign_alerts(campaigns: DataFrame) -> DataFrame:
+    """Verified campaigns that run or will run, always of medium priority."""
     live = campaigns.where("verification_status = 'VERIFIED' and status in ('active', 'upcoming')")
-    priority = F.when(F.col("status") == "active", "HIGH").otherwise("MEDIUM")
-    return live.select(F.lit("CAMPAIGN_ACTIVITY").alias("alert_type"), priority.alias("priority"), F.col("competitor_id").cast("string").alias("subject"),
-                       F.concat("campaign_name", F.lit(" #"), F.col("campaign_id").cast("string")).alias("title"))
+    title = F.concat("campaign_name", F.lit(" - "), F.upper("status")).alias("title")
+    return live.select(F.lit("CAMPAIGN_ACTIVITY").alias("alert_type"), F.lit("MEDIUM").alias("priority"), F.col("competitor_id").cast("string").alias("subject"), title)
 
 
-PRIORITIES = {"BRAND_PRICE_TREND": "HIGH", "MULTI_COMPETITOR": "HIGH", "CATEGORY_CONCENTRATION": "MEDIUM", "PRICE_CAMPAIGN_CONCURRENCY": "MEDIUM"}
+#: Market-level signals that raise alerts.
+PRIORITIES = {"MULTI_COMPETITOR_CAMPAIGN": "HIGH", "CAMPAIGN_CATEGORY_CONCENTRATION": "MEDIUM", "PRICE_CAMPAIGN_CONCURRENCY": "MEDIUM"}
 
 
 def signal_alerts(signals: DataFrame) -> DataFrame:
-    """Alerts of market-level signals."""
-    p = T.first_rule([(F.col("signal_type") == k, v) for k, v in PRIORITIES.items()], "LOW")
-    return signals.where(F.col("signal_type").isin(*PRIORITIES)).select(F.lit("MARKET_SIGNAL").alias("alert_type"), p.alias("priority"), "subject", "title")
+    """Alerts of market-level signals, under the signal's own type."""
+    p = T.first_rule([(F.col("signal_type") == k, v) for k, v in PRIORITIES.items()], "MEDIUM")
+    return signals.where(F.col("signal_type").isin(*PRIORITIES)).select(F.col("signal_type").alias("alert_type"), p.alias("priority"), "subject", "title")
 
 
 def persistence_alerts(summary: DataFrame) -> DataFrame:
-    return summary.where("persistent > 0").select(F.lit("CATALOGUE_PERSISTENCE").alias("alert_type"), F.lit("LOW").alias("priority"), F.col("brand").alias("subject"),
-                                                  F.concat(F.col("persistent").cast("string"), F.lit(" persistent products")).alias("title"))
+    title = F.concat("brand", F.lit(" catalogue persistence")).alias("title")
+    return summary.where("persistent > 0").select(F.lit("CATALOGUE_PERSISTENCE").alias("alert_type"), F.lit("LOW").alias("priority"), F.col("brand").alias("subject"), title)
 
 
 def evidence_gaps(competitors: DataFrame, evidence: dict[str, DataFrame]) -> DataFrame:
@@ -150,7 +159,8 @@ def evidence_gaps(competitors: DataFrame, evidence: dict[str, DataFrame]) -> Dat
     out = competitors.select("competitor_id", "competitor_name")
     for df in evidence.values():
         out = out.join(df.select("competitor_id").distinct(), "competitor_id", "left_anti")
-    return out.select(F.lit("EVIDENCE_GAP").alias("alert_type"), F.lit("MEDIUM").alias("priority"), F.col("competitor_id").cast("string").alias("subject"), F.col("competitor_name").alias("title"))
+    title = F.concat(F.lit("Limited verified evidence coverage - "), "competitor_name").alias("title")
+    return out.select(F.lit("EVIDENCE_GAP").alias("alert_type"), F.lit("LOW").alias("priority"), F.col("competitor_id").cast("string").alias("subject"), title)
 
 
 def union_all(*parts: DataFrame) -> DataFrame:

@@ -10,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import half_up, iso_week
+
+__all__ = ["half_up", "iso_week"]
+
 #: Fixed values of the binding.
 AS_OF = "1998-06-01"
 BASELINE = "1995-06-01"
@@ -38,13 +42,13 @@ VIEWS = {
         o_custkey % 100 as competitor_id, cast(o_orderkey % 7 as bigint) as declared from orders""",
     "campaigns": """select o_orderkey as campaign_id, o_custkey % 100 as competitor_id, 'Campaign ' || (o_custkey % 50) as campaign_name,
         o_orderstatus as campaign_type, 'Category ' || (o_orderkey % 6) as category, o_totalprice as offer_value,
-        case when o_orderkey % 11 = 0 then null else cast(o_orderdate as date) end as start_date,
-        case when o_orderkey % 7 = 0 then null else cast(o_orderdate as date) + 7 end as end_date,
+        case when o_orderkey % 110 = 0 then null else cast(o_orderdate as date) end as start_date,
+        case when o_orderkey % 70 = 0 then null else cast(o_orderdate as date) + 7 end as end_date,
         case when o_orderkey % 3 = 0 then 'PENDING' else 'VERIFIED' end as verification_status,
         case when o_orderkey % 5 = 0 then 'MEDIUM' else 'HIGH' end as confidence, cast(o_orderdate as date) as observed_date,
-        case when o_orderkey % 11 = 0 and o_orderkey % 7 = 0 then null
-            when o_orderkey % 7 <> 0 and cast(o_orderdate as date) + 7 < date '1998-06-01' then 'ended'
-            when o_orderkey % 11 <> 0 and cast(o_orderdate as date) > date '1998-06-01' then 'upcoming' else 'active' end as status
+        case when o_orderkey % 110 = 0 and o_orderkey % 70 = 0 then null
+            when o_orderkey % 70 <> 0 and cast(o_orderdate as date) + 7 < date '1998-06-01' then 'ended'
+            when o_orderkey % 110 <> 0 and cast(o_orderdate as date) > date '1998-06-01' then 'upcoming' else 'active' end as status
         from orders where o_orderpriority = '1-URGENT'""",
     "catalogue": """select competitor_id, brand, model as identifier, case when cast(model as bigint) % 10 = 0 then '' else model end as model,
         product_name, category, min(observed_date) as first_seen_date, max(observed_date) as last_seen_date, count(*) as observations
@@ -70,16 +74,6 @@ VIEWS = {
 }
 
 
-def iso_week(c) -> F.Column:
-    return F.concat(F.extract(F.lit("YEAROFWEEK"), c).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(c).cast("string"), 2, "0"))
-
-
-def half_up(c: F.Column, places: int = 2) -> F.Column:
-    """Rounding that Spark and SQL agree on: floor(x * 10^places + 0.5) / 10^places."""
-    m = 10**places
-    return F.floor(c * m + 0.5) / F.lit(float(m))
-
-
 class Tables:
     """The bound tables of one data folder; every property is a lazy DataFrame."""
 
@@ -146,12 +140,12 @@ class Tables:
             F.col(k).alias("campaign_id"), F.expr("o_custkey % 100").alias("competitor_id"),
             F.expr("'Campaign ' || (o_custkey % 50)").alias("campaign_name"), F.col("o_orderstatus").alias("campaign_type"),
             F.expr(f"'Category ' || ({k} % 6)").alias("category"), F.col("o_totalprice").alias("offer_value"),
-            F.expr(f"case when {k} % 11 = 0 then null else {day} end").alias("start_date"),
-            F.expr(f"case when {k} % 7 = 0 then null else date_add({day}, 7) end").alias("end_date"),
+            F.expr(f"case when {k} % 110 = 0 then null else {day} end").alias("start_date"),
+            F.expr(f"case when {k} % 70 = 0 then null else date_add({day}, 7) end").alias("end_date"),
             F.expr(f"case when {k} % 3 = 0 then 'PENDING' else 'VERIFIED' end").alias("verification_status"),
             F.expr(f"case when {k} % 5 = 0 then 'MEDIUM' else 'HIGH' end").alias("confidence"), F.expr(day).alias("observed_date"),
-            F.expr(f"case when {k} % 11 = 0 and {k} % 7 = 0 then null when {k} % 7 <> 0 and date_add({day}, 7) < date '{AS_OF}' then 'ended'"
-                   f" when {k} % 11 <> 0 and {day} > date '{AS_OF}' then 'upcoming' else 'active' end").alias("status"),
+            F.expr(f"case when {k} % 110 = 0 and {k} % 70 = 0 then null when {k} % 70 <> 0 and date_add({day}, 7) < date '{AS_OF}' then 'ended'"
+                   f" when {k} % 110 <> 0 and {day} > date '{AS_OF}' then 'upcoming' else 'active' end").alias("status"),
         )
 
     @property

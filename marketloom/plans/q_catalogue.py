@@ -9,24 +9,74 @@ from ..operators import matching as M
 from .bind import BASELINE, OWN_BRAND, VIEWS
 from .registry import query
 
+KNOWN = ["SAMSUNG", "LG"]
+#: Words that the test products get, so that every feature, family and conflict occurs.
+TITLE = """item_name || case product_id % 9 when 0 then ' 12000 BTU inverter air conditioner' when 1 then ' 9,000 BTU split AC non-inverter'
+    when 2 then ' 200 litres fridge' when 3 then ' 60cm gas cooker 4 burner' when 4 then ' 12K split air inverter' when 5 then ' 43 inch smart TV built-in'
+    when 6 then ' Fridge 345L and 15 l box, free standing' when 7 then ' 60 cm hood' else '' end || case when product_id % 37 = 0 then ' by Samsung' else '' end"""
+SUB = "case sub_category when 'anvil' then 'Cooker Hoods' when 'gizmo' then 'Built-in Ovens' else sub_category end"
+
+
+def plain_sql(text):
+    return rf"trim(regexp_replace(translate(lower({text}), '-_/,()', '      '), '\s+', ' ', 'g'))"
+
+
+def features_sql(t):
+    """Feature columns from the plain text t."""
+    num = lambda p: f"try_cast(nullif(regexp_extract({t}, '{p}', 1), '') as integer)"
+    k, full, split = (num(p) for p in (rf"\b({M.BTU_THOUSANDS})\s*k\s*(?:btu)?\b", rf"\b((?:{M.BTU_THOUSANDS})000)\s*btu\b", rf"\b({M.BTU_THOUSANDS})\s*000\s*btu\b"))
+    gas, burners, width, inches = (num(p) for p in (r"\b([2-6])\s*gas\s*burner", r"\b([2-6])\s*burners?\b", rf"\b({M.WIDTHS})\s*cm\b", rf'\b({M.INCHES})\s*(?:inch|inches|in\b|")'))
+    litres = rf"list_transform(regexp_extract_all({t}, '\b(\d{{2,4}})\s*(?:litres?|liters?|lt|l)\b', 1), lambda x: cast(x as integer))"
+    return rf"""coalesce({k} * 1000, {full}, {split} * 1000) as btu, list_max(list_filter({litres}, lambda v: v between 20 and 1000)) as litres, coalesce({gas}, {burners}) as burners,
+        case when contains({t}, 'non inverter') then 'NON_INVERTER' when regexp_matches({t}, '\binverter\b') then 'INVERTER' end as inverter,
+        case when contains({t}, 'built in') then 'BUILT_IN' when regexp_matches({t}, 'free ?standing') then 'FREESTANDING' end as installation, {width} as width_cm, {inches} as tv_inches"""
+
+
+def family_sql(t):
+    has = lambda terms: " or ".join(f"contains({t}, '{w}')" for w in terms)
+    return "case " + " ".join(f"when {has(terms)} then '{f}'" for f, terms in M.FAMILIES.items()) + " end"
+
+
+def both_sql(f):
+    return f"case when a.{f} is null or b.{f} is null then 'UNKNOWN' when a.{f} = b.{f} then 'MATCH' else 'CONFLICT' end as {f}"
+
+
+def conflict_sql(b):
+    return rf"(regexp_matches(named, '\b{b.lower()}\b') and upper(trim(brand)) <> '{b}')"
+
+
+def listed(words):
+    return ", ".join(f"'{w}'" for w in words)
+
+
+MATCHES = " + ".join(f"cast({f} = 'MATCH' as integer)" for f in M.FEATURES)
+CLASHES = ", ".join(f"case when {f} = 'CONFLICT' then '{reason}' end" for f, reason in M.HARD.items())
 VIEWS |= {
     "own_rival": f"select category, sub_category, count(*) filter (brand = '{OWN_BRAND}') as own, count(*) filter (brand <> '{OWN_BRAND}') as rival from canonical group by 1, 2",
-    "titled": """select * replace (item_name || case product_id % 4 when 0 then ' 12000 btu inverter air conditioner' when 1 then ' 9000 btu air conditioner' when 2 then ' 200 litres fridge' else ' 60 cm cooker 4 burner' end as item_name) from canonical""",
-    "assessed": f"""select own_id, other_id, pa, pb, case when pa <> pb and not (pa in (0, 1) and pb in (0, 1)) then 'NO_DEFENSIBLE_MATCH' when pa <> pb then 'NO_DEFENSIBLE_MATCH' when pa = 0 then 'STRONG_COMPARABLE' when pa = 1 then 'COMPARABLE' when pa = 2 then 'TYPE_ONLY' else 'STRONG_COMPARABLE' end as match_level,
-        case when pa <> pb then case when (pa = 0 and pb = 1) or (pa = 1 and pb = 0) then 0 else 0 end when pa = 0 then 2 when pa = 1 then 1 when pa = 2 then 1 else 2 end as matches,
-        own_price, other_price, size_gap from (select a.product_id as own_id, b.product_id as other_id, a.product_id % 4 as pa, b.product_id % 4 as pb, a.price as own_price, b.price as other_price, abs(a.size - b.size) as size_gap
-        from canonical a join canonical b on a.category = b.category and a.sub_category = b.sub_category where a.brand = '{OWN_BRAND}' and b.brand <> '{OWN_BRAND}')""",
+    "titled": f"select * replace ({TITLE} as item_name, {SUB} as sub_category) from canonical",
+    "profiled": f"""select product_id, brand, category, sub_category, price, size, {features_sql("ft")}, {family_sql("fam")} as family, {" or ".join(map(conflict_sql, KNOWN))} as conflict,
+        list_distinct(list_filter(string_split({plain_sql("item_name")}, ' '), lambda x: length(x) >= 3 and x not in ({listed(M.STOP_WORDS)}))) as tokens
+        from (select *, {plain_sql("concat_ws(' ', item_name, category, sub_category, product_scope)")} as ft, {plain_sql("concat_ws(' ', category, sub_category, item_name)")} as fam,
+            {plain_sql("concat_ws(' ', item_name, product_scope)")} as named from titled)""",
+    "compared": f"""select a.product_id as own_id, b.product_id as other_id, a.price as own_price, b.price as other_price, a.family as fa, b.family as fb, a.conflict or b.conflict as conflict, lower(trim(a.sub_category)) as sub,
+        case when len(a.tokens) > 0 and len(b.tokens) > 0 then len(list_intersect(a.tokens, b.tokens)) / (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))) else 0.0 end as name_score,
+        {", ".join(map(both_sql, M.FEATURES))} from profiled a join profiled b on a.category = b.category and a.sub_category = b.sub_category where a.brand = '{OWN_BRAND}' and b.brand <> '{OWN_BRAND}'""",
+    "assessed": f"""select *, case when len(hard) > 0 or conflict then 'NO_DEFENSIBLE_MATCH' when sub in ({listed(M.WIDTH_ALONE)}) and width_cm = 'MATCH' and matches = 1 then 'TYPE_ONLY' when matches >= 2 then 'STRONG_COMPARABLE'
+        when matches >= 1 and fa in ({listed(M.DECISIVE)}) then 'COMPARABLE' when fa is not null and fb is not null then 'TYPE_ONLY' else 'NO_DEFENSIBLE_MATCH' end as match_level
+        from (select *, {MATCHES} as matches, list_filter([case when fa <> fb then 'PRODUCT_FAMILY_CONFLICT:' || fa || '!=' || fb end, {CLASHES}], lambda x: x is not null) as hard from compared)""",
 }
 
 
 def titled(t):
-    return t.canonical.withColumn("item_name", F.expr("item_name || case product_id % 4 when 0 then ' 12000 btu inverter air conditioner' when 1 then ' 9000 btu air conditioner' when 2 then ' 200 litres fridge' else ' 60 cm cooker 4 burner' end"))
+    return t.canonical.withColumns({"item_name": F.expr(TITLE), "sub_category": F.expr(SUB)})
 
 
 def assessed(t):
-    p = M.assess_pairs(M.block_pairs(titled(t), OWN_BRAND), [])
-    return p.select(F.col("own.product_id").alias("own_id"), F.col("other.product_id").alias("other_id"), "match_level", "matches", "hard", F.col("own.price").alias("own_price"), F.col("other.price").alias("other_price"),
-                    F.abs(F.col("own.size") - F.col("other.size")).alias("size_gap"))
+    p = M.assess_pairs(titled(t), OWN_BRAND, KNOWN, ["product_id", "price"])
+    return p.select(
+        F.col("own.product_id").alias("own_id"), F.col("other.product_id").alias("other_id"), "match_level", "matches", "hard", "name_score", "features",
+        F.col("own.price").alias("own_price"), F.col("other.price").alias("other_price"),
+    )
 
 
 @query("h1", f"select competitor_id, identifier, case when first_seen_date > date '{BASELINE}' then 'NEW_PRODUCT_CANDIDATE' else 'BASELINE_PRODUCT' end as status from catalogue")
@@ -49,10 +99,17 @@ def h3(t):
     return C.date_range(t.catalogue)
 
 
-@query("h4", """select competitor_id, identifier, cast(last_seen_date - first_seen_date as integer) as span_days, cast((select max(last_seen_date) from catalogue) - last_seen_date as integer) as gap_days,
-    case when last_seen_date - first_seen_date < 7 then 'INSUFFICIENT_HISTORY' when (select max(last_seen_date) from catalogue) - last_seen_date >= 7 then 'POSSIBLE_DISCONTINUATION' else 'CURRENTLY_OBSERVED' end as presence from catalogue""")
+DATED = """select competitor_id, identifier, case when cast(identifier as integer) % 23 <> 0 then first_seen_date end as first_seen_date,
+    case when cast(identifier as integer) % 29 <> 0 then last_seen_date end as last_seen_date from catalogue"""
+
+
+@query("h4", f"""select competitor_id, identifier, cast(last_seen_date - first_seen_date as integer) as span_days, cast((select max(last_seen_date) from ({DATED})) - last_seen_date as integer) as gap_days,
+    case when last_seen_date is null or first_seen_date is null or last_seen_date - first_seen_date < 7 then 'INSUFFICIENT_HISTORY'
+    when (select max(last_seen_date) from ({DATED})) - last_seen_date >= 7 then 'POSSIBLE_DISCONTINUATION' else 'CURRENTLY_OBSERVED' end as presence from ({DATED})""")
 def h4(t):
-    return C.historical_presence(t.catalogue, ["competitor_id", "identifier"])
+    known = lambda c, n: F.when(F.col("identifier").cast("int") % n != 0, F.col(c))
+    dated = t.catalogue.withColumns({"first_seen_date": known("first_seen_date", 23), "last_seen_date": known("last_seen_date", 29)})
+    return C.historical_presence(dated, ["competitor_id", "identifier"])
 
 
 @query("h5", f"select competitor_id, identifier from catalogue where first_seen_date > date '{BASELINE}' and model <> ''")
@@ -107,19 +164,12 @@ def g6(t):
     return g.where("own > 0 and rival > 0")
 
 
-PAIR = "from canonical a join canonical b on a.category = b.category and a.sub_category = b.sub_category where a.brand = 'Brand#1' and b.brand <> 'Brand#1'"
-
-
-@query("x1", f"""select a.product_id as own_id, b.product_id as other_id, case when a.product_id % 4 in (0, 1) and b.product_id % 4 in (0, 1) then case when a.product_id % 4 = b.product_id % 4 then 'MATCH' else 'CONFLICT' end else 'UNKNOWN' end as btu,
-    case when a.product_id % 4 = 2 and b.product_id % 4 = 2 then 'MATCH' else 'UNKNOWN' end as litres, case when a.product_id % 4 = 3 and b.product_id % 4 = 3 then 'MATCH' else 'UNKNOWN' end as burners {PAIR}""")
+@query("x1", f"select own_id, other_id, {', '.join(M.FEATURES)} from compared")
 def x1(t):
-    p = M.block_pairs(titled(t), OWN_BRAND)
-    f = M.compare_features(M.product_features(F.col("own.item_name")), M.product_features(F.col("other.item_name")))
-    return p.select(F.col("own.product_id").alias("own_id"), F.col("other.product_id").alias("other_id"), f.alias("f")).select("own_id", "other_id", "f.btu", "f.litres", "f.burners")
+    return assessed(t).select("own_id", "other_id", *(f"features.{f}" for f in M.FEATURES))
 
 
-@query("x2", f"""select a.product_id as own_id, b.product_id as other_id, list_filter([case when a.product_id % 4 <> b.product_id % 4 and a.product_id % 4 in (0, 1) and b.product_id % 4 in (0, 1) then 'btu' end,
-    case when a.product_id % 4 <> b.product_id % 4 and not (a.product_id % 4 in (0, 1) and b.product_id % 4 in (0, 1)) then 'family' end], lambda x: x is not null) as hard {PAIR}""")
+@query("x2", "select own_id, other_id, hard from assessed")
 def x2(t):
     return assessed(t).select("own_id", "other_id", "hard")
 
@@ -134,32 +184,35 @@ def x4(t):
     return assessed(t).groupBy("match_level").agg(F.count("*").alias("pairs"), F.count_distinct("own_id").alias("own_products"), F.count_distinct("other_id").alias("other_products"))
 
 
-RANKED = """select own_id, other_id, match_level, row_number() over (partition by own_id order by case match_level when 'STRONG_COMPARABLE' then 3 when 'COMPARABLE' then 2 when 'TYPE_ONLY' then 1 else 0 end desc, matches desc, size_gap, other_id) as rn from assessed"""
-
-
-def ranked(t):
-    return M.best_and_rest(assessed(t).withColumns({"rank_level": M.level_rank(F.col("match_level")), "score": -F.col("size_gap")}))
+RANKED = """select own_id, other_id, match_level, row_number() over (partition by own_id
+    order by case match_level when 'STRONG_COMPARABLE' then 4 when 'COMPARABLE' then 3 when 'TYPE_ONLY' then 2 else 1 end desc, matches desc, name_score desc, other_id) as rn from assessed"""
 
 
-@query("x5", f"select c.product_id as own_id, case when r.match_level in ('STRONG_COMPARABLE', 'COMPARABLE') then r.other_id end as other_id, case when r.match_level in ('STRONG_COMPARABLE', 'COMPARABLE') then r.match_level else 'NO_DEFENSIBLE_MATCH' end as match_level from canonical c left join ({RANKED}) r on c.product_id = r.own_id and r.rn = 1 where c.brand = 'Brand#1'")
+@query("x5", f"""select c.product_id as own_id, r.other_id, coalesce(r.match_level, 'NO_DEFENSIBLE_MATCH') as match_level from canonical c
+    left join (select * from ({RANKED}) where rn = 1 and match_level <> 'NO_DEFENSIBLE_MATCH') r on c.product_id = r.own_id where c.brand = '{OWN_BRAND}'""")
 def x5(t):
-    best = ranked(t).where("rank = 1").select("own_id", "other_id", "match_level")
-    own = t.canonical.where(F.col("brand") == OWN_BRAND).select(F.col("product_id").alias("own_id")).join(best, "own_id", "left")
-    ok = F.coalesce(F.col("match_level").isin("STRONG_COMPARABLE", "COMPARABLE"), F.lit(False))
-    return own.select("own_id", F.when(ok, F.col("other_id")).alias("other_id"), F.when(ok, F.col("match_level")).otherwise("NO_DEFENSIBLE_MATCH").alias("match_level"))
+    own = t.canonical.where(F.col("brand") == OWN_BRAND).select(F.col("product_id").alias("own_id"))
+    out = own.join(M.best_candidates(assessed(t)), "own_id", "left")
+    return out.select("own_id", F.col("best_id").alias("other_id"), F.coalesce("best_level", F.lit("NO_DEFENSIBLE_MATCH")).alias("match_level"))
 
 
-@query("x6", f"select own_id, other_id, match_level from ({RANKED}) where rn > 1 and match_level in ('TYPE_ONLY', 'NO_DEFENSIBLE_MATCH')")
+@query("x6", f"select own_id, other_id, match_level from ({RANKED}) where match_level = 'NO_DEFENSIBLE_MATCH' or (match_level = 'TYPE_ONLY' and rn > 1)")
 def x6(t):
-    return ranked(t).where((F.col("rank") > 1) & F.col("match_level").isin("TYPE_ONLY", "NO_DEFENSIBLE_MATCH")).select("own_id", "other_id", "match_level")
+    a = assessed(t)
+    weak = a.where(F.col("match_level").isin("TYPE_ONLY", "NO_DEFENSIBLE_MATCH")).join(M.best_candidates(a), "own_id", "left")
+    return weak.where("best_id is null or other_id <> best_id").select("own_id", "other_id", "match_level")
 
 
-@query("x7", """select model, case when n = 0 then 'PRICE_NOT_EXPOSED' when r = 1 and s = 1 then 'VERIFIED_PROMOTIONAL' when n = 1 and official then 'VERIFIED_OFFICIAL' when n = 1 then 'VERIFIED_RETAIL' else 'MULTIPLE_PRICES' end as verdict from
-    (select model, count(distinct floor(price_kes / 500)) filter (discount <= 0.05) as r, count(distinct floor(price_kes / 500)) filter (discount > 0.05) as s, count(distinct floor(price_kes / 500)) as n, min(line_status) = 'F' as official from prices group by 1)""")
+@query("x7", """select model, case when s = 1 and r <= 1 then if(official, 'VERIFIED_OFFICIAL_SALE', 'VERIFIED_RETAIL_PROMOTIONAL_PRICE')
+    when r = 1 and s = 0 then if(official, 'VERIFIED_OFFICIAL_PRICE', 'VERIFIED_RETAIL_PRICE') when n = 1 then if(official, 'VERIFIED_OFFICIAL_PRICE', 'VERIFIED_RETAIL_PRICE')
+    when n > 1 then 'MULTIPLE_PRICE_CANDIDATES' when official then 'PRICE_NOT_EXPOSED_OFFICIAL_SOURCE' else 'PRICE_NOT_FOUND' end as verdict from
+    (select model, count(distinct p) filter (discount <= 0.05) as r, count(distinct p) filter (discount > 0.05) as s, count(distinct p) as n, min(line_status) = 'F' as official
+    from (select *, case when cast(model as integer) % 13 <> 0 then floor(price_kes / 900) end as p from prices) group by 1)""")
 def x7(t):
-    p, sale = F.floor(F.col("price_kes") / 500), F.col("discount") > 0.05
-    g = t.prices.groupBy("model").agg(F.collect_set(F.when(~sale, p)).alias("r"), F.collect_set(F.when(sale, p)).alias("s"), F.collect_set(p).alias("n"), F.min("line_status").alias("status"))
-    source = F.when(F.col("status") == "F", "OFFICIAL").otherwise("RETAIL")
+    p = F.when(F.col("model").cast("int") % 13 != 0, F.floor(F.col("price_kes") / 900))
+    sale, seen = F.col("discount") > 0.05, F.collect_set(p).alias("n")
+    g = t.prices.groupBy("model").agg(F.collect_set(F.when(~sale, p)).alias("r"), F.collect_set(F.when(sale, p)).alias("s"), seen, F.min("line_status").alias("status"))
+    source = F.when(F.col("status") == "F", "BRAND_OFFICIAL").otherwise("RETAIL")
     return g.select("model", M.evidence_verdict(F.col("r"), F.col("s"), F.col("n"), source).alias("verdict"))
 
 

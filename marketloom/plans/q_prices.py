@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dedup as D
+from ..operators import matching as M
 from ..operators import prices as P
 from .bind import AS_OF, BASELINE, VIEWS, half_up
+from .q_catalogue import RANKED, assessed
 from .registry import query
 
 #: SQL views of operator results that later queries build on.
@@ -56,14 +58,20 @@ def j4(t):
     return count("left_anti", "new").unionByName(count("left_semi", "skipped"))
 
 
-J5 = """select distinct m.competitor_id, m.id_model, m.observed_date, m.pct, c.campaign_id from movements m join campaigns c on m.competitor_id = c.competitor_id
-    where not (c.start_date is null and c.end_date is null) and ((coalesce(m.previous_date >= c.start_date, true) and coalesce(m.previous_date <= c.end_date, true))
+J5 = """select m.competitor_id, m.id_brand, m.id_model, m.id_product, m.previous_date, m.observed_date, m.pct, c.campaign_id, c.competitor_id as campaign_competitor, c.campaign_name
+    from movements m join (select * from campaigns where verification_status = 'VERIFIED') c
+    on not (c.start_date is null and c.end_date is null) and ((coalesce(m.previous_date >= c.start_date, true) and coalesce(m.previous_date <= c.end_date, true))
     or (coalesce(m.observed_date >= c.start_date, true) and coalesce(m.observed_date <= c.end_date, true)))"""
 
 
+def overlaps(t):
+    pairs = P.overlapping_campaigns(P.detect_movements(t.prices), t.campaigns.where("verification_status = 'VERIFIED'"))
+    return pairs.select(*P.IDENTITY, "previous_date", "observed_date", "pct", "campaign_id", "campaign_competitor", "campaign_name")
+
+
 @query("j5", J5)
 def j5(t):
-    return P.concurrent_campaigns(P.detect_movements(t.prices), t.campaigns).select("competitor_id", "id_model", "observed_date", "pct", "campaign_id").distinct()
+    return overlaps(t)
 
 
 @query("j6", """select p.observation_id, p.price_kes, b.previous_price from prices p left join (select model, competitor_id, observed_date, lag(price_kes) over (partition by model, competitor_id order by observed_date) as previous_price
@@ -75,9 +83,8 @@ def j6(t):
 @query("j7", """select a.product_id as own_id, b.product_id as other_id from canonical a join canonical b on a.category = b.category and a.sub_category = b.sub_category
     where a.brand = 'Brand#1' and b.brand <> 'Brand#1'""")
 def j7(t):
-    from ..operators.matching import block_pairs
-
-    return block_pairs(t.canonical, "Brand#1").select(F.col("own.product_id").alias("own_id"), F.col("other.product_id").alias("other_id"))
+    ids = t.canonical.select("category", "sub_category", "brand", "product_id")
+    return M.block_pairs(ids, "Brand#1").select(F.col("own.product_id").alias("own_id"), F.col("other.product_id").alias("other_id"))
 
 
 @query("j8", """select p.observation_id, coalesce(m.product_id, n.product_id) as product_id from prices p
@@ -218,17 +225,43 @@ def a8(t):
         F.count_if(F.col("verification_status") == "VERIFIED").alias("verified"), F.count_if(F.col("confidence") == "HIGH").alias("high"))
 
 
-@query("a9", """select (select count(*) from findings) as findings, (select count(*) from competitors) as competitors, (select count(distinct model) from prices) as models,
-    (select count(*) from campaigns where status = 'active') as active_campaigns, (select count(*) from campaigns where verification_status = 'VERIFIED') as verified_campaigns, (select count(*) from social) as posts,
-    (select count(*) from news where scope_status = 'IN') as news_in_scope, (select max(scan_week) from runs) as last_week""")
+LAST_WEEK = "(select max(scan_week) from findings)"
+A9 = f"""select (select count(*) from findings where scan_week = {LAST_WEEK}) as week_findings, (select count(*) from findings where scan_week = {LAST_WEEK} and finding_type = 'price') as week_prices,
+    (select count(*) from findings where scan_week = {LAST_WEEK} and finding_type = 'promotion') as week_promotions, (select count(*) from findings where scan_week = {LAST_WEEK} and finding_type = 'news') as week_news,
+    (select count(*) from competitors) as competitors, (select count(*) from prices) as price_observations, (select count(*) from findings where finding_type = 'promotion') as promotion_observations,
+    (select count(*) from findings where finding_type = 'news') as news_observations,
+    (select count(*) from campaigns where start_date is not null and start_date <= date '{AS_OF}' and (end_date is null or end_date >= date '{AS_OF}') and status <> 'ended') as active_campaigns,
+    (select count(*) from campaigns where start_date is not null and start_date > date '{AS_OF}' and status = 'upcoming') as upcoming_campaigns, (select count(*) from social) as social_observations,
+    (select count(*) from movements) + (select count(*) from campaigns where verification_status = 'VERIFIED') as market_trends,
+    (select count(*) from movements) + (select count(*) from campaigns where verification_status = 'VERIFIED' and status in ('active', 'upcoming')) as open_alerts,
+    (select count(distinct competitor_id) * 2 from prices) as comparisons, (select count(*) from catalogue where brand = 'Brand#1') as products_1, (select count(*) from catalogue where brand = 'Brand#2') as products_2,
+    (select count(*) from catalogue where brand = 'Brand#3') as products_3"""
+
+
+@query("a9", A9)
 def a9(t):
-    f = t.findings.agg(F.count("*").alias("findings"))
-    parts = [t.competitors.agg(F.count("*").alias("competitors")), t.prices.agg(F.count_distinct("model").alias("models")),
-             t.campaigns.agg(F.count_if(F.col("status") == "active").alias("active_campaigns"), F.count_if(F.col("verification_status") == "VERIFIED").alias("verified_campaigns")),
-             t.social.agg(F.count("*").alias("posts")), t.news.agg(F.count_if(F.col("scope_status") == "IN").alias("news_in_scope")), t.runs.agg(F.max("scan_week").alias("last_week"))]
-    for p in parts:  # one row each
-        f = f.crossJoin(p)
-    return f
+    n = lambda name: F.count("*").alias(name)
+    verified = F.col("verification_status") == "VERIFIED"
+    live = verified & F.col("status").isin("active", "upcoming")
+    kinds = t.findings.groupBy("scan_week", "finding_type").agg(n("n"))
+    week = kinds.agg(F.max("scan_week").alias("last"))
+    of = lambda k: F.col("finding_type") == k
+    total = lambda cond, name: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).alias(name)
+    now = F.col("scan_week") == F.col("last")
+    findings = kinds.crossJoin(F.broadcast(week)).agg(  # one row
+        total(now, "week_findings"), total(now & of("price"), "week_prices"), total(now & of("promotion"), "week_promotions"), total(now & of("news"), "week_news"),
+        total(of("promotion"), "promotion_observations"), total(of("news"), "news_observations"),
+    )
+    start, end, day = F.col("start_date"), F.col("end_date"), F.lit(AS_OF).cast("date")
+    active = (start <= day) & (end.isNull() | (end >= day)) & (F.col("status") != "ended")
+    campaigns = t.campaigns.agg(F.count_if(active).alias("active_campaigns"), F.count_if((start > day) & (F.col("status") == "upcoming")).alias("upcoming_campaigns"), F.count_if(verified).alias("v"), F.count_if(live).alias("a"))
+    moved = P.detect_movements(t.prices).agg(n("m"))
+    brands = t.catalogue.agg(*(F.count_if(F.col("brand") == f"Brand#{i}").alias(f"products_{i}") for i in (1, 2, 3)))
+    prices = t.prices.agg(n("price_observations"), (F.count_distinct("competitor_id") * 2).alias("comparisons"))
+    out = findings
+    for part in (t.competitors.agg(n("competitors")), prices, campaigns, t.social.agg(n("social_observations")), moved, brands):  # one row each
+        out = out.crossJoin(F.broadcast(part))
+    return out.withColumns({"market_trends": F.col("m") + F.col("v"), "open_alerts": F.col("m") + F.col("a")}).drop("m", "v", "a")
 
 
 @query("a10", """select 'platform' as field, platform as value, count(*) as n from social group by 2 union all select 'type', social_type, count(*) from social group by 2
@@ -322,11 +355,15 @@ EVIDENCE = """select competitor_id, 'price' as evidence_type, count(*) as n from
     union all select competitor_id, 'social', count(*) from social group by 1 union all select competitor_id, 'catalogue', count(*) from catalogue group by 1"""
 
 
-@query("a22", EVIDENCE)
+@query("a22", """select competitor_id, 'active_campaigns' as evidence_type, count(*) as n from campaigns where status = 'active' group by 1 union all select competitor_id, 'upcoming_campaigns', count(*) from campaigns where status = 'upcoming' group by 1
+    union all select competitor_id, 'alerts', count(*) from (select competitor_id from movements union all select competitor_id from campaigns where verification_status = 'VERIFIED' and status in ('active', 'upcoming')) group by 1
+    union all select competitor_id, 'social', count(*) from social group by 1 union all select competitor_id, 'trends', count(*) from movements group by 1""")
 def a22(t):
     from ..operators.reports import evidence_counts
 
-    return evidence_counts({"price": t.prices, "campaign": t.campaigns, "social": t.social, "catalogue": t.catalogue})
+    c, moved = t.campaigns, P.detect_movements(t.prices).select("competitor_id")
+    alerts = moved.unionByName(c.where("verification_status = 'VERIFIED' and status in ('active', 'upcoming')").select("competitor_id"))
+    return evidence_counts({"active_campaigns": c.where("status = 'active'"), "upcoming_campaigns": c.where("status = 'upcoming'"), "alerts": alerts, "social": t.social, "trends": moved})
 
 
 @query("a23", "select 'scope' as field, scope_status as value, count(*) as n from news group by 2 union all select 'lang', lang, count(*) from news group by 2")
@@ -342,19 +379,26 @@ def a24(t):
 
 @query("a25", """select 'price' as evidence, count(*) as n, count(distinct observed_date) as days, count(distinct competitor_id) as competitors, min(observed_date) as first_date, max(observed_date) as last_date from prices
     union all select 'campaign', count(*), count(distinct observed_date), count(distinct competitor_id), min(observed_date), max(observed_date) from campaigns
-    union all select 'social', count(*), count(distinct observed_date), count(distinct competitor_id), min(observed_date), max(observed_date) from social""")
+    union all select 'social', count(*), count(distinct observed_date), count(distinct competitor_id), min(observed_date), max(observed_date) from social
+    union all select 'catalogue ' || brand, count(*), null, null, min(first_seen_date), max(last_seen_date) from catalogue where brand in ('Brand#1', 'Brand#2', 'Brand#3') group by brand""")
 def a25(t):
     def one(name, df):
         return df.agg(F.lit(name).alias("evidence"), F.count("*").alias("n"), F.count_distinct("observed_date").alias("days"), F.count_distinct("competitor_id").alias("competitors"),
                       F.min("observed_date").alias("first_date"), F.max("observed_date").alias("last_date"))
 
-    return one("price", t.prices).unionByName(one("campaign", t.campaigns)).unionByName(one("social", t.social))
+    brands = t.catalogue.where(F.col("brand").isin("Brand#1", "Brand#2", "Brand#3")).groupBy(F.concat(F.lit("catalogue "), "brand").alias("evidence"))
+    dates = F.min("first_seen_date").alias("first_date"), F.max("last_seen_date").alias("last_date")
+    products = brands.agg(F.count("*").alias("n"), F.lit(None).cast("long").alias("days"), F.lit(None).cast("long").alias("competitors"), *dates)
+    return one("price", t.prices).unionByName(one("campaign", t.campaigns)).unionByName(one("social", t.social)).unionByName(products)
+
 
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-@query("a26", " union all ".join(f"select '{x}' as table_name, count(*) as n from {x}" for x in ("supplier", "part", "orders", "lineitem", "events", "documents", "pages")))
+
+@query("a26", " union all ".join(f"select '{x}' as table_name, count(*) as n from {x}" for x in TABLES))
 def a26(t):
     out = None
-    for x in ("supplier", "part", "orders", "lineitem", "events", "documents", "pages"):
+    for x in TABLES:
         one = t.raw(x).agg(F.lit(x).alias("table_name"), F.count("*").alias("n"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -399,18 +443,9 @@ def w5(t):
     return P.engagement_growth(t.social)
 
 
-BEST = """select p.own_id, p.other_id from (select a.product_id as own_id, b.product_id as other_id, row_number() over (partition by a.product_id order by (a.size = b.size) desc, abs(a.price - b.price), b.product_id) as rn
-    from canonical a join canonical b on a.category = b.category and a.sub_category = b.sub_category where a.brand = 'Brand#1' and b.brand <> 'Brand#1') p where rn = 1"""
-
-
-@query("w6", BEST)
+@query("w6", f"select own_id, other_id, match_level from ({RANKED}) where rn = 1 and match_level <> 'NO_DEFENSIBLE_MATCH'")
 def w6(t):
-    from ..operators.matching import block_pairs
-
-    pairs = block_pairs(t.canonical, "Brand#1").select(F.col("own.product_id").alias("own_id"), F.col("other.product_id").alias("other_id"),
-        (F.col("own.size") == F.col("other.size")).alias("same"), F.abs(F.col("own.price") - F.col("other.price")).alias("far"))
-    best = F.min(F.struct((~F.col("same")).alias("a"), "far", "other_id")).alias("b")
-    return pairs.groupBy("own_id").agg(best).select("own_id", F.col("b.other_id").alias("other_id"))
+    return M.best_candidates(assessed(t)).select("own_id", F.col("best_id").alias("other_id"), F.col("best_level").alias("match_level"))
 
 
 @query("w7", "select model, min(observation_id) as first_observation from prices group by 1")
@@ -495,28 +530,47 @@ def u4(t):
     return t.canonical.select("category").distinct().join(expected, "category", "left_anti")
 
 
-@query("u5", """select own_id, other_id, floor(len(list_intersect(x, y)) / len(list_distinct(x || y)) * 1000 + 0.5) / 1000 as jaccard from (select a.product_id as own_id, b.product_id as other_id,
-    list_filter(string_split(lower(a.item_name), ' '), lambda t: length(t) >= 3 and t not in ('the', 'and', 'new')) as x, list_filter(string_split(lower(b.item_name), ' '), lambda t: length(t) >= 3 and t not in ('the', 'and', 'new')) as y
-    from canonical a join canonical b on a.category = b.category and a.sub_category = b.sub_category where a.brand = 'Brand#1' and b.brand <> 'Brand#1') where len(x) > 0 or len(y) > 0""")
-def u5(t):
-    from ..operators.matching import block_pairs, token_jaccard
+TOKENS = "list_distinct(list_filter(string_split(lower({}), ' '), lambda t: length(t) >= 3 and t not in ('the', 'and', 'new', 'red', 'rod')))"
 
-    pairs = block_pairs(t.canonical, "Brand#1")
-    j = token_jaccard(F.col("own.item_name"), F.col("other.item_name"), ["the", "and", "new"])
-    return pairs.select(F.col("own.product_id").alias("own_id"), F.col("other.product_id").alias("other_id"), half_up(j, 3).alias("jaccard")).where("jaccard is not null")
+
+@query("u5", f"""select own_id, other_id, floor(case when len(x) > 0 and len(y) > 0 then len(list_intersect(x, y)) / len(list_distinct(x || y)) else 0 end * 1000 + 0.5) / 1000 as jaccard
+    from (select a.product_id as own_id, b.product_id as other_id, {TOKENS.format("a.item_name")} as x, {TOKENS.format("b.item_name")} as y
+    from canonical a join canonical b on a.category = b.category and a.sub_category = b.sub_category where a.brand = 'Brand#1' and b.brand <> 'Brand#1')""")
+def u5(t):
+    tokens = M.telling_tokens(F.col("item_name"), ["the", "and", "new", "red", "rod"]).alias("tokens")
+    pairs = M.block_pairs(t.canonical.select("category", "sub_category", "brand", "product_id", tokens), "Brand#1")
+    j = M.token_jaccard(F.col("own.tokens"), F.col("other.tokens"))
+    return pairs.select(F.col("own.product_id").alias("own_id"), F.col("other.product_id").alias("other_id"), half_up(j, 3).alias("jaccard"))
 
 
 # ---------------------------------------------------------------- D: de-duplication
 
 
-@query("d1", "select distinct model, price_kes, competitor_id from prices")
+IDENTITIES = {
+    "model_price_source": ["model", "price_kes", "source_url"],
+    "source_price": ["source_url", "price_kes"],
+    "model_source": ["model", "source_url"],
+    "product_price": ["product_name", "price_kes"],
+    "brand_model": ["brand", "model"],
+    "source": ["source_url"],
+}
+SOLD = "(select *, 'https://m' || model || '.example.com/p' as source_url from prices)"
+
+
+@query("d1", " union all ".join(f"select '{k}' as identity, count(*) as kept, cast(sum(first) as bigint) as first_ids from (select {', '.join(v)}, min(observation_id) as first from {SOLD} group by all)" for k, v in IDENTITIES.items()))
 def d1(t):
-    return t.prices.dropDuplicates(["model", "price_kes", "competitor_id"]).select("model", "price_kes", "competitor_id")
+    """Each collector's identity of a row within a batch; the first row stays."""
+    rows = t.prices.withColumn("source_url", F.expr("'https://m' || model || '.example.com/p'"))
+    out = None
+    for name, keys in IDENTITIES.items():
+        kept = D.keep_first(rows.select(*keys, "observation_id"), keys, "observation_id").agg(F.lit(name).alias("identity"), F.count("*").alias("kept"), F.sum("observation_id").alias("first_ids"))
+        out = kept if out is None else out.unionByName(kept)
+    return out
 
 
 MERGE = """select case when model <> '' then '0:' || lower(model) else '1:' || lower(trim(product_name)) end as key, array_to_string(list_sort(list(distinct category)), ',') as categories,
-    arg_min(nullif(model, ''), identifier) filter (model <> '') as model, min(p) as price, bool_or(s) as is_sale from
-    (select model, product_name, category, identifier, observations as p, observations > 2 as s from catalogue) group by 1"""
+    arg_min(nullif(model, ''), identifier) filter (model <> '') as model from
+    catalogue group by 1"""
 
 
 @query("d2", f"select key, categories, model from ({MERGE})")
@@ -525,10 +579,19 @@ def d2(t):
     return D.merge_categories(c, D.coalesced_key(c, "model", "product_name"), "identifier").select("key", "categories", "model")
 
 
-@query("d3", f"select key, price, is_sale from ({MERGE})")
+OFFERS = """select observation_id, case when cast(model as integer) % 10 <> 0 then model end as sku, 'https://m' || cast(model as integer) // 3 || '.example.com/p' as url, product_name, price_kes as regular_price,
+    case when discount > 0.05 then floor(price_kes * (1 - discount) * 100 + 0.5) / 100 end as sale_price, return_flag = 'R' as is_sale from prices"""
+
+
+@query("d3", f"""select key, regular_price, sale_price, is_sale, sku from (select coalesce('sku:' || sku, 'url:' || url) as key, coalesce(arg_min(regular_price, observation_id) filter (sale_price is not null), arg_min(regular_price, observation_id)) as regular_price,
+    arg_min(sale_price, observation_id) filter (sale_price is not null) as sale_price, bool_or(is_sale) as is_sale, max(sku) as sku from ({OFFERS}) group by 1)""")
 def d3(t):
-    c = t.catalogue.withColumns({"price": F.col("observations"), "is_sale": F.col("observations") > 2})
-    return D.merge_categories(c, D.coalesced_key(c, "model", "product_name"), "identifier").select("key", "price", "is_sale")
+    model = F.col("model").cast("int")
+    rows = t.prices.select(
+        "observation_id", "product_name", F.when(model % 10 != 0, F.col("model")).alias("sku"), F.expr("'https://m' || (cast(model as int) div 3) || '.example.com/p'").alias("url"), F.col("price_kes").alias("regular_price"),
+        F.when(F.col("discount") > 0.05, half_up(F.col("price_kes") * (1 - F.col("discount")))).alias("sale_price"), (F.col("return_flag") == "R").alias("is_sale"),
+    )
+    return D.merge_offers(rows, "observation_id").select("key", "regular_price", "sale_price", "is_sale", "sku")
 
 
 @query("d4", "select competitor_id, model, min(observed_date) as first_seen_date, max(observed_date) as last_seen_date from prices group by 1, 2")

@@ -339,13 +339,19 @@ def s8(t):
     return t.spark.read.schema("platform string, social_type string, n long").json(S.write_json(d, S.scratch(t.spark, "s8")))
 
 
-@query("s9", """select 'CI-' || strftime(observed_date, '%Y-%m') || '-' || lpad(cast(row_number() over (partition by strftime(observed_date, '%Y-%m') order by observation_id, model, price_kes) as varchar), 6, '0') as finding_id,
-    observation_id, price_kes, product_name from prices""")
+KIND = "case when discount >= 0.08 then 'promotion' when return_flag = 'R' then 'news' else 'price' end"
+
+
+@query("s9", f"""select finding_id, observation_id, finding_type, case finding_type when 'price' then cast(price_kes as varchar) when 'promotion' then cast(discount as varchar) else product_name end as detail from
+    (select *, {KIND} as finding_type, 'CI-' || strftime(observed_date, '%Y-%m') || '-' || lpad(cast(row_number() over (partition by strftime(observed_date, '%Y-%m') order by observation_id, model, price_kes) as varchar), 6, '0') as finding_id from prices)""")
 def s9(t):
     none = t.spark.createDataFrame([], "month string, last int")
-    head, child = S.split_header_child(t.prices, none, "price_kes", "product_name")
-    a, b = S.append(head, S.scratch(t.spark, "s9-findings")), S.append(child, S.scratch(t.spark, "s9-prices"))
-    return a.join(b, "finding_id").select("finding_id", "observation_id", "price_kes", "product_name")
+    head, child = S.split_header_children(t.prices.withColumn("finding_type", F.expr(KIND)), none, {"price": ["price_kes"], "promotion": ["discount"], "news": ["product_name"]})
+    a = S.append(head, S.scratch(t.spark, "s9-findings"))
+    stored = {k: S.append(df, S.scratch(t.spark, f"s9-{k}")) for k, df in child.items()}
+    detail = lambda k, c: a.join(stored[k].select("finding_id", F.col(c).cast("string").alias("detail")), "finding_id")
+    rows = detail("price", "price_kes").unionByName(detail("promotion", "discount")).unionByName(detail("news", "product_name"))
+    return rows.select("finding_id", "observation_id", "finding_type", "detail")
 
 
 @query("s10", """select scan_week, count(*) as runs, count(*) filter (status = 'completed') as completed, count(*) filter (status = 'failed') as failed, cast(sum(declared) as bigint) as findings from runs group by scan_week""")

@@ -11,7 +11,7 @@ from ..operators import quality as Q
 from ..operators import reports as R
 from ..operators import signals as G
 from .bind import AS_OF, BASELINE, VIEWS
-from .q_prices import EVIDENCE, J5
+from .q_prices import EVIDENCE, J5, overlaps
 from .registry import query
 
 SUMMARY = f"select brand, count(*) as products, count(*) filter (first_seen_date < last_seen_date) as persistent, count(*) filter (first_seen_date > date '{BASELINE}') as post_baseline from catalogue group by 1"
@@ -19,7 +19,7 @@ VERIFIED = "campaigns where verification_status = 'VERIFIED'"
 VIEWS |= {
     "summary": SUMMARY,
     "concurrent": J5,
-    "brand_trends": "select id_brand, case when pct > 0 then 'UP' else 'DOWN' end as direction, count(*) as n from movements group by 1, 2 having count(*) >= 2",
+    "brand_trends": "select id_brand, case when pct > 0 then 'increase' else 'decrease' end as direction, count(*) as n from movements group by 1, 2 having count(*) >= 2",
 }
 
 
@@ -79,7 +79,7 @@ def n1_clear(t):
     return G.price_signals(movements(t).where("competitor_id % 2 = 0"), P.ambiguous_identities(t.prices).where("ambiguous_days < 0"))
 
 
-N2 = "select 'BRAND_PRICE_TREND' as signal_type, id_brand as subject, id_brand || ' prices ' || lower(direction) as title, n as evidence_count, 'MEDIUM' as confidence from brand_trends"
+N2 = "select 'BRAND_PRICE_TREND' as signal_type, id_brand as subject, id_brand || ' multi-product price ' || direction || ' trend' as title, n as evidence_count, 'HIGH' as confidence from brand_trends"
 
 
 @query("n2", N2)
@@ -92,9 +92,10 @@ def n3(t):
     return G.market_wide(movements(t))
 
 
-N4 = f"""select 'CAMPAIGN_ACTIVITY' as signal_type, cast(competitor_id as varchar) as subject, count(*) || ' campaigns' as title, count(*) as evidence_count, case when bool_and(confidence = 'HIGH') then 'HIGH' else 'MEDIUM' end as confidence from {VERIFIED} group by competitor_id
-    union all select 'MULTI_COMPETITOR', 'market', count(distinct competitor_id) || ' competitors', count(distinct competitor_id), case when bool_and(confidence = 'HIGH') then 'HIGH' else 'MEDIUM' end from {VERIFIED}
-    union all select * from (select 'CATEGORY_CONCENTRATION', category, category || ' leads', count(*), case when bool_and(confidence = 'HIGH') then 'HIGH' else 'MEDIUM' end from {VERIFIED} group by category order by count(*) desc, min(campaign_id) limit 1)"""
+SURE = f"(select case when bool_and(confidence = 'HIGH') then 'HIGH' else 'MEDIUM' end from {VERIFIED})"
+N4 = f"""select 'CAMPAIGN_ACTIVITY' as signal_type, cast(null as varchar) as subject, 'Verified competitor campaign activity' as title, count(*) as evidence_count, {SURE} as confidence from {VERIFIED} having count(*) > 0
+    union all select 'MULTI_COMPETITOR_CAMPAIGN', null, 'Multi-competitor campaign activity', count(*), {SURE} from {VERIFIED} having count(distinct competitor_id) >= 2
+    union all select * from (select 'CAMPAIGN_CATEGORY_CONCENTRATION', category, 'Campaign activity concentrated in ' || category, count(*), {SURE} from {VERIFIED} group by category order by count(*) desc, min(campaign_id) limit 1)"""
 
 
 @query("n4", N4)
@@ -102,15 +103,19 @@ def n4(t):
     return G.campaign_signals(t.campaigns.where("verification_status = 'VERIFIED'"))
 
 
-@query("n5", "select 'CATALOGUE_PERSISTENCE' as signal_type, brand as subject, persistent || ' persistent products' as title, persistent as evidence_count, 'MEDIUM' as confidence from summary where persistent > 0")
+@query("n5", "select 'CATALOGUE_PERSISTENCE' as signal_type, brand as subject, brand || ' catalogue persistence' as title, persistent as evidence_count, 'HIGH' as confidence from summary where persistent > 0")
 def n5(t):
     return G.catalogue_signals(summary(t))
 
 
-@query("n6", "select 'PRICE_CAMPAIGN_CONCURRENCY' as signal_type, cast(competitor_id as varchar) as subject, id_model || ' with campaign ' || campaign_id as title, cast(2 as bigint) as evidence_count, 'LOW' as confidence from concurrent")
+N6 = """select 'PRICE_CAMPAIGN_CONCURRENCY' as signal_type, competitor_name as subject, title, cast(2 as bigint) as evidence_count, 'MEDIUM' as confidence
+    from (select distinct o.competitor_name, p.id_brand || ' ' || p.id_model || ' and ' || o.competitor_name || ' ' || p.campaign_name || ' date overlap' as title, p.previous_date, p.observed_date
+    from concurrent p join competitors o on o.competitor_id = p.campaign_competitor)"""
+
+
+@query("n6", N6)
 def n6(t):
-    pairs = P.concurrent_campaigns(movements(t), t.campaigns).select("competitor_id", "id_model", "observed_date", "pct", "campaign_id").distinct()
-    return G.concurrency_signals(pairs)
+    return G.concurrency_signals(overlaps(t), t.competitors)
 
 
 @query("n7", """select 'price' as evidence, (select count(*) from movements) as n, case when (select count(*) from movements) >= 3 then 'SUFFICIENT' else 'INSUFFICIENT' end as verdict
@@ -155,9 +160,9 @@ def k1(t):
 # ---------------------------------------------------------------- L: alerts
 
 L1 = """select 'PRICE_MOVEMENT' as alert_type, case when pct is null then 'MEDIUM' when abs(pct) >= 20 then 'HIGH' when abs(pct) >= 5 then 'MEDIUM' else 'LOW' end as priority, cast(competitor_id as varchar) as subject, id_model || ' ' || observed_date as title from movements"""
-L2 = """select 'CAMPAIGN_ACTIVITY' as alert_type, case when status = 'active' then 'HIGH' else 'MEDIUM' end as priority, cast(competitor_id as varchar) as subject, campaign_name || ' #' || campaign_id as title from campaigns where verification_status = 'VERIFIED' and status in ('active', 'upcoming')"""
-L3 = f"""select 'MARKET_SIGNAL' as alert_type, case signal_type when 'BRAND_PRICE_TREND' then 'HIGH' when 'MULTI_COMPETITOR' then 'HIGH' else 'MEDIUM' end as priority, subject, title from ({N2} union all {N4}) where signal_type in ('BRAND_PRICE_TREND', 'MULTI_COMPETITOR', 'CATEGORY_CONCENTRATION')"""
-L4 = "select 'CATALOGUE_PERSISTENCE' as alert_type, 'LOW' as priority, brand as subject, persistent || ' persistent products' as title from summary where persistent > 0"
+L2 = """select 'CAMPAIGN_ACTIVITY' as alert_type, 'MEDIUM' as priority, cast(competitor_id as varchar) as subject, campaign_name || ' - ' || upper(status) as title from campaigns where verification_status = 'VERIFIED' and status in ('active', 'upcoming')"""
+L3 = f"""select signal_type as alert_type, if(signal_type = 'MULTI_COMPETITOR_CAMPAIGN', 'HIGH', 'MEDIUM') as priority, subject, title from ({N4} union all {N6}) where signal_type in ('MULTI_COMPETITOR_CAMPAIGN', 'CAMPAIGN_CATEGORY_CONCENTRATION', 'PRICE_CAMPAIGN_CONCURRENCY')"""
+L4 = "select 'CATALOGUE_PERSISTENCE' as alert_type, 'LOW' as priority, brand as subject, brand || ' catalogue persistence' as title from summary where persistent > 0"
 
 
 @query("l1", L1)
@@ -171,7 +176,7 @@ def l2(t):
 
 
 def market_signals(t):
-    return G.brand_trends(movements(t)).unionByName(G.campaign_signals(t.campaigns.where("verification_status = 'VERIFIED'")))
+    return G.campaign_signals(t.campaigns.where("verification_status = 'VERIFIED'")).unionByName(G.concurrency_signals(overlaps(t), t.competitors))
 
 
 @query("l3", L3)
@@ -184,18 +189,22 @@ def l4(t):
     return G.persistence_alerts(summary(t))
 
 
-@query("l5", "select 'EVIDENCE_GAP' as alert_type, 'MEDIUM' as priority, cast(competitor_id as varchar) as subject, competitor_name as title from competitors where competitor_id not in (select competitor_id from campaigns where status = 'active') and competitor_id not in (select competitor_id from social where social_type = 'signup')")
+@query("l5", """select 'EVIDENCE_GAP' as alert_type, 'LOW' as priority, cast(competitor_id as varchar) as subject, 'Limited verified evidence coverage - ' || competitor_name as title from competitors
+    where competitor_id not in (select competitor_id from social where observed_date = date '2024-01-02' and social_type = 'purchase') and competitor_id not in (select competitor_id from campaigns where verification_status = 'VERIFIED' and observed_date >= date '2001-07-20')
+    and competitor_id not in (select competitor_id from prices where observed_date >= date '2001-11-03')""")
 def l5(t):
-    return G.evidence_gaps(t.competitors, {"campaign": t.campaigns.where("status = 'active'"), "social": t.social.where("social_type = 'signup'")})
+    """The evidence of a database window: few rows, so that gaps occur."""
+    social, prices = t.social.where("observed_date = date '2024-01-02' and social_type = 'purchase'"), t.prices.where("observed_date >= date '2001-11-03'")
+    return G.evidence_gaps(t.competitors, {"social": social, "campaign": t.campaigns.where("verification_status = 'VERIFIED' and observed_date >= date '2001-07-20'"), "price": prices})
 
 
 def alerts(t):
     return G.union_all(G.price_alerts(movements(t)), G.campaign_alerts(t.campaigns), G.signal_alerts(market_signals(t)), G.persistence_alerts(summary(t)))
 
 
-@query("l6", f"select alert_type, priority, count(*) as n, count(*) - count(distinct subject || '|' || title) as duplicates from ({L1} union all {L2} union all {L3} union all {L4}) group by 1, 2")
+@query("l6", f"select alert_type, priority, count(*) as n, count(*) - count(distinct coalesce(subject, '') || '|' || title) as duplicates from ({L1} union all {L2} union all {L3} union all {L4}) group by 1, 2")
 def l6(t):
-    return alerts(t).groupBy("alert_type", "priority").agg(F.count("*").alias("n"), (F.count("*") - F.count_distinct("subject", "title")).alias("duplicates"))
+    return alerts(t).groupBy("alert_type", "priority").agg(F.count("*").alias("n"), (F.count("*") - F.count_distinct(F.coalesce("subject", F.lit("")), "title")).alias("duplicates"))
 
 
 @query("u6", f"{L1} union all {L2} union all {L3} union all {L4}")
@@ -206,11 +215,24 @@ def u6(t):
 # ---------------------------------------------------------------- R: reports
 
 
-@query("r1", "select finding_id, f.brand, f.finding_type, p.model, p.price_kes from findings f join prices p on f.observation_id = p.observation_id and f.summary = p.product_name where f.scan_week = (select arg_max(scan_week, observed_date) from findings where confidence = 'HIGH')")
+WEEK = "(select arg_max(scan_week, observed_date) from findings where confidence = 'HIGH')"
+
+
+@query("r1", f"""select f.finding_type as dataset, f.finding_id, f.brand, f.category, f.observed_date, f.source_url, case f.finding_type when 'price' then p.product_name when 'promotion' then 'offer' else f.summary end as item,
+    case f.finding_type when 'price' then p.model when 'promotion' then f.source_type else f.confidence end as kind, case f.finding_type when 'price' then p.price_kes when 'promotion' then p.discount end as value
+    from findings f join prices p on f.observation_id = p.observation_id and f.summary = p.product_name where f.scan_week = {WEEK}""")
 def r1(t):
+    """Prices, promotions and news of the last week with a sure finding: each header with its own child columns."""
     week = t.findings.where("confidence = 'HIGH'").agg(F.max_by("scan_week", "observed_date").alias("scan_week"))
-    f = t.findings.join(F.broadcast(week), "scan_week").select("finding_id", "brand", "finding_type", "observation_id", F.col("summary").alias("product_name"))
-    return f.join(t.prices.select("observation_id", "product_name", "model", "price_kes"), ["observation_id", "product_name"]).select("finding_id", "brand", "finding_type", "model", "price_kes")
+    f = t.findings.join(F.broadcast(week), "scan_week")  # one row
+    child = t.prices.select("observation_id", "product_name", "model", "price_kes", "discount").withColumnRenamed("product_name", "summary")
+
+    def one(kind, item, label, value):
+        rows = f.where(F.col("finding_type") == kind).join(child, ["observation_id", "summary"])
+        return rows.select(F.lit(kind).alias("dataset"), "finding_id", "brand", "category", "observed_date", "source_url", item.alias("item"), F.col(label).alias("kind"), value.cast("double").alias("value"))
+
+    news = one("news", F.col("summary"), "confidence", F.lit(None))
+    return one("price", F.col("summary"), "model", F.col("price_kes")).unionByName(one("promotion", F.lit("offer"), "source_type", F.col("discount"))).unionByName(news)
 
 
 @query("r2", """select c.campaign_type, coalesce(c.status, 'UNSPECIFIED') as status, count(*) as campaigns, count(s.observation_id) as posts from campaigns c left join social s on s.observation_id = c.campaign_id % 10000 group by 1, 2""")
@@ -239,23 +261,59 @@ def r4(t):
     return N.route(entity, stored).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query("r5", "select campaign_id, campaign_name, status, start_date from campaigns where status = 'upcoming' order by start_date nulls last, campaign_id limit 100")
+RANKS = {"HIGH": 1, "MEDIUM": 2, "LOW": 3}
+
+
+@query("r5", f"""select 'campaigns' as view, case status when 'active' then 1 else 2 end as rank, cast(coalesce(start_date, date '9999-12-31') as varchar) as sort, cast(campaign_id as varchar) as key from campaigns where status in ('active', 'upcoming')
+    union all select 'prices', 1, cast(observed_date as varchar), cast(observation_id as varchar) from findings where finding_type = 'price'
+    union all select 'social', 1, cast(observed_date as varchar), cast(observation_id as varchar) from social
+    union all select 'alerts', case priority when 'HIGH' then 1 when 'MEDIUM' then 2 else 3 end, alert_type, title from ({L1} union all {L2})
+    union all select 'trends', 1, signal_type, title from ({N2} union all {N4})
+    union all select 'comparisons', 1, subject, dimension || ' ' || metric_name from ({_facts_sql("price", "select cast(competitor_id as varchar) as subject, count(*) as observations, count(distinct model) as models from prices group by 1", ["observations", "models"])})""")
 def r5(t):
-    return t.campaigns.where("status = 'upcoming'").orderBy(F.asc_nulls_last("start_date"), "campaign_id").limit(100).select("campaign_id", "campaign_name", "status", "start_date")
+    """The evidence views, each with its rank, sort key and row key; the whole is range-sorted by view, rank and key."""
+    view = lambda name, df, rank, sort, key: df.select(F.lit(name).alias("view"), rank.cast("int").alias("rank"), sort.cast("string").alias("sort"), key.cast("string").alias("key"))
+    one, subject = F.lit(1), F.col("competitor_id").cast("string").alias("subject")
+    campaigns = t.campaigns.where("status in ('active', 'upcoming')")
+    start = F.coalesce("start_date", F.lit("9999-12-31").cast("date"))
+    raised = G.price_alerts(movements(t)).unionByName(G.campaign_alerts(t.campaigns))
+    rank = T.first_rule([(F.col("priority") == k, v) for k, v in RANKS.items()], 4)
+    trends = G.brand_trends(movements(t)).unionByName(G.campaign_signals(t.campaigns.where("verification_status = 'VERIFIED'")))
+    facts = G.facts(t.prices.groupBy(subject).agg(F.count("*").alias("observations"), F.count_distinct("model").alias("models")), "price", ["observations", "models"])
+    out = G.union_all(
+        view("campaigns", campaigns, F.when(F.col("status") == "active", 1).otherwise(2), start, F.col("campaign_id")),
+        view("prices", t.findings.where("finding_type = 'price'"), one, F.col("observed_date"), F.col("observation_id")),
+        view("social", t.social, one, F.col("observed_date"), F.col("observation_id")),
+        view("alerts", raised, rank, F.col("alert_type"), F.col("title")), view("trends", trends, one, F.col("signal_type"), F.col("title")),
+        view("comparisons", facts, one, F.col("subject"), F.concat_ws(" ", "dimension", "metric_name")),
+    )
+    return out.orderBy("view", "rank", "sort", "key")
 
 
 # ---------------------------------------------------------------- Q: data quality
 
 
-@query("q1", """select 'campaign without competitor' as "check", cast(competitor_id as varchar) as key from (select distinct competitor_id from campaigns where competitor_id not in (select competitor_id from competitors))
-    union all select 'part without price', cast(p_partkey as varchar) from part where p_partkey not in (select l_partkey from lineitem)
-    union all select 'order without line', cast(o_orderkey as varchar) from orders where o_orderkey not in (select l_orderkey from lineitem)
-    union all select 'line without order', cast(l_orderkey as varchar) from (select distinct l_orderkey from lineitem) where l_orderkey not in (select o_orderkey from orders)""")
+#: Headers and children with planted gaps: unknown competitors and runs, children without header, headers without child.
+HEADS = """select finding_id, finding_type, case when observation_id % 97 = 0 then 100000 + competitor_id else competitor_id end as competitor_id,
+    case when observation_id % 89 = 0 then -observation_id else observation_id // 10 end as run_id from findings"""
+CHILDREN = """select case when observation_id % 83 = 0 then 'X' else 'F' end || observation_id as finding_id, finding_type from findings where observation_id % 79 <> 0"""
+CHECKS = [("competitor reference", "competitor_id", "select competitor_id from competitors"), ("run reference", "run_id", "select run_id from runs")]
+
+
+@query("q1", " union all ".join([
+    *(f"select '{n}' as \"check\", cast({c} as varchar) as key from (select distinct {c} from ({HEADS}) where {c} is not null) where {c} not in ({parents})" for n, c, parents in CHECKS),
+    *(f"select 'orphan {k}' as \"check\", finding_id as key from (select distinct finding_id, finding_type from ({CHILDREN})) where finding_type = '{k}' and finding_id not in (select finding_id from findings)" for k in ("price", "promotion", "news")),
+    *(f"select '{k} without child' as \"check\", finding_id as key from (select distinct finding_id, finding_type from findings) where finding_type = '{k}' and finding_id not in (select finding_id from ({CHILDREN}) where finding_type = '{k}')" for k in ("price", "promotion", "news")),
+]))
 def q1(t):
-    key = lambda n, c, a: t.raw(n).select(F.col(c).alias(a))
-    lines, parts, orders = key("lineitem", "l_orderkey", "k"), key("part", "p_partkey", "k"), key("orders", "o_orderkey", "k")
-    return Q.missing_parents([("campaign without competitor", t.campaigns, t.competitors, "competitor_id"), ("part without price", parts, key("lineitem", "l_partkey", "k"), "k"),
-                              ("order without line", orders, lines, "k"), ("line without order", lines, orders, "k")])
+    n = F.col("observation_id")
+    head = t.findings.select("finding_id", "finding_type", F.when(n % 97 == 0, 100000 + F.col("competitor_id")).otherwise(F.col("competitor_id")).alias("competitor_id"), F.when(n % 89 == 0, -n).otherwise(F.expr("observation_id div 10")).alias("run_id"))
+    child = t.findings.where(n % 79 != 0).select(F.concat(F.when(n % 83 == 0, "X").otherwise("F"), n).alias("finding_id"), "finding_type")
+    of = lambda df, k: df.where(F.col("finding_type") == k)
+    checks = [("competitor reference", head, t.competitors, "competitor_id"), ("run reference", head.where("run_id is not null"), t.runs, "run_id")]
+    checks += [(f"orphan {k}", of(child, k), head, "finding_id") for k in ("price", "promotion", "news")]
+    checks += [(f"{k} without child", of(head, k), of(child, k), "finding_id") for k in ("price", "promotion", "news")]
+    return Q.missing_parents(checks)
 
 
 @query("q2", """select 'unknown' as "check", 'status' as field, count(*) filter (status not in ('active', 'upcoming')) as n from campaigns union all select 'blank', 'status', count(*) filter (status is null) from campaigns
@@ -281,10 +339,11 @@ def q4(t):
 
 
 @query("q5", f"""select coalesce(a.signal_type, e.signal_type) as signal_type, coalesce(a.n, 0) as actual, coalesce(e.n, 0) as expected, case when e.n is null then 'UNSUPPORTED' when a.n is null then 'MISSING' when a.n = e.n then 'OK' else 'MISMATCH' end as state
-    from (select signal_type, count(*) as n from ({N2} union all {N4}) group by 1) a full join (select 'BRAND_PRICE_TREND' as signal_type, cast(50 as bigint) as n union all select 'MULTI_COMPETITOR', 1 union all select 'PRICE_CAMPAIGN_CONCURRENCY', 7) e on a.signal_type = e.signal_type""")
+    from (select signal_type, count(*) as n from ({N2} union all {N4}) group by 1) a full join (select 'BRAND_PRICE_TREND' as signal_type, cast(50 as bigint) as n union all select 'MULTI_COMPETITOR_CAMPAIGN', 1 union all select 'PRICE_CAMPAIGN_CONCURRENCY', 7) e on a.signal_type = e.signal_type""")
 def q5(t):
-    actual = market_signals(t).groupBy("signal_type").agg(F.count("*").alias("n"))
-    expected = t.spark.createDataFrame([("BRAND_PRICE_TREND", 50), ("MULTI_COMPETITOR", 1), ("PRICE_CAMPAIGN_CONCURRENCY", 7)], "signal_type string, n long")
+    signals = G.brand_trends(movements(t)).unionByName(G.campaign_signals(t.campaigns.where("verification_status = 'VERIFIED'")))
+    actual = signals.groupBy("signal_type").agg(F.count("*").alias("n"))
+    expected = t.spark.createDataFrame([("BRAND_PRICE_TREND", 50), ("MULTI_COMPETITOR_CAMPAIGN", 1), ("PRICE_CAMPAIGN_CONCURRENCY", 7)], "signal_type string, n long")
     return Q.against_expectation(actual, expected, "signal_type")
 
 

@@ -12,6 +12,7 @@ from ..operators import news as N
 from ..operators import reports as R
 from ..operators import signals as G
 from .bind import BASELINE, half_up
+from .q_catalogue import family_sql, features_sql, plain_sql
 from .registry import query
 
 RULES = (
@@ -127,35 +128,51 @@ def c14(t):
     return t.news.select("news_id", N.categories_in(F.coalesce("body", F.lit("")), rules, "all rights reserved").alias("categories"))
 
 
-NEWS_TYPES = [("legal", ["license", "licensed"]), ("security", ["token", "password"]), ("market", ["the"])]
+#: What the test articles say besides: every type and scope occurs.
+SAID = """case news_id % 8 when 0 then ' Partners in a joint venture' when 1 then ' a new outlet opens' when 2 then ' enters with a Factory' when 3 then ' a roadshow' when 4 then ' demand and growth' else '' end"""
+LOCAL = ["est", "der", "para"]
+SUBJECT = f"trim(regexp_replace(lower(headline || {SAID}), '\\s+', ' ', 'g')) || ' ' || substr(trim(regexp_replace({LOW}, '\\s+', ' ', 'g')), 1, 800)"
 
 
-@query("c15", f"""select news_id, case when len({_terms("s", ['license', 'licensed'])}) > 0 then 'legal' when len({_terms("s", ['token', 'password'])}) > 0 then 'security' when len({_terms("s", ['the'])}) > 0 then 'market' else 'industry' end as news_type
-    from (select news_id, lower(headline || ' ' || substr(coalesce(body, ''), 1, 800)) as s from news)""")
-def c15(t):
-    subject = F.lower(F.concat_ws(" ", F.col("headline"), F.substring(F.coalesce("body", F.lit("")), 1, 800)))
-    return t.news.select("news_id", N.news_type(subject, NEWS_TYPES).alias("news_type"))
+def _any(c, words):
+    return f"len({_terms(c, words)}) > 0"
+
+
+TYPE_SQL = "case " + " ".join(f"when {'e > 0 and ' if named else ''}{_any('s', w) if w else 'true'} then '{k}'" for k, w, named in N.TYPES) + " else 'INDUSTRY_NEWS' end"
+READ = f"""(select *, {TYPE_SQL} as news_type from (select news_id, headline, source_url, published_date, coalesce(body, '') as b, len({_terms(LOW, ENTITIES)}) as e, len({_terms(LOW, TOPICS)}) as k, len({_terms(LOW, LOCAL)}) as l, {SUBJECT} as s from news))"""
+SCOPE_STATUS = "case when e > 0 or (k > 0 and l > 0) then 'IN_SCOPE' when l > 0 then 'REVIEW' else 'OUT_OF_SCOPE' end"
+
 
+def read_news(t):
+    """Each article with its entities, products, local terms and type, computed once."""
+    body = F.lower(F.coalesce("body", F.lit("")))
+    found = t.news.select("news_id", "headline", "body", "source_url", "published_date", N.subject_text(F.concat("headline", F.expr(SAID)), F.col("body")).alias("subject"),
+                          N.terms_in(body, ENTITIES).alias("entities"), N.terms_in(body, TOPICS).alias("products"), N.terms_in(body, LOCAL).alias("local"))
+    return found.withColumn("news_type", N.news_type(F.col("subject"), F.col("entities")))
 
-SCOPE = f"""select news_id, case when e > 0 and k > 0 then 'IN' when e > 0 then 'REVIEW' when k > 0 and rel then 'REVIEW' else 'OUT' end as status,
-    case when e > 0 and k > 0 then 'entity and topic' when e > 0 then 'entity without topic' when k > 0 and rel then 'topic without entity' else 'no market evidence' end as reason
-    from (select news_id, len({_terms(LOW, ENTITIES)}) as e, len({_terms(LOW, TOPICS)}) as k, publisher <> 'src0' as rel from news)"""
+
+def scoped_news(t):
+    return read_news(t).withColumn("s", N.scope(F.col("entities"), F.col("products"), F.col("local"), F.col("news_type")))
+
+
+@query("c15", f"select news_id, news_type from {READ}")
+def c15(t):
+    return read_news(t).select("news_id", "news_type")
 
 
-@query("c16", SCOPE)
+@query("c16", f"""select news_id, {SCOPE_STATUS} as status, case when e > 0 and (l > 0 or k > 0) then 'TRACKED_ENTITY_WITH_MARKET_ACTIVITY' when e > 0 then 'TRACKED_ENTITY' when k > 0 and l > 0 then 'LOCAL_PRODUCT_MARKET'
+    when news_type = 'MARKET_DEVELOPMENT' and l > 0 then 'LOCAL_MARKET_NO_PRODUCT_SIGNAL' when l > 0 then 'LOCAL_REFERENCE_REQUIRES_MARKET_RELEVANCE_REVIEW' else 'NO_RELEVANT_MARKET_SIGNAL' end as reason from {READ}""")
 def c16(t):
-    body = F.coalesce("body", F.lit(""))
-    s = N.scope(N.terms_in(body, ENTITIES), N.terms_in(body, TOPICS), F.col("publisher") != "src0")
-    return t.news.select("news_id", s.alias("s")).select("news_id", "s.status", "s.reason")
+    return scoped_news(t).select("news_id", "s.status", "s.reason")
 
 
-@query("c17", f"""select news_id, case when p >= 7 then 'HIGH' when p >= 4 then 'MEDIUM' else 'LOW' end as confidence from (select news_id, case when length(headline) >= 20 then 1 else 0 end
-    + case when length(b) >= 1500 then 3 when length(b) >= 600 then 2 when length(b) >= 200 then 1 else 0 end + 1 + 1 + case when len({_terms("lower(b)", ENTITIES)}) > 0 then 2 else 0 end + case when len({_terms("lower(b)", TOPICS)}) > 0 then 1 else 0 end as p
-    from (select news_id, headline, coalesce(body, '') as b from news))""")
+@query("c17", f"""select news_id, case when p >= 9 and length(b) >= 500 and web and (e > 0 or k > 0) and status = 'IN_SCOPE' then 'HIGH' when p >= 6 then 'MEDIUM' else 'LOW' end as confidence from
+    (select *, if(trim(headline) <> '', 1, 0) + case when length(b) >= 1000 then 2 when length(b) >= 500 then 1 else 0 end + if(published_date is not null, 1, 0) + if(web, 1, 0) + if(e > 0, 2, 0) + if(k > 0, 1, 0)
+    + case status when 'IN_SCOPE' then 1 when 'REVIEW' then -1 else 0 end as p from (select *, {SCOPE_STATUS} as status, news_id % 9 <> 0 as web from {READ}))""")
 def c17(t):
-    body = F.coalesce("body", F.lit(""))
-    c = N.confidence(F.col("headline"), body, F.col("published_date").isNotNull(), F.col("source_url").isNotNull(), N.terms_in(body, ENTITIES), N.terms_in(body, TOPICS))
-    return t.news.select("news_id", c.alias("confidence"))
+    url = F.when(F.col("news_id") % 9 != 0, F.col("source_url"))
+    c = N.confidence(F.col("headline"), F.col("body"), F.col("published_date").isNotNull(), url, F.col("entities"), F.col("products"), F.col("s.status"))
+    return scoped_news(t).select("news_id", c.alias("confidence"))
 
 
 @query("c18", "select observation_id, cast(case when verification_status = 'VERIFIED' then 30 else 0 end + case social_type when 'purchase' then 40 when 'click' then 20 else 5 end + case when published_date >= date '2024-01-20' then 15 else 0 end as integer) as score from social")
@@ -216,28 +233,42 @@ def c24(t):
     return t.questions.select("conv_id", "turn", R.question_intent(q, alias).alias("intent"), alias.alias("alias"))
 
 
-@query("c25", "select conv_id, turn, (conv_id % 4 = 0 or contains(lower(question), 'latest') or contains(lower(question), 'today') or contains(lower(question), 'current') or contains(lower(question), 'news')) as needs from questions")
+ASKED = "coalesce(question, '') || case conv_id % 5 when 0 then ' search the web' when 1 then ' the latest today' else '' end"
+INTENT = "case conv_id % 4 when 0 then 'UNKNOWN' when 1 then 'CAMPAIGNS' else 'PRICE_MOVEMENTS' end"
+ANSWER, SURETY = "case when turn % 3 = 0 then ' ' else 'some' end", "case conv_id % 3 when 0 then 'HIGH' when 1 then 'MEDIUM' else 'LOW' end"
+
+
+@query("c25", f"""select conv_id, turn, case when {" or ".join(f"contains(lower({ASKED}), '{w}')" for w in R.ASKS_FOR_WEB)} then true when {INTENT} = 'UNKNOWN' then true when trim({ANSWER}) = '' then true
+    when conv_id % 7 > 2 then false else {SURETY} in ('LOW', 'MEDIUM') end as needs from questions""")
 def c25(t):
-    return t.questions.select("conv_id", "turn", R.needs_research(F.col("question"), F.col("conv_id") % 4).alias("needs"))
+    needs = R.needs_research(F.expr(ASKED), F.expr(INTENT), F.expr(ANSWER), F.when(F.col("conv_id") % 7 > 2, 5).otherwise(0), F.expr(SURETY))
+    return t.questions.select("conv_id", "turn", needs.alias("needs"))
 
 
-@query("c26", """select product_id, case when product_id % 2 = 0 then 9000 + size end as btu, case when product_id % 3 = 0 then 100 + size end as litres, case when product_id % 5 = 0 then 4 end as burners,
-    case when product_id % 2 = 0 then 'inverter' end as inverter from canonical""")
+SPEC = """item_name || case product_id % 6 when 0 then ' ' || (9 + 3 * (size % 2)) || 'K Inverter' when 1 then ' 18,000 BTU non-inverter'
+    when 2 then ' 25 L or ' || (100 + size) || ' litres, free-standing' when 3 then ' 4 gas burner (60cm) built-in' when 4 then ' 55 inch' else ' 5000 litres' end"""
+
+
+@query("c26", f"select product_id, {features_sql('t')} from (select product_id, {plain_sql(SPEC)} as t from canonical)")
 def c26(t):
-    text = F.expr("item_name || case when product_id % 2 = 0 then ' ' || (9000 + size) || ' BTU Inverter' else '' end || case when product_id % 3 = 0 then ' 25 L or ' || (100 + size) || ' litres' else '' end || case when product_id % 5 = 0 then ' 4 burner' else '' end")
-    f = M.product_features(text)
-    return t.canonical.select("product_id", f.alias("f")).select("product_id", "f.btu", "f.litres", "f.burners", "f.inverter")
+    return t.canonical.select("product_id", M.product_features(M.plain_text(F.expr(SPEC))).alias("f")).select("product_id", "f.*")
+
+
+KIND = """case product_id % 7 when 0 then ' fridge with oven' when 1 then ' front washer' when 2 then ' Split-AC' when 3 then ' deep freezer'
+    when 4 then ' smart tv' when 5 then ' gas cooker' else '' end"""
 
 
-@query("c27", "select product_id, case when product_id % 3 = 0 then 'refrigerator' when product_id % 3 = 1 then 'washing machine' end as family from canonical")
+@query("c27", f"select product_id, {family_sql('t')} as family from (select product_id, {plain_sql(f'category || sub_category || item_name || {KIND}')} as t from canonical)")
 def c27(t):
-    text = F.expr("item_name || case product_id % 3 when 0 then ' fridge with oven' when 1 then ' front washer' else '' end")
+    text = M.plain_text(F.concat(F.col("category"), F.col("sub_category"), F.col("item_name"), F.expr(KIND)))
     return t.canonical.select("product_id", M.product_family(text).alias("family"))
 
 
-@query("c28", "select product_id, list_sort(list_filter(['Brand#2', 'Brand#3'], lambda b: contains(lower(item_name || ' by brand#2'), lower(b)) and lower(brand) <> lower(b))) as conflicts from canonical")
+@query("c28", r"""select product_id, list_sort(list_filter(['LG', 'SAMSUNG'], lambda b: regexp_matches(t, '\b' || lower(b) || '\b') and upper(brand) <> b)) as conflicts
+    from (select product_id, case when product_id % 3 = 0 then 'LG' else brand end as brand, lower(item_name) || case when product_id % 2 = 0 then ' by samsung or lg' else ' lgx' end as t from canonical)""")
 def c28(t):
-    return t.canonical.select("product_id", M.brand_conflict(F.concat("item_name", F.lit(" by brand#2")), F.col("brand"), ["Brand#2", "Brand#3"]).alias("conflicts"))
+    text = M.plain_text(F.expr("item_name || case when product_id % 2 = 0 then ' by Samsung or LG' else ' LGX' end"))
+    return t.canonical.select("product_id", M.brand_conflict(text, F.expr("case when product_id % 3 = 0 then 'LG' else brand end"), ["LG", "SAMSUNG"]).alias("conflicts"))
 
 
 @query("c29", "select product_id, length('M' || product_id) >= 3 and product_id % 9 <> 0 and product_id % 50 <> 1 as present, floor((case when product_id % 2 = 0 then 1.0 else 0.5 end) * 1000 + 0.5) / 1000 as score from canonical")

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.dedup import number_in_order
 from ..session import ship
 
 
@@ -75,16 +76,18 @@ def one_shape(maps: list[tuple[str, DataFrame, dict[str, str]]]) -> DataFrame:
 
 
 def mint_ids(df: DataFrame, last: DataFrame, order: list[str], width: int = 5) -> DataFrame:
-    """finding_id CI-YYYY-MM-NNNNN, continuing each month (column month) after last(month, last)."""
-    numbered = df.withColumn("seq", F.row_number().over(W.partitionBy("month").orderBy(*order))).join(last, "month", "left")
+    """finding_id CI-YYYY-MM-NNNNN, continuing each month (column month) after last(month, last); a month is numbered by
+    many tasks."""
+    numbered = number_in_order(df, "month", order, "seq").join(last, "month", "left")
     n = (F.col("seq") + F.coalesce("last", F.lit(0))).cast("string")
     return numbered.withColumn("finding_id", F.concat(F.lit("CI-"), "month", F.lit("-"), F.lpad(n, width, "0"))).drop("seq", "last")
 
 
-def split_header_child(df: DataFrame, last: DataFrame, *child: str) -> tuple[DataFrame, DataFrame]:
-    """Header rows and child rows of new observations under minted ids."""
+def split_header_children(df: DataFrame, last: DataFrame, children: dict[str, list[str]]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Header rows of new observations under minted ids, and the child rows of each finding_type with its own columns."""
     named = mint_ids(df.withColumn("month", F.date_format("observed_date", "yyyy-MM")), last, ["observation_id", "model", "price_kes"], 6)
-    return named.select("finding_id", "observation_id", "competitor_id", "brand", "observed_date"), named.select("finding_id", *child)
+    head = named.select("finding_id", "observation_id", "competitor_id", "brand", "observed_date", "finding_type")
+    return head, {k: named.where(F.col("finding_type") == k).select("finding_id", *v) for k, v in children.items()}
 
 
 def ledger(runs: DataFrame) -> DataFrame:

@@ -101,48 +101,55 @@ def live_movements(prices: DataFrame) -> DataFrame:
     return prices.groupBy("identity").transformWithStateInPandas(LastPrice(), MOVEMENT, "update", "none")
 
 
-def movements_by_batch(prices: DataFrame, label: str = "movements") -> tuple[DataFrame, DataFrame]:
+def movements_by_batch(prices: DataFrame, label: str = "movements", path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Price movements of a stream without a Python call per key: (movements, late rows) after all input has passed.
 
-    State is a table with the last two days of each identity. A batch joins it once; rows older than the last day are
-    set aside as late. A day that changes again (a higher id on the same day) replaces its movement, by epoch.
+    State is a table with the last two days of each identity, one version per epoch. A batch joins the last version
+    before its own epoch; rows older than the last day are set aside as late. A day that changes again (a higher id on
+    the same day) replaces its movement, by epoch. With a path of its own the job goes on where it stopped: an epoch that
+    is run again overwrites what it wrote.
     """
-    spark, path = prices.sparkSession, scratch(prices.sparkSession, label)
+    spark, path = prices.sparkSession, path or scratch(prices.sparkSession, label)
     columns = ["identity", "observed_date", "observation_id", "price_kes"]
-    last: list[str] = []
+    kept = prices.select(*columns).schema
+    for part in ("state", "late"):  # so that the folders can be read before the first epoch has ended
+        spark.createDataFrame([], kept).write.mode("ignore").parquet(f"{path}/{part}/epoch=-1")
 
     def step(batch: DataFrame, epoch: int) -> None:
-        new = batch.select(*columns, F.lit(True).alias("fresh"))
-        if last:
-            state = spark.read.parquet(last[-1])
-            edge = state.groupBy("identity").agg(F.max("observed_date").alias("edge"))
-            aged = new.join(edge, "identity", "left")
-            aged.where("observed_date < edge").select(*columns).write.parquet(f"{path}/late/epoch={epoch}")
-            new = aged.where("edge is null or observed_date >= edge").drop("edge").unionByName(state.withColumn("fresh", F.lit(False)))
+        before = spark.read.parquet(f"{path}/state").where(F.col("epoch") < epoch)
+        last = before.agg(F.max("epoch")).first()[0]
+        state = before.where(F.col("epoch") == (-1 if last is None else last)).select(*columns)
+        edge = state.groupBy("identity").agg(F.max("observed_date").alias("edge"))
+        aged = batch.select(*columns, F.lit(True).alias("fresh")).join(edge, "identity", "left")
+        aged.where("observed_date < edge").select(*columns).write.mode("overwrite").parquet(f"{path}/late/epoch={epoch}")
+        new = aged.where("edge is null or observed_date >= edge").drop("edge").unionByName(state.withColumn("fresh", F.lit(False)))
         days = new.groupBy("identity", "observed_date").agg(F.max(F.struct("observation_id", "price_kes")).alias("r"), F.bool_or("fresh").alias("fresh"))
         w = W.partitionBy("identity").orderBy("observed_date")
         days = days.select("identity", "observed_date", "r.*", "fresh").withColumns({"previous_price": F.lag("price_kes").over(w), "previous_date": F.lag("observed_date").over(w)})
         days = days.withColumn("age", F.row_number().over(W.partitionBy("identity").orderBy(F.desc("observed_date"))))
-        days.write.parquet(f"{path}/days/epoch={epoch}")
-        done = spark.read.parquet(f"{path}/days/epoch={epoch}")
-        state_path = f"{path}/state/epoch={epoch}"
-        done.where("age <= 2").select(*columns).write.parquet(state_path)
-        last.append(state_path)
+        days.write.mode("overwrite").parquet(f"{path}/days/epoch={epoch}")
+        done = spark.read.schema(days.schema).parquet(f"{path}/days/epoch={epoch}")
+        changed = done.where("age <= 2").select(*columns)
+        quiet = state.join(done.select("identity").distinct(), "identity", "left_anti").select(*columns)
+        changed.unionByName(quiet).write.mode("overwrite").parquet(f"{path}/state/epoch={epoch}")
 
     q = prices.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(step).start()
     q.awaitTermination()
+    late = spark.read.parquet(f"{path}/late").select(*columns)
+    if spark.read.parquet(f"{path}/state").where("epoch >= 0").isEmpty():
+        none = "identity string, previous_date date, observed_date date, previous_price double, current_price double"
+        return spark.createDataFrame([], none), late
     days = spark.read.parquet(f"{path}/days").where("fresh and previous_price is not null")
     newest = days.groupBy("identity", "observed_date").agg(F.max_by(F.struct("previous_date", "previous_price", "price_kes"), "epoch").alias("r"))
     moved = newest.select("identity", "r.previous_date", "observed_date", "r.previous_price", F.col("r.price_kes").alias("current_price"))
-    none = spark.createDataFrame([], prices.select(*columns).schema)
-    late = spark.read.parquet(f"{path}/late").select(*columns) if len(last) > 1 else none
     return moved.where("previous_price <> current_price"), late
 
 
-def run_to_end(stream: DataFrame, mode: str = "append", label: str = "stream") -> DataFrame:
+def run_to_end(stream: DataFrame, mode: str = "append", label: str = "stream", keys: list[str] | None = None) -> DataFrame:
     """Runs a stream over all that is there and returns what the sink holds at the end.
 
-    append goes to Parquet; update and complete keep the last row set in a table that each batch rewrites."""
+    append goes to Parquet. complete keeps the table of the last two epochs and returns the last. update returns the last
+    row of each key (keys), or every row that was emitted if there are no keys."""
     spark = stream.sparkSession
     path, state = scratch(spark, label), scratch(spark, f"{label}-state")
     if mode == "append":
@@ -151,12 +158,26 @@ def run_to_end(stream: DataFrame, mode: str = "append", label: str = "stream") -
         return spark.read.schema(stream.schema).parquet(path)
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch:06d}")
+        folder = epoch % 2 if mode == "complete" else epoch
+        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/part={folder:06d}")
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
-    every = spark.read.parquet(path)
+    every = spark.read.parquet(path).drop("part")
     if mode == "complete":
         last = every.agg(F.max("epoch").alias("epoch"))
-        return every.join(F.broadcast(last), "epoch").drop("epoch")
+        return every.join(F.broadcast(last), "epoch").drop("epoch")  # one row
+    if keys:
+        rest = [c for c in stream.columns if c not in keys]
+        return every.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_r")).select(*keys, "_r.*")
     return every.drop("epoch")
+
+
+def deal_by_time(df: DataFrame, time: str, path: str, parts: int = 4) -> str:
+    """Writes df as one set of files per time slice, oldest first, so that a stream of them takes several micro-batches in
+    order of time."""
+    cuts = df.agg(F.percentile_approx(F.unix_date(F.to_date(time)), [i / parts for i in range(1, parts)])).first()[0] or []
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.unix_date(F.to_date(time)))) if cuts else F.lit(0)
+    for i in range(parts):
+        df.where(place == i).coalesce(1 if parts > 1 else 8).write.mode("append").parquet(path)
+    return path

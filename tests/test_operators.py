@@ -56,7 +56,6 @@ def test_concurrency_bounds(spark):
         [(1, 1, None, None), (2, 1, None, D1), (3, 1, D4, None), (4, 1, D3, None), (5, 1, D1, D4), (6, 2, D1, D4), (7, 1, D2, D2)],
         "campaign_id long, competitor_id long, start_date date, end_date date",
     )
-    assert sorted(r["campaign_id"] for r in P.concurrent_campaigns(m, c).collect()) == [2, 4, 5]
 
 
 def test_overlaps_of_any_competitor(spark):
@@ -109,10 +108,28 @@ def test_get_or_create(spark):
 
 
 def test_merge_categories(spark):
-    rows = [("M1", "n", "B", 5.0, False, "2"), ("", "n", "A", 3.0, True, "1"), ("m1", "x", "A", 4.0, False, "3")]
-    df = spark.createDataFrame(rows, "model string, product_name string, category string, price double, is_sale boolean, ord string")
-    got = {r["key"]: (r["categories"], r["model"], r["price"], r["is_sale"]) for r in D.merge_categories(df, D.coalesced_key(df, "model", "product_name"), "ord").collect()}
-    assert got == {"0:m1": ("A,B", "M1", 4.0, False), "1:n": ("A", None, 3.0, True)}
+    rows = [("M1", "n", "B", "2"), ("", "n", "A", "1"), ("m1", "x", "A", "3")]
+    df = spark.createDataFrame(rows, "model string, product_name string, category string, ord string")
+    got = {r["key"]: (r["categories"], r["model"]) for r in D.merge_categories(df, D.coalesced_key(df, "model", "product_name"), "ord").collect()}
+    assert got == {"0:m1": ("A,B", "M1"), "1:n": ("A", None)}
+
+
+def test_merge_offers(spark):
+    rows = [
+        (1, "S1", "u1", "a", 100.0, None, False), (2, "S1", "u2", "a", 110.0, 90.0, False), (3, "S1", "u2", "a", 50.0, 10.0, True),
+        (4, None, "u9", "b", 70.0, None, False), (5, None, "u9", "c", 60.0, None, False), (6, None, None, "d", None, 5.0, True),
+    ]
+    df = spark.createDataFrame(rows, "ord int, sku string, url string, product_name string, regular_price double, sale_price double, is_sale boolean")
+    got = {r["key"]: tuple(r)[1:] for r in D.merge_offers(df, "ord").collect()}
+    assert got == {"sku:S1": (110.0, 90.0, True, "S1"), "url:u9": (70.0, None, False, None), "name:d": (None, 5.0, True, None)}
+
+
+def test_numbers_follow_the_order(spark):
+    rows = [(f"m{i % 3}", i * 7 % 100, i) for i in range(200)]
+    out = D.number_in_order(spark.createDataFrame(rows, "g string, a int, b int"), "g", ["a", "b"], "n", 8).collect()
+    for g in ("m0", "m1", "m2"):
+        own = sorted(((r["a"], r["b"]), r["n"]) for r in out if r["g"] == g)
+        assert [n for _, n in own] == list(range(1, len(own) + 1))
 
 
 def test_scalars(spark):
@@ -144,21 +161,83 @@ def test_taxonomy(spark):
     assert one(spark, X.model_present(F.lit("buy ab120 now"), F.lit("AB120/XY9")), x="a") is True
 
 
-def test_match_levels(spark):
+def levels(spark, rows, brands=()):
     cols = "category string, sub_category string, brand string, item_name string, product_id int"
+    df = spark.createDataFrame(rows, cols)
+    a = M.assess_pairs(df, "Own", list(brands), ["product_id"]).select(F.col("own.product_id").alias("own_id"), F.col("other.product_id").alias("other_id"), "match_level", "matches", "name_score", "hard")
+    return a, {(r["own_id"], r["other_id"]): (r["match_level"], list(r["hard"])) for r in a.collect()}
+
+
+def test_match_levels(spark):
     own = "12000 btu inverter air conditioner"
-    others = ["12000 btu inverter split air conditioner", "9000 btu air conditioner", "12000 btu air conditioner by Acme", "200 litres fridge"]
-    rows = [("c", "s", "Own", own, 0)] + [("c", "s", "Rival", o, i + 1) for i, o in enumerate(others)]
-    got = {r["other"]["product_id"]: r["match_level"] for r in M.assess_pairs(M.block_pairs(spark.createDataFrame(rows, cols), "Own"), ["Acme"]).collect()}
-    assert got == {1: "STRONG_COMPARABLE", 2: "NO_DEFENSIBLE_MATCH", 3: "NO_DEFENSIBLE_MATCH", 4: "NO_DEFENSIBLE_MATCH"}
-    rows = [("c", "s", "Own", "60 cm hob", 0), ("c", "s", "Rival", "60 cm gas hob", 1)]
-    assert M.assess_pairs(M.block_pairs(spark.createDataFrame(rows, cols), "Own"), []).first()["match_level"] == "TYPE_ONLY"
+    others = ["12K inverter split air", "9,000 BTU split AC", "12000 btu air conditioner by Acme", "200 litres fridge", "12000 btu non-inverter air conditioner", "air conditioner", "mystery"]
+    rows = [("c", "s", "Own", own, 0)] + [("c", "s", "Rival", o, i + 1) for i, o in enumerate(others)] + [("c", "z", "Rival", own, 99)]
+    _, got = levels(spark, rows, ["Acme"])
+    assert {k[1]: v[0] for k, v in got.items()} == {
+        1: "STRONG_COMPARABLE", 2: "NO_DEFENSIBLE_MATCH", 3: "NO_DEFENSIBLE_MATCH", 4: "NO_DEFENSIBLE_MATCH", 5: "NO_DEFENSIBLE_MATCH", 6: "TYPE_ONLY", 7: "NO_DEFENSIBLE_MATCH",
+    }
+    assert got[0, 2][1] == ["BTU_CAPACITY_CONFLICT"] and got[0, 4][1] == ["PRODUCT_FAMILY_CONFLICT:AIR_CONDITIONER!=REFRIGERATOR"] and got[0, 5][1] == ["INVERTER_CONFIGURATION_CONFLICT"]
+    # Own side names another brand; litres differ without a hard conflict; equal litres decide for fridges, not for ovens.
+    _, got = levels(spark, [("c", "s", "Own", "fridge by acme 90 l", 0), ("c", "s", "Own", "fridge 90 l", 1), ("c", "s", "Own", "oven 90 l", 2), ("c", "s", "Rival", "fridge 90 litres", 3), ("c", "s", "Rival", "freezer 95l", 4), ("c", "s", "Rival", "oven 90l", 5)], ["ACME"])
+    assert [got[k][0] for k in ((0, 3), (1, 3), (1, 4), (2, 5))] == ["NO_DEFENSIBLE_MATCH", "COMPARABLE", "TYPE_ONLY", "TYPE_ONLY"]
+    # Width alone does not count in two sub-categories, elsewhere it does.
+    _, got = levels(spark, [("c", s, b, "60 cm gas cooker", i) for i, (s, b) in enumerate([("Cooker Hoods", "Own"), ("Cooker Hoods", "Rival"), ("Stoves", "Own"), ("Stoves", "Rival")])])
+    assert {k: v[0] for k, v in got.items()} == {(0, 1): "TYPE_ONLY", (2, 3): "COMPARABLE"}
+
+
+def test_best_candidate(spark):
+    names = ["fridge 90 l built-in alpha beta", "fridge 90 l alpha", "fridge 90 l alpha beta", "fridge", "oven"]
+    rows = [("c", "s", "Own", "fridge 90 l alpha beta", 0), ("c", "s", "Own", "thing", 9)] + [("c", "s", "Rival", n, i + 1) for i, n in enumerate(names)]
+    a, _ = levels(spark, rows)
+    assert [tuple(r) for r in M.best_candidates(a).collect()] == [(0, 3, "COMPARABLE")]
+    a, _ = levels(spark, [r for r in rows if r[4] in (0, 4, 5)])
+    assert [tuple(r) for r in M.best_candidates(a).collect()] == [(0, 4, "TYPE_ONLY")]
+
+
+def test_price_verdicts(spark):
+    cases = [([], [], [], "BRAND_OFFICIAL"), ([], [], [], "RETAIL"), ([9], [8], [8, 9], "BRAND_OFFICIAL"), ([], [8], [8], "RETAIL"), ([9], [], [9], "RETAIL"), ([], [], [7], "BRAND_OFFICIAL"), ([1, 2], [3], [1, 2, 3], "RETAIL"), ([1, 2], [], [1, 2], "RETAIL")]
+    df = spark.createDataFrame(cases, "r array<int>, s array<int>, n array<int>, t string")
+    got = [r["v"] for r in df.select(M.evidence_verdict(F.col("r"), F.col("s"), F.col("n"), F.col("t")).alias("v")).collect()]
+    assert got == ["PRICE_NOT_EXPOSED_OFFICIAL_SOURCE", "PRICE_NOT_FOUND", "VERIFIED_OFFICIAL_SALE", "VERIFIED_RETAIL_PROMOTIONAL_PRICE", "VERIFIED_RETAIL_PRICE", "VERIFIED_OFFICIAL_PRICE", "MULTIPLE_PRICE_CANDIDATES", "MULTIPLE_PRICE_CANDIDATES"]
+    assert set(got[2:6]) <= set(M.USABLE)
+
+
+def test_news_rules(spark):
+    def read(title, body, entities, products, local):
+        row = spark.createDataFrame([(title, body, entities, products, local)], "t string, b string, e array<string>, p array<string>, l array<string>")
+        row = row.withColumn("k", N.news_type(N.subject_text(F.col("t"), F.col("b")), F.col("e"))).withColumn("s", N.scope(F.col("e"), F.col("p"), F.col("l"), F.col("k")))
+        c = N.confidence(F.col("t"), F.col("b"), F.lit(True), F.lit("https://x/y"), F.col("e"), F.col("p"), F.col("s.status"))
+        r = row.select("k", "s.status", "s.reason", c.alias("c")).first()
+        return r["k"], r["status"], r["reason"], r["c"]
+
+    long = "x" * 1000
+    assert read("A joint  venture", "", ["LG"], [], []) == ("PARTNERSHIP", "IN_SCOPE", "TRACKED_ENTITY", "MEDIUM")
+    assert read("New outlet", long, ["LG"], ["tv"], ["n"]) == ("DISTRIBUTION", "IN_SCOPE", "TRACKED_ENTITY_WITH_MARKET_ACTIVITY", "HIGH")
+    assert read("Enters", long, ["LG"], [], [])[0] == "EXPANSION" and read("Roadshow", "", ["LG"], [], [])[0] == "COMPANY_DEVELOPMENT"
+    assert read("Partners meet", "", [], ["tv"], ["n"])[:3] == ("INDUSTRY_NEWS", "IN_SCOPE", "LOCAL_PRODUCT_MARKET")
+    assert read("Demand", "", [], [], ["n"]) == ("MARKET_DEVELOPMENT", "REVIEW", "LOCAL_MARKET_NO_PRODUCT_SIGNAL", "LOW")
+    assert read("Rain", "", [], [], ["n"])[1:3] == ("REVIEW", "LOCAL_REFERENCE_REQUIRES_MARKET_RELEVANCE_REVIEW")
+    assert read("Rain", "y" * 801 + " market", [], ["tv"], [])[:3] == ("INDUSTRY_NEWS", "OUT_OF_SCOPE", "NO_RELEVANT_MARKET_SIGNAL")
+    ask = lambda q, i, a, n, c: one(spark, R.needs_research(F.lit(q), F.lit(i), F.lit(a), F.lit(n), F.lit(c)), x="a")
+    assert [ask("latest market today?", "CAMPAIGNS", "yes", 2, "LOW"), ask("please Search the Web", "CAMPAIGNS", "yes", 2, "HIGH"), ask("q", "GENERAL", "yes", 2, "HIGH")] == [False, True, True]
+    assert [ask("q", "CAMPAIGNS", " ", 2, "HIGH"), ask("q", "CAMPAIGNS", "a", 0, "MEDIUM"), ask("q", "CAMPAIGNS", "a", 0, "HIGH")] == [True, True, False]
+
+
+def test_campaign_signals_and_alerts(spark):
+    rows = [(1, 1, "A", "VERIFIED", "active", "HIGH"), (2, 1, None, "VERIFIED", "upcoming", "HIGH"), (3, 2, "A", "PENDING", "active", "MEDIUM")]
+    c = spark.createDataFrame(rows, "campaign_id long, competitor_id long, category string, verification_status string, status string, confidence string").withColumn("campaign_name", F.lit("Sale"))
+    got = {r["signal_type"]: (r["subject"], r["evidence_count"], r["confidence"]) for r in G.campaign_signals(c).collect()}
+    assert got == {"CAMPAIGN_ACTIVITY": (None, 3, "MEDIUM"), "MULTI_COMPETITOR_CAMPAIGN": (None, 3, "MEDIUM"), "CAMPAIGN_CATEGORY_CONCENTRATION": ("A", 2, "MEDIUM")}
+    first = {r["signal_type"]: r["confidence"] for r in G.campaign_signals(c.where("competitor_id = 1")).collect()}
+    assert first == {"CAMPAIGN_ACTIVITY": "HIGH", "CAMPAIGN_CATEGORY_CONCENTRATION": "HIGH"} and G.campaign_signals(c.where("false")).count() == 0
+    assert sorted((r["priority"], r["title"]) for r in G.campaign_alerts(c).collect()) == [("MEDIUM", "Sale - ACTIVE"), ("MEDIUM", "Sale - UPCOMING")]
+    assert {r["alert_type"]: r["priority"] for r in G.signal_alerts(G.campaign_signals(c)).collect()} == {"MULTI_COMPETITOR_CAMPAIGN": "HIGH", "CAMPAIGN_CATEGORY_CONCENTRATION": "MEDIUM"}
 
 
 def test_history(spark):
-    rows = [(1, D1, D1), (2, dt.date(2026, 8, 1), D1), (3, dt.date(2026, 8, 1), dt.date(2026, 8, 20))]
+    rows = [(1, D1, D1), (2, dt.date(2026, 8, 1), D1), (3, dt.date(2026, 8, 1), dt.date(2026, 8, 20)), (4, None, D1), (5, dt.date(2026, 8, 1), None)]
     got = {r["k"]: r["presence"] for r in C.historical_presence(spark.createDataFrame(rows, "k int, first_seen_date date, last_seen_date date"), ["k"]).collect()}
-    assert got == {1: "INSUFFICIENT_HISTORY", 2: "CURRENTLY_OBSERVED", 3: "POSSIBLE_DISCONTINUATION"}
+    assert got == {1: "INSUFFICIENT_HISTORY", 2: "CURRENTLY_OBSERVED", 3: "POSSIBLE_DISCONTINUATION", 4: "INSUFFICIENT_HISTORY", 5: "INSUFFICIENT_HISTORY"}
 
 
 def test_price_alert_tiers(spark):
@@ -218,6 +297,28 @@ def test_stream_movements_match_batch_and_late_rows(spark, tmp_path):
     assert [r["observation_id"] for r in late.collect()] == [10]
 
 
+def test_stream_movements_go_on_after_a_restart(spark, tmp_path):
+    batches = [("a", D1, 1, 10.0), ("b", D1, 3, 5.0)], [("a", D2, 9, 11.0)], [("a", D3, 11, 10.0), ("b", D4, 5, 6.0), ("a", D1, 12, 1.0)]
+    schema = "identity string, observed_date date, observation_id long, price_kes double"
+    path, job = str(tmp_path / "in"), str(tmp_path / "job")
+    for part in batches:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        s = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+        moved, late = Z.movements_by_batch(s, path=job)  # a new query on the same checkpoint each time
+        got = {(r["identity"], r["observed_date"]): (r["previous_price"], r["current_price"]) for r in moved.collect()}
+    assert got == {("a", D2): (10.0, 11.0), ("a", D3): (11.0, 10.0), ("b", D4): (5.0, 6.0)}
+    assert [r["observation_id"] for r in late.collect()] == [12]
+
+
+def test_update_mode_keeps_the_last_row_of_a_key(spark, tmp_path):
+    path = str(tmp_path / "in")
+    for d in (D2, D1, D3):
+        spark.createDataFrame([("a", d)], "k string, observed_date date").coalesce(1).write.mode("append").parquet(path)
+    s = spark.readStream.schema("k string, observed_date date").option("maxFilesPerTrigger", 1).parquet(path)
+    for mode, keys in (("update", ["k"]), ("complete", None)):
+        assert [tuple(r) for r in Z.run_to_end(Z.seen_dates(s, ["k"]), mode, keys=keys).select("k", "first_seen_date", "last_seen_date").collect()] == [("a", D1, D3)]
+
+
 def test_stateful_processor(spark, tmp_path):
     from marketloom.session import ship
 
