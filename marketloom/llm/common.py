@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..sources.tables import scratch
 
 #: Text bytes that one numpy step works on; a longer single text is a step of its own.
 CHUNK_BYTES = 2 << 20
@@ -26,23 +25,12 @@ BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 # ---------------------------------------------------------------- scratch tables
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors (spark.checkpoint.dir); a temporary one in local mode only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and rereads it, which cuts lineage and survives lost executors.
 
     Spark removes the step's shuffle files at its end, since only the table is read later."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/loom-{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
@@ -221,8 +209,9 @@ def split_in(rows: DataFrame, key: str, keyed: DataFrame) -> tuple[DataFrame, Da
     words, n = 1 << 10, keyed.count()
     while words < BLOOM_WORDS and words * 4 < n:
         words *= 2
-    at = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(words))
-    bit = lambda c, k: F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64({c}, 2), {6 * k}), 64) as int))")
+    kind = keyed.schema[key].dataType.simpleString()
+    at = lambda c: F.expr(f"pmod(xxhash64(cast(`{c}` as {kind}), 1), {words})")
+    bit = lambda c, k: F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64(cast(`{c}` as {kind}), 2), {6 * k}), 64) as int))")
     mask = lambda c: bit(c, 0).bitwiseOR(bit(c, 1)).bitwiseOR(bit(c, 2))
     bloom = keyed.select(at(key).alias("_loom_at"), mask(key).alias("m")).groupBy("_loom_at").agg(F.bit_or("m").alias("_loom_bits"))
     both = rows.withColumn("_loom_at", F.when(F.col(key).isNotNull(), at(key))).join(F.broadcast(bloom), "_loom_at", "left")

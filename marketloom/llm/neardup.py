@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, connected_components, gram_hashes, join_hot, map_arrow, materialize, maybe_in, mix, text_chunks
+from .common import Words, connected_components, gram_hashes, join_hot, map_arrow, materialize, maybe_in, mix, split_in, text_chunks
 
 WORDS, PERMUTATIONS, ROWS = 5, 32, 4
 BANDS = 2 * PERMUTATIONS // ROWS
@@ -302,4 +302,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 def filter_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One document of each group stays: the rows whose doc_id is the smallest of their component."""
     gone = materialize(near_duplicates(docs, percent).where("not kept").groupBy("doc_id").agg(F.count("*").alias("rows")), "near-gone")
-    return docs.join(gone.select("doc_id").hint("merge"), "doc_id", "left_anti")
+    some, other = split_in(docs, "doc_id", gone)
+    kept = some.join(gone.select("doc_id").hint("merge"), "doc_id", "left_anti")
+    return other.unionByName(kept.select(*(f"`{c}`" for c in docs.columns)))

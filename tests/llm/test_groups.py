@@ -250,6 +250,17 @@ def test_url_rules(spark):
     assert many["example.org/en/1?x"] == "example.org/en/1" and many["notexample.org/es/"] == "org/" and "x.net/de/" not in many
 
 
+def test_long_rule_lists_are_joined(spark):
+    """A joined rule table gives what rules in the row give; repeated rows, urls without a host and aliases included."""
+    link = "<link rel=canonical href='{}'>"
+    urls = ["http://A.org/x", "https://a.example.org/es/1", "https://example.org/en/1?x", "http://x.com/fr/1", "http://x.com/de/#a", "http://x.net/de/", "http://org", "mailto:x", "", None, "http://x.com/de/#a"]
+    rows = [(i, u, None) for i, u in enumerate(urls)] + [(20, "http://a.net/1", link.format("http://x.com/de/2")), (20, "http://a.net/1", link.format("http://x.com/de/2")), (21, "http://b.org/1", link.format("http://a.net/1"))]
+    inline = sorted(tuple(map(str, r)) for r in urlblock.judge_urls(pages(spark, rows)).collect())
+    more = urlblock.RULES + (urlblock.UrlRule("allow", "com", "/de/"), *(urlblock.UrlRule("block", f"h{i}.net", "/x") for i in range(1001)))
+    joined = sorted(tuple(map(str, r)) for r in urlblock.judge_urls(pages(spark, rows), more).collect())
+    assert joined == inline and len(joined) == len(rows)
+
+
 def test_alias_propagation(spark):
     link = "<html><LINK href='{}' rel=canonical></html>"
     rows = [
