@@ -1,7 +1,12 @@
 """The corpus pipeline: quality rules, near-dedup, benchmark decontamination, secret redaction, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
-of docs.
+of docs, whatever further ones there are.
+
+Defined results: null and empty texts have no words, so the quality rules reject them; repeated rows are judged alike, and
+of rows with equal text and different doc_id the smallest doc_id stays (rows that share a doc_id stay or go together, a null
+doc_id stays); documents at a threshold exactly are contaminated (a twentieth) or linked (85 %); very long texts are worked
+on whole; an empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -34,8 +39,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of the documents that are left."""
-    return packing.pack_documents(docs, tokenizer_path())
+    """Sequences of the documents that are left, with their token ids."""
+    return packing.pack_documents(docs, tokenizer_path(), with_ids=True)
 
 
 STAGES = [
