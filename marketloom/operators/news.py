@@ -99,7 +99,7 @@ def text_quality(c: Column) -> Column:
     """Points for length and sentence ends less points for glued words, markup and decoding damage."""
     n = F.length(c)
     damage = F.regexp_count(c, F.lit(r"[a-z][A-Z]")) * 2 + F.regexp_count(c, F.lit(r"<[^>]+>")) * 5 + F.regexp_count(c, F.lit("â€|Ã.")) * 5
-    return F.when(n >= 1500, 40).when(n >= 600, 30).when(n >= 200, 15).otherwise(0) + F.least(F.regexp_count(c, F.lit("[.!?](?: |$)")), F.lit(20)) - F.least(damage, F.lit(60))
+    return F.when(n >= 1500, 40).when(n >= 600, 30).when(n >= 200, 15).otherwise(0) + F.least(F.regexp_count(c, F.lit(r"[.!?](?: |\z)")), F.lit(20)) - F.least(damage, F.lit(60))
 
 
 def best_text(candidates: DataFrame, key: str, text: str, tie: str, least: int = 0) -> DataFrame:

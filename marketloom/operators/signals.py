@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,18 +20,33 @@ def campaign_type(c: Column) -> Column:
     return T.first_rule([(T.contains_any(low, terms), name) for terms, name in rules]).cast("string")
 
 
-def campaign_fields(c: Column) -> Column:
-    """struct of type, name, category, offer value and the dates that a text names."""
+#: Campaign names by phrases that must all occur, in order of precedence; a parameter, these are general ones.
+NAMES = [
+    (["commercial laundry seminar"], "Commercial Laundry Seminar"), (["night rush"], "Night Rush"), (["clearance sale"], "Clearance Sale"), (["monthly offers"], "Monthly Offers"),
+    (["live demo", "tiktok live"], "TikTok Live"), (["flash offers", "28th september"], "Flash Offers - 28 September"), (["flash sale"], "Flash Sale"), (["flash offers"], "Flash Sale"),
+]
+#: Phrases that are evidence enough for a campaign, and those that make it one of no single category.
+STRONG = ["monthly offers", "night rush", "commercial laundry seminar", "clearance sale", "live demo", "flash offers", "sale extended", "giveaway", "competition", "contest"]
+BROAD = ["monthly offers", "clearance sale", "flash offers"]
+#: Categories by their words, the first with a word in the text.
+TOPICS = [
+    ("Cooking", ["cooker", "cooking", "kitchen", "oven", "hob", "microwave"]), ("Laundry", ["laundry", "washing machine", "washer", "dryer"]),
+    ("Refrigeration", ["fridge", "freezer", "refrigerat"]), ("TV & Audio", [" tv", "television", "speaker"]),
+]
+
+
+def campaign_fields(c: Column, names: list[tuple[list[str], str]] = NAMES, strong: list[str] = STRONG) -> Column:
+    """struct of type, name, category, offer value and the dates that a text names, and whether the evidence is strong."""
     low = T.search_text(c)
     kind = campaign_type(c)
     percent = F.array_distinct(F.regexp_extract_all(low, F.lit(r"(\d{1,2})% ?off"), F.lit(1)))
     dates = F.array_distinct(F.regexp_extract_all(low, F.lit(r"(\d{1,2}(?:st|nd|rd|th)? (?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*)"), F.lit(1)))
-    category = T.first_rule([(low.rlike("cooker|oven|hob|microwave"), "Cooking"), (low.rlike("fridge|freezer|refrigerat"), "Refrigeration"), (low.rlike("washing|washer|dryer|laundry"), "Laundry"),
-                             (low.rlike(r"\btvs?\b|television|speaker"), "TV & Audio")], "General Appliances")
-    name = F.when(kind.isNotNull(), F.initcap(F.replace(kind, F.lit("_"), F.lit(" "))))
-    strong = kind.isNotNull() & ((F.size(percent) > 0) | (F.size(dates) > 0) | kind.isin("campaign", "event", "flash_sale", "clearance_sale", "financing"))
-    offer = F.when(F.size(percent) > 0, F.concat_ws(", ", F.transform(percent, lambda x: F.concat(x, F.lit("% off"))))).when(F.contains(low, F.lit("financing")), "financing")
-    return F.struct(kind.alias("type"), name.alias("name"), category.alias("category"), offer.alias("offer"), dates.alias("dates"), F.coalesce(strong, F.lit(False)).alias("strong"))
+    every = lambda phrases: reduce(and_, (F.contains(low, F.lit(p)) for p in phrases))
+    name = T.first_rule([(every(p), n) for p, n in names]).cast("string")
+    category = T.first_rule([(T.contains_any(low, BROAD), "General Appliances"), *((T.contains_any(low, w), k) for k, w in TOPICS)], "General Appliances")
+    off = F.concat_ws(", ", F.transform(percent, lambda x: F.concat(x, F.lit("% off"))))
+    offer = F.when(F.size(percent) > 0, off).when(F.contains(low, F.lit("financing")), "financing")
+    return F.struct(kind.alias("type"), name.alias("name"), category.alias("category"), offer.alias("offer"), dates.alias("dates"), T.contains_any(low, strong).alias("strong"))
 
 
 def campaign_status(as_of: str) -> Column:

@@ -34,10 +34,31 @@ def movements(t):
 # ---------------------------------------------------------------- M: campaigns
 
 
-@query("m1")
+#: What the test posts say besides.
+POSTED = """post_text || ' ' || case social_type when 'purchase' then 'FLASH SALE! 20% off cookers 28th September, 5% off more' when 'click' then 'promo on TVs' when 'signup' then 'Giveaway: win a fridge https://x.example/sale'
+    when 'error' then 'Monthly offers and financing for laundry until 3 oct' else '' end"""
+
+
+def contains_sql(words):
+    return " or ".join(f"contains(low, '{w}')" for w in words)
+
+
+KINDS = [
+    (["giveaway", "competition", "contest"], "campaign"), (["seminar"], "event"), (["financing"], "financing"), (["flash sale", "flash offers"], "flash_sale"), (["clearance sale"], "clearance_sale"),
+    (["night rush"], "limited_time_sale"), (["live demo", "tiktok live"], "live_promotion"), (["monthly offers"], "promotion"), (["sale"], "sale"), (["promotion", "promo"], "promotion"),
+]
+VIEWS["campaign_posts"] = rf"""select competitor_id, observation_id, observed_date, case {" ".join(f"when {contains_sql(w)} then '{k}'" for w, k in KINDS)} end as type,
+    case {" ".join(f"when {contains_sql(p).replace(' or ', ' and ')} then '{n}'" for p, n in G.NAMES)} end as name,
+    case when {contains_sql(G.BROAD)} then 'General Appliances' {" ".join(f"when {contains_sql(w)} then '{k}'" for k, w in G.TOPICS)} else 'General Appliances' end as category,
+    case when len(pct) > 0 then array_to_string(list_transform(pct, lambda x: x || '% off'), ', ') when contains(low, 'financing') then 'financing' end as offer,
+    list_distinct(regexp_extract_all(low, '(\d{{1,2}}(?:st|nd|rd|th)? (?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*)', 1)) as dates, {contains_sql(G.STRONG)} as strong
+    from (select *, list_filter(['20', '5'], lambda x: list_contains(regexp_extract_all(low, '(\d{{1,2}})% ?off', 1), x)) as pct from
+        (select *, trim(regexp_replace(regexp_replace(regexp_replace(lower({POSTED}), 'https?://\S+', ' ', 'g'), '[^a-z0-9%&+\- ]', ' ', 'g'), '\s+', ' ', 'g')) as low from social))"""
+
+
+@query("m1", "select competitor_id, observation_id, type, name, category, offer, observed_date from campaign_posts where strong")
 def m1(t):
-    text = F.concat_ws(" ", F.col("post_text"), F.expr("case social_type when 'purchase' then 'flash sale 20% off cookers 28th september' when 'click' then 'promo on TVs' else '' end"))
-    c = t.social.select("competitor_id", "observation_id", "observed_date", G.campaign_fields(text).alias("c"))
+    c = t.social.select("competitor_id", "observation_id", "observed_date", G.campaign_fields(F.expr(POSTED)).alias("c"))
     return c.where("c.strong").select("competitor_id", "observation_id", "c.type", "c.name", "c.category", "c.offer", "observed_date")
 
 

@@ -13,6 +13,7 @@ from ..operators import reports as R
 from ..operators import signals as G
 from .bind import BASELINE, half_up
 from .q_catalogue import family_sql, features_sql, plain_sql
+from .q_signals import POSTED
 from .registry import query
 
 RULES = (
@@ -42,12 +43,13 @@ def c1(t):
 
 @query("c2")
 def c2(t):
-    """One operator, a rule set for each source; the default appliance taxonomy on the last."""
-    sets = [("Brand#1", RULES), ("Brand#2", RULES[:3]), ("Brand#3", RULES[3:]), ("Brand#4", X.APPLIANCES)]
-    out = None
-    for brand, rules in sets:
-        part = t.canonical.where(F.col("brand") == brand).select("brand", "product_id", X.classify(F.col("item_name"), F.col("raw_category"), rules, RAW).alias("s"))
-        out = part if out is None else out.unionByName(part)
+    """One operator, a rule set for each source and a general one for all others; the default appliance taxonomy on one."""
+    sets = {"Brand#2": RULES[:3], "Brand#3": RULES[3:], "Brand#4": X.APPLIANCES}
+    named = lambda rules: X.classify(F.col("item_name"), F.col("raw_category"), rules, RAW)
+    brand = F.col("brand")
+    out = t.canonical.where(~brand.isin(*sets)).select("brand", "product_id", named(RULES).alias("s"))
+    for name, rules in sets.items():
+        out = out.unionByName(t.canonical.where(brand == name).select("brand", "product_id", named(rules).alias("s")))
     return out.select("brand", "product_id", "s.category", "s.sub_category", "s.status")
 
 
@@ -182,7 +184,16 @@ def c18(t):
     return t.social.select("observation_id", score.alias("score"))
 
 
-@query("c19")
+def _times(c, pattern):
+    return f"len(regexp_extract_all({c}, '{pattern}'))"
+
+
+QUALITY_SQL = rf"""case when length(text) >= 1500 then 40 when length(text) >= 600 then 30 when length(text) >= 200 then 15 else 0 end + least({_times("text", r"[.!?](?: |\z)")}, 20)
+    - least({_times("text", "[a-z][A-Z]")} * 2 + {_times("text", "<[^>]+>")} * 5 + {_times("text", "â€|Ã.")} * 5, 60)"""
+
+
+@query("c19", f"""select news_id, r.q as quality, r.n as n_chars from (select news_id, arg_max({{'q': cast(quality as integer), 'n': length(text)}}, {{'a': quality, 'b': length(text), 'c': -place}}) as r from (select *, {QUALITY_SQL} as quality from
+    (select news_id, body as text, 0 as place from news where body is not null union all select news_id, concat_ws(' ', headline, body), 1 from news)) group by news_id)""")
 def c19(t):
     a = t.news.select(F.col("news_id"), F.col("body").alias("text"), F.lit(0).alias("place"))
     b = t.news.select(F.col("news_id"), F.concat_ws(" ", "headline", "body").alias("text"), F.lit(1).alias("place"))
@@ -204,10 +215,9 @@ def c21(t):
     return t.news.select("news_id", F.size(s).cast("long").alias("signals"), ((F.size(s) > 0) & ~F.contains(F.lower(body), F.lit("apache"))).alias("relevant"))
 
 
-@query("c22")
+@query("c22", "select observation_id, type, name, category, offer, dates, strong from campaign_posts")
 def c22(t):
-    text = F.concat_ws(" ", F.col("post_text"), F.expr("case social_type when 'purchase' then 'flash sale 20% off cookers 28th september' when 'click' then 'promo on TVs' else '' end"))
-    return t.social.select("observation_id", G.campaign_fields(text).alias("c")).select("observation_id", "c.type", "c.name", "c.category", "c.offer", "c.dates", "c.strong")
+    return t.social.select("observation_id", G.campaign_fields(F.expr(POSTED)).alias("c")).select("observation_id", "c.type", "c.name", "c.category", "c.offer", "c.dates", "c.strong")
 
 
 @query("c23", "select observation_id, case when discount >= 0.09 then 'black_friday' when discount >= 0.06 then 'combo' when discount > 0 then 'sale' end as promotion_type from prices")

@@ -254,7 +254,9 @@ def test_unique_resolution(spark):
 
 def test_campaign_fields(spark):
     c = one(spark, G.campaign_fields(F.lit("FLASH SALE! 20% off cookers until 28th September")), x="a")
-    assert (c["type"], c["category"], c["offer"], c["dates"], c["strong"]) == ("flash_sale", "Cooking", "20% off", ["28th september"], True)
+    assert (c["type"], c["name"], c["category"], c["offer"], c["dates"], c["strong"]) == ("flash_sale", "Flash Sale", "Cooking", "20% off", ["28th september"], False)
+    c = one(spark, G.campaign_fields(F.lit("Monthly offers: cookers")), x="a")
+    assert (c["type"], c["name"], c["category"], c["strong"]) == ("promotion", "Monthly Offers", "General Appliances", True)
     assert one(spark, G.campaign_fields(F.lit("good morning")), x="a")["type"] is None
 
 
@@ -271,6 +273,24 @@ def test_product_cards(spark):
     assert [(x["name"], x["url"], x["sku"], x["regular_price"], x["sale_price"]) for x in r] == [("Fridge & more", "/p1", "S1", 1000.0, 900.0)]
 
 
+def test_article_texts_by_brute_force():
+    """Tail repeats and summaries against direct statements of their rules."""
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        paragraphs = [rng.choice("abc") for _ in range(rng.randint(0, 12))]
+        got = T._tail(paragraphs)
+        once = [p for i, p in enumerate(paragraphs) if not i or p != paragraphs[i - 1]]
+        assert got == once[: len(got)]
+        assert not any(len(got) >= 2 * n and got[-n:] == got[-2 * n : -n] for n in range(1, 6))
+        assert len(got) == len(once) or any(once[len(got) :][:n] == got[-n:] for n in range(1, 6))
+    said = ["Short one.", "A sentence of more than thirty characters here!", "Another sentence that is long enough to be taken.", "Please subscribe to our long letter of the week.", "Never reached sentence of a good length, really."]
+    assert T._summary(" ".join(said)) == " ".join(said[1:3])
+    assert len(T._summary(" ".join(said[1:3] * 40))) <= 500 and T._summary(None) == "" and T._summary("x" * 900) == "x" * 900
+    assert T._clean("&lt;b&gt; it\u2019s  fine\n\n\n\nﬁ") == "<b> it's fine\n\nfi" and T._clean(None) == ""
+
+
 def test_news(spark):
     assert one(spark, N.terms_in(F.lit("The LG-made TV"), ["lg", "made tv", "g"]), x="a") == ["lg", "made tv"]
     assert one(spark, N.categories_in(F.lit("fan edition phone"), {"fans": ["fan"]}, "fan edition"), x="a") == []
