@@ -164,6 +164,11 @@ def word(term: str) -> str:
     return rf"(^|[^a-z0-9]){re.escape(term)}([^a-z0-9]|$)"
 
 
+def any_word(terms: list[str]) -> str:
+    """Pattern of any of some whole words or phrases; a boundary is looked at before the terms are tried."""
+    return rf"(^|[^a-z0-9])(?:{'|'.join(map(re.escape, terms))})([^a-z0-9]|$)"
+
+
 # ---------------------------------------------------------------- Arrow UDFs
 
 #: Characters that wrong decoding leaves, and quotes folded to ASCII.

@@ -8,19 +8,16 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def has_term(c: Column, term: str) -> Column:
-    """A whole word or phrase in lower-cased text."""
-    return F.lower(c).rlike(T.word(term.lower()))
-
-
 def terms_in(c: Column, terms: list[str]) -> Column:
-    return F.array_compact(F.array(*(F.when(has_term(c, t), F.lit(t)) for t in terms)))
+    """The terms that stand in the text as whole words or phrases; the text is lowered once."""
+    each = lambda low: F.array_compact(F.array(*(F.when(low.rlike(T.word(t.lower())), F.lit(t)) for t in terms)))
+    return F.transform(F.array(F.lower(c)), each)[0]
 
 
 def categories_in(c: Column, rules: dict[str, list[str]], guard: str | None = None) -> Column:
     """Categories with a term in the text; phrases that match guard are cut out first."""
     text = F.regexp_replace(F.lower(c), guard, " ") if guard else F.lower(c)
-    hit = lambda terms: text.rlike("|".join(T.word(t) for t in terms))
+    hit = lambda terms: text.rlike(T.any_word(terms))
     return F.array_compact(F.array(*(F.when(hit(v), F.lit(k)) for k, v in rules.items())))
 
 
@@ -65,7 +62,7 @@ def subject_text(title: Column, body: Column, lead: int = 800) -> Column:
 
 def news_type(subject: Column, entities: Column, types: list[tuple[str, list[str] | None, bool]] = TYPES, otherwise: str = "INDUSTRY_NEWS") -> Column:
     """The first type whose words the subject text has and whose entity condition holds."""
-    words = lambda terms: subject.rlike("|".join(T.word(t) for t in terms)) if terms else F.lit(True)
+    words = lambda terms: subject.rlike(T.any_word(terms)) if terms else F.lit(True)
     return T.first_rule([((F.size(entities) > 0) & words(w) if named else words(w), k) for k, w, named in types], otherwise)
 
 
