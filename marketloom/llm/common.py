@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -257,3 +257,47 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("u"), "v")
     return e.unionByName(roots).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+
+
+# ---------------------------------------------------------------- bounded blocks, best rows of a group
+
+
+def bounded_blocks(df: DataFrame, weight: str, cap: int, label: str) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """(df written with a number `no` for each row, ranges of `no` whose rows weigh cap at most, or are one row).
+
+    Running sums stay inside a task's part of the table; the driver sees a range for each part or each cap of weight."""
+    part, no = F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("no")
+    numbered = materialize(df.select("*", part, no), label)
+    run = F.sum(weight).over(Window.partitionBy("_part").orderBy("no"))
+    cuts = (
+        numbered.select("no", "_part", weight, run.alias("run")).withColumn("cut", F.floor((F.col("run") - 1) / cap))
+        .groupBy("_part", "cut").agg(F.min("no").alias("lo"), F.max("no").alias("hi"), F.sum(weight).alias("w")).orderBy("lo").collect()
+    )
+    out: list[list[int]] = []
+    for r in cuts:
+        if out and out[-1][2] + r["w"] <= cap:
+            out[-1] = [out[-1][0], r["hi"], out[-1][2] + r["w"]]
+        else:
+            out.append([r["lo"], r["hi"], r["w"]])
+    return numbered.drop("_part"), [(lo, hi) for lo, hi, _ in out]
+
+
+#: Groups are first cut down in so many parts each.
+RANK_PARTS = 32
+
+
+def best_rows(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
+    """The first k rows of each group with their rank, cut down by parts of a group first, so that no task meets a whole one."""
+    part = F.pmod(F.monotonically_increasing_id().bitwiseXOR(F.shiftright(F.monotonically_increasing_id(), 33)), F.lit(RANK_PARTS))
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    some = df.withColumn("_part", part).withColumn("rank", rank(*keys, "_part")).where(F.col("rank") <= k).drop("_part", "rank")
+    return some.withColumn("rank", rank(*keys)).where(F.col("rank") <= k)
+
+
+def keep_best(group: np.ndarray, score: np.ndarray, ident: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first k entries of each group by falling score, then rising ident, sorted so."""
+    o = np.lexsort((ident, -score, group))
+    group, score, ident = group[o], score[o], ident[o]
+    first = np.searchsorted(group, group)
+    keep = np.arange(len(group)) - first < k
+    return group[keep], score[keep], ident[keep]

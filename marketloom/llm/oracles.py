@@ -172,10 +172,53 @@ select o.page_id, o.host, o.path, o.rule, coalesce(o.verdict, case when b.key is
 from own o left join blocked b on o.key = b.key where o.rank = 1
 """
 
+SEARCH = rf"""
+with d as (
+    select row_number() over () as rid, doc_id, {_BENCH_WORDS} as w from documents where doc_id is not null
+), s as (
+    select cast(count(*) as bigint) as n_docs, cast(sum(len(w)) as bigint) as n_words from d where len(w) > 0
+), q as (
+    select item_id, term, count(*) as q from (select item_id, unnest(w) as term from (select item_id, {_BENCH_WORDS} as w from (select distinct item_id, text from benchmark))) group by item_id, term
+), t as (
+    select rid, term, count(*) as tf from (select rid, unnest(w) as term from d) where term in (select term from q) group by rid, term
+), f as (
+    select term, count(*) as df from t group by term
+), z as (
+    select q.item_id, q.term, q.q * cast(floor(1000 * ln((2.0::double * n_docs + 2) / (2.0::double * df + 1))) as bigint) as w from q join f on q.term = f.term, s
+), i as (
+    select t.rid, d.doc_id, t.term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(w) * n_docs) // n_words)) as impact from t join d on t.rid = d.rid, s
+), r as (
+    select z.item_id, i.rid, any_value(i.doc_id) as doc_id, cast(sum(z.w * i.impact) as bigint) as score from z join i on z.term = i.term group by z.item_id, i.rid
+)
+select item_id, cast(rank as int) as rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from r where score > 0) where rank <= 20
+"""
+
+NEGATIVES = """
+with v as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e
+    from embeddings where vec_id is not null and label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+    select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_dot_product(a.e, b.e) as bigint) as score
+    from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0
+), p as (
+    select anchor_id, vec_id as positive_id, score as positive_score from s where same
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select p.anchor_id, positive_id, cast(row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id) as int) as rank,
+    vec_id as negative_id, positive_score, score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id) <= 3
+"""
+
 SQL = {
     "op6_near_duplicates": NEAR,
     "op7_secrets": _secrets(),
     "op8_url_filter": URLS,
     "op9_substrings": SUBSTRINGS,
     "op10_decontamination": CONTAMINATION,
+    "op12_ranked_search": SEARCH,
+    "op13_hard_negatives": NEGATIVES,
 }

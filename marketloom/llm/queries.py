@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language, licenses, neardup, packing, repetition, secret_scan, substrings, urlblock, wrappers
+from . import decontam, language, licenses, neardup, negatives, packing, pii, repetition, search, secret_scan, substrings, urlblock, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,10 +77,33 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", decontam.items_digest(F.col("items")).alias("items_sha256"), "contaminated")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_private(docs, pii.fit(docs))
+    count = lambda k: F.size(F.filter("found", lambda x: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{k}")
+    return found.select(
+        "doc_id",
+        *(count(k) for k in pii.BASE),
+        F.sha2(secret_scan.spans_text(F.filter("found", lambda x: x["base"])).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.spans_text(F.col("found")).alias("spans"),
+    )
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
+    rows = negatives.clean_vectors(table(spark, sf_dir, "embeddings").withColumn("label", label))
+    return negatives.mine_hard_negatives(rows, F.expr("vec_id % 50 = 0"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_language, op3_licenses, op4_repetition, op5_main_text,
         op6_near_duplicates, op7_secrets, op8_url_filter, op9_substrings, op10_decontamination,
+        op11_personal_data, op12_ranked_search, op13_hard_negatives,
     )
 }

@@ -290,8 +290,11 @@ def test_oracles(spark, tmp_path):
     spark.createDataFrame([(i, t) for i, t in enumerate([texts[20], "the of", None])], "item_id long, text string").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
     link = "<link rel='canonical' href='{}'>"
     spark.createDataFrame([(1, "http://a.net/1", link.format("http://x.com/de/2")), (2, "http://b.net/x/y", link.format("z")), (3, None, None), (4, "http://q.com/a", link.format("//a.net/1"))], "page_id long, url string, html string").coalesce(1).write.parquet(f"{folder}/pages.parquet")
+    vector = lambda: [rng.gauss(0, 0.1) for _ in range(8)]
+    odd = [(None, vector(), 1), (900, None, 1), (901, [float("nan")] * 8, 2), (902, [None] * 8, 2), (903, vector(), None), (904, [float("inf")] * 8, 0)]
+    spark.createDataFrame([(i, vector(), i % 3) for i in range(160)] + odd, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         con.sql(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
     for name, sql in SQL.items():
         assert spark_rows(QUERIES[name](spark, folder)) == duck_rows(con, sql), name
