@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import overwrite, scratch
+from .intervals import interval_join, merge_runs
 
 IDENTITY = ["competitor_id", "id_brand", "id_model", "id_product"]
 
@@ -67,22 +69,31 @@ def top_per_group(df: DataFrame, keys: list[str], order: list, k: int) -> DataFr
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def movement_dates(movements: DataFrame) -> DataFrame:
+    """Two rows for each movement: `on` is its observed date (later true) or its previous date."""
+    roles = F.array(F.struct(F.lit(True).alias("later"), F.col("observed_date").alias("on")), F.struct(F.lit(False).alias("later"), F.col("previous_date").alias("on")))
+    return movements.withColumn("_r", F.explode(roles)).select(*movements.columns, "_r.later", "_r.on")
+
+
 def overlapping_campaigns(movements: DataFrame, campaigns: DataFrame) -> DataFrame:
     """Movement and campaign pairs, whoever runs the campaign, where either movement date lies in the campaign interval.
 
-    Open sides are clipped to the movements' first and last day (a scalar subquery). Intervals are exploded into months
-    and meet by equality on month, then by date: no nested loop. A pair that meets on both dates comes from the later
-    one alone, so pairs need no distinct; a campaign without any date meets nothing.
+    Movements are written once; their dates meet the intervals by an exact equi-join. A pair that meets on both dates comes
+    from the later one alone, so pairs need no distinct; a campaign without any date meets nothing.
     """
-    month = lambda c: F.year(c) * 12 + F.month(c)
-    roles = F.array(F.struct(F.lit(True).alias("later"), F.col("observed_date").alias("on")), F.struct(F.lit(False).alias("later"), F.col("previous_date").alias("on")))
-    m = movements.withColumn("_r", F.explode(roles)).select(*movements.columns, "_r.later", "_r.on", month(F.col("_r.on")).alias("_month"))
-    first = movements.agg(F.least(F.min("previous_date"), F.min("observed_date"))).scalar()
-    last = movements.agg(F.greatest(F.max("previous_date"), F.max("observed_date"))).scalar()
+    stored = overwrite(movements, scratch(movements.sparkSession, "movements"))
     keep = ["campaign_id", "campaign_competitor", *(c for c in ["campaign_name"] if c in campaigns.columns), "start_date", "end_date"]
-    c = campaigns.withColumnRenamed("competitor_id", "campaign_competitor").select(*keep).where("start_date is not null or end_date is not null")
-    c = c.withColumns({"_first": F.greatest("start_date", first), "_last": F.least("end_date", last)}).where("_first <= _last")
-    by_month = c.withColumn("_month", F.explode(F.sequence(month(F.col("_first")), month(F.col("_last")))))
-    within = lambda d: F.col(d).between(F.col("_first"), F.col("_last"))
-    pairs = m.join(by_month, "_month").where(within("on") & (F.col("later") | ~within("observed_date")))
-    return pairs.drop("later", "on", "_month", "_first", "_last")
+    c = campaigns.withColumnRenamed("competitor_id", "campaign_competitor").select(*keep)
+    later_too = F.coalesce(F.col("observed_date") >= F.col("start_date"), F.lit(True)) & F.coalesce(F.col("observed_date") <= F.col("end_date"), F.lit(True))
+    return interval_join(movement_dates(stored), "on", c, "start_date", "end_date").where(F.col("later") | ~later_too).drop("later", "on")
+
+
+def concurrent_runs(movements: DataFrame, campaigns: DataFrame, keys: list[str]) -> DataFrame:
+    """(previous_date, observed_date, keys) once where either date lies in an interval of campaigns with these keys.
+
+    The intervals of a key are merged into disjoint runs, and movements enter as distinct pairs of dates, of which there
+    are no more than the calendar has: no table of movement and campaign pairs is built."""
+    dates = overwrite(movements.select("previous_date", "observed_date").distinct(), scratch(movements.sparkSession, "movement-dates"))
+    runs = merge_runs(campaigns, keys, "start_date", "end_date")
+    met = interval_join(movement_dates(dates), "on", runs, "start_date", "end_date")
+    return met.select("previous_date", "observed_date", *keys).distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .prices import concurrent_runs
 
 
 def campaign_type(c: Column) -> Column:
@@ -128,12 +129,14 @@ def catalogue_signals(summary: DataFrame) -> DataFrame:
     return _signal(summary.where("persistent > 0"), "CATALOGUE_PERSISTENCE", F.col("brand"), title, F.col("persistent"), F.lit("HIGH"))
 
 
-def concurrency_signals(pairs: DataFrame, competitors: DataFrame) -> DataFrame:
-    """One signal per campaign owner, title and movement dates of the overlapping pairs."""
-    owners = competitors.select(F.col("competitor_id").alias("campaign_competitor"), "competitor_name")
-    title = F.concat_ws(" ", "id_brand", "id_model", F.lit("and"), "competitor_name", "campaign_name", F.lit("date overlap")).alias("title")
-    once = pairs.join(owners, "campaign_competitor").select("competitor_name", title, "previous_date", "observed_date").distinct()
-    return _signal(once, "PRICE_CAMPAIGN_CONCURRENCY", F.col("competitor_name"), F.col("title"), F.lit(2), F.lit("MEDIUM"))
+def concurrency_signals(movements: DataFrame, campaigns: DataFrame, competitors: DataFrame) -> DataFrame:
+    """One signal per campaign owner, campaign name and movement (brand, model and dates) where either date of the movement
+    lies in a campaign of that owner and name."""
+    owners = competitors.select("competitor_id", "competitor_name")
+    met = concurrent_runs(movements, campaigns.join(owners, "competitor_id"), ["competitor_name", "campaign_name"])
+    moved = movements.select("id_brand", "id_model", "previous_date", "observed_date").distinct()
+    title = F.concat_ws(" ", "id_brand", "id_model", F.lit("and"), "competitor_name", "campaign_name", F.lit("date overlap"))
+    return _signal(moved.join(met, ["previous_date", "observed_date"]), "PRICE_CAMPAIGN_CONCURRENCY", F.col("competitor_name"), title, F.lit(2), F.lit("MEDIUM"))
 
 
 def facts(df: DataFrame, dimension: str, metrics: list[str]) -> DataFrame:

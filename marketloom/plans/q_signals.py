@@ -11,7 +11,7 @@ from ..operators import quality as Q
 from ..operators import reports as R
 from ..operators import signals as G
 from .bind import AS_OF, BASELINE, VIEWS
-from .q_prices import EVIDENCE, J5, overlaps
+from .q_prices import EVIDENCE, J5
 from .registry import query
 
 SUMMARY = f"select brand, count(*) as products, count(*) filter (first_seen_date < last_seen_date) as persistent, count(*) filter (first_seen_date > date '{BASELINE}') as post_baseline from catalogue group by 1"
@@ -134,9 +134,13 @@ N6 = """select 'PRICE_CAMPAIGN_CONCURRENCY' as signal_type, competitor_name as s
     from concurrent p join competitors o on o.competitor_id = p.campaign_competitor)"""
 
 
+def concurrency(t):
+    return G.concurrency_signals(movements(t), t.campaigns.where("verification_status = 'VERIFIED'"), t.competitors)
+
+
 @query("n6", N6)
 def n6(t):
-    return G.concurrency_signals(overlaps(t), t.competitors)
+    return concurrency(t)
 
 
 @query("n7", """select 'price' as evidence, (select count(*) from movements) as n, case when (select count(*) from movements) >= 3 then 'SUFFICIENT' else 'INSUFFICIENT' end as verdict
@@ -197,7 +201,7 @@ def l2(t):
 
 
 def market_signals(t):
-    return G.campaign_signals(t.campaigns.where("verification_status = 'VERIFIED'")).unionByName(G.concurrency_signals(overlaps(t), t.competitors))
+    return G.campaign_signals(t.campaigns.where("verification_status = 'VERIFIED'")).unionByName(concurrency(t))
 
 
 @query("l3", L3)
