@@ -120,23 +120,18 @@ def profile(df: DataFrame, brands: list[str], keep: list[str], keys: tuple[str,
     )
 
 
-def assess_pairs(df: DataFrame, own: str, brands: list[str], keep: list[str], keys: tuple[str, ...] = ("category", "sub_category")) -> DataFrame:
-    """Match level of each block pair, with own, other (keep and profile), features, hard, matches and name_score.
+def judge(p: DataFrame, narrow: Column) -> DataFrame:
+    """Adds features (their comparison), hard (reasons), matches and match_level to pairs of structs own and other, which hold
+    features, family and brand_conflict. narrow: width alone does not count.
 
     Precedence: hard conflict, another brand named on either side, width alone where it does not count, two matches,
     one match in a decisive family, known families, none."""
-    p = block_pairs(profile(df, brands, keep, keys), own, keys)
     p = p.withColumn("features", compare_features(F.col("own.features"), F.col("other.features")))
     one, two = F.col("own.family"), F.col("other.family")
     family = F.when(one != two, F.concat(F.lit("PRODUCT_FAMILY_CONFLICT:"), one, F.lit("!="), two))
     conflicts = (F.when(F.col(f"features.{f}") == "CONFLICT", F.lit(reason)) for f, reason in HARD.items())
     matched = lambda fs: sum((F.when(F.col(f"features.{f}") == "MATCH", 1).otherwise(0) for f in fs), F.lit(0))
-    p = p.withColumns({
-        "hard": F.array_compact(F.array(family, *conflicts)),
-        "matches": matched(FEATURES),
-        "name_score": token_jaccard(F.col("own.tokens"), F.col("other.tokens")),
-    })
-    narrow = F.lower(F.trim("own.sub_category")).isin(*WIDTH_ALONE) if "sub_category" in keys else F.lit(False)
+    p = p.withColumns({"hard": F.array_compact(F.array(family, *conflicts)), "matches": matched(FEATURES)})
     width_alone = narrow & (F.col("features.width_cm") == "MATCH") & (F.col("matches") == 1)
     level = T.first_rule([
         (F.size("hard") > 0, "NO_DEFENSIBLE_MATCH"),
@@ -149,6 +144,17 @@ def assess_pairs(df: DataFrame, own: str, brands: list[str], keep: list[str], ke
     return p.withColumn("match_level", level)
 
 
+def narrow_category(sub_category: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(sub_category)).isin(*WIDTH_ALONE), F.lit(False))
+
+
+def assess_pairs(df: DataFrame, own: str, brands: list[str], keep: list[str], keys: tuple[str, ...] = ("category", "sub_category")) -> DataFrame:
+    """Match level of each block pair, with own, other (keep and profile), features, hard, matches and name_score."""
+    p = block_pairs(profile(df, brands, keep, keys), own, keys)
+    narrow = narrow_category(F.col("own.sub_category")) if "sub_category" in keys else F.lit(False)
+    return judge(p, narrow).withColumn("name_score", token_jaccard(F.col("own.tokens"), F.col("other.tokens")))
+
+
 LEVELS = {"STRONG_COMPARABLE": 4, "COMPARABLE": 3, "TYPE_ONLY": 2, "NO_DEFENSIBLE_MATCH": 1}
 
 

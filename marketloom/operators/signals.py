@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import overwrite, scratch
 from .prices import concurrent_runs
 
 
@@ -133,8 +134,9 @@ def concurrency_signals(movements: DataFrame, campaigns: DataFrame, competitors:
     """One signal per campaign owner, campaign name and movement (brand, model and dates) where either date of the movement
     lies in a campaign of that owner and name."""
     owners = competitors.select("competitor_id", "competitor_name")
-    met = concurrent_runs(movements, campaigns.join(owners, "competitor_id"), ["competitor_name", "campaign_name"])
     moved = movements.select("id_brand", "id_model", "previous_date", "observed_date").distinct()
+    moved = overwrite(moved, scratch(movements.sparkSession, "moved"))
+    met = concurrent_runs(moved, campaigns.join(owners, "competitor_id"), ["competitor_name", "campaign_name"])
     title = F.concat_ws(" ", "id_brand", "id_model", F.lit("and"), "competitor_name", "campaign_name", F.lit("date overlap"))
     return _signal(moved.join(met, ["previous_date", "observed_date"]), "PRICE_CAMPAIGN_CONCURRENCY", F.col("competitor_name"), title, F.lit(2), F.lit("MEDIUM"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalogue as C
 from ..operators import matching as M
+from ..operators import pairing as A
 from .bind import BASELINE, OWN_BRAND, VIEWS
 from .registry import query
 
@@ -192,7 +193,7 @@ RANKED = """select own_id, other_id, match_level, row_number() over (partition b
     left join (select * from ({RANKED}) where rn = 1 and match_level <> 'NO_DEFENSIBLE_MATCH') r on c.product_id = r.own_id where c.brand = '{OWN_BRAND}'""")
 def x5(t):
     own = t.canonical.where(F.col("brand") == OWN_BRAND).select(F.col("product_id").alias("own_id"))
-    out = own.join(M.best_candidates(assessed(t)), "own_id", "left")
+    out = own.join(A.best_matches(titled(t), OWN_BRAND, KNOWN), "own_id", "left")
     return out.select("own_id", F.col("best_id").alias("other_id"), F.coalesce("best_level", F.lit("NO_DEFENSIBLE_MATCH")).alias("match_level"))
 
 
@@ -216,15 +217,21 @@ def x7(t):
     return g.select("model", M.evidence_verdict(F.col("r"), F.col("s"), F.col("n"), source).alias("verdict"))
 
 
+def defensible(t):
+    return A.defensible_pairs(titled(t), OWN_BRAND, KNOWN, ["price"])
+
+
 def positioned(t):
+    """Only defensible pairs are positioned."""
     state = lambda c: F.when(F.col(c) % 3 == 0, "MULTIPLE_PRICES").when(F.col(c) % 5 == 0, "VERIFIED_RETAIL_PROMOTIONAL_PRICE").otherwise("VERIFIED_RETAIL_PRICE")
-    rows = assessed(t).select("own_id", "other_id", "own_price", "other_price")
+    rows = defensible(t)
     return M.price_positioning(rows.withColumns({"own_status": state("own_id"), "other_status": state("other_id")}))
 
 
+VIEWS["defensible"] = "select * from assessed where match_level in ('STRONG_COMPARABLE', 'COMPARABLE')"
 VIEWS["positioned"] = """select own_id, other_id, st as positioning_status, case when st = 'PRICE_COMPARISON_AVAILABLE' then floor((own_price - other_price) * 100 + 0.5) / 100 end as difference,
     case when st = 'PRICE_COMPARISON_AVAILABLE' then floor((own_price - other_price) / other_price * 100 * 100 + 0.5) / 100 end as premium_pct, case when st = 'PRICE_COMPARISON_AVAILABLE' then case when own_price > other_price then 'PREMIUM' when own_price < other_price then 'DISCOUNT' else 'PARITY' end end as position,
-    own_price, other_price from (select *, case when own_id % 3 = 0 or other_id % 3 = 0 then 'PRICE_COMPARISON_NOT_AVAILABLE' when not (own_price > 0 and other_price > 0) then 'PRICE_COMPARISON_NOT_AVAILABLE' when (own_id % 5 = 0) <> (other_id % 5 = 0) then 'PRICE_COMPARISON_REQUIRES_PROMOTION_ALIGNMENT' else 'PRICE_COMPARISON_AVAILABLE' end as st from assessed)"""
+    own_price, other_price from (select *, case when own_id % 3 = 0 or other_id % 3 = 0 then 'PRICE_COMPARISON_NOT_AVAILABLE' when not (own_price > 0 and other_price > 0) then 'PRICE_COMPARISON_NOT_AVAILABLE' when (own_id % 5 = 0) <> (other_id % 5 = 0) then 'PRICE_COMPARISON_REQUIRES_PROMOTION_ALIGNMENT' else 'PRICE_COMPARISON_AVAILABLE' end as st from defensible)"""
 
 
 @query("x8", "select own_id, other_id, positioning_status, difference, premium_pct, position from positioned")
@@ -242,13 +249,13 @@ def x10(t):
     return M.two_sides(positioned(t).where("positioning_status <> 'PRICE_COMPARISON_AVAILABLE'"), ["own_id", "other_id"], {"own": ["own_price"], "competitor": ["other_price"]}, ["price"])
 
 
-@query("x11", "select own_id, other_id, match_level, 'own' as side, own_id as product_id, own_price as price from assessed union all select own_id, other_id, match_level, 'competitor', other_id, other_price from assessed")
+@query("x11", "select own_id, other_id, match_level, 'own' as side, own_id as product_id, own_price as price from defensible union all select own_id, other_id, match_level, 'competitor', other_id, other_price from defensible")
 def x11(t):
-    return M.two_sides(assessed(t), ["own_id", "other_id", "match_level"], {"own": ["own_id", "own_price"], "competitor": ["other_id", "other_price"]}, ["product_id", "price"])
+    return M.two_sides(defensible(t), ["own_id", "other_id", "match_level"], {"own": ["own_id", "own_price"], "competitor": ["other_id", "other_price"]}, ["product_id", "price"])
 
 
 @query("x12", "select own_id, other_id, match_level from assessed where match_level in ('STRONG_COMPARABLE', 'COMPARABLE')")
 def x12(t):
-    return assessed(t).where(F.col("match_level").isin("STRONG_COMPARABLE", "COMPARABLE")).select("own_id", "other_id", "match_level")
+    return defensible(t).select("own_id", "other_id", "match_level")
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import dedup as D
 from ..operators import matching as M
+from ..operators import pairing as A
 from ..operators import prices as P
-from .bind import AS_OF, BASELINE, VIEWS, half_up
-from .q_catalogue import RANKED, assessed
+from .bind import AS_OF, BASELINE, OWN_BRAND, VIEWS, half_up
+from .q_catalogue import KNOWN, RANKED, assessed, titled
 from .registry import query
 
 #: SQL views of operator results that later queries build on.
@@ -445,7 +446,7 @@ def w5(t):
 
 @query("w6", f"select own_id, other_id, match_level from ({RANKED}) where rn = 1 and match_level <> 'NO_DEFENSIBLE_MATCH'")
 def w6(t):
-    return M.best_candidates(assessed(t)).select("own_id", F.col("best_id").alias("other_id"), F.col("best_level").alias("match_level"))
+    return A.best_matches(titled(t), OWN_BRAND, KNOWN).select("own_id", F.col("best_id").alias("other_id"), F.col("best_level").alias("match_level"))
 
 
 @query("w7", "select model, min(observation_id) as first_observation from prices group by 1")
