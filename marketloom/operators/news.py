@@ -6,26 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.dictionary import found_in, labels_in
 
 
 def terms_in(c: Column, terms: list[str]) -> Column:
-    """The terms that stand in the text as whole words or phrases; the text is lowered once."""
-    each = lambda low: F.array_compact(F.array(*(F.when(low.rlike(T.word(t.lower())), F.lit(t)) for t in terms)))
-    return F.transform(F.array(F.lower(c)), each)[0]
+    """The terms that stand in the text as whole words or phrases, in list order."""
+    return found_in(c, terms)
 
 
 def categories_in(c: Column, rules: dict[str, list[str]], guard: str | None = None) -> Column:
     """Categories with a term in the text; phrases that match guard are cut out first."""
-    text = F.regexp_replace(F.lower(c), guard, " ") if guard else F.lower(c)
-    hit = lambda terms: text.rlike(T.any_word(terms))
-    return F.array_compact(F.array(*(F.when(hit(v), F.lit(k)) for k, v in rules.items())))
+    return labels_in(F.regexp_replace(F.lower(c), guard, " ") if guard else c, rules)
 
 
-def attribute(df: DataFrame, entities: list[str]) -> DataFrame:
-    """The first tracked entity in the headline, else the first in the body, in list order; null if none."""
-    pad = lambda c: F.concat(F.lit(""), F.lower(c))
-    place = lambda c: [(F.contains(pad(c), F.lit(f" {e} ")), e) for e in entities]
-    return df.withColumn("entity", T.first_rule(place("headline") + place("body")).cast("string"))
+def attribute(entities: Column, headline: Column, brands: list[str]) -> Column:
+    """The tracked brand of an article: the first of its entities that is a brand and stands in the headline, else the first
+    that is a brand; null if none."""
+    known = F.lit(sorted({b.lower() for b in brands}))
+    named = F.filter(F.transform(entities, lambda e: F.trim(e)), lambda e: (e != "") & F.array_contains(known, F.lower(e)))
+    shown = F.filter(named, lambda e: F.contains(F.lower(F.coalesce(headline, F.lit(""))), F.lower(e)))
+    return F.coalesce(F.get(shown, F.lit(0)), F.get(named, F.lit(0)))
 
 
 #: Words that tell what an article is about.
@@ -62,8 +62,11 @@ def subject_text(title: Column, body: Column, lead: int = 800) -> Column:
 
 def news_type(subject: Column, entities: Column, types: list[tuple[str, list[str] | None, bool]] = TYPES, otherwise: str = "INDUSTRY_NEWS") -> Column:
     """The first type whose words the subject text has and whose entity condition holds."""
-    words = lambda terms: subject.rlike(T.any_word(terms)) if terms else F.lit(True)
-    return T.first_rule([((F.size(entities) > 0) & words(w) if named else words(w), k) for k, w, named in types], otherwise)
+    lists = {str(i): w for i, (_, w, _) in enumerate(types) if w}
+    rules = lambda found: T.first_rule([(
+        (F.size(entities) > 0 if named else F.lit(True)) & (F.array_contains(found, str(i)) if w else F.lit(True)), k
+    ) for i, (k, w, named) in enumerate(types)], otherwise)
+    return F.transform(F.array(labels_in(subject, lists)), rules)[0]
 
 
 def scope(entities: Column, products: Column, local: Column, kind: Column) -> Column:
@@ -106,9 +109,9 @@ def best_text(candidates: DataFrame, key: str, text: str, tie: str, least: int =
 
 
 def route(df: DataFrame, stored: DataFrame) -> DataFrame:
-    """state of each record: skipped out of scope, stored already (same id or url identity), finding or market news."""
+    """state of each record: skipped unless in scope, stored already (same id or url identity), finding or market news."""
     seen = stored.select("identity").distinct().withColumn("seen_url", F.lit(True))
     ids = stored.select("news_id").distinct().withColumn("seen_id", F.lit(True))
     j = df.join(seen, "identity", "left").join(ids, "news_id", "left")
-    state = T.first_rule([(F.col("scope_status") == "OUT", "skipped"), (F.col("seen_url") | F.col("seen_id"), "duplicate"), (F.col("entity").isNotNull(), "finding")], "market_news")
+    state = T.first_rule([(~F.coalesce(F.col("scope_status") == "IN_SCOPE", F.lit(False)), "skipped"), (F.col("seen_url") | F.col("seen_id"), "duplicate"), (F.col("entity").isNotNull(), "finding")], "market_news")
     return j.withColumn("state", state)

@@ -69,7 +69,7 @@ VIEWS = {
     "news": """select doc_id as news_id, text as body, string_split(coalesce(text, ''), chr(10))[1] as headline, source as publisher,
         lang, 'HTTP://News.' || source || '.example.com/a/' || (doc_id % 700) || '/?id=' || (doc_id % 700) || '#top' as source_url,
         date '2024-01-01' + cast(doc_id % 60 as integer) as published_date,
-        case when doc_id % 5 = 0 then 'REVIEW' when doc_id % 7 = 0 then 'OUT' else 'IN' end as scope_status from documents""",
+        case when doc_id % 5 = 0 then 'REVIEW' when doc_id % 7 = 0 then 'OUT_OF_SCOPE' else 'IN_SCOPE' end as scope_status from documents""",
     "questions": "select conv_id, turn, text as question from conversations where role = 'user'",
 }
 
@@ -187,7 +187,7 @@ class Tables:
             F.col("source").alias("publisher"), "lang",
             F.expr("'HTTP://News.' || source || '.example.com/a/' || (doc_id % 700) || '/?id=' || (doc_id % 700) || '#top'").alias("source_url"),
             F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 60).cast("int")).alias("published_date"),
-            F.expr("case when doc_id % 5 = 0 then 'REVIEW' when doc_id % 7 = 0 then 'OUT' else 'IN' end").alias("scope_status"),
+            F.expr("case when doc_id % 5 = 0 then 'REVIEW' when doc_id % 7 = 0 then 'OUT_OF_SCOPE' else 'IN_SCOPE' end").alias("scope_status"),
         )
 
     @property

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import dedup as D
 from ..operators import matching as M
+from ..operators import news as N
 from ..operators import pairing as A
 from ..operators import prices as P
 from .bind import AS_OF, BASELINE, OWN_BRAND, VIEWS, half_up
@@ -133,13 +134,15 @@ def j11(t):
     return sources.distinct().join(both, "source_name").groupBy("source_name").agg(F.min("competitor_id").alias("competitor_id"))
 
 
-@query("j12", """select news_id, (list_filter(['the', 'license', 'token', 'die', 'les'], lambda x: contains(headline_low, ' ' || x || ' ')) || list_filter(['the', 'license', 'token', 'die', 'les'], lambda x: contains(low, ' ' || x || ' ')))[1] as entity
-    from (select news_id, lower(headline) as headline_low, lower(coalesce(body, '')) as low from news)""")
-def j12(t):
-    from ..operators.news import attribute
+J12 = r"""list_filter(['license', 'the', 'token', 'die', 'les'], lambda x: regexp_matches(lower(coalesce(body, '')), '(^|[^a-z0-9])' || x || '([^a-z0-9]|$)'))"""
+
 
-    rows = t.news.select("news_id", "headline", F.coalesce("body", F.lit("")).alias("body"))
-    return attribute(rows, ["the", "license", "token", "die", "les"]).select("news_id", "entity")
+@query("j12", f"""select news_id, coalesce(list_filter(named, lambda x: contains(lower(headline), x))[1], named[1]) as entity
+    from (select news_id, headline, list_filter({J12}, lambda x: x in ('the', 'token', 'les', 'die')) as named from news)""")
+def j12(t):
+    entities = N.terms_in(F.coalesce("body", F.lit("")), ["license", "the", "token", "die", "les"])
+    rows = t.news.select("news_id", "headline", entities.alias("entities"))
+    return rows.select("news_id", N.attribute(F.col("entities"), F.col("headline"), ["the", "token", "les", "die"]).alias("entity"))
 
 
 @query("j13", """select q.conv_id, q.turn, list_sort(list(distinct c.s_suppkey)) as competitor_ids from questions q join (select s_suppkey, lower(s_name) as alias from supplier
@@ -493,9 +496,9 @@ def t5(t):
     return t.social.withColumn("score", score).orderBy(F.desc("score"), F.desc(F.coalesce("views", F.lit(0))), "observation_id").limit(80).select("observation_id", "score")
 
 
-@query("t6", "select news_id, published_date from news where scope_status <> 'OUT' order by published_date desc, news_id desc limit 10")
+@query("t6", "select news_id, published_date from news where scope_status <> 'OUT_OF_SCOPE' order by published_date desc, news_id desc limit 10")
 def t6(t):
-    return t.news.where("scope_status <> 'OUT'").orderBy(F.desc("published_date"), F.desc("news_id")).limit(10).select("news_id", "published_date")
+    return t.news.where("scope_status <> 'OUT_OF_SCOPE'").orderBy(F.desc("published_date"), F.desc("news_id")).limit(10).select("news_id", "published_date")
 
 
 @query("t7", "select platform, observation_id, rank from (select platform, observation_id, cast(row_number() over (partition by platform order by published_date desc, observation_id desc) as integer) as rank from social) where rank <= 20")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.dictionary import found_in
 from ..sources import tables as S
 from .bind import AS_OF, BASELINE
 from .registry import query
@@ -187,8 +188,8 @@ TERMS = ["license", "licensed", "token", "offer"]
 
 @query("f4", "select news_id, list_filter(['license', 'licensed', 'token', 'offer'], lambda x: contains(lower(body), x)) as terms from news where contains(lower(body), 'license') or contains(lower(body), 'token') or contains(lower(body), 'offer')")
 def f4(t):
-    low = t.news.select("news_id", F.lower("body").alias("low"))
-    return low.where(T.contains_any(F.col("low"), TERMS)).select("news_id", T.matching_terms(F.col("low"), TERMS).alias("terms"))
+    found = t.news.select("news_id", found_in(F.col("body"), TERMS, whole=False, once=True).alias("terms"))
+    return found.where("size(terms) > 0")
 
 
 @query("f5", """select page_id, case when host = 'cheap-pills.example.com' or ends_with(host, '.cheap-pills.example.com') then 'blocked'

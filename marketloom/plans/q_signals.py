@@ -277,13 +277,13 @@ def r3(t):
     return R.answer_rows(routed, counts.withColumn("intent", intent)).select("conv_id", "turn", "intent", "competitor_id", "n")
 
 
-@query("r4", """select state, count(*) as n from (select case when scope_status = 'OUT' then 'skipped' when exists (select 1 from news s where (s.news_id % 700 < 100 or s.news_id >= 700)
-    and (s.news_id = n.news_id or (s.publisher = n.publisher and s.news_id % 700 = n.news_id % 700))) then 'duplicate' when contains(lower(coalesce(body, '')), ' the ') then 'finding' else 'market_news' end as state from news n) group by 1""")
+@query("r4", """select state, count(*) as n from (select case when scope_status <> 'IN_SCOPE' then 'skipped' when exists (select 1 from news s where (s.news_id % 700 < 100 or s.news_id >= 700)
+    and (s.news_id = n.news_id or (s.publisher = n.publisher and s.news_id % 700 = n.news_id % 700))) then 'duplicate' when regexp_matches(lower(coalesce(body, '')), '(^|[^a-z0-9])the([^a-z0-9]|$)') then 'finding' else 'market_news' end as state from news n) group by 1""")
 def r4(t):
     rows = t.news.withColumn("identity", T.url_identity(F.col("source_url")))
     stored = rows.where("news_id % 700 < 100 or news_id >= 700").select("news_id", "identity")
-    entity = N.attribute(rows.withColumn("body", F.coalesce("body", F.lit(""))).withColumn("headline", F.lit("")), ["the"])
-    return N.route(entity, stored).groupBy("state").agg(F.count("*").alias("n"))
+    named = rows.withColumn("entities", N.terms_in(F.coalesce("body", F.lit("")), ["license", "the"]))
+    return N.route(named.withColumn("entity", N.attribute(F.col("entities"), F.col("headline"), ["the"])), stored).groupBy("state").agg(F.count("*").alias("n"))
 
 
 RANKS = {"HIGH": 1, "MEDIUM": 2, "LOW": 3}

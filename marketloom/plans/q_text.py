@@ -6,51 +6,89 @@ from pyspark.sql import functions as F
 
 from ..functions import taxonomy as X
 from ..functions import text as T
+from ..functions.dictionary import found_in_lists
 from ..operators import catalogue as C
 from ..operators import matching as M
 from ..operators import news as N
 from ..operators import reports as R
 from ..operators import signals as G
 from .bind import BASELINE, half_up
-from .q_catalogue import family_sql, features_sql, plain_sql
+from .q_catalogue import TITLE, family_sql, features_sql, plain_sql
 from .q_signals import POSTED
 from .registry import query
 
 RULES = (
-    X.CategoryRule("Tools", "Bolts", 90, "bolt"), X.CategoryRule("Tools", "Rods", 80, "rod"), X.CategoryRule("Home", "Plates", 85, "plate"), X.CategoryRule("Home", "Cold", 84, "cold"),
-    X.CategoryRule("Gadgets", "Gizmos", 60, "gizmo"), X.CategoryRule("Gadgets", "Other", 10, "widget"),
+    X.CategoryRule("Tools", "Bolts", 90, "bolt"), X.CategoryRule("Tools", "Rods", 80, r"\brods?\b"), X.CategoryRule("Home", "Plates", 85, "plate"), X.CategoryRule("Home", "Cold", 84, r"^cold\b", "weak"),
+    X.CategoryRule("Gadgets", "Gizmos", 60, "gi[sz]mo"), X.CategoryRule("Gadgets", "Gadgets - other", 10, "widget", "category"),
 )
-RAW = {"economy": "Budget", "promo": "Home"}
-
-
-@query("c1", """select product_id, category, sub_category, confidence, status, method, reason from (select product_id, case
-    when n = 'bolt' and cold then {'category': 'Tools', 'sub_category': 'Bolts', 'confidence': 'LOW', 'status': 'REVIEW', 'method': 'name_rule', 'reason': 'several categories'}
-    when n = 'bolt' then {'category': 'Tools', 'sub_category': 'Bolts', 'confidence': 'HIGH', 'status': 'MAPPED', 'method': 'name_rule', 'reason': 'rule'}
-    when n = 'rod' and cold and raw = 'PROMO' then {'category': 'Home', 'sub_category': 'Cold', 'confidence': 'MEDIUM', 'status': 'MAPPED', 'method': 'name_rule', 'reason': 'conflict settled by raw category'}
-    when n = 'rod' and cold then {'category': 'Home', 'sub_category': 'Cold', 'confidence': 'LOW', 'status': 'REVIEW', 'method': 'name_rule', 'reason': 'several categories'}
-    when n = 'plate' then {'category': 'Home', 'sub_category': 'Plates', 'confidence': 'HIGH', 'status': 'MAPPED', 'method': 'name_rule', 'reason': 'rule'}
-    when cold then {'category': 'Home', 'sub_category': 'Cold', 'confidence': 'HIGH', 'status': 'MAPPED', 'method': 'name_rule', 'reason': 'rule'}
-    when n = 'rod' then {'category': 'Tools', 'sub_category': 'Rods', 'confidence': 'HIGH', 'status': 'MAPPED', 'method': 'name_rule', 'reason': 'rule'}
-    when n = 'gizmo' then {'category': 'Gadgets', 'sub_category': 'Gizmos', 'confidence': 'MEDIUM', 'status': 'MAPPED', 'method': 'name_rule', 'reason': 'rule'}
-    when n = 'widget' then {'category': 'Gadgets', 'sub_category': 'Other', 'confidence': 'LOW', 'status': 'MAPPED', 'method': 'name_rule', 'reason': 'rule'}
-    when raw = 'ECONOMY' then {'category': 'Budget', 'sub_category': null, 'confidence': 'MEDIUM', 'status': 'MAPPED', 'method': 'raw_category', 'reason': 'raw category map'}
-    when raw = 'PROMO' then {'category': 'Home', 'sub_category': null, 'confidence': 'MEDIUM', 'status': 'MAPPED', 'method': 'raw_category', 'reason': 'raw category map'}
-    else {'category': null, 'sub_category': null, 'confidence': 'LOW', 'status': 'UNMAPPED', 'method': 'none', 'reason': 'no rule'} end as s
-    from (select product_id, string_split(item_name, ' ')[-1] as n, starts_with(item_name, 'cold') as cold, raw_category as raw from canonical)), lateral (select s.category, s.sub_category, s.confidence, s.status, s.method, s.reason)""")
+RAW = {"economy": ("Budget", "Economy", "specific"), "promo": ("Home", "Home - other", "category")}
+SLUGS = {"glass-plate": ("Home", "Glass", "specific"), "glass-ring": ("Jewels", "Jewels - other", "category"), "economy": ("Budget", "Economy", "specific")}
+#: Words that the test products get, so that every outcome occurs.
+OFFERED = """item_name || case product_id % 11 when 0 then ' with bolt, Gizmo and plate' when 1 then ' up to 50% off' when 2 then ' and widget' else '' end"""
+SLUG = "lower(category) || ', Glass-' || sub_category"
+
+
+def classified_sql(text, raw, maps, source, key):
+    """The classification of canonical products by unnested rules; maps: rows of key, category, sub-category, level."""
+    return rf"""with rows_ as (select product_id, {text} as text, {raw} as raw from canonical), hits as (
+        select product_id, i, category, sub, level, 'name' as source, p from rows_ join (values (1, 'Tools', 'Bolts', 90, 'bolt', 'specific'), (2, 'Tools', 'Rods', 80, '\brods?\b', 'specific'), (3, 'Home', 'Plates', 85, 'plate', 'specific'),
+            (4, 'Home', 'Cold', 84, '^cold\b', 'weak'), (5, 'Gadgets', 'Gizmos', 60, 'gi[sz]mo', 'specific'), (6, 'Gadgets', 'Gadgets - other', 10, 'widget', 'category')) r(i, category, sub, p, rx, level) on regexp_matches(text, rx, 'i')
+        union all select product_id, 100 + place, category, sub, level, '{source}', if(level = 'specific', 50, 5) from (select product_id, unnest({key}) as k, generate_subscripts({key}, 1) as place from rows_) join (values {maps}) m(name, category, sub, level) on k = name
+    ), kept as (
+        select *, case when bool_or(level = 'specific') over w then level = 'specific' when bool_or(level = 'weak') over w then level = 'weak' else true end as chosen, bool_or(level <> 'category') over w as sure from hits window w as (partition by product_id)
+    ), best as (
+        select product_id, any_value(sure) as sure, count(distinct category) as n, list_sort(list(distinct category)) as cats, arg_max({{'c': category, 's': sub}}, p * 1000 - i) as b,
+            list_sort(list(distinct category || if(sure, ' / ' || sub, '') || ' (' || source || ')')) as told from kept where chosen group by product_id
+    ), sources as (
+        select k.product_id, string_agg(distinct source, '+' order by source) as s from kept k join best b on k.product_id = b.product_id where chosen and (not b.sure or sub = b.b.s) group by k.product_id
+    )
+    select r.product_id, case when n is null and wide then 'Multi-category' when n is null then '' when sure and n >= 3 then 'Multi-category' when n > 1 then '' else b.b.c end as category,
+        case when n = 1 then b.b.s else '' end as sub_category, case when n is null and wide or sure and n >= 3 then 'low' when n is null or n > 1 then '' when sure then 'high' else 'medium' end as confidence,
+        if(n = 1, 'mapped', 'review') as status, case when n is null and wide then 'text_pattern' when n is null then 'none' when sure and n >= 3 then 'multi_category' when n > 1 then 'conflict' else s.s end as method,
+        case when n is null and wide then 'offer spans many categories, no product named' when n is null then 'no rule matched' when sure and n >= 3 then 'names products in several categories: ' || array_to_string(cats, ', ')
+            when n > 1 then 'conflict: ' || array_to_string(told, '; ') else '' end as reason
+    from (select *, regexp_matches(text, 'up to \d+% off', 'i') or lower(trim(raw)) in ('multiple', 'general appliances') as wide from rows_) r left join best b on r.product_id = b.product_id left join sources s on r.product_id = s.product_id"""
+
+
+@query("c1", classified_sql(OFFERED, "raw_category", "('economy', 'Budget', 'Economy', 'specific'), ('promo', 'Home', 'Home - other', 'category')", "raw", "[lower(trim(raw))]"))
 def c1(t):
-    return t.canonical.select("product_id", X.classify(F.col("item_name"), F.col("raw_category"), RULES, RAW).alias("s")).select("product_id", "s.*")
-
-
-@query("c2")
+    return t.canonical.select("product_id", X.classify(F.expr(OFFERED), F.col("raw_category"), RULES, RAW).alias("s")).select("product_id", "s.*")
+
+
+@query("c1_slugs", classified_sql(OFFERED, SLUG, "('glass-plate', 'Home', 'Glass', 'specific'), ('glass-ring', 'Jewels', 'Jewels - other', 'category'), ('economy', 'Budget', 'Economy', 'specific')", "slug", "list_transform(string_split(lower(raw), ','), lambda x: trim(x))"))
+def c1_slugs(t):
+    """The same with the slugs of a web shop in place of raw categories."""
+    return t.canonical.select("product_id", X.classify(F.expr(OFFERED), F.expr(SLUG), RULES, slug_map=SLUGS).alias("s")).select("product_id", "s.*")
+
+
+#: One precedence list for each catalogue and a general one.
+CATALOGUES = {
+    "Brand#2": (
+        X.OrderedRule("Refrigeration", "Freezers", ("freezer",)), X.OrderedRule("Refrigeration", "Refrigerators", ("fridge", "refrigerator"), (), ("box",)),
+        X.OrderedRule("Air & Climate", "Air Conditioners", ("air conditioner", "split air")), X.OrderedRule("Cooking", "Gas Cookers", (), ("gas", "cooker")), X.OrderedRule("Home", "Other", ("plate", "ring"), confidence="medium"),
+    ),
+    "Brand#3": (X.OrderedRule("TV & Audio", "Televisions", ("smart tv", "/p/tv-")), X.OrderedRule("Cooking", "Hoods", ("hood",), (), ("gas",), "medium", "accessory"), X.OrderedRule("Cooking", "Cookers", ("cooker",))),
+    "Brand#4": (X.OrderedRule("Refrigeration", "Small Boxes", (), ("fridge", "box"), (), "low"), X.OrderedRule("Refrigeration", "Fridges", ("fridge",)), X.OrderedRule("Tools", "Bolts", ("bolt",))),
+}
+GENERAL = (X.OrderedRule("Air & Climate", "Air Conditioners", ("btu", "split ac")), X.OrderedRule("Refrigeration", "Refrigerators", ("fridge",)), X.OrderedRule("Unsorted", "Gizmos", ("gizmo",), (), ("60 cm",), "low"))
+
+
+@query("c2", f"""select brand, product_id, c.category, c.sub_category, coalesce(c.status, 'review') as status, coalesce(c.confidence, 'low') as confidence, c.scope from (select brand, product_id, case
+    when brand = 'Brand#2' then case when contains(x, 'freezer') then ['Refrigeration', 'Freezers', 'high', 'core_appliance'] when (contains(x, 'fridge') or contains(x, 'refrigerator')) and not contains(x, 'box') then ['Refrigeration', 'Refrigerators', 'high', 'core_appliance']
+        when contains(x, 'air conditioner') or contains(x, 'split air') then ['Air & Climate', 'Air Conditioners', 'high', 'core_appliance'] when contains(x, 'gas') and contains(x, 'cooker') then ['Cooking', 'Gas Cookers', 'high', 'core_appliance']
+        when contains(x, 'plate') or contains(x, 'ring') then ['Home', 'Other', 'medium', 'core_appliance'] end
+    when brand = 'Brand#3' then case when contains(x, 'smart tv') or contains(x, '/p/tv-') then ['TV & Audio', 'Televisions', 'high', 'core_appliance'] when contains(x, 'hood') and not contains(x, 'gas') then ['Cooking', 'Hoods', 'medium', 'accessory'] when contains(x, 'cooker') then ['Cooking', 'Cookers', 'high', 'core_appliance'] end
+    when brand = 'Brand#4' then case when contains(x, 'fridge') and contains(x, 'box') then ['Refrigeration', 'Small Boxes', 'low', 'core_appliance'] when contains(x, 'fridge') then ['Refrigeration', 'Fridges', 'high', 'core_appliance'] when contains(x, 'bolt') then ['Tools', 'Bolts', 'high', 'core_appliance'] end
+    else case when contains(x, 'btu') or contains(x, 'split ac') then ['Air & Climate', 'Air Conditioners', 'high', 'core_appliance'] when contains(x, 'fridge') then ['Refrigeration', 'Refrigerators', 'high', 'core_appliance'] when contains(x, 'gizmo') and not contains(x, '60 cm') then ['Unsorted', 'Gizmos', 'low', 'core_appliance'] end
+    end as r from (select brand, product_id, lower({TITLE} || ' ' || product_url) as x from canonical)), lateral (select r[1] as category, r[2] as sub_category, if(r is null, null, 'mapped') as status, r[3] as confidence, r[4] as scope) c""")
 def c2(t):
-    """One operator, a rule set for each source and a general one for all others; the default appliance taxonomy on one."""
-    sets = {"Brand#2": RULES[:3], "Brand#3": RULES[3:], "Brand#4": X.APPLIANCES}
-    named = lambda rules: X.classify(F.col("item_name"), F.col("raw_category"), rules, RAW)
-    brand = F.col("brand")
-    out = t.canonical.where(~brand.isin(*sets)).select("brand", "product_id", named(RULES).alias("s"))
-    for name, rules in sets.items():
-        out = out.unionByName(t.canonical.where(brand == name).select("brand", "product_id", named(rules).alias("s")))
-    return out.select("brand", "product_id", "s.category", "s.sub_category", "s.status")
+    """One operator, a precedence list for each source and a general one for all others."""
+    text, brand = F.concat_ws(" ", F.expr(TITLE), "product_url"), F.col("brand")
+    named = t.canonical.select("brand", "product_id", text.alias("text"))
+    out = named.where(~brand.isin(*CATALOGUES)).withColumn("s", X.assign(F.col("text"), GENERAL))
+    for name, rules in CATALOGUES.items():
+        out = out.unionByName(named.where(brand == name).withColumn("s", X.assign(F.col("text"), rules)))
+    return out.select("brand", "product_id", "s.*")
 
 
 @query("c3", "select product_id, case when category is null then 'other' when lower(sub_category) in ('rod', 'bolt') then 'accessory' else 'core' end as scope from canonical")
@@ -146,10 +184,10 @@ SCOPE_STATUS = "case when e > 0 or (k > 0 and l > 0) then 'IN_SCOPE' when l > 0
 
 
 def read_news(t):
-    """Each article with its entities, products, local terms and type, computed once."""
-    body = F.lower(F.coalesce("body", F.lit("")))
-    found = t.news.select("news_id", "headline", "body", "source_url", "published_date", N.subject_text(F.concat("headline", F.expr(SAID)), F.col("body")).alias("subject"),
-                          N.terms_in(body, ENTITIES).alias("entities"), N.terms_in(body, TOPICS).alias("products"), N.terms_in(body, LOCAL).alias("local"))
+    """Each article with its entities, products, local terms and type, the lists of the body in one pass."""
+    lists = found_in_lists(F.coalesce("body", F.lit("")), {"entities": ENTITIES, "products": TOPICS, "local": LOCAL})
+    subject = N.subject_text(F.concat("headline", F.expr(SAID)), F.col("body"))
+    found = t.news.select("news_id", "headline", "body", "source_url", "published_date", subject.alias("subject"), lists.alias("l")).select("*", "l.*")
     return found.withColumn("news_type", N.news_type(F.col("subject"), F.col("entities")))
 
 

@@ -154,8 +154,11 @@ def test_scalars(spark):
 def test_taxonomy(spark):
     kind = lambda s, raw="": one(spark, X.classify(F.lit(s), F.lit(raw)), x="a")
     assert kind("Side-by-side fridge 500L")["sub_category"] == "Side by Side"
-    assert kind("Microwave with dishwasher")["status"] == "REVIEW"
-    assert kind("Gift card")["status"] == "UNMAPPED"
+    assert kind("Microwave with dishwasher").method == "conflict" and kind("Microwave with dishwasher").reason == "conflict: Cooking / Microwaves (name); Laundry & Dishwashing / Dishwashers (name)"
+    assert kind("Gift card").method == "none" and kind("Clearance sale").method == "text_pattern"
+    assert kind("Kettle, microwave and TV").category == "Multi-category"
+    assert tuple(kind("microwave with fan")) == ("Cooking", "Microwaves", "high", "mapped", "name", "")  # a weak hit beside a specific one
+    assert tuple(kind("tower fan"))[:3] == ("Air & Climate", "Fans", "high") and tuple(kind("big freezer"))[:3] == ("Refrigeration", "Refrigeration - other", "medium")
     assert one(spark, X.model_from_title(F.lit("Fridge AB-120X white")), x="a") == "AB-120X"
     assert one(spark, X.model_from_title(F.lit("Fridge model: zz9-1")), x="a") == "ZZ9-1"
     assert one(spark, X.model_present(F.lit("buy ab120 now"), F.lit("AB120/XY9")), x="a") is True
