@@ -11,6 +11,8 @@ from ..operators import matching as M
 from ..operators import news as N
 from ..operators import pairing as A
 from ..operators import prices as P
+from ..sources import keyed as K
+from ..sources.tables import overwrite, scratch
 from .bind import AS_OF, BASELINE, OWN_BRAND, VIEWS, half_up
 from .q_catalogue import KNOWN, RANKED, assessed, titled
 from .registry import query
@@ -603,7 +605,10 @@ def d4(t):
     old, new = t.prices.where(F.col("observed_date") < AS_OF), t.prices.where(F.col("observed_date") >= AS_OF)
     keys = ["competitor_id", "model"]
     stored = old.groupBy(*keys).agg(F.min("observed_date").alias("first_seen_date"), F.max("observed_date").alias("last_seen_date"))
-    return D.upsert_seen(stored, new, keys)
+    path = scratch(t.spark, "d4")
+    K.create(stored, path, keys)
+    K.merge_into(path, new, keys, lambda a, b: D.upsert_seen(a, b, keys), stored)
+    return K.read(t.spark, path, stored)
 
 
 @query("d5", """select distinct competitor_id, category, start_date from campaigns i where campaign_id % 2 = 1 and not exists (select 1 from campaigns s where s.campaign_id % 2 = 0 and s.competitor_id = i.competitor_id and s.category = i.category and s.start_date is not distinct from i.start_date)""")
@@ -657,8 +662,6 @@ def d11(t):
 
 @query("d12", "select competitor_id, competitor_name from competitors where competitor_id % 2 = 0")
 def d12(t):
-    from ..sources.tables import overwrite, scratch
-
     path = scratch(t.spark, "d12")
     overwrite(t.competitors.select("competitor_id", "competitor_name"), path)
     return overwrite(t.competitors.where("competitor_id % 2 = 0").select("competitor_id", "competitor_name"), path)

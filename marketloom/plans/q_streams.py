@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import prices as P
-from ..sources.tables import scratch
+from ..sources.tables import overwrite, scratch
 from ..streaming import jobs as Z
 from .registry import query
 
@@ -13,8 +13,8 @@ from .registry import query
 def events(t, label):
     """The events as a stream of four micro-batches in order of time."""
     e = t.raw("events").withColumn("ts", F.col("ts").cast("timestamp"))
-    path = Z.deal_by_time(e, "ts", scratch(t.spark, f"{label}-events"))
-    e = t.spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    path, files = Z.deal_by_time(e, "ts", scratch(t.spark, f"{label}-events"))
+    e = t.spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files).parquet(path)
     return e.select(F.col("event_id").alias("observation_id"), "user_id", "event_type", "ts",
         F.expr("'https://social.example.com/' || (event_id % 5000)").alias("post_url"), F.get_json_object("props", "$.k").cast("long").alias("likes"))
 
@@ -36,8 +36,8 @@ def z3(t):
     path = scratch(t.spark, "z3-days")
     days = P.with_identity(t.prices).select(F.concat_ws("|", *P.IDENTITY).alias("identity"), "observation_id", "price_kes", "observed_date")
     top = days.groupBy("identity", "observed_date").agg(F.max(F.struct("observation_id", "price_kes")).alias("r")).select("identity", "observed_date", "r.*")
-    Z.deal_by_time(top, "observed_date", path)
-    s = t.spark.readStream.schema(top.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    path, files = Z.deal_by_time(overwrite(top, scratch(t.spark, "z3-top")), "observed_date", path)
+    s = t.spark.readStream.schema(top.schema).option("maxFilesPerTrigger", files).parquet(path)
     return Z.movements_by_batch(s, "z3")[0]
 
 

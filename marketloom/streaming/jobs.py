@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import DateType, DoubleType, LongType, StringType, StructField, StructType
 
+from ..sources.keyed import remove
 from ..sources.tables import scratch
 
 
@@ -101,26 +102,44 @@ def live_movements(prices: DataFrame) -> DataFrame:
     return prices.groupBy("identity").transformWithStateInPandas(LastPrice(), MOVEMENT, "update", "none")
 
 
-def movements_by_batch(prices: DataFrame, label: str = "movements", path: str | None = None) -> tuple[DataFrame, DataFrame]:
+#: Buckets of the state by identity, and epochs after which a whole version of it is written.
+BUCKETS, WHOLE_EVERY = 16, 8
+
+
+def newest(state: DataFrame) -> DataFrame:
+    """The rows of each identity's last epoch."""
+    return state.withColumn("_last", F.max("epoch").over(W.partitionBy("identity"))).where("epoch = _last").drop("_last")
+
+
+def movements_by_batch(
+    prices: DataFrame, label: str = "movements", path: str | None = None, buckets: int = BUCKETS, whole_every: int = WHOLE_EVERY
+) -> tuple[DataFrame, DataFrame]:
     """Price movements of a stream without a Python call per key: (movements, late rows) after all input has passed.
 
-    State is a table with the last two days of each identity, one version per epoch. A batch joins the last version
-    before its own epoch; rows older than the last day are set aside as late. A day that changes again (a higher id on
-    the same day) replaces its movement, by epoch. With a path of its own the job goes on where it stopped: an epoch that
-    is run again overwrites what it wrote.
+    State is the last two days of each identity, as a log: an epoch writes the identities of its batch alone, by bucket, and
+    every whole_every-th epoch writes all of it, after which older versions are removed. A batch reads the buckets that its
+    identities fall in, from the last whole version on. Rows older than the last day are set aside as late. A day that
+    changes again (a higher id on the same day) replaces its movement, by epoch. With a path of its own the job goes on
+    where it stopped: an epoch that is run again reads what came before it and overwrites what it wrote.
     """
     spark, path = prices.sparkSession, path or scratch(prices.sparkSession, label)
     columns = ["identity", "observed_date", "observation_id", "price_kes"]
     kept = prices.select(*columns).schema
-    for part in ("state", "late"):  # so that the folders can be read before the first epoch has ended
-        spark.createDataFrame([], kept).write.mode("ignore").parquet(f"{path}/{part}/epoch=-1")
+    bucket = F.pmod(F.xxhash64("identity"), F.lit(buckets)).cast("int")
+    spark.createDataFrame([], kept).write.mode("ignore").parquet(f"{path}/late/epoch=-1")  # so that the folders can be read before the first epoch has ended
+    spark.createDataFrame([], kept).write.mode("ignore").parquet(f"{path}/state/whole=1/epoch=-1/bucket=0")
 
     def step(batch: DataFrame, epoch: int) -> None:
         before = spark.read.parquet(f"{path}/state").where(F.col("epoch") < epoch)
-        last = before.agg(F.max("epoch")).first()[0]
-        state = before.where(F.col("epoch") == (-1 if last is None else last)).select(*columns)
+        versions = before.select("whole", "epoch").distinct().collect()
+        base = max((v.epoch for v in versions if v.whole), default=-1)
+        live = before.where(F.col("epoch") >= base)
+        keyed = batch.select(*columns, bucket.alias("bucket"))
+        touched = [r.bucket for r in keyed.select("bucket").distinct().collect()]  # at most as many as buckets
+        asked = keyed.select("identity").distinct()
+        state = newest(live.where(F.col("bucket").isin(touched)).join(asked, "identity", "left_semi")).select(*columns)
         edge = state.groupBy("identity").agg(F.max("observed_date").alias("edge"))
-        aged = batch.select(*columns, F.lit(True).alias("fresh")).join(edge, "identity", "left")
+        aged = keyed.select(*columns, F.lit(True).alias("fresh")).join(edge, "identity", "left")
         aged.where("observed_date < edge").select(*columns).write.mode("overwrite").parquet(f"{path}/late/epoch={epoch}")
         new = aged.where("edge is null or observed_date >= edge").drop("edge").unionByName(state.withColumn("fresh", F.lit(False)))
         days = new.groupBy("identity", "observed_date").agg(F.max(F.struct("observation_id", "price_kes")).alias("r"), F.bool_or("fresh").alias("fresh"))
@@ -130,8 +149,14 @@ def movements_by_batch(prices: DataFrame, label: str = "movements", path: str |
         days.write.mode("overwrite").parquet(f"{path}/days/epoch={epoch}")
         done = spark.read.schema(days.schema).parquet(f"{path}/days/epoch={epoch}")
         changed = done.where("age <= 2").select(*columns)
-        quiet = state.join(done.select("identity").distinct(), "identity", "left_anti").select(*columns)
-        changed.unionByName(quiet).write.mode("overwrite").parquet(f"{path}/state/epoch={epoch}")
+        whole = int(epoch % whole_every == whole_every - 1)
+        if whole:
+            quiet = newest(live).join(done.select("identity").distinct(), "identity", "left_anti").select(*columns)
+            changed = changed.unionByName(quiet)
+        changed.withColumn("bucket", bucket).repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/state/whole={whole}/epoch={epoch}")
+        for v in versions:  # no epoch from now on reads what lies before the last whole version
+            if v.epoch < base:
+                remove(spark, f"{path}/state/whole={v.whole}/epoch={v.epoch}")
 
     q = prices.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(step).start()
     q.awaitTermination()
@@ -140,8 +165,8 @@ def movements_by_batch(prices: DataFrame, label: str = "movements", path: str |
         none = "identity string, previous_date date, observed_date date, previous_price double, current_price double"
         return spark.createDataFrame([], none), late
     days = spark.read.parquet(f"{path}/days").where("fresh and previous_price is not null")
-    newest = days.groupBy("identity", "observed_date").agg(F.max_by(F.struct("previous_date", "previous_price", "price_kes"), "epoch").alias("r"))
-    moved = newest.select("identity", "r.previous_date", "observed_date", "r.previous_price", F.col("r.price_kes").alias("current_price"))
+    newest_day = days.groupBy("identity", "observed_date").agg(F.max_by(F.struct("previous_date", "previous_price", "price_kes"), "epoch").alias("r"))
+    moved = newest_day.select("identity", "r.previous_date", "observed_date", "r.previous_price", F.col("r.price_kes").alias("current_price"))
     return moved.where("previous_price <> current_price"), late
 
 
@@ -173,11 +198,17 @@ def run_to_end(stream: DataFrame, mode: str = "append", label: str = "stream", k
     return every.drop("epoch")
 
 
-def deal_by_time(df: DataFrame, time: str, path: str, parts: int = 4) -> str:
-    """Writes df as one set of files per time slice, oldest first, so that a stream of them takes several micro-batches in
-    order of time."""
+def deal_by_time(df: DataFrame, time: str, path: str, parts: int = 4, files: int = 4) -> tuple[str, int]:
+    """Writes df in time slices, oldest first; (path, files of a slice): a stream of so many files a trigger takes the slices
+    one by one. Slices of few rows are one file each."""
     cuts = df.agg(F.percentile_approx(F.unix_date(F.to_date(time)), [i / parts for i in range(1, parts)])).first()[0] or []
     place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.unix_date(F.to_date(time)))) if cuts else F.lit(0)
+    counts = {r.place: r["count"] for r in df.groupBy(place.alias("place")).count().collect()}
+    # dealt round robin, some input partition of a slice has a row for each file
+    files = files if min(counts.values(), default=0) >= files * df.rdd.getNumPartitions() else 1
     for i in range(parts):
-        df.where(place == i).coalesce(1 if parts > 1 else 8).write.mode("append").parquet(path)
-    return path
+        if counts.get(i):
+            df.where(place == i).repartition(files).write.mode("append").parquet(path)
+    if not counts:
+        df.write.mode("append").parquet(path)
+    return path, files
