@@ -39,8 +39,6 @@ RULES = (
     UrlRule("allow", "com", "/fr/"),
     UrlRule("block", "com", "/de/"),
 )
-#: Rules up to this number are compared in the row; a longer list is a table to join by host suffix.
-INLINE_RULES = 1000
 
 
 def ascii_lower(c: Column) -> Column:
@@ -58,45 +56,32 @@ def with_parts(df: DataFrame, url: str = "url") -> DataFrame:
     return df.withColumns({"host": ascii_lower(host), "path": path, "key": key})
 
 
-def ranked(rules: tuple[UrlRule, ...]) -> list[UrlRule]:
-    return sorted(rules, key=lambda r: (len(r.text), len(r.host), r.verdict), reverse=True)
+def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(key, own) for the urls(host, path, key) that a rule of rules(verdict, host, path) fits; own: struct(text, verdict).
 
-
-def rule_of(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> Column:
-    """struct(text, verdict) of the longest rule that fits, or null."""
-    out = F.lit(None).cast("struct<text:string,verdict:string>")
-    for r in reversed(ranked(rules)):
-        fits = ((host == r.host) | F.endswith(host, F.lit("." + r.host))) & F.startswith(path, F.lit(r.path))
-        out = F.when(fits, F.struct(F.lit(r.text).alias("text"), F.lit(r.verdict).alias("verdict"))).otherwise(out)
-    return out
-
-
-def match_rule_table(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(key, rule struct) by joining each host's suffixes with rules(verdict, host, path); for long rule lists.
-
-    A suffix such as a country's has a large part of all urls: it is joined as a hot key."""
+    A rule is found by equality: each suffix of a host meets the path lengths that the rules of that suffix have, and
+    so many characters of the path, behind the suffix, are the key of the rules. A url has a row for each of those lengths,
+    not for each rule, and lists of any length take the same way. A suffix such as a country's, or a common path, has a
+    large part of all urls: both are joined as hot keys."""
     labels = F.split("host", "[.]")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     one = urls.where("key is not null").groupBy("key").agg(F.min("host").alias("host"), F.min("path").alias("path"))
     one = materialize(one.select("key", "path", F.explode(suffixes).alias("at")), "url-suffixes")
-    r = rules.groupBy(F.col("host").alias("at")).agg(F.collect_set(F.struct("path", "verdict")).alias("rules"))
-    r = materialize(r.join(one.groupBy("at").agg(F.count("*").alias("urls")), "at"), "url-rules")
-    hit = join_hot(one, r, "at", "urls", one.count()).select("key", "path", "at", F.explode("rules").alias("r")).where(F.startswith("path", F.col("r.path")))
-    text = F.concat("at", "r.path")
-    return hit.groupBy("key").agg(
-        F.max_by(F.struct(text.alias("text"), F.col("r.verdict").alias("verdict")), F.struct(F.length(text), F.length("at"), "r.verdict")).alias("rule")
-    )
+    hosts = rules.groupBy(F.col("host").alias("at")).agg(F.array_sort(F.collect_set(F.length("path"))).alias("lengths"))
+    hosts = materialize(hosts.join(one.groupBy("at").agg(F.count("*").alias("urls")), "at"), "url-rule-hosts")
+    asked = join_hot(one, hosts, "at", "urls", one.count()).select("key", "at", "path", F.explode("lengths").alias("n")).where(F.length("path") >= F.col("n"))
+    asked = materialize(asked.select("key", F.concat("at", F.substring("path", F.lit(1), F.col("n"))).alias("text")), "url-prefixes")
+    known = rules.groupBy(F.concat("host", "path").alias("text")).agg(F.max("verdict").alias("verdict"), F.max(F.length("host")).alias("size"))
+    known = materialize(known.join(asked.groupBy("text").agg(F.count("*").alias("urls")), "text"), "url-rules")
+    hit = join_hot(asked, known, "text", "urls", asked.count())
+    return hit.groupBy("key").agg(F.max_by(F.struct("text", "verdict"), F.struct(F.length("text"), "size", "verdict")).alias("own"))
 
 
 def with_rule(urls: DataFrame, rules: tuple[UrlRule, ...]) -> DataFrame:
-    """urls(host, path, key, ...) with own: struct(text, verdict) of the rule that fits. A list of more than INLINE_RULES
-    rules is joined, with equal results."""
-    if len(rules) <= INLINE_RULES:
-        return urls.withColumn("own", rule_of(F.col("host"), F.col("path"), rules))
+    """urls(host, path, key, ...), a written table, with own: struct(text, verdict) of the longest rule that fits, or null."""
     table = urls.sparkSession.createDataFrame([(r.verdict, r.host, r.path) for r in rules], "verdict string, host string, path string")
-    found = match_rule_table(urls, table)
     sizes = urls.where("key is not null").groupBy("key").agg(F.count("*").alias("_loom_n"))
-    found = materialize(found.join(sizes, "key").withColumnRenamed("rule", "own"), "url-found")
+    found = materialize(match_rules(urls, table).join(sizes, "key"), "url-found")
     known = join_hot(urls.where("key is not null"), found, "key", "_loom_n", urls.count(), how="left").drop("_loom_n")
     return known.unionByName(urls.where("key is null").withColumn("own", F.lit(None).cast("struct<text:string,verdict:string>")))
 
@@ -135,7 +120,7 @@ def blocked_aliases(pages: DataFrame, rules: tuple[UrlRule, ...]) -> DataFrame |
     if edges.isEmpty():
         return None
     comps = connected_components(edges, "alias")
-    nodes = with_parts(comps.select(F.concat(F.lit("x://"), "node").alias("u"), "node", "component"), "u")
+    nodes = materialize(with_parts(comps.select(F.concat(F.lit("x://"), "node").alias("u"), "node", "component"), "u"), "alias-nodes")
     blocked = with_rule(nodes, rules).where(F.col("own.verdict") == "block").select("component").distinct()
     hit = comps.join(blocked, "component", "left_semi").select(F.col("node").alias("key"))
     here = with_parts(pages.select("url")).where("key is not null").groupBy("key").agg(F.count("*").alias("pages"))
@@ -144,7 +129,7 @@ def blocked_aliases(pages: DataFrame, rules: tuple[UrlRule, ...]) -> DataFrame |
 
 def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, alias_blocked."""
-    judged = with_rule(with_parts(pages.select("page_id", "url")), rules)
+    judged = with_rule(materialize(with_parts(pages.select("page_id", "url")).drop("url"), "url-parts"), rules)
     hit = blocked_aliases(pages, rules)
     if hit is None:
         marked = judged.withColumn("alias_blocked", F.lit(False))
