@@ -205,7 +205,7 @@ def deal_by_time(df: DataFrame, time: str, path: str, parts: int = 4, files: int
     place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.unix_date(F.to_date(time)))) if cuts else F.lit(0)
     counts = {r.place: r["count"] for r in df.groupBy(place.alias("place")).count().collect()}
     # dealt round robin, some input partition of a slice has a row for each file
-    files = files if min(counts.values(), default=0) >= files * df.rdd.getNumPartitions() else 1
+    files = files if counts and min(counts.values()) >= files * df.rdd.getNumPartitions() else 1
     for i in range(parts):
         if counts.get(i):
             df.where(place == i).repartition(files).write.mode("append").parquet(path)
