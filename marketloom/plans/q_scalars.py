@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.dictionary import found_in
+from ..sources import pages as PG
 from ..sources import tables as S
 from .bind import AS_OF, BASELINE
 from .registry import query
@@ -362,12 +363,12 @@ def s10(t):
 
 @query("s11")
 def s11(t):
-    return S.product_cards(t.raw("pages"))
+    return PG.product_cards(t.raw("pages"))
 
 
 @query("s12")
 def s12(t):
-    return S.article_fields(t.raw("pages"))
+    return PG.article_fields(t.raw("pages"))
 
 
 @query("s13", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as likes, 'https://social.example.com/' || event_id as post_url, event_type as post_text from events")

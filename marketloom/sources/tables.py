@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
-from html import unescape
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.dedup import number_in_order
-from ..session import ship
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -165,73 +161,3 @@ def embedded_items(pages: DataFrame) -> DataFrame:
     item = F.from_json("item", "id long, name string, model string")
     rows = pages.select(found.alias("item")).select(item.alias("i"))
     return rows.select(F.col("i.id").alias("product_id"), F.col("i.name").alias("item_name"), F.col("i.model").alias("model_no")).distinct()
-
-
-_CARD = re.compile(r"<li\b[^>]*>(.*?)</li>", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*href=[\"']?([^\"'>\s]+)[^>]*>(.*?)</a>", re.S | re.I)
-_OLD = re.compile(r"<del\b[^>]*>(.*?)</del>", re.S | re.I)
-_NEW = re.compile(r"<ins\b[^>]*>(.*?)</ins>", re.S | re.I)
-_SKU = re.compile(r"data-(?:product_)?sku=[\"']?([^\"'>\s]+)", re.I)
-_MONEY = re.compile(r"[0-9][0-9,]*(?:\.[0-9]+)?")
-_TAG = re.compile(r"<[^>]*>")
-
-
-def _money(m) -> float | None:
-    x = m and _MONEY.search(_TAG.sub("", m[1]))
-    return float(x[0].replace(",", "")) if x else None
-
-
-def product_cards(pages: DataFrame) -> DataFrame:
-    """One row per product card (a list item with a link) of stored pages: name, url, sku, regular and sale price."""
-    schema = "page_id long, position int, name string, url string, sku string, regular_price double, sale_price double"
-    fields = ["page_id", "position", "name", "url", "sku", "regular_price", "sale_price"]
-    types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-
-    def run(batches):
-        for batch in batches:
-            rows: list[list] = [[] for _ in fields]
-            for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i, m in enumerate(_CARD.finditer(html or "")):
-                    link, sku = _LINK.search(m[1]), _SKU.search(m[0])
-                    if not link:
-                        continue
-                    old, new = _money(_OLD.search(m[1])), _money(_NEW.search(m[1]))
-                    row = (page, i, unescape(_TAG.sub("", link[2])).strip(), link[1], sku and sku[1], old, new)
-                    for x, v in zip(rows, row, strict=True):
-                        x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], fields)
-
-    ship(pages.sparkSession)
-    return pages.select("page_id", "html").mapInArrow(run, schema)
-
-
-_ARTICLE = re.compile(r"<article\b[^>]*>(.*?)</article>", re.S | re.I)
-_TITLE = re.compile(r"<h1\b[^>]*>(.*?)</h1>|<title\b[^>]*>(.*?)</title>", re.S | re.I)
-_PARA = re.compile(r"<p\b[^>]*>(.*?)(?=</?p\b|</article|\Z)", re.S | re.I)
-_DATE = re.compile(r"datetime=[\"']?(\d{4}-\d{2}-\d{2})|\b(\d{4}-\d{2}-\d{2})\b")
-
-
-def _flat(html: str) -> str:
-    return " ".join(unescape(_TAG.sub(" ", html)).split())
-
-
-def article_fields(pages: DataFrame) -> DataFrame:
-    """Title, text, publisher (host) and first date of stored article pages, one row per page."""
-    fields = ["page_id", "title", "text", "publisher", "published"]
-
-    def run(batches):
-        for batch in batches:
-            rows: list[list] = [[] for _ in fields]
-            for page, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                html = html or ""
-                body, title, date = _ARTICLE.search(html), _TITLE.search(html), _DATE.search(html)
-                paras = [x for x in map(_flat, _PARA.findall(body[1] if body else html)) if x]
-                host = re.match(r"[a-z]+://(?:www\.)?([^/?#]*)", url or "", re.I)
-                row = (page, _flat(title[1] or title[2] or "") if title else "", "\n".join(paras), host and host[1].lower(), date and (date[1] or date[2]))
-                for x, v in zip(rows, row, strict=True):
-                    x.append(v)
-            types = [pa.int64()] + [pa.string()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], fields)
-
-    ship(pages.sparkSession)
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, title string, text string, publisher string, published string")

@@ -270,12 +270,6 @@ def test_provider_payload(spark):
     assert got == {"u1": ("t1", 3, None), "u2": ("t2", 9, 1)}
 
 
-def test_product_cards(spark):
-    html = '<ul><li data-sku="S1"><a href="/p1">Fridge &amp; more</a><del>KSh 1,000</del><ins>KSh 900</ins></li><li>no link</li></ul>'
-    r = S.product_cards(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).collect()
-    assert [(x["name"], x["url"], x["sku"], x["regular_price"], x["sale_price"]) for x in r] == [("Fridge & more", "/p1", "S1", 1000.0, 900.0)]
-
-
 def test_article_texts_by_brute_force():
     """Tail repeats and summaries against direct statements of their rules."""
     import random
