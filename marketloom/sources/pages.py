@@ -16,6 +16,9 @@ from ..session import ship
 #: Words in a class or item type that make an element a product card, and one of its parts.
 CARD = re.compile(r"(?:^|[-_\s/])products?(?:[-_]?(?:card|item|tile|box|inner))?(?:$|\s)", re.I)
 PARTS = {k: re.compile(rf"(?:^|[-_\s])(?:{v})(?:$|[-_\s])", re.I) for k, v in {"name": "name|title", "price": "price|amount", "brand": "brand", "category": "category"}.items()}
+#: Attributes and elements that tell a part.
+DATA = {"data-sku": "sku", "data-product_sku": "sku", "data-brand": "brand", "data-category": "category"}
+TELLING = {"del": ("old",), "ins": ("new",), "h2": ("name",), "h3": ("name",), "h4": ("name",)}
 _MONEY = re.compile(r"[0-9][0-9,]*(?:\.[0-9]+)?")
 _DATE = re.compile(r"\b(\d{4}-\d{2}-\d{2})\b")
 _DAY = re.compile(r"\d{4}-\d{2}-\d{2}")
@@ -56,6 +59,8 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
 class Card:
     """What a card has said so far; parts are collected while their element is open."""
 
+    __slots__ = ("depth", "linked", "listed", "open", "place", "said", "texts")
+
     def __init__(self, depth: int, attrs: dict[str, str], listed: bool):
         self.depth, self.listed, self.linked, self.place = depth, listed, False, 0
         self.said = {"sku": attrs.get("data-sku") or attrs.get("data-product_sku"), "brand": attrs.get("data-brand"), "category": attrs.get("data-category"), "url": None}
@@ -63,16 +68,16 @@ class Card:
         self.open: list[tuple[str, int]] = []
 
     def start(self, tag: str, attrs: dict[str, str], depth: int) -> None:
-        for key, names in (("sku", ("data-sku", "data-product_sku")), ("brand", ("data-brand",)), ("category", ("data-category",))):
-            self.said[key] = self.said[key] or next((attrs[n] for n in names if attrs.get(n)), None)
+        for n in DATA.keys() & attrs.keys():
+            self.said[DATA[n]] = self.said[DATA[n]] or attrs[n] or None
         if tag == "meta" and attrs.get("itemprop") in ("sku", "brand", "category", "name", "price") and attrs.get("content"):
             self.texts.setdefault(attrs["itemprop"], []).append(attrs["content"])
         if tag == "a" and attrs.get("href") and not self.linked:
             self.linked, self.said["url"] = True, attrs["href"]
             self.open.append(("link", depth))
-        kind = attrs.get("itemprop", "") + " " + attrs.get("class", "")
-        parts = [k for k, rx in PARTS.items() if rx.search(kind)]
-        parts += {"del": ["old"], "ins": ["new"], "h2": ["name"], "h3": ["name"], "h4": ["name"]}.get(tag, [])
+        kind = attrs and attrs.get("itemprop", "") + " " + attrs.get("class", "")
+        parts = [k for k, rx in PARTS.items() if rx.search(kind)] if kind else []
+        parts += TELLING.get(tag, ())
         self.open += [(p, depth) for p in parts if p not in self.texts]
 
     def text(self, text: str) -> None:
@@ -132,12 +137,12 @@ def cards_of(page: str) -> list[dict]:
                 for v in opened.values():
                     while v and v[-1] > to:
                         v.pop()
-            attrs = attributes(value)
+            attrs = attributes(value) if value else {}
             stack.append(tag)
             opened.setdefault(tag, []).append(len(stack))
-            if tag == "li" or CARD.search(attrs.get("class", "") + " " + attrs.get("itemtype", "")):
-                listed = tag == "li" and not CARD.search(attrs.get("class", "") + " " + attrs.get("itemtype", ""))
-                card = Card(len(stack), attrs, listed)
+            product = bool(attrs) and CARD.search(attrs.get("class", "") + " " + attrs.get("itemtype", ""))
+            if tag == "li" or product:
+                card = Card(len(stack), attrs, listed=not product)
                 card.place, place = place, place + 1
                 cards.append(card)
             elif cards:

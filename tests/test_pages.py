@@ -70,4 +70,4 @@ def test_a_megabyte_of_unclosed_tags(unit):
     for f in (PG.cards_of, PG.article_of):
         began = time.process_time()
         f(page)
-        assert time.process_time() - began < 4, f
+        assert time.process_time() - began < 8, f
