@@ -12,8 +12,9 @@
    without zones that HTML itself keeps apart (nav, aside, forms, adverts, reader comments ...).
 
 In step 2 pages of a host with the same sequence of article blocks count once. Every page is parsed once; its blocks are
-written, and the later steps read them. A page that has nothing in the slot, or whose host
-has fewer than LEAST pages, is judged by its own markup alone (article element, zones, class names).
+written, and the later steps read them. A page that has nothing in the slot (a layout that few pages of its host have) is judged
+by its own markup (article element, zones, class names) without the template blocks, which are counted over all pages whatever
+their layout; a page whose host has fewer than LEAST pages by its markup alone.
 
 Defined results: null or empty html gives an empty text of 0 characters; a null url has its page judged by its own
 markup; repeated rows get equal rows; pages with equal hash take part once in a sample; an empty table gives none;
@@ -35,10 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.html import RAW, VOID, tokens
 from ..session import ship
 from .common import join_hot, map_arrow, materialize, text_chunks
 
 SAMPLE = 8
+RAW_TAGS = frozenset(RAW.split("|"))
 #: A block is template if this share of the pages with its node, and LEAST of them, have it there.
 SHARE, LEAST = 0.6, 3
 #: Nodes of which this share is link text hold no content.
@@ -50,8 +53,6 @@ HELD_BYTES = 32 << 20
 BROADCAST_BYTES = 32 << 20
 
 #: Element classes of HTML.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|svg|iframe|object|textarea|select|math|canvas|audio|video|title"
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -68,11 +69,6 @@ NAMES = re.compile(
     re.I,
 )
 HEADER_NAME = re.compile(r"(?:^|[-_\s])(?:header|banner)(?:$|[-_\s])", re.I)
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(" + RAW + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 #: Names that set a zone apart whatever the wrapper says: adverts and reader comments.
 APART = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:s|ed)?|comments?|commentlist|disqus|replies|respond)(?:$|[-_\s])", re.I)
@@ -115,15 +111,13 @@ def parse(html: str) -> Node:
         opened.subtract(n.tag for n in stack[i:])
         del stack[i:]
 
-    for m in TOKEN.finditer(html):
-        if m.start() > at:
-            stack[-1].kids.append(html[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag is None:
+    for start, end, tag, closing, attrs, _ in tokens(html):
+        if start > at:
+            stack[-1].kids.append(html[at:start])
+        at = end
+        if tag is None or tag in RAW_TAGS:
             continue
-        tag = tag.lower()
-        if m[2]:
+        if closing:
             if opened[tag] > 0:
                 close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
@@ -139,9 +133,9 @@ def parse(html: str) -> Node:
                     break
                 if t in within or (t in BLOCK and t not in closes):
                     break
-        node = Node(tag, *describe(tag, m[4]))
+        node = Node(tag, *describe(tag, attrs))
         stack[-1].kids.append(node)
-        if tag not in VOID and not m[4].endswith("/"):
+        if tag not in VOID and not attrs.endswith("/"):
             stack.append(node)
             opened[tag] += 1
     if at < len(html):
@@ -477,7 +471,11 @@ def choose(wrapper: Wrapper | None, names, marks, zones, inside, markup: bool =
         keep = [(z < APART_ZONE or not markup) and m not in wrapper.template and wrapper.inside[n] for n, m, z in zip(names, marks, zones, strict=True)]
         if any(keep):
             return keep, True
-    return own_choice(zones, inside) if markup else [True] * len(zones), False
+    own = own_choice(zones, inside) if markup else [True] * len(zones)
+    if wrapper:  # a layout outside the slot: blocks that its pages share are template all the same
+        keep = [k and m not in wrapper.template for k, m in zip(own, marks, strict=True)]
+        own = keep if any(keep) else own
+    return own, False
 
 
 def host_of(url: str | None) -> str:
@@ -541,7 +539,8 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 def join_hosts(rows: DataFrame, hosts: DataFrame, total: int, how: str = "inner") -> DataFrame:
     """rows joined with hosts(host, pages, tree, ...): broadcast if small, else with hot hosts apart."""
-    size = hosts.agg(F.sum(F.length("tree") + 64)).first()[0] or 0
+    lists = [F.greatest(F.size(c), F.lit(0)) * 8 for c in ("template", "heads", "linky") if c in hosts.columns]
+    size = hosts.agg(F.sum(sum(lists, F.length("tree") + 64))).first()[0] or 0
     if size <= BROADCAST_BYTES:
         return rows.join(F.broadcast(hosts.drop("pages")), "host", how)
     if how == "inner":

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -352,6 +353,26 @@ def test_copies_of_an_article_are_no_template(spark):
     assert {r["text"] for r in wrappers.extract_main_text(pages(spark, rows)).collect()} == {"\n\n".join([NOTICE, *want])}
 
 
+def test_layout_of_few_pages_of_a_host(spark):
+    """400 pages of one host, 20 of them laid out otherwise: their menu goes as it does on a host of their own."""
+    rng = random.Random(12)
+    story = lambda i: f"Story {i} tells {prose(rng, 14)} number {i}."
+    menu = "".join(f"<td>Entry {k} of the menu</td>" for k in range(4))
+    other = lambda i: f"<html><body><table><tr>{menu}</tr><tr><td><p>{story(i)}</p><p>{story(-i)}</p></td></tr></table></body></html>"
+    rows = [(i, f"http://big.example.org/{i}", page(i, rng)[0] if i % 20 else other(i)) for i in range(400)] + [(1000 + i, f"http://own.example.org/{i}", other(i)) for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_main_text(pages(spark, rows)).collect()}
+    few = [i for i in range(0, 400, 20)] + [1000 + i for i in range(20)]
+    assert all("menu" not in got[i] and got[i].count("Story") == 2 for i in few)
+    assert all(f"Story {i} part 2" in got[i] and "office moves" not in got[i] for i in range(400) if i % 20)
+
+
+@pytest.mark.parametrize("unit", ["<a '", '<p class="', "<div>", "<li>", "<script", "<!-"])
+def test_a_megabyte_of_broken_tags(unit):
+    began = time.process_time()
+    wrappers.Placed(unit * (1_000_000 // len(unit)), None)
+    assert time.process_time() - began < 30
+
+
 def test_template_of_a_layout(spark):
     """A menu without telling markup on a fifth of a host's pages goes from all of them; copies do not hide it."""
     rng = random.Random(11)
