@@ -100,3 +100,15 @@ def suspicious_reasons(df: DataFrame) -> Column:
         F.when(F.col("mapping_confidence") == "LOW", "low confidence"), F.when(F.col("mapping_status") == "REVIEW", "unmapped"),
         F.when(F.col("model_no") == "", "no model"), F.when(F.col("product_scope") != "core", "not a core product"),
     ))
+
+
+#: Words of a launch in an official, dated source, and those of a possible one anywhere.
+CONFIRMED_TERMS = ["LAUNCH", "LAUNCHED", "LAUNCHING", "INTRODUCING"]
+CANDIDATE_TERMS = ["NEW ARRIVAL", "INTRODUCING", "NEW PRODUCT", "JUST LAUNCHED", "NOW AVAILABLE"]
+
+
+def launch_evidence(text: Column, dated_official: Column) -> Column:
+    """CONFIRMED_LAUNCH, LAUNCH_CANDIDATE or FIRST_OBSERVED from an evidence text; only a dated official source confirms."""
+    said = F.upper(F.coalesce(text, F.lit("")))
+    sure = F.coalesce(dated_official, F.lit(False)) & T.contains_any(said, CONFIRMED_TERMS)
+    return T.first_rule([(sure, "CONFIRMED_LAUNCH"), (T.contains_any(said, CANDIDATE_TERMS), "LAUNCH_CANDIDATE")], "FIRST_OBSERVED")

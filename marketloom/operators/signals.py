@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.dates import date_span
 from ..sources.tables import overwrite, scratch
 from .prices import concurrent_runs
 
 
 def campaign_type(c: Column) -> Column:
-    """Ordered terms, the first that the text has; null if none."""
+    """Ordered terms, the first that the text has; null if none."""
     low = T.search_text(c)
     rules = [(("giveaway", "competition", "contest"), "campaign"), (("seminar",), "event"), (("financing",), "financing"), (("flash sale", "flash offers"), "flash_sale"),
              (("clearance sale",), "clearance_sale"), (("night rush",), "limited_time_sale"), (("live demo", "tiktok live"), "live_promotion"), (("monthly offers",), "promotion"),
@@ -23,32 +24,49 @@ def campaign_type(c: Column) -> Column:
 
 
 #: Campaign names by phrases that must all occur, in order of precedence; a parameter, these are general ones.
-NAMES = [
-    (["commercial laundry seminar"], "Commercial Laundry Seminar"), (["night rush"], "Night Rush"), (["clearance sale"], "Clearance Sale"), (["monthly offers"], "Monthly Offers"),
-    (["live demo", "tiktok live"], "TikTok Live"), (["flash offers", "28th september"], "Flash Offers - 28 September"), (["flash sale"], "Flash Sale"), (["flash offers"], "Flash Sale"),
-]
-#: Phrases that are evidence enough for a campaign, and those that make it one of no single category.
-STRONG = ["monthly offers", "night rush", "commercial laundry seminar", "clearance sale", "live demo", "flash offers", "sale extended", "giveaway", "competition", "contest"]
+NAMES = [(["clearance sale"], "Clearance Sale"), (["monthly offers"], "Monthly Offers")]
+#: Phrases that are evidence enough for a campaign, and those that make it one of no single category.
+STRONG = ["monthly offers", "clearance sale", "live demo", "flash offers", "sale extended", "giveaway", "competition", "contest"]
 BROAD = ["monthly offers", "clearance sale", "flash offers"]
-#: Categories by their words, the first with a word in the text.
+#: Categories by their words, the first with a word in the text.
 TOPICS = [
-    ("Cooking", ["cooker", "cooking", "kitchen", "oven", "hob", "microwave"]), ("Laundry", ["laundry", "washing machine", "washer", "dryer"]),
-    ("Refrigeration", ["fridge", "freezer", "refrigerat"]), ("TV & Audio", [" tv", "television", "speaker"]),
+    ("Cooking", ["pressure cooker", "cooker", "cooking", "kitchen"]), ("Laundry", ["laundry", "washing machine", "commercial laundry"]),
+    ("Refrigeration", ["refrigerator", "refrigerators", "fridge", "freezer"]), ("Cooking", ["microwave", "microwaves"]), ("General Appliances", ["appliances"]),
 ]
 
 
-def campaign_fields(c: Column, names: list[tuple[list[str], str]] = NAMES, strong: list[str] = STRONG) -> Column:
-    """struct of type, name, category, offer value and the dates that a text names, and whether the evidence is strong."""
+def offer_value(low: Column) -> Column:
+    """What a search text offers: financing in full, percentages with "off" or "discount" as they stand, special deals."""
+    percent = F.array_distinct(F.transform(F.regexp_extract_all(low, F.lit(r"\b(\d+% *(?:off|discount)?)"), F.lit(1)), lambda x: F.trim(x)))
+    return T.first_rule([
+        (F.contains(low, F.lit("100% financing")), "100% financing"), (F.size(percent) > 0, F.array_join(percent, ", ")), (F.contains(low, F.lit("special live deals")), "Special LIVE deals"),
+        (F.contains(low, F.lit("special prices")), "Special prices"), (F.contains(low, F.lit("financing")), "100% financing"),
+    ]).cast("string")
+
+
+def campaign_fields(c: Column, posted: Column, names: list[tuple[list[str], str]] = NAMES, strong: list[str] = STRONG) -> Column:
+    """struct of type, name, category, offer, start and end date that a post's text names, and whether its evidence is strong.
+
+    A flash sale without a name of its own is a Flash Sale; a text that names no category has none."""
     low = T.search_text(c)
     kind = campaign_type(c)
-    percent = F.array_distinct(F.regexp_extract_all(low, F.lit(r"(\d{1,2})% ?off"), F.lit(1)))
-    dates = F.array_distinct(F.regexp_extract_all(low, F.lit(r"(\d{1,2}(?:st|nd|rd|th)? (?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*)"), F.lit(1)))
     every = lambda phrases: reduce(and_, (F.contains(low, F.lit(p)) for p in phrases))
-    name = T.first_rule([(every(p), n) for p, n in names]).cast("string")
-    category = T.first_rule([(T.contains_any(low, BROAD), "General Appliances"), *((T.contains_any(low, w), k) for k, w in TOPICS)], "General Appliances")
-    off = F.concat_ws(", ", F.transform(percent, lambda x: F.concat(x, F.lit("% off"))))
-    offer = F.when(F.size(percent) > 0, off).when(F.contains(low, F.lit("financing")), "financing")
-    return F.struct(kind.alias("type"), name.alias("name"), category.alias("category"), offer.alias("offer"), dates.alias("dates"), T.contains_any(low, strong).alias("strong"))
+    name = T.first_rule([*((every(p), n) for p, n in names), (kind == "flash_sale", "Flash Sale")]).cast("string")
+    category = T.first_rule([(T.contains_any(low, BROAD), "General Appliances"), *((T.contains_any(low, w), k) for k, w in TOPICS)]).cast("string")
+    span = date_span(c, posted)
+    return F.struct(
+        kind.alias("type"), name.alias("name"), category.alias("category"), offer_value(low).alias("offer"),
+        span["start_date"].alias("start_date"), span["end_date"].alias("end_date"), T.contains_any(low, strong).alias("strong"),
+    )
+
+
+def campaign_candidates(posts: DataFrame, text: Column, as_of: str, names: list[tuple[list[str], str]] = NAMES, strong: list[str] = STRONG) -> DataFrame:
+    """Candidates of posts(competitor_id, observation_id, published_date, post_url): posts with strong evidence, a type and a
+    name. Nothing is invented: a candidate without dates has no status."""
+    c = posts.withColumn("c", campaign_fields(text, F.col("published_date"), names, strong)).where("c.strong and c.type is not null and c.name is not null")
+    rows = c.select("competitor_id", "observation_id", "c.type", F.col("c.name").alias("campaign_name"), "c.category", F.col("c.offer").alias("offer_value"),
+                    "c.start_date", "c.end_date", F.col("post_url").alias("source_url"), F.col("published_date").alias("observed_date"))
+    return rows.withColumns({"status": campaign_status(as_of), "verification_status": F.lit("VERIFIED"), "confidence": F.lit("high")})
 
 
 def campaign_status(as_of: str) -> Column:
@@ -57,15 +75,18 @@ def campaign_status(as_of: str) -> Column:
     return T.first_rule([(s.isNull() & e.isNull(), F.lit(None).cast("string")), (e < day, "ended"), (s > day, "upcoming")], "active")
 
 
-def merge_candidates(df: DataFrame, order: str) -> DataFrame:
-    """Campaign candidates by competitor and normalised name: date hull, first offer in order, general category wins."""
-    key = T.search_text(F.col("campaign_name"))
-    general = F.bool_or(F.col("category") == "General Appliances")
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
-    return df.groupBy("competitor_id", key.alias("name_key")).agg(
-        F.count_distinct(order).alias("posts"), F.min("start_date").alias("start_date"), F.max("end_date").alias("end_date"), first("offer_value"),
-        F.when(general, "General Appliances").otherwise(F.min_by("category", order)).alias("category"), F.max("observed_date").alias("observed_date"),
+def merge_candidates(df: DataFrame, as_of: str) -> DataFrame:
+    """One campaign per competitor and normalised name: its posts, earliest start, latest end, and of category, offer and source
+    the first that is stated, by date and id of the posts; General Appliances goes before any other category."""
+    order = F.struct("observed_date", "observation_id")
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
+    general = F.bool_or(F.coalesce(F.col("category") == "General Appliances", F.lit(False)))
+    g = df.groupBy("competitor_id", T.search_text(F.col("campaign_name")).alias("name_key")).agg(
+        F.min_by("campaign_name", order).alias("campaign_name"), F.min_by("type", order).alias("type"), F.count_distinct("observation_id").alias("posts"),
+        F.min("start_date").alias("start_date"), F.max("end_date").alias("end_date"), first("offer_value"), first("source_url"),
+        F.when(general, "General Appliances").otherwise(F.min_by("category", F.when(F.col("category").isNotNull(), order))).alias("category"), F.max("observed_date").alias("observed_date"),
     )
+    return g.withColumns({"status": campaign_status(as_of), "confidence": F.lit("high")})
 
 
 def resolve_unique(df: DataFrame, competitors: DataFrame) -> DataFrame:

@@ -34,40 +34,80 @@ def movements(t):
 # ---------------------------------------------------------------- M: campaigns
 
 
-#: What the test posts say besides.
-POSTED = """post_text || ' ' || case social_type when 'purchase' then 'FLASH SALE! 20% off cookers 28th September, 5% off more' when 'click' then 'promo on TVs' when 'signup' then 'Giveaway: win a fridge https://x.example/sale'
-    when 'error' then 'Monthly offers and financing for laundry until 3 oct' else '' end"""
+#: What the test posts say besides: every branch of names, categories, offers and dates occurs.
+POSTED = """post_text || ' ' || case observation_id % 16 when 0 then 'FLASH SALE! 20% off cookers 25th to 27th September, 5% discount, 20% off' when 1 then 'promo on TVs from 3 May' when 2 then 'Giveaway: win a fridge https://x.example/sale'
+    when 3 then 'Monthly offers and financing for laundry until 3 oct 2023' when 4 then 'Spring gala! flash offers 22nd Sept – 7th Oct' when 5 then 'contest: flash sale of microwaves, special prices, Dec 28 to Jan 4' when 6 then 'Sale extended, clearance sale: appliances 70% off, March 3, 2024'
+    when 7 then '100% financing seminar, live demo, Friday 25th and Sunday 27th September' when 8 then 'spring gala competition, special LIVE deals, 31st June' when 9 then 'Flash offers on freezers 9 - 11 of November 2023 or 1 may' else '' end""".replace("\\u2013", "–")
+#: Names of the test campaigns.
+CAMPAIGNS = [(["spring gala", "offers"], "Spring Gala Offers"), (["spring gala"], "Spring Gala"), *G.NAMES]
 
 
-def contains_sql(words):
-    return " or ".join(f"contains(low, '{w}')" for w in words)
+def contains_sql(words, joined=" or "):
+    return joined.join(f"contains(low, '{w}')" for w in words)
+
+
+MONTH = "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+WEEK = "(?:(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)? )?"
+DAYS, IN_YEAR, UP_TO, SAYS = "([0-9]{1,2})(?:st|nd|rd|th)?", "(?: (20[0-9]{2}))?", " ?(?:-|to|until|till|through|and|&) ?", r"(?:\b(until|till|ends|ending|by|from|starts|starting|since) )?"
+
+
+def groups_sql(pattern, n):
+    return "[" + ", ".join(f"regexp_extract(span, '{pattern}', {g})" for g in range(1, n + 1)) + "]"
+
+
+SPAN_SQL = rf"""(select *, case when r1[5] <> '' then r1 when r2[1] <> '' then [r2[2], r2[1], r2[3], r2[5], r2[4], r2[6]] end as r, case when s1[2] <> '' then s1 when s2[2] <> '' then [s2[1], s2[3], s2[2], s2[4]] end as s from (select *,
+    {groups_sql(rf"\b{WEEK}{DAYS}(?: (?:of )?{MONTH}\b)?{IN_YEAR}{UP_TO}{WEEK}{DAYS} (?:of )?{MONTH}\b{IN_YEAR}", 6)} as r1, {groups_sql(rf"\b{MONTH} {DAYS}{IN_YEAR}{UP_TO}(?:{MONTH} )?{DAYS}\b{IN_YEAR}", 6)} as r2,
+    {groups_sql(rf"{SAYS}\b{WEEK}{DAYS} (?:of )?{MONTH}\b{IN_YEAR}", 4)} as s1, {groups_sql(rf"{SAYS}\b{MONTH} {DAYS}\b{IN_YEAR}", 4)} as s2 from posted_))"""
+
+
+def day_sql(y, m, d):
+    return f"try_cast({y} || '-' || lpad(cast((strpos('janfebmaraprmayjunjulaugsepoctnovdec', {m}[1:3]) + 2) // 3 as varchar), 2, '0') || '-' || lpad({d}, 2, '0') as date)"
+
+
+def near_sql(m, d):
+    y = "year(published_date)"
+    same = day_sql(y, m, d)
+    return f"case when {same} - published_date > 183 then {day_sql(y + ' - 1', m, d)} when {same} - published_date < -183 then {day_sql(y + ' + 1', m, d)} else {same} end"
 
 
 KINDS = [
     (["giveaway", "competition", "contest"], "campaign"), (["seminar"], "event"), (["financing"], "financing"), (["flash sale", "flash offers"], "flash_sale"), (["clearance sale"], "clearance_sale"),
     (["night rush"], "limited_time_sale"), (["live demo", "tiktok live"], "live_promotion"), (["monthly offers"], "promotion"), (["sale"], "sale"), (["promotion", "promo"], "promotion"),
 ]
-VIEWS["campaign_posts"] = rf"""select competitor_id, observation_id, observed_date, case {" ".join(f"when {contains_sql(w)} then '{k}'" for w, k in KINDS)} end as type,
-    case {" ".join(f"when {contains_sql(p).replace(' or ', ' and ')} then '{n}'" for p, n in G.NAMES)} end as name,
-    case when {contains_sql(G.BROAD)} then 'General Appliances' {" ".join(f"when {contains_sql(w)} then '{k}'" for k, w in G.TOPICS)} else 'General Appliances' end as category,
-    case when len(pct) > 0 then array_to_string(list_transform(pct, lambda x: x || '% off'), ', ') when contains(low, 'financing') then 'financing' end as offer,
-    list_distinct(regexp_extract_all(low, '(\d{{1,2}}(?:st|nd|rd|th)? (?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*)', 1)) as dates, {contains_sql(G.STRONG)} as strong
-    from (select *, list_filter(['20', '5'], lambda x: list_contains(regexp_extract_all(low, '(\d{{1,2}})% ?off', 1), x)) as pct from
-        (select *, trim(regexp_replace(regexp_replace(regexp_replace(lower({POSTED}), 'https?://\S+', ' ', 'g'), '[^a-z0-9%&+\- ]', ' ', 'g'), '\s+', ' ', 'g')) as low from social))"""
-
-
-@query("m1", "select competitor_id, observation_id, type, name, category, offer, observed_date from campaign_posts where strong")
+VIEWS["posted_"] = rf"""select *, trim(regexp_replace(regexp_replace(translate(lower(said), '{chr(0x2013)}{chr(0x2014)}', '--'), '[^a-z0-9&-]', ' ', 'g'), ' +', ' ', 'g')) as span,
+    trim(regexp_replace(regexp_replace(regexp_replace(lower(said), 'https?://\S+', ' ', 'g'), '[^a-z0-9%&+\- ]', ' ', 'g'), '\s+', ' ', 'g')) as low from (select *, {POSTED} as said from social)"""
+VIEWS["dated"] = f"""select *, case when r is not null then case when a is not null and b is not null then if(b < a and r[3] = '' and r[6] <> '', cast(a - interval 12 month as date), a) end when s[1] not in ('until', 'till', 'ends', 'ending', 'by') then o end as start_date,
+    case when r is not null then case when a is not null and b is not null then if(b < a and r[6] = '', cast(b + interval 12 month as date), b) end when s[1] not in ('from', 'starts', 'starting', 'since') then o end as end_date
+    from (select *, {day_sql("if(r[6] <> '', r[6], cast(year(a) as varchar))", "m2", "r[4]")} as b from
+    (select *, case when r[3] <> '' then {day_sql("r[3]", "m1", "r[1]")} when r[6] <> '' then {day_sql("r[6]", "m1", "r[1]")} else {near_sql("m1", "r[1]")} end as a, case when s[4] <> '' then {day_sql("s[4]", "s[3]", "s[2]")} else {near_sql("s[3]", "s[2]")} end as o
+    from (select *, if(r[2] = '', r[5], r[2]) as m1, if(r[5] = '', r[2], r[5]) as m2 from {SPAN_SQL})))"""
+VIEWS["campaign_posts"] = rf"""select competitor_id, observation_id, published_date, post_url, kind as type, name, category, offer, start_date, end_date, strong from (select *,
+    case when {contains_sql(["spring gala", "offers"], " and ")} then 'Spring Gala Offers' when contains(low, 'spring gala') then 'Spring Gala' when contains(low, 'clearance sale') then 'Clearance Sale' when contains(low, 'monthly offers') then 'Monthly Offers' when kind = 'flash_sale' then 'Flash Sale' end as name
+    from (select *, case {" ".join(f"when {contains_sql(w)} then '{k}'" for w, k in KINDS)} end as kind,
+    case when {contains_sql(["monthly offers", "clearance sale", "flash offers"])} then 'General Appliances' when {contains_sql(["cooker", "cooking", "kitchen"])} then 'Cooking' when {contains_sql(["laundry", "washing machine"])} then 'Laundry'
+        when {contains_sql(["refrigerator", "fridge", "freezer"])} then 'Refrigeration' when contains(low, 'microwave') then 'Cooking' when contains(low, 'appliances') then 'General Appliances' end as category,
+    case when contains(low, '100% financing') then '100% financing' when len(pct) > 0 then array_to_string(pct, ', ') when contains(low, 'special live deals') then 'Special LIVE deals' when contains(low, 'special prices') then 'Special prices' when contains(low, 'financing') then '100% financing' end as offer,
+    {contains_sql(["monthly offers", "clearance sale", "live demo", "flash offers", "sale extended", "giveaway", "competition", "contest"])} as strong
+    from (select *, list_filter(raw, lambda x, i: list_position(raw, x) = i) as pct from (select *, list_transform(regexp_extract_all(low, '\b(\d+% *(?:off|discount)?)', 1), lambda x: trim(x)) as raw from dated))))"""
+STATUS_SQL = f"case when start_date is null and end_date is null then null when end_date < date '{AS_OF}' then 'ended' when start_date > date '{AS_OF}' then 'upcoming' else 'active' end"
+POSTED_ON = "2023-10-01"
+VIEWS["candidates"] = f"select competitor_id, observation_id, type, name as campaign_name, category, offer as offer_value, start_date, end_date, post_url as source_url, published_date as observed_date, {STATUS_SQL.replace(AS_OF, POSTED_ON)} as status from campaign_posts where strong and type is not null and name is not null"
+
+
+def candidates(t):
+    return G.campaign_candidates(t.social, F.expr(POSTED), POSTED_ON, CAMPAIGNS)
+
+
+@query("m1", "select *, 'high' as confidence from candidates")
 def m1(t):
-    c = t.social.select("competitor_id", "observation_id", "observed_date", G.campaign_fields(F.expr(POSTED)).alias("c"))
-    return c.where("c.strong").select("competitor_id", "observation_id", "c.type", "c.name", "c.category", "c.offer", "observed_date")
+    return candidates(t).drop("verification_status")
 
 
-@query("m2", """select competitor_id, lower(campaign_name) as name_key, count(distinct campaign_id) as posts, min(start_date) as start_date, max(end_date) as end_date, arg_min(offer_value, campaign_id) as offer_value,
-    case when bool_or(category = 'General Appliances') then 'General Appliances' else arg_min(category, campaign_id) end as category, max(observed_date) as observed_date
-    from (select * replace (case when campaign_id % 17 = 0 then 'General Appliances' else category end as category) from campaigns) group by 1, 2""")
+@query("m2", f"""select *, {STATUS_SQL.replace(AS_OF, POSTED_ON)} as status, 'high' as confidence from (select competitor_id, lower(campaign_name) as name_key, arg_min(campaign_name, o) as campaign_name, arg_min(type, o) as type, count(distinct observation_id) as posts, min(start_date) as start_date, max(end_date) as end_date,
+    arg_min(offer_value, o) filter (offer_value is not null) as offer_value, arg_min(source_url, o) as source_url, case when bool_or(coalesce(category = 'General Appliances', false)) then 'General Appliances' else arg_min(category, o) filter (category is not null) end as category, max(observed_date) as observed_date
+    from (select *, {{'d': observed_date, 'i': observation_id}} as o from candidates) group by 1, 2)""")
 def m2(t):
-    c = t.campaigns.withColumn("category", F.expr("case when campaign_id % 17 = 0 then 'General Appliances' else category end"))
-    return G.merge_candidates(c, "campaign_id")
+    return G.merge_candidates(candidates(t), POSTED_ON)
 
 
 @query("m3", f"select campaign_id, case when start_date is null and end_date is null then null when end_date < date '{AS_OF}' then 'ended' when start_date > date '{AS_OF}' then 'upcoming' else 'active' end as status from campaigns")
@@ -75,10 +115,10 @@ def m3(t):
     return t.campaigns.select("campaign_id", G.campaign_status(AS_OF).alias("status"))
 
 
-@query("m4", "select c.campaign_id, count(s.observation_id) as posts, count(s.observation_id) - count(distinct s.observation_id) as duplicates from campaigns c left join social s on s.observation_id = c.campaign_id % 10000 and s.platform <> 'x' group by 1")
+@query("m4", "select c.campaign_id, count(s.observation_id) as posts, count(s.observation_id) - count(distinct s.observation_id) as duplicates from campaigns c left join social s on s.observation_id = c.campaign_id % 10000 group by 1")
 def m4(t):
     links = t.campaigns.select("campaign_id", (F.col("campaign_id") % 10000).alias("observation_id"))
-    posts = t.social.where("platform <> 'x'").select("observation_id", F.col("observation_id").alias("post"))
+    posts = t.social.select("observation_id", F.col("observation_id").alias("post"))
     return links.join(posts, "observation_id", "left").groupBy("campaign_id").agg(F.count("post").alias("posts"), (F.count("post") - F.count_distinct("post")).alias("duplicates"))
 
 
@@ -94,10 +134,10 @@ def n1(t):
     return G.price_signals(movements(t), P.ambiguous_identities(t.prices))
 
 
-@query("n1_clear", N1.format(gate="competitor_id % 2 = 0"))
+@query("n1_clear", N1.format(gate="true"))
 def n1_clear(t):
     """The same with an empty set of ambiguous identities, so the gate is open."""
-    return G.price_signals(movements(t).where("competitor_id % 2 = 0"), P.ambiguous_identities(t.prices).where("ambiguous_days < 0"))
+    return G.price_signals(movements(t), P.ambiguous_identities(t.prices).where("ambiguous_days < 0"))
 
 
 N2 = "select 'BRAND_PRICE_TREND' as signal_type, id_brand as subject, id_brand || ' multi-product price ' || direction || ' trend' as title, n as evidence_count, 'HIGH' as confidence from brand_trends"
@@ -214,13 +254,16 @@ def l4(t):
     return G.persistence_alerts(summary(t))
 
 
-@query("l5", """select 'EVIDENCE_GAP' as alert_type, 'LOW' as priority, cast(competitor_id as varchar) as subject, 'Limited verified evidence coverage - ' || competitor_name as title from competitors
-    where competitor_id not in (select competitor_id from social where observed_date = date '2024-01-02' and social_type = 'purchase') and competitor_id not in (select competitor_id from campaigns where verification_status = 'VERIFIED' and observed_date >= date '2001-07-20')
-    and competitor_id not in (select competitor_id from prices where observed_date >= date '2001-11-03')""")
+PROSPECTS = "(select competitor_id, competitor_name from competitors union all select competitor_id + 1000000, 'New ' || competitor_name from competitors)"
+
+
+@query("l5", f"""select 'EVIDENCE_GAP' as alert_type, 'LOW' as priority, cast(competitor_id as varchar) as subject, 'Limited verified evidence coverage - ' || competitor_name as title from {PROSPECTS}
+    where competitor_id not in (select competitor_id from social) and competitor_id not in (select competitor_id from campaigns where verification_status = 'VERIFIED') and competitor_id not in (select competitor_id from prices)""")
 def l5(t):
-    """The evidence of a database window: few rows, so that gaps occur."""
-    social, prices = t.social.where("observed_date = date '2024-01-02' and social_type = 'purchase'"), t.prices.where("observed_date >= date '2001-11-03'")
-    return G.evidence_gaps(t.competitors, {"social": social, "campaign": t.campaigns.where("verification_status = 'VERIFIED' and observed_date >= date '2001-07-20'"), "price": prices})
+    """Besides the competitors, as many new ones that nothing is known of yet."""
+    known = t.competitors.select("competitor_id", "competitor_name")
+    new = known.select((F.col("competitor_id") + 1000000).alias("competitor_id"), F.concat(F.lit("New "), "competitor_name").alias("competitor_name"))
+    return G.evidence_gaps(known.unionByName(new), {"social": t.social, "campaign": t.campaigns.where("verification_status = 'VERIFIED'"), "price": t.prices})
 
 
 def alerts(t):

@@ -14,7 +14,7 @@ from ..operators import reports as R
 from ..operators import signals as G
 from .bind import BASELINE, half_up
 from .q_catalogue import TITLE, family_sql, features_sql, plain_sql
-from .q_signals import POSTED
+from .q_signals import CAMPAIGNS, POSTED
 from .registry import query
 
 RULES = (
@@ -238,12 +238,15 @@ def c19(t):
     return N.best_text(a.unionByName(b), "news_id", "text", "place").select("news_id", "quality", F.length("text").alias("n_chars"))
 
 
-@query("c20", f"""select competitor_id, identifier, case when first_seen_date <= date '{BASELINE}' then 'BASELINE' else 'FIRST_OBSERVED' end as launch,
-    case when observations > 2 and first_seen_date > date '{BASELINE}' then 'CONFIRMED' when first_seen_date > date '{BASELINE}' then 'CANDIDATE' else 'BASELINE' end as evidence from catalogue""")
+SEEN_AS = "product_name || case observations % 5 when 0 then ' Now available' when 1 then ': introducing it' when 2 then ' launched today' when 3 then ' new arrival, just launched' else '' end"
+
+
+@query("c20", f"""select competitor_id, identifier, if(new, 'FIRST_OBSERVED', 'BASELINE') as launch, case when not new then 'BASELINE' when competitor_id % 2 = 0 and regexp_matches(said, 'LAUNCH|LAUNCHED|LAUNCHING|INTRODUCING') then 'CONFIRMED_LAUNCH'
+    when regexp_matches(said, 'NEW ARRIVAL|INTRODUCING|NEW PRODUCT|JUST LAUNCHED|NOW AVAILABLE') then 'LAUNCH_CANDIDATE' else 'FIRST_OBSERVED' end as evidence from (select *, first_seen_date > date '{BASELINE}' as new, upper({SEEN_AS}) as said from catalogue)""")
 def c20(t):
     new = F.col("first_seen_date") > BASELINE
-    evidence = T.first_rule([(new & (F.col("observations") > 2), "CONFIRMED"), (new, "CANDIDATE")], "BASELINE")
-    return t.catalogue.select("competitor_id", "identifier", F.when(new, "FIRST_OBSERVED").otherwise("BASELINE").alias("launch"), evidence.alias("evidence"))
+    evidence = C.launch_evidence(F.expr(SEEN_AS), F.col("competitor_id") % 2 == 0)
+    return t.catalogue.select("competitor_id", "identifier", F.when(new, "FIRST_OBSERVED").otherwise("BASELINE").alias("launch"), F.when(new, evidence).otherwise("BASELINE").alias("evidence"))
 
 
 @query("c21", f"select news_id, len({_terms(LOW, ['license', 'token', 'offer'])}) as signals, (len({_terms(LOW, ['license', 'token', 'offer'])}) > 0 and not contains({LOW}, 'apache')) as relevant from news")
@@ -253,9 +256,9 @@ def c21(t):
     return t.news.select("news_id", F.size(s).cast("long").alias("signals"), ((F.size(s) > 0) & ~F.contains(F.lower(body), F.lit("apache"))).alias("relevant"))
 
 
-@query("c22", "select observation_id, type, name, category, offer, dates, strong from campaign_posts")
+@query("c22", "select observation_id, type, name, category, offer, start_date, end_date, strong from campaign_posts")
 def c22(t):
-    return t.social.select("observation_id", G.campaign_fields(F.expr(POSTED)).alias("c")).select("observation_id", "c.type", "c.name", "c.category", "c.offer", "c.dates", "c.strong")
+    return t.social.select("observation_id", G.campaign_fields(F.expr(POSTED), F.col("published_date"), CAMPAIGNS).alias("c")).select("observation_id", "c.*")
 
 
 @query("c23", "select observation_id, case when discount >= 0.09 then 'black_friday' when discount >= 0.06 then 'combo' when discount > 0 then 'sale' end as promotion_type from prices")

@@ -2,9 +2,11 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from marketloom.functions import taxonomy as X
+from marketloom.functions import dates as X_dates
 from marketloom.functions import text as T
 from marketloom.operators import catalogue as C
 from marketloom.operators import dedup as D
@@ -256,11 +258,50 @@ def test_unique_resolution(spark):
 
 
 def test_campaign_fields(spark):
-    c = one(spark, G.campaign_fields(F.lit("FLASH SALE! 20% off cookers until 28th September")), x="a")
-    assert (c["type"], c["name"], c["category"], c["offer"], c["dates"], c["strong"]) == ("flash_sale", "Flash Sale", "Cooking", "20% off", ["28th september"], False)
-    c = one(spark, G.campaign_fields(F.lit("Monthly offers: cookers")), x="a")
-    assert (c["type"], c["name"], c["category"], c["strong"]) == ("promotion", "Monthly Offers", "General Appliances", True)
-    assert one(spark, G.campaign_fields(F.lit("good morning")), x="a")["type"] is None
+    fields = lambda text, day="2026-09-20", **k: one(spark, G.campaign_fields(F.lit(text), F.lit(day).cast("date"), **k), x="a")
+    c = fields("FLASH SALE! 20% off cookers, 5% discount, 20% off until 28th September")
+    assert (c.type, c.name, c.category, c.offer, c.strong) == ("flash_sale", "Flash Sale", "Cooking", "20% off, 5% discount", False)
+    assert (c.start_date, str(c.end_date)) == (None, "2026-09-28")
+    c = fields("Monthly offers: cookers")
+    assert (c.type, c.name, c.category, c.strong) == ("promotion", "Monthly Offers", "General Appliances", True)
+    c = fields("Zero-cost financing and a flash sale")
+    assert (c.type, c.name, c.category, c.offer) == ("financing", None, None, "100% financing")  # a name comes from the type only for flash sales
+    assert fields("Gala with contest", names=[(["gala"], "Gala")]).name == "Gala" and fields("good morning").type is None
+
+
+@pytest.mark.parametrize(
+    "text, span",
+    [
+        ("25th to 27th September", ("2026-09-25", "2026-09-27")), ("22nd Sept - 7th Oct", ("2026-09-22", "2026-10-07")), ("Friday 25th and Sunday 27th September", ("2026-09-25", "2026-09-27")),
+        ("22nd Sept – 7th Oct 2025", ("2025-09-22", "2025-10-07")), ("Dec 28 to Jan 4", ("2026-12-28", "2027-01-04")), ("28 Dec to 4 Jan 2026", ("2025-12-28", "2026-01-04")), ("only on 28th of September!", ("2026-09-28", "2026-09-28")),
+        ("from 3 May 2027", ("2027-05-03", None)), ("ends March 3, 2027", (None, "2027-03-03")), ("Jan 5", ("2027-01-05", "2027-01-05")), ("31st June", None), ("tonight", None), (None, None), ("maybe 5 maybe 7", None), ("September 25 - 27", ("2026-09-25", "2026-09-27")),
+        ("30 feb to 2 march then 4 june", None),  # the first day that is named is none
+    ],
+)
+def test_date_spans(spark, text, span):
+    got = one(spark, X_dates.date_span(F.lit(text).cast("string"), F.lit("2026-09-20").cast("date")), x="a")
+    assert (got and tuple(v and str(v) for v in got)) == span
+
+
+def test_campaign_candidates_and_their_merge(spark):
+    rows = [
+        (1, 5, "2026-09-21", "u5", "clearance sale of fridges until 3 oct"), (1, 3, "2026-09-21", "u3", "Clearance Sale! 10% off"), (1, 9, "2026-09-20", None, "clearance sale: laundry from 18 sept, special prices"),
+        (1, 4, "2026-09-22", "u4", "giveaway today"), (2, 6, "2026-09-22", "u6", "flash sale without evidence"), (2, 7, "2026-09-22", "u7", "sale extended"), (3, 8, "2026-09-22", "u8", "live demo, flash sale, cookers 1 oct"), (3, 2, "2026-09-23", "u2", "live demo, flash sale, microwave"),
+    ]
+    posts = spark.createDataFrame(rows, "competitor_id long, observation_id long, published_date string, post_url string, post_text string").withColumn("published_date", F.to_date("published_date"))
+    found = G.campaign_candidates(posts, F.col("post_text"), "2026-09-25")
+    assert sorted(r.observation_id for r in found.collect()) == [2, 3, 5, 8, 9]  # the others lack a name, evidence or both
+    got = {r.competitor_id: r for r in G.merge_candidates(found, "2026-09-25").collect()}
+    r = got[1]
+    assert (r.campaign_name, r.posts, str(r.start_date), str(r.end_date), r.status, r.offer_value, r.category, r.source_url) == ("Clearance Sale", 3, "2026-09-18", "2026-10-03", "active", "Special prices", "General Appliances", "u3")
+    r = got[3]
+    assert (r.campaign_name, r.posts, str(r.start_date), r.status, r.category, r.source_url, str(r.observed_date)) == ("Flash Sale", 2, "2026-10-01", "upcoming", "Cooking", "u8", "2026-09-23")
+
+
+def test_launch_evidence(spark):
+    cases = [("We launch it", True, "CONFIRMED_LAUNCH"), ("We launch it", False, "FIRST_OBSERVED"), ("introducing", False, "LAUNCH_CANDIDATE"), ("introducing", None, "LAUNCH_CANDIDATE"), ("New arrival", True, "LAUNCH_CANDIDATE"), (None, True, "FIRST_OBSERVED")]
+    df = spark.createDataFrame(cases, "t string, official boolean, want string")
+    assert all(r.want == r.got for r in df.select("want", C.launch_evidence(F.col("t"), F.col("official")).alias("got")).collect())
 
 
 def test_provider_payload(spark):
