@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import text as T
-from .dictionary import Machine, machine_of
+from .dictionary import Machine, labels_in, machine_of
 
 
 @dataclass(frozen=True)
@@ -242,14 +242,63 @@ def phrase_near(c: Column, terms: list[str], size: int = 60) -> Column:
     return F.when(F.size(spots) > 0, F.trim(F.substring(c, first["at"], F.lit(size))))
 
 
+def model_tokens(model: Column) -> Column:
+    """The parts of a model number (split on / , ; |) and the whole, in upper case, each once."""
+    whole = F.upper(T.squeeze(F.coalesce(model, F.lit(""))))
+    parts = F.transform(F.split(whole, "[/,;|]+"), lambda p: F.trim(p))
+    return F.array_distinct(F.filter(F.concat(parts, F.array(whole)), lambda p: p != ""))
+
+
 def model_present(text: Column, model: Column) -> Column:
-    """Any part of a model (split on / , ; |) of three characters or more stands in the text."""
-    parts = F.filter(F.split(F.upper(model), "[/,;|]"), lambda p: F.length(F.trim(p)) >= 3)
-    return F.exists(parts, lambda p: F.contains(F.upper(text), F.trim(p)))
+    """Whether the text has the model number or one of its parts."""
+    return F.exists(model_tokens(model), lambda p: F.contains(F.upper(F.coalesce(text, F.lit(""))), p))
+
+
+#: Words of a product name that tell nothing; own and rival brands are to be added by the caller.
+PLAIN_WORDS = ["the", "and", "with", "for", "white", "black", "silver", "grey", "gray"]
+
+
+def name_score(text: Column, name: Column, ignored: tuple[str, ...] = ()) -> Column:
+    """Share of a name's words (three letters or digits and more, repeats counted) that stand anywhere in the text."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(name, F.lit(""))), F.lit("([a-z0-9]{3,})"), F.lit(1)), lambda w: ~w.isin(*PLAIN_WORDS, *ignored))
+    return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: F.contains(low, w))) / F.size(words)).otherwise(0.0)
+
+
+def names_match(target: Column, name: Column) -> Column:
+    """Equal names match; else two shared words of three letters or more, one if the target has three words at most."""
+    clean = lambda c: F.lower(T.squeeze(F.coalesce(c, F.lit(""))))
+    words = lambda c: F.array_distinct(F.regexp_extract_all(clean(c), F.lit("([a-z0-9]{3,})"), F.lit(1)))
+    shared = F.size(F.array_intersect(words(target), words(name)))
+    least = F.when(F.size(words(target)) <= 3, 1).otherwise(2)
+    return (clean(target) != "") & (clean(name) != "") & ((clean(target) == clean(name)) | (shared >= least))
+
+
+#: Product focus of a post, the first category with a term.
+FOCUS = {
+    "Refrigeration": ["fridge", "refrigerator", "freezer", "double door", "side by side", "chest freezer", "upright freezer"],
+    "Laundry": ["washing machine", "washer", "dryer", "twin tub", "front load", "top load"],
+    "Cooking": ["cooker", "oven", "gas cooker", "gas stove", "electric cooker", "microwave", "pressure cooker", "air fryer", "hot plate"],
+    "Small Kitchen Appliances": ["blender", "kettle", "toaster", "sandwich maker", "coffee maker", "juicer", "food processor", "mixer"],
+    "TV & Audio": ["television", "tv", "smart tv", "qled", "oled", "soundbar", "speaker", "home theatre"],
+    "Air & Climate": ["air conditioner", "air conditioning", "ac unit", "fan", "air cooler"],
+    "Water": ["water heater", "water dispenser", "water purifier"],
+    "Home Care & Power": ["vacuum cleaner", "iron", "generator", "power backup", "inverter"],
+    "Cookware": ["cookware", "frying pan", "saucepan", "pot set"],
+}
+
+
+def product_focus(text: Column, focus: dict[str, list[str]] = FOCUS) -> Column:
+    """The first category with a term anywhere in the text; null if the text is too general."""
+    return F.get(labels_in(T.squeeze(F.coalesce(text, F.lit(""))), focus, whole=False), F.lit(0))
+
+
+#: What makes a search result one of a promotion or of a product.
+PROMOTION_WORDS = ["promotion", "promo", "offer", "discount", "sale", "deal", "giveaway"]
+PRODUCT_WORDS = ["launch", "new product", "new arrival", "introduced", "unveiled"]
 
 
-def name_score(text: Column, name: Column) -> Column:
-    """Share of a name's tokens that the text has."""
-    tokens = F.array_distinct(T.name_tokens(name))
-    low = F.lower(text)
-    return F.when(F.size(tokens) > 0, F.size(F.filter(tokens, lambda t: F.contains(low, t))) / F.size(tokens)).otherwise(0.0)
+def result_type(title: Column, snippet: Column) -> Column:
+    """promotion, product or activity, from the words of a search result's title and snippet."""
+    low = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(snippet, F.lit(""))))
+    return T.first_rule([(T.contains_any(low, PROMOTION_WORDS), "promotion"), (T.contains_any(low, PRODUCT_WORDS), "product")], "activity")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
@@ -100,6 +102,12 @@ def number_in_order(df: DataFrame, group: str, order: list[str], name: str, buck
     return local.join(starts, [group, "_b"]).withColumn(name, F.col("_start") + F.col("_n")).drop("_b", "_n", "_start")
 
 
+def evidence_key(url: Column, headline: Column) -> Column:
+    """What tells records apart: the canonical url, where there is none the hash of the normalised headline."""
+    named = F.trim(F.coalesce(url, F.lit("")))
+    return F.when(named != "", T.canonical_url(named)).otherwise(F.sha1(F.lower(T.squeeze(F.coalesce(headline, F.lit("")))).cast("binary")))
+
+
 def longest_per_key(df: DataFrame, keys: list[Column], text: str, tie: str) -> DataFrame:
     """The row with the longest text of each key; the smallest tie column decides."""
     named = df.withColumns({f"_k{i}": k for i, k in enumerate(keys)})

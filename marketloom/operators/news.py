@@ -95,6 +95,30 @@ def confidence(title: Column, body: Column, dated: Column, url: Column, entities
     return T.first_rule([(high, "HIGH"), (points >= 6, "MEDIUM")], "LOW")
 
 
+#: Words that make a candidate article worth reading.
+TELLING = ["launch", "launched", "assembly", "investment", "expansion", "partnership", "distribution", "market", "sales", "promotion"]
+
+
+def priority_score(local: Column, entities: Column, products: Column, publisher: Column, publishers: list[str], text: Column, published: Column, as_of: str, telling: list[str] = TELLING) -> Column:
+    """Priority of a candidate article: 5 a local term, 10 an entity, 3 a product, 8 for a known publisher, 5 for a telling word,
+    5 if published within two days, 3 within a week."""
+    n = lambda c: F.coalesce(F.size(c), F.lit(0))
+    age = F.datediff(F.lit(as_of).cast("date"), published)
+    known = T.contains_any(F.lower(F.coalesce(publisher, F.lit(""))), [p.lower() for p in publishers])
+    told = T.contains_any(F.lower(F.coalesce(text, F.lit(""))), telling)
+    return (5 * n(local) + 10 * n(entities) + 3 * n(products) + F.when(known, 8).otherwise(0) + F.when(told, 5).otherwise(0) + F.when(age <= 2, 5).when(age <= 7, 3).otherwise(0)).cast("int")
+
+
+def title_quality(c: Column) -> Column:
+    """Points of a title: 5 for a usual length, less 4 for each place where a small letter runs into a capital one, 2 for each
+    common word run into the next, 1 for a bar; a blank title has -1000."""
+    title = T.squeeze(F.coalesce(c, F.lit("")))
+    glued = F.regexp_count(title, F.lit("(?<=[a-z])(?=[A-Z])"))
+    run_on = F.regexp_count(title, F.lit(r"(?<![\p{L}\p{N}_])(?:the|a|an|and|or|to|of|in|on|for|with|from|into|that|how|is|are|can|will|you|your|our|their)[a-z]{4,}"))
+    points = F.when(F.length(title).between(20, 180), 5.0).otherwise(0.0) - 4.0 * glued - 2.0 * run_on - F.when(F.contains(title, F.lit("|")), 1.0).otherwise(0.0)
+    return F.when(title == "", -1000.0).otherwise(points)
+
+
 def text_quality(c: Column) -> Column:
     """Points for length and sentence ends less points for glued words, markup and decoding damage."""
     n = F.length(c)

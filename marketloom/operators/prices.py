@@ -19,24 +19,35 @@ def with_identity(prices: DataFrame) -> DataFrame:
     return named.where("competitor_id is not null and id_brand <> '' and id_model <> '' and id_product <> '' and price_kes is not null and observed_date is not null")
 
 
-def latest_per_day(prices: DataFrame) -> DataFrame:
-    """One row per identity and day: that of the highest observation id (then the highest price), by partial aggregation."""
-    row = F.max(F.struct("observation_id", "price_kes")).alias("row")
-    return with_identity(prices).groupBy(*IDENTITY, "observed_date").agg(row, F.count("*").alias("n_rows")).select(*IDENTITY, "observed_date", "row.observation_id", "row.price_kes", "n_rows")
+def latest_per_day(prices: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per identity and day: that of the highest observation id (then the highest price), by partial aggregation.
+    carry: further columns of that row."""
+    kept = ["observation_id", "price_kes", *carry]
+    row = F.max(F.struct(*kept)).alias("row")
+    days = with_identity(prices).groupBy(*IDENTITY, "observed_date").agg(row, F.count("*").alias("n_rows"))
+    return days.select(*IDENTITY, "observed_date", *(f"row.{c}" for c in kept), "n_rows")
 
 
-def detect_movements(prices: DataFrame) -> DataFrame:
-    """Consecutive days of an identity whose prices differ, with change and percent."""
+def detect_movements(prices: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Consecutive days of an identity whose prices differ, with change and percent, and columns of the later row."""
     w = W.partitionBy(*IDENTITY).orderBy("observed_date")
-    days = latest_per_day(prices).withColumns({"previous_price": F.lag("price_kes").over(w), "previous_date": F.lag("observed_date").over(w)})
+    days = latest_per_day(prices, carry).withColumns({"previous_price": F.lag("price_kes").over(w), "previous_date": F.lag("observed_date").over(w)})
     moved = days.where("previous_price is not null and previous_price <> price_kes")
     return moved.select(
         *IDENTITY, "previous_date", "observed_date", "previous_price", F.col("price_kes").alias("current_price"),
         T.half_up(F.col("price_kes") - F.col("previous_price")).alias("change"),
-        T.pct_change(F.col("previous_price"), F.col("price_kes")).alias("pct"),
+        T.pct_change(F.col("previous_price"), F.col("price_kes")).alias("pct"), *carry,
     )
 
 
+def movement_counts(movements: DataFrame, dimensions: dict[str, str], least: dict[str, int]) -> DataFrame:
+    """(dimension, value, movements, rises, falls) for each dimension's column; some dimensions list values of least movements."""
+    rows = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(c).cast("string").alias("value")) for d, c in dimensions.items()))
+    one = movements.select(F.explode(rows).alias("r"), "change").select("r.*", "change")
+    g = one.groupBy("dimension", "value").agg(F.count("*").alias("movements"), F.count_if(F.col("change") > 0).alias("rises"), F.count_if(F.col("change") < 0).alias("falls"))
+    return g.where(F.col("movements") >= T.first_rule([(F.col("dimension") == d, n) for d, n in least.items()], 1))
+
+
 def ambiguous_identities(prices: DataFrame) -> DataFrame:
     """Identities with more than one row on some day."""
     return latest_per_day(prices).where("n_rows > 1").groupBy(*IDENTITY).agg(F.count("*").alias("ambiguous_days"))

@@ -104,3 +104,14 @@ def answer_rows(routed: DataFrame, evidence: DataFrame) -> DataFrame:
     """Evidence lines of each routed question: evidence(intent, competitor_id, line) joined on intent, and on scope if one is named."""
     j = routed.join(evidence, "intent")
     return j.where(F.col("scope_id").isNull() | (F.col("scope_id") == F.col("competitor_id")))
+
+
+def record_summary(df: DataFrame, fields: list[str], mode: str | None = None) -> DataFrame:
+    """(field, value, n) for every value of some fields, counted in one pass, and the most frequent value of one as field mode
+    (the first of equals)."""
+    rows = F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("UNKNOWN")).alias("value")) for f in fields))
+    counts = df.select(F.explode(rows).alias("r")).select("r.*").groupBy("field", "value").agg(F.count("*").alias("n"))
+    if mode is None:
+        return counts
+    top = counts.where(F.col("field") == mode).orderBy(F.desc("n"), "value").limit(1)
+    return counts.unionByName(top.select(F.lit("mode").alias("field"), "value", "n"))

@@ -195,9 +195,14 @@ def a2(t):
         F.count_distinct("category").alias("categories"), F.min("start_date").alias("first_start"), F.max("end_date").alias("last_end"))
 
 
-@query("a3", "select competitor_id, count(*) as posts, count(distinct platform) as platforms, count(distinct account_name) as accounts, cast(sum(likes) as bigint) as likes, max(published_date) as last_post from social group by 1")
+SOCIAL_COVERAGE = "count(*) as posts, count(distinct platform) as platforms, count(distinct account_name) as accounts, cast(sum(likes) as bigint) as likes, max(published_date) as last_post"
+
+
+@query("a3", f"select competitor_id, {SOCIAL_COVERAGE} from social group by competitor_id union all select null, {SOCIAL_COVERAGE} from social")
 def a3(t):
-    return t.social.groupBy("competitor_id").agg(F.count("*").alias("posts"), F.count_distinct("platform").alias("platforms"), F.count_distinct("account_name").alias("accounts"), F.sum("likes").alias("likes"), F.max("published_date").alias("last_post"))
+    """Coverage by competitor, and that of all posts under a null competitor."""
+    coverage = [F.count("*").alias("posts"), F.count_distinct("platform").alias("platforms"), F.count_distinct("account_name").alias("accounts"), F.sum("likes").alias("likes"), F.max("published_date").alias("last_post")]
+    return t.social.groupBy("competitor_id").agg(*coverage).unionByName(t.social.agg(*coverage).withColumn("competitor_id", F.lit(None).cast("long")))
 
 
 @query("a4", """select source, count(*) as products, count(distinct identifier) as identifiers, count(distinct category) as categories, min(first_seen) as first_seen, max(last_seen) as last_seen from (
@@ -352,11 +357,6 @@ def a20(t):
     return n.orderBy(F.desc("n"), "first").limit(1).select("category", "n")
 
 
-@query("a21", "select campaign_type as signal_type, coalesce(status, 'NONE') as status, count(*) as n from campaigns group by 1, 2")
-def a21(t):
-    return t.campaigns.groupBy(F.col("campaign_type").alias("signal_type"), F.coalesce("status", F.lit("NONE")).alias("status")).agg(F.count("*").alias("n"))
-
-
 EVIDENCE = """select competitor_id, 'price' as evidence_type, count(*) as n from prices group by 1 union all select competitor_id, 'campaign', count(*) from campaigns group by 1
     union all select competitor_id, 'social', count(*) from social group by 1 union all select competitor_id, 'catalogue', count(*) from catalogue group by 1"""
 
@@ -372,12 +372,6 @@ def a22(t):
     return evidence_counts({"active_campaigns": c.where("status = 'active'"), "upcoming_campaigns": c.where("status = 'upcoming'"), "alerts": alerts, "social": t.social, "trends": moved})
 
 
-@query("a23", "select 'scope' as field, scope_status as value, count(*) as n from news group by 2 union all select 'lang', lang, count(*) from news group by 2")
-def a23(t):
-    part = lambda f, c: t.news.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n")).select(F.lit(f).alias("field"), "value", "n")
-    return part("scope", "scope_status").unionByName(part("lang", "lang"))
-
-
 @query("a24", "select model, count(*) as observations, min(observed_date) as first_date, max(observed_date) as last_date from prices group by 1 having count(*) > 1")
 def a24(t):
     return t.prices.groupBy("model").agg(F.count("*").alias("observations"), F.min("observed_date").alias("first_date"), F.max("observed_date").alias("last_date")).where("observations > 1")
@@ -415,9 +409,10 @@ def a27(t):
     return t.prices.groupBy("brand", "category").agg(F.count("*").alias("n"))
 
 
-@query("a28", "select id_brand, count(*) as movements, count(*) filter (pct > 0) as rises, count(*) filter (pct < 0) as falls from movements group by 1 having count(*) >= 2")
+@query("a28", """select dimension, value, count(*) as movements, count(*) filter (change > 0) as rises, count(*) filter (change < 0) as falls from (select 'brand' as dimension, id_brand as value, change from movements
+    union all select 'category', p_type, change from movements join part on id_model = cast(p_partkey as varchar)) group by 1, 2 having count(*) >= case dimension when 'category' then 2 else 1 end""")
 def a28(t):
-    return P.detect_movements(t.prices).groupBy("id_brand").agg(F.count("*").alias("movements"), F.count_if(F.col("pct") > 0).alias("rises"), F.count_if(F.col("pct") < 0).alias("falls")).where("movements >= 2")
+    return P.movement_counts(P.detect_movements(t.prices, ("category",)), {"brand": "id_brand", "category": "category"}, {"category": 2})
 
 
 # ---------------------------------------------------------------- W: windows
@@ -635,10 +630,11 @@ def d7(t):
     return rows.crossJoin(F.broadcast(last)).select(*keys, (F.col("campaign_id") <= F.col("last")).alias("kept_id"))
 
 
-@query("d8", """select 'news.' || publisher || '.example.com/a/' || (news_id % 700) as identity, arg_max(news_id, length(coalesce(body, '')) * 1000000 - news_id) as news_id from news group by 1""")
+@query("d8", """select case when news_id % 13 = 0 then sha1(lower(trim(regexp_replace(headline, '\\s+', ' ', 'g')))) else 'http://news.' || publisher || '.example.com/a/' || (news_id % 700) || '/?id=' || (news_id % 700) end as key, arg_max(news_id, length(coalesce(body, '')) * 1000000 - news_id) as news_id from news group by 1""")
 def d8(t):
-    rows = t.news.withColumn("identity", T.url_identity(F.col("source_url")))
-    return D.longest_per_key(rows, [F.col("identity")], "body", "news_id").select("identity", "news_id")
+    url = F.when(F.col("news_id") % 13 != 0, F.col("source_url"))
+    rows = t.news.withColumn("key", D.evidence_key(url, F.col("headline")))
+    return D.longest_per_key(rows, [F.col("key")], "body", "news_id").select("key", "news_id")
 
 
 @query("d9", """select post_url, observation_id, score from (select post_url, observation_id, likes as score, row_number() over (partition by post_url order by likes desc, observation_id) as rn from social where published_date >= date '2024-01-10') where rn = 1""")

@@ -183,6 +183,15 @@ def n6(t):
     return concurrency(t)
 
 
+STATE_SQL = "case when confidence = 'HIGH' then 'CONFIRMED' else 'REVIEW' end"
+
+
+@query("a21", f"select signal_type, {STATE_SQL} as status, count(*) as n from ({N2} union all {N4} union all select 'CATALOGUE_PERSISTENCE', brand, '', persistent, 'HIGH' from summary where persistent > 0) group by 1, 2")
+def a21(t):
+    signals = G.union_all(G.brand_trends(movements(t)), G.campaign_signals(t.campaigns.where("verification_status = 'VERIFIED'")), G.catalogue_signals(summary(t)))
+    return signals.groupBy("signal_type", F.expr(STATE_SQL).alias("status")).agg(F.count("*").alias("n"))
+
+
 @query("n7", """select 'price' as evidence, (select count(*) from movements) as n, case when (select count(*) from movements) >= 3 then 'SUFFICIENT' else 'INSUFFICIENT' end as verdict
     union all select 'campaign', count(*), case when count(*) >= 2 then 'SUFFICIENT' else 'INSUFFICIENT' end from campaigns where verification_status = 'VERIFIED'
     union all select 'catalogue', coalesce(cast(sum(persistent) as bigint), 0), case when coalesce(sum(persistent), 0) >= 1 then 'SUFFICIENT' else 'INSUFFICIENT' end from summary

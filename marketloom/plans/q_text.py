@@ -135,17 +135,23 @@ def c10(t):
     return t.canonical.select("product_id", C.identity_string(F.col("model_no"), F.col("brand"), F.col("category"), F.col("item_name")).alias("identity"))
 
 
-@query("c11", """select observation_id, case when contains(post_text, 'purchase') then 'promotion' when contains(post_text, 'error') then 'complaint' else 'activity' end as social_kind,
+TALKED = "post_text || case observation_id % 7 when 0 then ' Freezers and a tv' when 1 then ' a Kettle, oven' when 2 then ' soundbar' when 3 then ' fan of water  heater' else '' end"
+
+
+@query("c11", f"""select observation_id, case when contains(post_text, 'purchase') then 'promotion' when contains(post_text, 'error') then 'complaint' else 'activity' end as social_kind, case observation_id % 7 when 0 then 'Refrigeration' when 1 then 'Cooking' when 2 then 'TV & Audio' when 3 then 'Air & Climate' end as focus,
     trim(substr(post_text, case when contains(post_text, 'click') and contains(post_text, 'offer') then least(strpos(post_text, 'click'), strpos(post_text, 'offer')) else strpos(post_text, 'offer') end, 20)) as phrase from social""")
 def c11(t):
     text = F.col("post_text")
     kind = T.first_rule([(T.contains_any(text, ["purchase"]), "promotion"), (T.contains_any(text, ["error"]), "complaint")], "activity")
-    return t.social.select("observation_id", kind.alias("social_kind"), X.phrase_near(text, ["click", "offer"], 20).alias("phrase"))
+    return t.social.select("observation_id", kind.alias("social_kind"), X.product_focus(F.expr(TALKED)).alias("focus"), X.phrase_near(text, ["click", "offer"], 20).alias("phrase"))
+
 
+FOUND_AS = "case page_id % 5 when 0 then 'Big Sale' when 1 then 'a new arrival' when 2 then 'Unveiled with a deal' else null end"
 
-@query("c12", "select page_id, case when contains(url, 'pills') then 'promotion' when regexp_matches(url, '/[a-z]{2}/[0-9]+') then 'product' else 'activity' end as result_type from pages")
+
+@query("c12", f"select page_id, case when regexp_matches(x, 'promotion|promo|offer|discount|sale|deal|giveaway') then 'promotion' when regexp_matches(x, 'launch|new product|new arrival|introduced|unveiled') then 'product' else 'activity' end as result_type from (select page_id, lower(coalesce({FOUND_AS}, '') || ' ' || coalesce(url, '')) as x from pages)")
 def c12(t):
-    return t.raw("pages").select("page_id", T.first_rule([(F.contains("url", F.lit("pills")), "promotion"), (F.col("url").rlike("/[a-z]{2}/[0-9]+"), "product")], "activity").alias("result_type"))
+    return t.raw("pages").select("page_id", X.result_type(F.expr(FOUND_AS), F.col("url")).alias("result_type"))
 
 
 def _terms(c, words):
@@ -215,11 +221,20 @@ def c17(t):
     return scoped_news(t).select("news_id", c.alias("confidence"))
 
 
-@query("c18", "select observation_id, cast(case when verification_status = 'VERIFIED' then 30 else 0 end + case social_type when 'purchase' then 40 when 'click' then 20 else 5 end + case when published_date >= date '2024-01-20' then 15 else 0 end as integer) as score from social")
+@query("a23", f"""with r as (select news_type, {SCOPE_STATUS} as status from {READ}) select 'scope' as field, status as value, count(*) as n from r group by 2 union all select 'news_type', news_type, count(*) from r group by 2
+    union all select * from (select 'mode', news_type, count(*) from r group by 2 order by 3 desc, 2 limit 1)""")
+def a23(t):
+    rows = scoped_news(t).select(F.col("s.status").alias("scope"), "news_type")
+    return R.record_summary(rows, ["scope", "news_type"], mode="news_type")
+
+
+@query("c18", f"""select news_id, cast(5 * l + 10 * e + 3 * k + if(contains(lower(publisher), 'web'), 8, 0) + if(contains(b, 'license') or contains(b, 'market') or contains(b, 'sales'), 5, 0) + case when age <= 2 then 5 when age <= 7 then 3 else 0 end as integer) as score from
+    (select news_id, publisher, {LOW} as b, len({_terms(LOW, ENTITIES)}) as e, len({_terms(LOW, TOPICS)}) as k, len({_terms(LOW, LOCAL)}) as l, date '2024-02-20' - published_date as age from news)""")
 def c18(t):
-    kind = F.when(F.col("social_type") == "purchase", 40).when(F.col("social_type") == "click", 20).otherwise(5)
-    score = F.when(F.col("verification_status") == "VERIFIED", 30).otherwise(0) + kind + F.when(F.col("published_date") >= "2024-01-20", 15).otherwise(0)
-    return t.social.select("observation_id", score.alias("score"))
+    body = F.coalesce("body", F.lit(""))
+    found = t.news.select("news_id", "publisher", "published_date", body.alias("body"), found_in_lists(body, {"entities": ENTITIES, "products": TOPICS, "local": LOCAL}).alias("l")).select("*", "l.*")
+    score = N.priority_score(F.col("local"), F.col("entities"), F.col("products"), F.col("publisher"), ["web"], F.col("body"), F.col("published_date"), "2024-02-20", ["license", "market", "sales"])
+    return found.select("news_id", score.alias("score"))
 
 
 def _times(c, pattern):
@@ -230,12 +245,15 @@ QUALITY_SQL = rf"""case when length(text) >= 1500 then 40 when length(text) >= 6
     - least({_times("text", "[a-z][A-Z]")} * 2 + {_times("text", "<[^>]+>")} * 5 + {_times("text", "â€|Ã.")} * 5, 60)"""
 
 
-@query("c19", f"""select news_id, r.q as quality, r.n as n_chars from (select news_id, arg_max({{'q': cast(quality as integer), 'n': length(text)}}, {{'a': quality, 'b': length(text), 'c': -place}}) as r from (select *, {QUALITY_SQL} as quality from
-    (select news_id, body as text, 0 as place from news where body is not null union all select news_id, concat_ws(' ', headline, body), 1 from news)) group by news_id)""")
+@query("c19", f"""select news_id, r.q as quality, r.n as n_chars, title_quality from (select news_id, arg_max({{'q': cast(quality as integer), 'n': length(text)}}, {{'a': quality, 'b': length(text), 'c': -place}}) as r from (select *, {QUALITY_SQL} as quality from
+    (select news_id, body as text, 0 as place from news where body is not null union all select news_id, concat_ws(' ', headline, body), 1 from news)) group by news_id)
+    join (select news_id, case when t = '' then -1000.0 else if(length(t) between 20 and 180, 5.0, 0.0) - 4.0 * {_times("regexp_replace(t, '([a-z])([A-Z])', '\\1|\\2', 'g')", "[a-z][|][A-Z]")} - 2.0 * {_times("t", r"\b(?:the|a|an|and|or|to|of|in|on|for|with|from|into|that|how|is|are|can|will|you|your|our|their)[a-z]{4,}")} - if(contains(t, '|'), 1.0, 0.0) end as title_quality
+        from (select news_id, regexp_replace(trim(regexp_replace(headline, '\\s+', ' ', 'g')), '[^\\x00-\\x7F]', '0', 'g') as t from news)) using (news_id)""")
 def c19(t):
     a = t.news.select(F.col("news_id"), F.col("body").alias("text"), F.lit(0).alias("place"))
     b = t.news.select(F.col("news_id"), F.concat_ws(" ", "headline", "body").alias("text"), F.lit(1).alias("place"))
-    return N.best_text(a.unionByName(b), "news_id", "text", "place").select("news_id", "quality", F.length("text").alias("n_chars"))
+    best = N.best_text(a.unionByName(b), "news_id", "text", "place").select("news_id", "quality", F.length("text").alias("n_chars"))
+    return best.join(t.news.select("news_id", N.title_quality(F.col("headline")).alias("title_quality")), "news_id")
 
 
 SEEN_AS = "product_name || case observations % 5 when 0 then ' Now available' when 1 then ': introducing it' when 2 then ' launched today' when 3 then ' new arrival, just launched' else '' end"
@@ -322,7 +340,14 @@ def c28(t):
     return t.canonical.select("product_id", M.brand_conflict(text, F.expr("case when product_id % 3 = 0 then 'LG' else brand end"), ["LG", "SAMSUNG"]).alias("conflicts"))
 
 
-@query("c29", "select product_id, length('M' || product_id) >= 3 and product_id % 9 <> 0 and product_id % 50 <> 1 as present, floor((case when product_id % 2 = 0 then 1.0 else 0.5 end) * 1000 + 0.5) / 1000 as score from canonical")
+PAGE_TEXT = "'buy m' || product_id || ' now ' || case when product_id % 3 = 0 then '' else upper(split_part(item_name, ' ', 1)) end || ' and ' || reverse(item_name)"
+NAMED_AS = "case when product_id % 4 = 0 then upper(item_name) when product_id % 4 = 1 then item_name || ' series black with extras' when product_id % 4 = 2 then 'new ' || split_part(item_name, ' ', 1) || ' of the season' else 'nothing alike at all' end"
+
+
+@query("c29", f"""select product_id, model_no <> '' and (contains(page, upper(model_no))) as present, floor((case when len(words) > 0 then len(list_filter(words, lambda w: contains(low, w))) / len(words) else 0.0 end) * 1000 + 0.5) / 1000 as score,
+    lower(item_name) = lower(named) or len(list_intersect(own, theirs)) >= case when len(own) <= 3 then 1 else 2 end as alike from (select *, upper({PAGE_TEXT}) as page, lower({PAGE_TEXT}) as low, {NAMED_AS} as named,
+    list_filter(regexp_extract_all(lower(item_name), '[a-z0-9]{{3,}}'), lambda w: w not in ('the', 'and', 'with', 'for', 'white', 'black', 'silver', 'grey', 'gray', 'cold')) as words,
+    list_distinct(regexp_extract_all(lower({NAMED_AS}), '[a-z0-9]{{3,}}')) as own, list_distinct(regexp_extract_all(lower(item_name), '[a-z0-9]{{3,}}')) as theirs from canonical)""")
 def c29(t):
-    page = F.expr("'buy m' || product_id || ' now ' || case when product_id % 2 = 0 then item_name else split(item_name, ' ')[1] end")
-    return t.canonical.select("product_id", X.model_present(page, F.col("model_no")).alias("present"), half_up(X.name_score(page, F.col("item_name")), 3).alias("score"))
+    page, named, name = F.expr(PAGE_TEXT), F.expr(NAMED_AS), F.col("item_name")
+    return t.canonical.select("product_id", X.model_present(page, F.col("model_no")).alias("present"), half_up(X.name_score(page, name, ("cold",)), 3).alias("score"), X.names_match(named, name).alias("alike"))
