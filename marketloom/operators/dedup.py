@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import overwrite, scratch
 
 
 def null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
@@ -87,19 +88,25 @@ def dense_rank_rows(df: DataFrame, keys: list[str], name: str, buckets: int | No
     return local.join(F.broadcast(starts), "_b").withColumn(name, F.col("_start") + F.col("_n")).drop("_b", "_n", "_start")
 
 
-def number_in_order(df: DataFrame, group: str, order: list[str], name: str, buckets: int = 64) -> DataFrame:
-    """Adds name: 1, 2, 3, ... in each group by order, as row_number would, without one task for each group.
+#: Rows that one task numbers, on average at most.
+ROWS_A_TASK = 1_000_000
 
-    The first order column is cut at its quantiles into buckets that follow each other; rows are numbered in their bucket
-    and start after the rows of the buckets before. At most `buckets` small rows a group are summed to find the starts."""
-    first = F.col(order[0])
-    cuts = df.agg(F.percentile_approx(first, [i / buckets for i in range(1, buckets)]).alias("cuts"))
-    placed = df.crossJoin(F.broadcast(cuts))  # one row
-    placed = placed.withColumn("_b", F.coalesce(F.size(F.filter("cuts", lambda x: x < first)), F.lit(0))).drop("cuts")
+
+def number_in_order(df: DataFrame, group: str, order: list[str], name: str, rows: int = ROWS_A_TASK) -> DataFrame:
+    """Adds name: 1, 2, 3, ... in each group by order, as row_number would, however large a group is.
+
+    Rows are cut into ranges of group and all order columns, as many as their number asks for, and written with the number of
+    their range; they are numbered in it and start after those of the group's ranges before. Equal first columns are split by the later
+    ones; only rows that are equal in all of them stay together."""
+    n = max(1, -(-df.count() // rows))
+    ranged = df.repartitionByRange(n, group, *order).withColumn("_b", F.spark_partition_id())
+    placed = overwrite(ranged, scratch(df.sparkSession, "ranges"))
     local = placed.withColumn("_n", F.row_number().over(W.partitionBy(group, "_b").orderBy(*order)))
     sizes = placed.groupBy(group, "_b").agg(F.count("*").alias("_size"))
     starts = sizes.withColumn("_start", F.sum("_size").over(W.partitionBy(group).orderBy("_b")) - F.col("_size")).drop("_size")
-    return local.join(starts, [group, "_b"]).withColumn(name, F.col("_start") + F.col("_n")).drop("_b", "_n", "_start")
+    own = reduce(lambda x, y: x & y, [F.col(f"l.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (group, "_b")])
+    joined = local.alias("l").join(starts.alias("s"), own)
+    return joined.select(*(F.col(f"l.{c}") for c in df.columns), (F.col("s._start") + F.col("l._n")).alias(name))
 
 
 def evidence_key(url: Column, headline: Column) -> Column:

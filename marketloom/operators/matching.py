@@ -34,8 +34,8 @@ FAMILIES = {
 #: Families in which one matching feature decides, sub-categories in which width alone does not count.
 DECISIVE = ["AIR_CONDITIONER", "REFRIGERATOR", "TV", "WASHING_MACHINE", "COOKER_STOVE"]
 WIDTH_ALONE = ["built-in ovens", "cooker hoods"]
-#: Words that say nothing about a product.
-STOP_WORDS = "mika bruhm haier the and with for new model series black white silver stainless steel appliance appliances".split()
+#: Words that say nothing about a product; the brands that are compared are left out besides.
+STOP_WORDS = "the and with for new model series black white silver stainless steel appliance appliances".split()
 #: Sizes that stand for a feature.
 BTU_THOUSANDS, WIDTHS = "9|12|18|24", "50|55|60|70|75|80|90"
 INCHES = "24|32|40|42|43|50|55|58|60|65|70|75|85|86|98"
@@ -116,7 +116,7 @@ def profile(df: DataFrame, brands: list[str], keep: list[str], keys: tuple[str,
         product_features(text).alias("features"),
         product_family(plain_text(F.col("category"), F.col("sub_category"), F.col("item_name"))).alias("family"),
         (F.size(brand_conflict(plain_text(F.col("item_name"), scope), F.col("brand"), brands)) > 0).alias("brand_conflict"),
-        telling_tokens(F.col("item_name"), STOP_WORDS).alias("tokens"),
+        telling_tokens(F.col("item_name"), [*STOP_WORDS, *(b.lower() for b in brands)]).alias("tokens"),
     )
 
 

@@ -56,7 +56,7 @@ VIEWS |= {
     "own_rival": f"select category, sub_category, count(*) filter (brand = '{OWN_BRAND}') as own, count(*) filter (brand <> '{OWN_BRAND}') as rival from canonical group by 1, 2",
     "titled": f"select * replace ({TITLE} as item_name, {SUB} as sub_category) from canonical",
     "profiled": f"""select product_id, brand, category, sub_category, price, size, {features_sql("ft")}, {family_sql("fam")} as family, {" or ".join(map(conflict_sql, KNOWN))} as conflict,
-        list_distinct(list_filter(string_split({plain_sql("item_name")}, ' '), lambda x: length(x) >= 3 and x not in ({listed(M.STOP_WORDS)}))) as tokens
+        list_distinct(list_filter(string_split({plain_sql("item_name")}, ' '), lambda x: length(x) >= 3 and x not in ({listed([*M.STOP_WORDS, 'samsung', 'lg'])}))) as tokens
         from (select *, {plain_sql("concat_ws(' ', item_name, category, sub_category, product_scope)")} as ft, {plain_sql("concat_ws(' ', category, sub_category, item_name)")} as fam,
             {plain_sql("concat_ws(' ', item_name, product_scope)")} as named from titled)""",
     "compared": f"""select a.product_id as own_id, b.product_id as other_id, a.price as own_price, b.price as other_price, a.family as fa, b.family as fb, a.conflict or b.conflict as conflict, lower(trim(a.sub_category)) as sub,

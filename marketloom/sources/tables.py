@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -11,17 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.dedup import number_in_order
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder (spark.checkpoint.dir); a temporary one in local mode only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/loom-{label}-{uuid.uuid4().hex}"
+from .scratch import overwrite, scratch
 
 
 def write_csv(df: DataFrame, columns: list[str], path: str) -> str:
@@ -40,11 +28,6 @@ def append(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def overwrite(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def read_catalogue_csv(spark: SparkSession, path: str, brand: str | None = None) -> DataFrame:
     """All columns as strings, blanks kept as empty strings, optionally tagged with a brand."""
     df = spark.read.csv(path, header=True, inferSchema=False).na.fill("")
