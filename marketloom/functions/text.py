@@ -126,13 +126,9 @@ def around(c: Column, needle: Column, radius: int) -> Column:
 
 
 def period_label(start: Column, end: Column) -> Column:
-    s, e = start.cast("string"), end.cast("string")
-    return (
-        F.when(start.isNotNull() & end.isNotNull(), F.concat(s, F.lit(" to "), e))
-        .when(start.isNotNull(), F.concat(F.lit("from "), s))
-        .when(end.isNotNull(), F.concat(F.lit("until "), e))
-        .otherwise("undated")
-    )
+    """`a to b`; one day alone, if both are equal or the other is missing; `date not recorded` without any."""
+    s, e = (F.nullif(F.trim(c.cast("string")), F.lit("")) for c in (start, end))
+    return F.when(s != e, F.concat(s, F.lit(" to "), e)).otherwise(F.coalesce(s, e, F.lit("date not recorded")))
 
 
 def hash_id(*parts: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.dictionary import found_in, labels_in
+from ..functions.dictionary import found_in, found_in_lists, labels_in
 
 
 def terms_in(c: Column, terms: list[str]) -> Column:
@@ -139,3 +139,40 @@ def route(df: DataFrame, stored: DataFrame) -> DataFrame:
     j = df.join(seen, "identity", "left").join(ids, "news_id", "left")
     state = T.first_rule([(~F.coalesce(F.col("scope_status") == "IN_SCOPE", F.lit(False)), "skipped"), (F.col("seen_url") | F.col("seen_id"), "duplicate"), (F.col("entity").isNotNull(), "finding")], "market_news")
     return j.withColumn("state", state)
+
+
+#: Signals of a market, types by the words of a whole text in order, words of products and of trade.
+SIGNALS = [
+    "discount", "sale", "black friday", "cashback", "warranty", "financing", "lipa later", "instalment", "installment", "free delivery", "bundle", "showroom",
+    "retailer", "retailers", "distributor", "distributors", "new branch", "launch", "launched", "partnership", "sponsorship", "promotion", "offer", "campaign",
+    "pricing", "prices", "price", "demand", "manufacturing",
+]
+WHOLE_TEXT_TYPES = {
+    "promotion": ["black friday", "discount", "sale", "promotion", "offer", "cashback"],
+    "product launch": ["launched", "launches", "launch", "unveiled", "introduces", "introduced", "new product"],
+    "partnership": ["partnership", "partnered", "agreement", "deal"],
+    "distribution": ["branch", "showroom", "retailer", "retail", "distributor", "distribution"],
+    "manufacturing": ["manufacturing", "factory", "production"],
+    "pricing": ["price", "prices", "pricing", "cost"],
+}
+PRODUCT_WORDS = [
+    "appliance", "appliances", "electronics", "television", "tv", "refrigerator", "fridge", "freezer", "washing machine", "microwave", "oven", "cooker",
+    "air conditioner", "soundbar", "home appliance", "consumer electronics",
+]
+TRADE_WORDS = ["retailer", "retail", "manufacturer", "distributor", "customer", "consumer", "product", "products", "market", "brand", "brands"]
+
+
+def market_context(title: Column, body: Column, brands: Column, categories: Column, signals: list[str] = SIGNALS, types: dict[str, list[str]] = WHOLE_TEXT_TYPES,
+                   products: list[str] = PRODUCT_WORDS, trade: list[str] = TRADE_WORDS) -> Column:
+    """struct(signals array, news_type, relevant) of an article, all its words looked up in one pass over the text.
+
+    An article is relevant if it names a brand (brands, an array), or has a category (categories, an array) and a signal, or words of
+    products and of trade; a blank one never is. The type is the first of types with a word in the text, else market development."""
+    whole = F.trim(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(body, F.lit(""))))
+    found = found_in_lists(whole, {"signals": signals, "products": products, "trade": trade, **{f"type {k}": v for k, v in types.items()}}, once=True)
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    return F.transform(F.array(F.struct(found.alias("f"), (whole != "").alias("any"), some(brands).alias("b"), some(categories).alias("c"))), lambda x: F.struct(
+        x["f"]["signals"].alias("signals"),
+        T.first_rule([(F.size(x["f"][f"type {k}"]) > 0, k) for k in types], "market development").alias("news_type"),
+        (x["any"] & (x["b"] | (x["c"] & (F.size(x["f"]["signals"]) > 0)) | ((F.size(x["f"]["products"]) > 0) & (F.size(x["f"]["trade"]) > 0)))).alias("relevant"),
+    ))[0]

@@ -100,12 +100,6 @@ def needs_research(question: Column, intent: Column, answer: Column, evidence: C
     )
 
 
-def answer_rows(routed: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Evidence lines of each routed question: evidence(intent, competitor_id, line) joined on intent, and on scope if one is named."""
-    j = routed.join(evidence, "intent")
-    return j.where(F.col("scope_id").isNull() | (F.col("scope_id") == F.col("competitor_id")))
-
-
 def record_summary(df: DataFrame, fields: list[str], mode: str | None = None) -> DataFrame:
     """(field, value, n) for every value of some fields, counted in one pass, and the most frequent value of one as field mode
     (the first of equals)."""

@@ -134,8 +134,8 @@ def p20(t):
     return t.news.select("news_id", T.summarize("body").alias("summary"))
 
 
-@query("p21", """select campaign_id, case when start_date is not null and end_date is not null then start_date || ' to ' || end_date
-    when start_date is not null then 'from ' || start_date when end_date is not null then 'until ' || end_date else 'undated' end as period from campaigns""")
+@query("p21", """select campaign_id, case when start_date is null and end_date is null then 'date not recorded' when start_date is null then cast(end_date as varchar)
+    when end_date is null or start_date = end_date then cast(start_date as varchar) else start_date || ' to ' || end_date end as period from campaigns""")
 def p21(t):
     return t.campaigns.select("campaign_id", T.period_label(F.col("start_date"), F.col("end_date")).alias("period"))
 

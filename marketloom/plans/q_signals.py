@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import answers as A
 from ..operators import news as N
 from ..operators import prices as P
 from ..operators import quality as Q
 from ..operators import reports as R
 from ..operators import signals as G
 from .bind import AS_OF, BASELINE, VIEWS
-from .q_prices import EVIDENCE, J5
+from .q_prices import J5
 from .registry import query
 
 SUMMARY = f"select brand, count(*) as products, count(*) filter (first_seen_date < last_seen_date) as persistent, count(*) filter (first_seen_date > date '{BASELINE}') as post_baseline from catalogue group by 1"
@@ -319,14 +320,87 @@ def r2(t):
     return j.groupBy("campaign_type", "status").agg(F.count("*").alias("campaigns"), F.count("post").alias("posts"))
 
 
-@query("r3", f"""select q.conv_id, q.turn, q.intent, e.competitor_id, e.n from (select conv_id, turn, case conv_id % 3 when 0 then 'CAMPAIGNS' when 1 then 'SOCIAL_EVIDENCE' else 'PRODUCT_CATALOGUE' end as intent, case when conv_id % 2 = 0 then conv_id % 100 end as scope_id from questions) q
-    join (select case evidence_type when 'campaign' then 'CAMPAIGNS' when 'social' then 'SOCIAL_EVIDENCE' when 'catalogue' then 'PRODUCT_CATALOGUE' end as intent, competitor_id, n from ({EVIDENCE})) e on q.intent = e.intent and (q.scope_id is null or q.scope_id = e.competitor_id)""")
+#: Questions as the binding has them: what is asked, the scope's name and its subjects, for every second one none.
+SAID = """case conv_id % 9 when 0 then 'campaign report' when 1 then 'active campaigns' when 2 then 'upcoming campaigns' when 3 then 'any alerts' when 4 then 'how is the market' when 5 then 'facebook activity'
+    when 6 then 'catalogue coverage' when 7 then 'compare them' else 'what are they doing' end"""
+NAMED = "case when conv_id % 2 = 0 then case conv_id % 9 when 6 then 'Brand#' || (1 + conv_id % 4) || (1 + conv_id % 5) when 7 then 'A' || (conv_id % 90) || ' and B' when 8 then 'Supplier ' || (conv_id % 100) else 'Supplier ' || (conv_id % 130) end end"
+SCOPE = "case when conv_id % 2 = 0 then case conv_id % 9 when 6 then lower('Brand#' || (1 + conv_id % 4) || (1 + conv_id % 5)) when 7 then (conv_id % 90) || ',' || (conv_id % 90 + 1) when 8 then cast(conv_id % 100 as varchar(20)) else cast(conv_id % 130 as varchar(20)) end end"
+ROUTED = f"""select conv_id, turn, case conv_id % 9 when 0 then 'CAMPAIGNS' when 1 then 'CAMPAIGNS_ACTIVE' when 2 then 'CAMPAIGNS_UPCOMING' when 3 then 'STRATEGIC_ALERTS' when 4 then 'MARKET_TRENDS' when 5 then 'SOCIAL_EVIDENCE'
+    when 6 then 'PRODUCT_CATALOGUE' when 7 then 'COMPETITOR_COMPARISON' else if(conv_id % 2 = 0, 'COMPETITOR_ACTIVITY', 'UNSUPPORTED') end as intent, {NAMED} as named, {SCOPE} as scope from questions"""
+#: What the bound tables lack of an evidence table's columns.
+OFFER, SOURCE = "'KES ' || cast(floor(offer_value) as bigint)", "case when campaign_id % 4 <> 0 then 'https://c' || campaign_id || '.example.com/' end"
+PLACED = "coalesce(cast(start_date as {text}), '9999-12-31') || lpad(cast(campaign_id as {text}), 12, '0')"
+
+
+def _span(a, b):
+    return f"case when {a} is null and {b} is null then 'date not recorded' when {a} is null then cast({b} as varchar) when {b} is null or {a} = {b} then cast({a} as varchar) else {a} || ' to ' || {b} end"
+
+
+NONE = "'date not recorded'"
+_CAMPAIGN = f"""select '{{0}}' as intent, cast(competitor_id as varchar) as subject, {PLACED.format(text='varchar')} as place, campaign_name || ' (' || {_span('start_date', 'end_date')} || ') - ' || {OFFER} || ' - category: ' || category as line,
+    campaign_name || ': verification=' || verification_status || ', confidence=' || confidence || ', source=' || coalesce({SOURCE}, 'not recorded') as evidence, campaign_name || ' - ' || {_span('start_date', 'end_date')} as brief from campaigns where {{1}}"""
+LINES_SQL = " union all ".join([
+    _CAMPAIGN.format("CAMPAIGNS", "true"), _CAMPAIGN.format("CAMPAIGNS_ACTIVE", "status = 'active'"), _CAMPAIGN.format("CAMPAIGNS_UPCOMING", "status = 'upcoming'"),
+    f"select 'STRATEGIC_ALERTS', lower(subject), title, '[' || priority || '] ' || title || ' - ' || alert_type, title || ': source=' || lower(alert_type) || ', period=' || {NONE} || ', confidence=not recorded', title || ' - priority=' || priority from ({L2} union all {L4})",
+    f"select 'MARKET_TRENDS', lower(subject), title, title || ' - ' || signal_type || ' - ' || {STATE_SQL} || ' - ' || {NONE}, title || ': evidence_count=' || evidence_count || ', confidence=' || confidence, title || ' - status=' || {STATE_SQL} from ({N4} union all select 'CATALOGUE_PERSISTENCE', brand, brand || ' catalogue persistence', persistent, 'HIGH' from summary where persistent > 0)",
+    """select 'SOCIAL_EVIDENCE', cast(competitor_id as varchar), lpad(cast(observation_id as varchar), 12, '0'), platform || ' - ' || observed_date || ' - ' || if(length(post_text) > 180, substr(post_text, 1, 177) || '...', post_text),
+    platform || ' / ' || account_name || ': published=' || published_date || ', observed=' || observed_date || ', verification=' || verification_status || ', confidence=not recorded', platform || ' - observed=' || observed_date from social""",
+    """select 'PRODUCT_CATALOGUE', lower(brand), brand, brand || ': ' || count(*) || ' tracked products (' || min(first_seen_date) || ' to ' || max(last_seen_date) || ')', brand || ': ' || count(*) || ' products, first_seen=' || min(first_seen_date) || ', last_seen=' || max(last_seen_date), '' from catalogue group by brand""",
+    f"""select 'COMPETITOR_COMPARISON', competitor_id, dimension, 'Supplier ' || competitor_id || ' - ' || dimension || ' - ' || metric || ' - observations=' || n || coalesce(' | value=' || v, '') || ' - period=' || {_span('a', 'b')} || ' - coverage=TRACKED',
+    'Supplier ' || competitor_id || ': ' || dimension || ' / ' || metric || '; observations=' || n || '; period=' || {_span('a', 'b')} || '; coverage=TRACKED; confidence=not recorded; evidence=' || dimension || ' rows', '' from (
+    select cast(competitor_id as varchar) as competitor_id, 'price' as dimension, 'observations' as metric, count(*) as n, cast(null as bigint) as v, min(observed_date) as a, max(observed_date) as b from prices group by 1
+    union all select cast(competitor_id as varchar), 'social', 'likes', count(*), sum(likes), min(observed_date), max(observed_date) from social group by 1)""",
+])
+
+
+def evidence_lines(t):
+    placed = F.expr(PLACED.format(text="string"))
+    campaigns = t.campaigns.withColumn("source_url", F.expr(SOURCE)).withColumn("offer_value", F.expr(OFFER))
+    no = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    alerts = G.campaign_alerts(t.campaigns).unionByName(G.persistence_alerts(summary(t))).select("*", F.lower("alert_type").alias("evidence_source"), *no("period_start", "period_end", "confidence"))
+    signals = G.campaign_signals(t.campaigns.where("verification_status = 'VERIFIED'")).unionByName(G.catalogue_signals(summary(t))).select("*", F.expr(STATE_SQL).alias("status"), *no("start_date", "end_date"))
+    posts = t.social.select("*", *no("confidence"))
+    tracked = t.catalogue.groupBy(F.col("brand").alias("catalogue")).agg(F.count("*").alias("product_count"), F.min("first_seen_date").alias("first_seen"), F.max("last_seen_date").alias("last_seen"))
+
+    def facts(df, dimension, metric, value):
+        g = df.groupBy("competitor_id").agg(F.count("*").alias("observation_count"), value.cast("long").alias("metric_value"), F.min("observed_date").alias("period_start"), F.max("observed_date").alias("period_end"))
+        return g.select("*", F.lit(dimension).alias("dimension"), F.lit(metric).alias("metric_name"))
+
+    both = facts(t.prices, "price", "observations", F.max(F.lit(None))).unionByName(facts(t.social, "social", "likes", F.sum("likes")))
+    both = both.select("*", F.concat(F.lit("Supplier "), "competitor_id").alias("competitor_name"), F.lit("TRACKED").alias("coverage_status"), F.concat("dimension", F.lit(" rows")).alias("evidence_summary"), *no("brand", "confidence"))
+    return G.union_all(
+        A.campaign_lines(campaigns, placed), A.campaign_lines(campaigns.where("status = 'active'"), placed, "CAMPAIGNS_ACTIVE"), A.campaign_lines(campaigns.where("status = 'upcoming'"), placed, "CAMPAIGNS_UPCOMING"),
+        A.alert_lines(alerts, F.col("title")), A.trend_lines(signals, F.col("title")), A.social_lines(posts, F.lpad(F.col("observation_id").cast("string"), 12, "0")),
+        A.catalogue_lines(tracked, F.col("catalogue")), A.comparison_lines(both, F.col("dimension")),
+    )
+
+
+#: By intent: what precedes the lines, what stands without any, lines shown.
+HEADS_SQL = """(values ('CAMPAIGNS', 'The current evidence set contains # campaign@:', 'No campaigns were retrieved% in the current evidence set.', 20), ('CAMPAIGNS_ACTIVE', 'The current evidence set contains # campaign@:', 'No campaigns were retrieved% in the current evidence set.', 20),
+    ('CAMPAIGNS_UPCOMING', 'The current evidence set contains # upcoming campaign@:', 'No upcoming campaigns were retrieved% in the current evidence set.', 20), ('STRATEGIC_ALERTS', '# open strategic alert@ were retrieved:', 'No open strategic alerts were retrieved%.', 20),
+    ('MARKET_TRENDS', '# market-trend record@ were retrieved:', 'No matching market-trend records were retrieved%.', 20), ('SOCIAL_EVIDENCE', '# social observation@ were retrieved:', 'No matching social evidence was retrieved%.', 10),
+    ('PRODUCT_CATALOGUE', 'Tracked catalogue coverage:', 'No matching tracked catalogue summary was retrieved%.', 20), ('COMPETITOR_COMPARISON', '# comparison records were retrieved:', 'No matching competitor comparison records were retrieved%.', 20),
+    ('COMPETITOR_ACTIVITY', 'Current documented activity%:', 'No current evidence was retrieved%.', 5)) as h(intent, said, none_said, most)"""
+PARTS_SQL = """(values ('CAMPAIGNS_ACTIVE', 1, 'Active campaigns', 'Campaign'), ('CAMPAIGNS_UPCOMING', 2, 'Upcoming campaigns', 'Upcoming campaign'), ('STRATEGIC_ALERTS', 3, 'Open strategic alerts', 'Alert'),
+    ('SOCIAL_EVIDENCE', 4, 'Social observations', 'Social'), ('MARKET_TRENDS', 5, 'Market-trend records involving this scope', 'Trend')) as p(part, pos, many, one)"""
+
+
+@query("r3", f"""with routed as ({ROUTED}), lines as ({LINES_SQL}), asked as (select distinct intent, named, scope from routed),
+    fan as (select a.*, p.part, p.pos as part_at, p.many, p.one from asked a join {PARTS_SQL} on a.intent = 'COMPETITOR_ACTIVITY' union all select *, intent, 0, null, null from asked where intent <> 'COMPETITOR_ACTIVITY'),
+    met as (select f.intent, f.named, f.part_at, f.many, f.one, l.line, l.evidence, l.brief, row_number() over w as pos, count(*) over (partition by f.intent, f.named, f.part) as n from fan f
+        join lines l on l.intent = f.part and ((f.scope is null and f.intent <> 'COMPETITOR_COMPARISON') or list_contains(string_split(f.scope, ','), l.subject)) window w as (partition by f.intent, f.named, f.part order by l.place, l.line, l.evidence)),
+    done as (select m.intent, m.named, sum(n) filter (pos = 1) as n, string_agg(case when one is not null then many || ': ' || n else line end, chr(10) || '- ' order by part_at, pos) filter (pos = 1 or (one is null and pos <= most)) as body, least(any_value(most), max(pos)) as listed,
+        string_agg(coalesce(one || ': ' || brief, evidence), ' | ' order by part_at, pos) filter (pos <= most) as evidence from met m join {HEADS_SQL} on h.intent = m.intent group by 1, 2)
+    select q.conv_id, q.turn, q.intent, q.named, cast(coalesce(d.n, 0) as bigint) as n_rows, coalesce(d.evidence, '') as evidence,
+    replace(replace(replace(case when d.n is null then h.none_said else h.said end, '#', coalesce(cast(d.n as varchar), '')), '@', if(d.n = 1, '', 's')), '%', coalesce(' for ' || q.named, ''))
+        || case when d.n is null then '' else chr(10) || '- ' || d.body || case when q.intent <> 'COMPETITOR_ACTIVITY' and d.n > d.listed then chr(10) || '- ...and ' || cast(d.n - d.listed as bigint) || ' additional.' else '' end end as answer
+    from routed q left join {HEADS_SQL} on h.intent = q.intent left join done d on d.intent = q.intent and d.named is not distinct from q.named""")
 def r3(t):
-    said = F.expr("case conv_id % 3 when 0 then 'campaign report' when 1 then 'facebook activity' else 'catalogue coverage' end")
-    routed = t.questions.select("conv_id", "turn", R.question_intent(said).alias("intent"), F.when(F.col("conv_id") % 2 == 0, F.col("conv_id") % 100).alias("scope_id"))
-    counts = R.evidence_counts({"campaign": t.campaigns, "social": t.social, "catalogue": t.catalogue})
-    intent = T.first_rule([(F.col("evidence_type") == "campaign", "CAMPAIGNS"), (F.col("evidence_type") == "social", "SOCIAL_EVIDENCE")], "PRODUCT_CATALOGUE")
-    return R.answer_rows(routed, counts.withColumn("intent", intent)).select("conv_id", "turn", "intent", "competitor_id", "n")
+    """The answer of every question, with the evidence of the lines it shows."""
+    named = F.expr(NAMED)
+    about = F.when(F.col("conv_id") % 9 == 8, named)
+    routed = t.questions.select("conv_id", "turn", R.question_intent(F.expr(SAID), about).alias("intent"), named.alias("named"), F.split(F.expr(SCOPE), ",").alias("scope"))
+    return A.compose(routed, evidence_lines(t)).select("conv_id", "turn", "intent", "named", "n_rows", "answer", F.concat_ws(" | ", "evidence").alias("evidence"))
 
 
 @query("r4", """select state, count(*) as n from (select case when scope_status <> 'IN_SCOPE' then 'skipped' when exists (select 1 from news s where (s.news_id % 700 < 100 or s.news_id >= 700)

