@@ -3,30 +3,34 @@
 A pattern is a run of item words: every window of `window` words, or a whole shorter item. Patterns are grouped by
 length m. Over a text, the search looks at the block of two words that ends at a position: a block that no pattern of
 the group has shifts by up to m - 1 words, a block that ends patterns opens the bucket of that suffix, and each bucket
-entry is compared word by word. Items reach the tasks in blocks of bounded size, which build their tables themselves;
-the driver holds one block at a time. A larger benchmark takes more passes over the documents; the hits of each pass
-are written before the next begins, and summed by document at the end.
+entry is compared word by word. Items are cut into parts of bounded size that share window - 1 words, so that each window
+lies in exactly one part, and parts are put together by running size into blocks of bounded size. A block reaches the tasks,
+which build their tables themselves; the driver holds one block at a time. A larger benchmark takes more passes over
+the documents; each pass writes the hits it finds, which are summed by document at the end.
 
 Defined results: a null text or an item without words has no words, hits or windows; repeated items are one item per
 item_id; repeated documents are judged one by one (rows that share a doc_id get one row each as long as the benchmark
 fits one block, and are numbered to stay apart otherwise); an empty benchmark leaves every document clean; columns
 besides doc_id, text, item_id, whatever their names, are ignored; a very long text is a step of its own, a very long item
-a block of its own; items with equal windows are all found.
+is cut into parts (a window's words alone may pass the bound); items with equal windows are all found.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, text_chunks
+from .common import bounded_blocks, map_arrow, materialize, text_chunks
 
-#: Bytes of item text that one pass holds in each task, on average over the passes.
-BLOCK_BYTES = 16 << 20
+#: Bytes of item words that one pass holds in each task (their tables take some 80 times as much), and those of one part of an item.
+BLOCK_BYTES, PART_BYTES = 4 << 20, 1 << 20
 
 _table = bytearray(b" " * 128 + bytes(range(128, 256)))
 for _c in b"0123456789abcdefghijklmnopqrstuvwxyz":
@@ -94,12 +98,30 @@ def machines_of(held, window: int) -> list[WuManber]:
     return _built[key]
 
 
-def item_blocks(benchmark: DataFrame, limit: int) -> list[DataFrame]:
-    """Blocks of (item_id as string, text), dealt by a hash of the item, of limit bytes each on average."""
+def item_parts(text: str, window: int, limit: int) -> Iterator[bytes]:
+    """The words of an item in parts of limit bytes (or of one window), so that each of its windows lies in one part."""
+    w = words(text)
+    upto = [0, *accumulate(len(x) + 1 for x in w)]  # bytes of the first words
+    first, n = 0, max(1, len(w) - window + 1) if w else 0
+    while first < n:
+        end = max(first + window, bisect_right(upto, upto[first] + limit) - 1)
+        yield b" ".join(w[first:end])
+        first = end - window + 1
+
+
+def item_blocks(benchmark: DataFrame, window: int, limit: int, part_bytes: int = PART_BYTES) -> list[DataFrame]:
+    """Blocks of (item_id as string, words of a part), of limit bytes at most, or of one part."""
     rows = benchmark.where("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // limit))
-    return [rows.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) for k in range(n)]
+
+    def run(batches):
+        for part, col in text_chunks(batches, "text"):
+            cut = [(item, p) for item, text in zip(part.column(0).to_pylist(), col.to_pylist(), strict=True) for p in item_parts(text, window, part_bytes)]
+            items, texts = [i for i, _ in cut], [p.decode() for _, p in cut]
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(texts, pa.string()), pa.array([len(p) for _, p in cut], pa.int64())], ["item", "text", "size"])
+
+    parts, ranges = bounded_blocks(map_arrow(rows, run, "item string, text string, size long"), "size", limit, "item-parts")
+    parts = parts.drop("size")
+    return [parts.where(F.col("no").between(lo, hi)).drop("no") for lo, hi in ranges] or [parts.where("false").drop("no")]
 
 
 def held(block: DataFrame):
@@ -139,18 +161,21 @@ def scan(docs: DataFrame, block: DataFrame, window: int) -> DataFrame:
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES
 ) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items (sorted), contaminated."""
-    blocks = item_blocks(benchmark, block_bytes)
+    return _judge(docs, item_blocks(benchmark, window, block_bytes, part_bytes), window)
+
+
+def _judge(docs: DataFrame, blocks: list[DataFrame], window: int) -> DataFrame:
     one = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), "text")
     if len(blocks) == 1:
         out = scan(one, blocks[0], window)
     else:
         one = materialize(one, "numbered")  # so that a row keeps its number in every pass
-        out = scan(one, blocks[0], window)
-        for k, block in enumerate(blocks[1:]):
-            out = materialize(out, f"hits-{k}").unionByName(scan(one, block, window).where("size(items) > 0"))
+        out = materialize(scan(one, blocks[0], window), "hits-0")
+        for k, block in enumerate(blocks[1:], 1):
+            out = out.unionByName(materialize(scan(one, block, window).where("size(items) > 0"), f"hits-{k}"))
         out = out.groupBy("doc_id", "row").agg(
             F.max("n_words").alias("n_words"),
             F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
@@ -168,11 +193,11 @@ def filter_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13,
 
     One pass judges rows in place. With more blocks of items, contaminated row numbers are joined out.
     """
-    blocks = item_blocks(benchmark, block_bytes)
+    blocks = item_blocks(benchmark, window, block_bytes)
     if len(blocks) > 1:
         marked = materialize(docs.withColumn("_loom_row", F.monotonically_increasing_id()), "marked")
         keyed = marked.select(F.col("_loom_row").alias("doc_id"), "text")
-        bad = find_contamination(keyed, benchmark, window, block_bytes=block_bytes).where("contaminated")
+        bad = _judge(keyed, blocks, window).where("contaminated")
         return marked.join(bad.select(F.col("doc_id").alias("_loom_row")), "_loom_row", "left_anti").drop("_loom_row")
     items_held = held(blocks[0])
 

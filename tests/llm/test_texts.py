@@ -265,6 +265,29 @@ def test_contamination_brute_force(spark):
     assert decontam.find_contamination(docs(spark, []), bench).count() == 0
 
 
+def test_item_parts_hold_each_window_once():
+    rng = random.Random(6)
+    for n in (0, 1, 12, 13, 14, 200, 5000):
+        w = decontam.words(" ".join(f"w{rng.randint(0, 10**rng.randint(1, 30))}" for _ in range(n)))
+        for limit in (1, 300, 10**9):
+            parts = [p.split() for p in decontam.item_parts(b" ".join(w).decode(), 13, limit)]
+            assert [tuple(p[k : k + 13]) for p in parts for k in range(max(1, len(p) - 12))] == [tuple(w[k : k + 13]) for k in range(max(1, n - 12) if n else 0)]
+            assert all(len(b" ".join(p)) <= limit or len(p) <= 13 for p in parts)
+
+
+def test_one_long_item_comes_in_blocks(spark):
+    """An item that holds most of the benchmark is dealt to blocks of bounded size like any other."""
+    rng = random.Random(7)
+    long = prose(rng, 3000)
+    bench = spark.createDataFrame([(1, long), (2, "a b c"), (3, prose(rng, 30))], "item_id long, text string")
+    blocks = decontam.item_blocks(bench, 13, 8000, 4000)
+    assert len(blocks) >= 3 and all(sum(len(r["text"]) for r in b.collect()) <= 8000 for b in blocks)
+    texts = ["x " + long[500:900] + " y", long, "no words of it"]
+    once = decontam.find_contamination(docs(spark, texts), bench).orderBy("doc_id").collect()
+    cut = decontam.find_contamination(docs(spark, texts), bench, block_bytes=8000, part_bytes=4000).orderBy("doc_id").collect()
+    assert once == cut and [r["contaminated"] for r in once] == [True, True, False]
+
+
 # ---------------------------------------------------------------- secrets
 
 
