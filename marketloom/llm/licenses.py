@@ -11,7 +11,8 @@ Defined results: texts without a match give no row, and so do null and empty tex
 matches; an empty table gives none; other columns, whatever their names, are ignored; a very long text is a step of its
 own. Matches of one template do not overlap; of alignments with equal score that with more matches, then the later start
 is taken; templates match one by one, so a notice within a longer one is reported as well. The index is built from the
-parameter `templates` (MOST_TEMPLATE_BYTES at most), so what each task holds does not grow with the data.
+parameter `templates` (MOST_TEMPLATE_BYTES in all and MOST_TEMPLATE_WORDS each at most; more raise an error), so what each
+task holds does not grow with the data.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .common import Words, gram_hashes, map_arrow, text_chunks
 
 GRAM, WINNOW = 3, 2
 LEAST_COVERAGE = 0.8
-MOST_TEMPLATE_BYTES = 4 << 20
+MOST_TEMPLATE_BYTES, MOST_TEMPLATE_WORDS = 4 << 20, (1 << 16) - 1
 
 #: Public licence texts and notices.
 TEMPLATES = {
@@ -82,6 +83,8 @@ class Index:
         self.names = sorted(templates)
         w = Words(pa.array([templates[k] for k in self.names]), table=_table)
         self.words = [w.hashes[w.first[d] : w.first[d + 1]] for d in range(len(w))]
+        if max(map(len, self.words), default=0) > MOST_TEMPLATE_WORDS:
+            raise ValueError("a template exceeds the bound of words that an alignment counts")
         self.posts: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for d, x in enumerate(self.words):
             h = gram_hashes(x, min(GRAM, len(x)))

@@ -116,6 +116,38 @@ def test_language_words_are_exact_and_bounded(spark):
     assert language.fit(labelled.where("false")) == {}
 
 
+def test_language_brute_force(spark):
+    """Each text held against every dictionary by a compressor of its own, with repeated rows, ties and clashing columns."""
+    import zstandard as zstd
+
+    rng = random.Random(9)
+    said = {"en": ["the", "house", "and", "dog", "with", "cat"], "fr": ["le", "maison", "et", "chien", "avec", "chat"], "zz": ["zwölf", "größe", "straße", "über"]}
+    learned = {k: (" " + " ".join(rng.choice(v) for _ in range(400)) + " ").encode() for k, v in said.items()} | {"fr2": b""}
+    learned["fr2"] = learned["fr"]  # a tie goes to the first name
+    texts = [" ".join(rng.choice(said[rng.choice(list(said))] if rng.random() < 0.3 else said[k]) for _ in range(n)) for k in said for n in (1, 3, 20, 3000)]
+    texts += ["LE CHIEN! 12", "cafe\u0301 le", "\u0301\u0302", *([texts[2]] * 3)]
+    params = zstd.ZstdCompressionParameters.from_level(language.LEVEL, min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def brute(text):
+        plain = re.sub(r"[\W\d_]+", " ", text.lower())
+        if not any(c.isalpha() for c in plain):
+            return "und"
+        sizes = []
+        for lang, raw in sorted(learned.items()):
+            size = 0
+            for i in range(0, len(plain), language.PIECE_CHARS):
+                d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+                size += len(zstd.ZstdCompressor(dict_data=d, compression_params=params).compress(plain[i : i + language.PIECE_CHARS].encode()))
+            sizes.append((size, lang))
+        return min(sizes)[1]
+
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs(spark, texts), learned, reject=False).collect()}
+    assert [got[i] for i in range(len(texts))] == [brute(t) for t in texts]
+    assert "fr" in got.values() and "fr2" not in got.values()
+    again = language.predict(docs(spark, texts, ids=[7] * len(texts)), learned, reject=False)
+    assert sorted(r["lang_pred"] for r in again.collect()) == sorted(got.values())
+
+
 # ---------------------------------------------------------------- licences
 
 
@@ -161,6 +193,14 @@ def licenses_brute(words):
     return sorted(out)
 
 
+def test_templates_have_a_bound():
+    """Matched words are counted in 16 bits of a cell, so longer templates are refused."""
+    assert len(licenses.Index({"a": "w " * 65535}).words[0]) == 65535
+    for templates in ({"a": "w " * 65536}, {"a": "x" * 2**22, "b": "y"}):
+        with pytest.raises(ValueError, match="bound"):
+            licenses.Index(templates)
+
+
 def test_licenses_brute_force():
     import pyarrow as pa
 
@@ -240,6 +280,27 @@ def test_repetition_brute_force(spark):
     assert repetition.repetition_coverage(docs(spark, [])).count() == 0 and repetition.filter_quality(docs(spark, [])).count() == 0
 
 
+REPETITION_SQL = """with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+    windows as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d)),
+    twice as (select doc_id, i from windows qualify count(*) over (partition by doc_id, g) > 1),
+    repeated as (select doc_id, count(distinct i + o.o) as n from twice, (values (0), (1), (2)) as o(o) group by 1),
+    lines as (select doc_id, count(*) - count(distinct l) as n from (select doc_id, unnest(string_split(t, chr(10))) as l from d) where regexp_matches(l, '[^\\x20\\x09-\\x0D]') group by 1)
+    select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
+    cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, coalesce(l.n, 0) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words,
+    len(w) < 50 or 100 * coalesce(r.n, 0) > 50 * len(w) as base_failed from d left join repeated r using (doc_id) left join lines l using (doc_id)"""
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_repetition_base_is_sql(spark, sf):
+    """All columns but the method's own verdict, over the whole table."""
+    from ..compare import duck, duck_rows, rows
+
+    got = QUERIES["op4_repetition"](spark, f"/root/testdata/{sf}")
+    assert got.where("base_failed and kept").count() == 0
+    base = got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert rows(base) == duck_rows(duck(f"/root/testdata/{sf}"), REPETITION_SQL)
+
+
 # ---------------------------------------------------------------- contamination
 
 
