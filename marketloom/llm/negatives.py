@@ -156,9 +156,9 @@ def add_positives(rows: Rows, ids: np.ndarray, labels: np.ndarray, vectors: np.n
         for level in (*POSITIVE_LEVELS, -np.inf):
             last = lists.last()[todo]
             norm = np.sqrt((vectors[todo].astype(np.float64) ** 2).sum(axis=1))
-            t = np.maximum(last, level * (norm * most + 1))
+            known = np.isfinite(last)  # a full list takes all that its last score lets in, whatever the level
+            t = np.where(known, last, level * (norm * most + 1))
             i, r, s = rows.join(vectors[todo], t, None, own)
-            known = np.isfinite(last)
             # a list that is not full is joined again at a lower threshold, unless what it got fills it
             got = np.bincount(i[rows.ids[own[r]] != ids[todo[i]]], minlength=len(todo))
             settled = known | (got >= lists.k) | (level == -np.inf)
@@ -178,7 +178,7 @@ def add_negatives(rows: Rows, ids: np.ndarray, labels: np.ndarray, vectors: np.n
             return
         low, high = lo[todo], hi[todo]
         last = lists.last().reshape(-1, n)[todo]
-        level_t = np.where(level < 1, high - np.floor(level * (high - low)), low)
+        level_t = np.where(np.isfinite(last) | (level == 1), low, high - np.floor(level * (high - low)))
         t = np.where(high >= low, np.maximum(last, np.maximum(level_t, low)), np.inf)
         least = t.min(axis=1)
         apart = (labels[todo][:, None] != rows.labels[None, :]) & (ids[todo][:, None] != rows.ids[None, :])

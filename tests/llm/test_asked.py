@@ -200,3 +200,29 @@ def test_index_omits_dimensions_and_loses_nothing():
         i, j, s = rows.join(q, t, None, np.arange(300))
         want = {(a, b, v) for (a, b), v in np.ndenumerate(q @ x.T) if v >= t[a]}
         assert set(zip(i.tolist(), j.tolist(), s.tolist())) == want
+
+
+def test_full_lists_take_later_rows_below_the_first_level(spark, monkeypatch):
+    """The first batch fills the lists with low scores; better ones of the next lie below the highest threshold."""
+    monkeypatch.setattr(negatives, "BATCH_ROWS", 6)
+    anchor, far = (0, 0, [100, 0]), [0, 1000]
+    poor = [(1, 0, [10, 0]), (2, 0, [11, 0]), (3, 1, [20, 0]), (4, 1, [21, 0]), (5, 1, far)]
+    better = [(6, 0, [30, 0]), (7, 0, [40, 0]), (8, 0, far), (9, 1, [22, 0]), (11, 1, [23, 0])]
+    rows = [anchor, *poor, *better]
+    one = vectors(spark, rows).coalesce(1).sortWithinPartitions("vec_id")
+    got = sorted(map(tuple, negatives.mine_hard_negatives(one, F.expr("vec_id = 0"), 2, 2).collect()))
+    assert got == sorted(negatives.brute_force(rows, lambda i: i == 0, 2, 2)) and got
+
+    r = np.random.default_rng(11)
+    x = np.abs(r.normal(size=(200, 8)) * 100).astype(np.int64)
+    ids, labels = np.arange(200), np.arange(200) % 2
+    positives, windows = negatives.Lists(5, 3), negatives.Lists(5, 2)
+    low, high = np.full((5, 1), 10), (x[:5] @ x.T).max(axis=1, keepdims=True)
+    for k in range(0, 200, 8):
+        part = negatives.Rows(ids[k : k + 8], labels[k : k + 8], x[k : k + 8])
+        negatives.add_positives(part, ids[:5], labels[:5], x[:5], positives)
+        negatives.add_negatives(part, ids[:5], labels[:5], x[:5], low, high, windows)
+    for found, same, k in ((positives, True, 3), (windows, False, 2)):
+        for a in range(5):
+            s = sorted((-int(x[a] @ x[i]), i) for i in range(200) if i != a and (labels[i] == labels[a]) == same)
+            assert [(-int(n), int(i)) for n, i in zip(found.score[found.group == a], found.ident[found.group == a])] == s[:k]
