@@ -16,11 +16,20 @@ def evidence_counts(tables: dict[str, DataFrame], scope: str = "competitor_id")
     return out
 
 
+#: Rows of one alias that meet a copy of its list of competitors.
+SCOPE_ROWS = 4096
+
+
 def resolve_scope(df: DataFrame, competitors: DataFrame) -> DataFrame:
     """competitor_ids of each row's alias: every competitor with that name or brand, in any case."""
     names = competitors.select(F.lower("competitor_name").alias("key"), "competitor_id").union(competitors.select(F.lower("brand_name"), "competitor_id"))
-    j = df.withColumn("key", F.lower("alias")).join(names, "key")
-    return j.groupBy(*df.columns).agg(F.array_sort(F.collect_set("competitor_id")).alias("competitor_ids"))
+    asked = df.distinct().withColumn("key", F.lower("alias"))
+    lists = names.groupBy("key").agg(F.array_sort(F.collect_set("competitor_id")).alias("competitor_ids"))
+    # a list is copied once for SCOPE_ROWS rows that ask for it, so rows of one alias are dealt to many tasks
+    parts = asked.groupBy("key").agg(F.ceil(F.count("*") / SCOPE_ROWS).cast("int").alias("_parts"))
+    copies = lists.join(parts, "key").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    rows = asked.join(parts, "key").withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.col("_parts")).cast("int")).drop("_parts")
+    return rows.join(copies, ["key", "_part"]).select(*df.columns, "competitor_ids")
 
 
 def mention_words(c: Column) -> Column:
