@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,8 +39,13 @@ def _near(month: Column, day: Column, near: Column) -> Column:
     return F.when(away > HALF_YEAR, _day(F.year(near) - 1, month, day)).when(away < -HALF_YEAR, _day(F.year(near) + 1, month, day)).otherwise(same)
 
 
-def _range(text: Column, pattern: str, groups: tuple[int, ...], posted: Column) -> Column:
-    d1, m1, y1, d2, m2, y2 = (F.regexp_extract(text, pattern, g) for g in groups)
+def _found(text: Column, pattern: str, groups: tuple[int, ...], build) -> Column:
+    """What build makes of the groups, each taken once, of the first match; null if there is none."""
+    parts = F.struct(*(F.regexp_extract(text, pattern, g).alias(f"g{i}") for i, g in enumerate(groups)))
+    return F.when(text.rlike(pattern), F.transform(F.array(parts), lambda p: build(*(p[f"g{i}"] for i in range(len(groups)))))[0])
+
+
+def _range(posted: Column, d1: Column, m1: Column, y1: Column, d2: Column, m2: Column, y2: Column) -> Column:
     m1, m2 = F.when(m1 == "", m2).otherwise(m1), F.when(m2 == "", m1).otherwise(m2)
     year = F.when(y1 != "", y1).when(y2 != "", y2)
     start = F.when(year.isNotNull(), _day(year, m1, d1)).otherwise(_near(m1, d1, posted))
@@ -48,8 +55,7 @@ def _range(text: Column, pattern: str, groups: tuple[int, ...], posted: Column)
     return F.when(start.isNotNull() & end.isNotNull(), F.struct(start.alias("start_date"), end.alias("end_date")))
 
 
-def _single(text: Column, pattern: str, groups: tuple[int, ...], posted: Column) -> Column:
-    word, d, m, y = (F.regexp_extract(text, pattern, g) for g in groups)
+def _single(posted: Column, word: Column, d: Column, m: Column, y: Column) -> Column:
     on = F.when(y != "", _day(y, m, d)).otherwise(_near(m, d, posted))
     start, end = F.when(~word.isin(*LAST_WORDS), on), F.when(~word.isin(*FIRST_WORDS), on)
     return F.when(on.isNotNull(), F.struct(start.alias("start_date"), end.alias("end_date")))
@@ -62,5 +68,5 @@ def date_span(text: Column, posted: Column) -> Column:
     A year that is not named is the one nearest to the posting date; a range may cross the turn of the year. One day is
     first and last day, after "until" and the like only the last, after "from" and the like only the first."""
     low = F.trim(F.regexp_replace(F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), "–—", "--"), "[^a-z0-9&-]", " "), " +", " "))
-    spans = lambda t: F.coalesce(*(_range(t, p, g, posted) for p, g in RANGES), *(_single(t, p, g, posted) for p, g in SINGLES))
+    spans = lambda t: F.coalesce(*(_found(t, p, g, partial(make, posted)) for make, forms in ((_range, RANGES), (_single, SINGLES)) for p, g in forms))
     return F.transform(F.array(low), spans)[0]
