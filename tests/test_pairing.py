@@ -74,3 +74,9 @@ def test_one_block_of_a_hundred_thousand_products(spark):
 def test_plans_have_no_block_join(spark, name):
     text = plan(catalog.QUERIES[name](spark, SF))
     assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_features_cast_matched_text_only(spark):
+    """A cast of '' that fails costs more than the pattern that found nothing."""
+    plan = spark.createDataFrame([("x",)], "t string").select(M.product_features(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert "cast(regexp_extract(" not in plan and "cast(nullif(regexp_extract(" in plan
