@@ -351,7 +351,7 @@ def s9(t):
     head, child = S.split_header_children(t.prices.withColumn("finding_type", F.expr(KIND)), none, {"price": ["price_kes"], "promotion": ["discount"], "news": ["product_name"]})
     a = S.append(head, S.scratch(t.spark, "s9-findings"))
     stored = {k: S.append(df, S.scratch(t.spark, f"s9-{k}")) for k, df in child.items()}
-    detail = lambda k, c: a.join(stored[k].select("finding_id", F.col(c).cast("string").alias("detail")), "finding_id")
+    detail = lambda k, c: a.where(F.col("finding_type") == k).join(stored[k].select("finding_id", F.col(c).cast("string").alias("detail")), "finding_id")
     rows = detail("price", "price_kes").unionByName(detail("promotion", "discount")).unionByName(detail("news", "product_name"))
     return rows.select("finding_id", "observation_id", "finding_type", "detail")
 

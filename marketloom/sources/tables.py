@@ -63,8 +63,10 @@ def mint_ids(df: DataFrame, last: DataFrame, order: list[str], width: int = 5) -
 
 
 def split_header_children(df: DataFrame, last: DataFrame, children: dict[str, list[str]]) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Header rows of new observations under minted ids, and the child rows of each finding_type with its own columns."""
-    named = mint_ids(df.withColumn("month", F.date_format("observed_date", "yyyy-MM")), last, ["observation_id", "model", "price_kes"], 6)
+    """Header rows of new observations under minted ids, and the child rows of each finding_type with its own columns. The
+    observations are numbered once and written; header and children are read from that table."""
+    dated = df.withColumn("month", F.date_format("observed_date", "yyyy-MM"))
+    named = overwrite(mint_ids(dated, last, ["observation_id", "model", "price_kes"], 6), scratch(df.sparkSession, "minted"))
     head = named.select("finding_id", "observation_id", "competitor_id", "brand", "observed_date", "finding_type")
     return head, {k: named.where(F.col("finding_type") == k).select("finding_id", *v) for k, v in children.items()}
 

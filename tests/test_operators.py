@@ -406,3 +406,13 @@ def test_mentions_of_any_name(spark):
     got = R.mentions(spark.createDataFrame(list(enumerate(texts)), "id long, q string"), "q", aliases).collect()
     want = {(0, "Acme"), (0, "Warm Stone East Coast"), (1, "O'Neil & Co."), (1, "Jet-Line"), (3, "Café Nilo"), (3, "caf"), (3, "北京"), (4, "a.b\\E(")}
     assert sorted((r["id"], r["alias"]) for r in got) == sorted(want)
+
+
+def test_header_and_children_are_read_from_numbered_rows(spark):
+    """Observations are numbered once, not again for the header and each child."""
+    df = spark.createDataFrame([(i, 1, "b", "m", dt.date(1998, 1 + i % 2, 3), float(i), "price" if i % 2 else "news") for i in range(9)],
+        "observation_id long, competitor_id long, brand string, model string, observed_date date, price_kes double, finding_type string")
+    head, child = S.split_header_children(df, spark.createDataFrame([], "month string, last int"), {"price": ["price_kes"], "news": ["brand"]})
+    for d in (head, *child.values()):
+        assert "Window" not in d._jdf.queryExecution().optimizedPlan().toString()
+    assert head.count() == 9 and {k: d.count() for k, d in child.items()} == {"price": 4, "news": 5}
