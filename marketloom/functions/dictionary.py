@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-#: Bytes of terms that one automaton holds, and automata that a worker keeps.
-BLOCK_BYTES, KEPT = 32 << 20, 8
+#: Bytes of terms that one automaton holds, and automata that a worker keeps; texts of a batch that are Python strings at a time.
+BLOCK_BYTES, KEPT, TEXTS = 32 << 20, 8, 256
 _WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
@@ -75,9 +75,12 @@ def found_in_lists(text: Column, lists: dict[str, list[str]], whole: bool = True
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = machine_of(terms, whole)
         for batch in texts:
-            found = [m.find(t) for t in batch.to_pylist()]
-            out = [pa.array([([n] if f[k] else []) if labels else [terms[k][i] for i in f[k]] for f in found], pa.list_(pa.string())) for k, n in enumerate(names)]
-            yield pa.StructArray.from_arrays(out, names=[f"l{k}" for k in range(len(names))])
+            yield pa.concat_arrays([look_up(m, batch.slice(i, TEXTS)) for i in range(0, max(len(batch), 1), TEXTS)])
+
+    def look_up(m: Machine, some: pa.Array) -> pa.Array:
+        found = [m.find(t.as_py()) for t in some]
+        out = [pa.array([([n] if f[k] else []) if labels else [terms[k][i] for i in f[k]] for f in found], pa.list_(pa.string())) for k, n in enumerate(names)]
+        return pa.StructArray.from_arrays(out, names=[f"l{k}" for k in range(len(names))])
 
     kind = "struct<" + ",".join(f"l{k}:array<string>" for k in range(len(names))) + ">"
     run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}

@@ -2,7 +2,9 @@
 
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from marketloom.functions import dictionary as D
@@ -107,3 +109,18 @@ def test_attribution_follows_the_article(spark):
     df = spark.createDataFrame(cases, "e array<string>, h string, want string")
     for row in df.select("want", N.attribute(F.col("e"), F.col("h"), ["BOLT", "Cold"]).alias("got")).collect():
         assert row.got == row.want
+
+
+def test_texts_of_a_batch_are_read_one_by_one(spark, monkeypatch):
+    """A batch has up to 10,000 texts; they are not Python strings all at once."""
+    taken = []
+    monkeypatch.setattr(D.F, "arrow_udf", lambda run, kind: taken.append(run) or (lambda c: c))
+    D.found_in_lists(F.lit("x"), {"a": ["alpha"], "b": ["beta"]})
+    batch = pa.array([("alpha" if i % 2 else "beta") + " " * 100_000 for i in range(600)])
+    tracemalloc.start()
+    (got,) = taken[0](iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == [{"l0": ["alpha"] if i % 2 else [], "l1": [] if i % 2 else ["beta"]} for i in range(600)]
+    assert next(taken[0](iter([pa.array([], pa.string())]))).to_pylist() == []
+    assert peak < 20_000_000
