@@ -3,7 +3,9 @@
 import html
 import re
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from marketloom.plans import catalog
@@ -71,3 +73,22 @@ def test_a_megabyte_of_unclosed_tags(unit):
         began = time.process_time()
         f(page)
         assert time.process_time() - began < 8, f
+
+
+def test_pages_of_a_batch_are_read_one_by_one(spark):
+    """A batch has up to 10,000 pages; their texts are not Python strings all at once."""
+
+    class Taken:
+        sparkSession = spark
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    n = 600
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["http://a.example.com/x"] * n), pa.array([f"<h1>T{i}</h1><p>word" + " " * 100_000 for i in range(n)])], ["page_id", "url", "html"])
+    run = PG.article_fields(Taken())
+    tracemalloc.start()
+    got = [r for b in run(iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(r["page_id"], r["title"], r["text"]) for r in got] == [(i, f"T{i}", "word") for i in range(n)]
+    assert peak < 20_000_000
