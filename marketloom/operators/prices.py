@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,6 +13,11 @@ from .intervals import interval_join, merge_runs
 IDENTITY = ["competitor_id", "id_brand", "id_model", "id_product"]
 
 
+def sorting_key(*columns: str) -> Column:
+    """A hash as first grouping key: a maximum of structs is aggregated by sorting, which compares this number in place of texts."""
+    return F.xxhash64(*columns).alias("_key")
+
+
 def with_identity(prices: DataFrame) -> DataFrame:
     """Adds the upper-cased identity columns; rows with a blank part or without a price are dropped."""
     named = prices.withColumns({"id_brand": T.identity_text(F.col("brand")), "id_model": T.identity_text(F.col("model")), "id_product": T.identity_text(F.col("product_name"))})
@@ -24,7 +29,7 @@ def latest_per_day(prices: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     carry: further columns of that row."""
     kept = ["observation_id", "price_kes", *carry]
     row = F.max(F.struct(*kept)).alias("row")
-    days = with_identity(prices).groupBy(*IDENTITY, "observed_date").agg(row, F.count("*").alias("n_rows"))
+    days = with_identity(prices).groupBy(sorting_key(*IDENTITY, "observed_date"), *IDENTITY, "observed_date").agg(row, F.count("*").alias("n_rows"))
     return days.select(*IDENTITY, "observed_date", *(f"row.{c}" for c in kept), "n_rows")
 
 

@@ -35,7 +35,7 @@ def z3(t):
     """Days are written as a stream source; the streaming job must find the batch operator's movements."""
     path = scratch(t.spark, "z3-days")
     days = P.with_identity(t.prices).select(F.concat_ws("|", *P.IDENTITY).alias("identity"), "observation_id", "price_kes", "observed_date")
-    top = days.groupBy("identity", "observed_date").agg(F.max(F.struct("observation_id", "price_kes")).alias("r")).select("identity", "observed_date", "r.*")
+    top = days.groupBy(P.sorting_key("identity", "observed_date"), "identity", "observed_date").agg(F.max(F.struct("observation_id", "price_kes")).alias("r")).select("identity", "observed_date", "r.*")
     path, files = Z.deal_by_time(overwrite(top, scratch(t.spark, "z3-top")), "observed_date", path)
     s = t.spark.readStream.schema(top.schema).option("maxFilesPerTrigger", files).parquet(path)
     return Z.movements_by_batch(s, "z3")[0]

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import DateType, DoubleType, LongType, StringType, StructField, StructType
 
+from ..operators.prices import sorting_key
 from ..sources.keyed import remove
-from ..sources.tables import scratch
+from ..sources.tables import overwrite, scratch
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -118,7 +119,7 @@ def movements_by_batch(
 
     State is the last two days of each identity, as a log: an epoch writes the identities of its batch alone, by bucket, and
     every whole_every-th epoch writes all of it, after which older versions are removed. A batch reads the buckets that its
-    identities fall in, from the last whole version on. Rows older than the last day are set aside as late. A day that
+    identities fall in, from the last whole version on, once: what it asks for is written aside. Rows older than the last day are set aside as late. A day that
     changes again (a higher id on the same day) replaces its movement, by epoch. With a path of its own the job goes on
     where it stopped: an epoch that is run again reads what came before it and overwrites what it wrote.
     """
@@ -137,18 +138,20 @@ def movements_by_batch(
         keyed = batch.select(*columns, bucket.alias("bucket"))
         touched = [r.bucket for r in keyed.select("bucket").distinct().collect()]  # at most as many as buckets
         asked = keyed.select("identity").distinct()
-        state = newest(live.where(F.col("bucket").isin(touched)).join(asked, "identity", "left_semi")).select(*columns)
+        state = overwrite(newest(live.where(F.col("bucket").isin(touched)).join(asked, "identity", "left_semi")).select(*columns), f"{path}/asked")
         edge = state.groupBy("identity").agg(F.max("observed_date").alias("edge"))
         aged = keyed.select(*columns, F.lit(True).alias("fresh")).join(edge, "identity", "left")
         aged.where("observed_date < edge").select(*columns).write.mode("overwrite").parquet(f"{path}/late/epoch={epoch}")
         new = aged.where("edge is null or observed_date >= edge").drop("edge").unionByName(state.withColumn("fresh", F.lit(False)))
-        days = new.groupBy("identity", "observed_date").agg(F.max(F.struct("observation_id", "price_kes")).alias("r"), F.bool_or("fresh").alias("fresh"))
+        days = new.groupBy(sorting_key("identity", "observed_date"), "identity", "observed_date").agg(F.max(F.struct("observation_id", "price_kes")).alias("r"), F.bool_or("fresh").alias("fresh"))
         w = W.partitionBy("identity").orderBy("observed_date")
-        days = days.select("identity", "observed_date", "r.*", "fresh").withColumns({"previous_price": F.lag("price_kes").over(w), "previous_date": F.lag("observed_date").over(w)})
-        days = days.withColumn("age", F.row_number().over(W.partitionBy("identity").orderBy(F.desc("observed_date"))))
+        days = days.select("identity", "observed_date", "r.*", "fresh").withColumns({
+            "previous_price": F.lag("price_kes").over(w), "previous_date": F.lag("observed_date").over(w),
+            "last_two": F.lead(F.lit(1), 2).over(w).isNull(),
+        })
         days.write.mode("overwrite").parquet(f"{path}/days/epoch={epoch}")
         done = spark.read.schema(days.schema).parquet(f"{path}/days/epoch={epoch}")
-        changed = done.where("age <= 2").select(*columns)
+        changed = done.where("last_two").select(*columns)
         whole = int(epoch % whole_every == whole_every - 1)
         if whole:
             quiet = newest(live).join(done.select("identity").distinct(), "identity", "left_anti").select(*columns)
@@ -198,13 +201,18 @@ def run_to_end(stream: DataFrame, mode: str = "append", label: str = "stream", k
     return every.drop("epoch")
 
 
+#: Rows of one file of a time slice, from which on a slice has more files.
+FILE_ROWS = 1_000_000
+
+
 def deal_by_time(df: DataFrame, time: str, path: str, parts: int = 4, files: int = 4) -> tuple[str, int]:
     """Writes df in time slices, oldest first; (path, files of a slice): a stream of so many files a trigger takes the slices
-    one by one. Slices of few rows are one file each."""
+    one by one. Slices of few rows are one file each, those of many rows have a file for FILE_ROWS of them."""
     cuts = df.agg(F.percentile_approx(F.unix_date(F.to_date(time)), [i / parts for i in range(1, parts)])).first()[0] or []
     place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.unix_date(F.to_date(time)))) if cuts else F.lit(0)
     counts = {r.place: r["count"] for r in df.groupBy(place.alias("place")).count().collect()}
     # dealt round robin, some input partition of a slice has a row for each file
+    files = max(files, max(counts.values(), default=0) // FILE_ROWS)
     files = files if counts and min(counts.values()) >= files * df.rdd.getNumPartitions() else 1
     for i in range(parts):
         if counts.get(i):

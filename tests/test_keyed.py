@@ -68,3 +68,19 @@ def test_slices_of_several_files_come_one_by_one(spark, tmp_path):
     assert len(seen) == 4 and all(a[1] < b[0] for a, b in zip(seen, seen[1:]))
     assert Z.deal_by_time(df.limit(3), "d", str(tmp_path / "b"))[1] == 1
     assert Z.deal_by_time(df.limit(0), "d", str(tmp_path / "e"))[1] == 1
+
+
+def test_large_slices_have_more_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Z, "FILE_ROWS", 100)
+    df = spark.range(4000).select(F.date_add(F.lit(DAY), (F.col("id") % 40).cast("int")).alias("d"), "id").repartition(3)
+    path, n = Z.deal_by_time(df, "d", str(tmp_path / "a"))
+    assert n >= 9 and len(files(path)) == 4 * n
+
+
+def test_a_batch_asks_the_state_once(spark, tmp_path):
+    path, job = str(tmp_path / "in"), str(tmp_path / "job")
+    feed(spark, path, [(f"i{k}", DAY, k, 1.0) for k in range(300)])
+    s = feed(spark, path, [("i7", DAY + datetime.timedelta(3), 1000, 2.0), ("new", DAY, 1001, 1.0), ("i9", DAY - datetime.timedelta(1), 1002, 5.0)])
+    moved, late = Z.movements_by_batch(s, path=job)
+    assert sorted(r.identity for r in spark.read.parquet(f"{job}/asked").collect()) == ["i7", "i9"]
+    assert [r.identity for r in moved.collect()] == ["i7"] and [r.observation_id for r in late.collect()] == [1002]

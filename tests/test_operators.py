@@ -416,3 +416,11 @@ def test_header_and_children_are_read_from_numbered_rows(spark):
     for d in (head, *child.values()):
         assert "Window" not in d._jdf.queryExecution().optimizedPlan().toString()
     assert head.count() == 9 and {k: d.count() for k, d in child.items()} == {"price": 4, "news": 5}
+
+
+def test_plain_identity_text_meets_no_pattern(spark):
+    texts = ["a  b", " a b ", "a\tb", "\na", "a\x0bb\f", "a\r\nb", "ab", "", None, " x", " ", "ä  ö"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    got = [tuple(r) for r in df.select(T.identity_text(F.col("t")), F.upper(T.squeeze(F.col("t")))).collect()]
+    assert [a for a, _ in got] == [b for _, b in got] and None not in [a for a, _ in got]
+    assert "CASE WHEN" in df.select(T.identity_text(F.col("t")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
