@@ -11,6 +11,7 @@ from ..operators import prices as P
 from ..operators import quality as Q
 from ..operators import reports as R
 from ..operators import signals as G
+from ..sources.tables import overwrite, scratch
 from .bind import AS_OF, BASELINE, VIEWS
 from .q_prices import J5
 from .registry import query
@@ -277,7 +278,10 @@ def l5(t):
 
 
 def alerts(t):
-    return G.union_all(G.price_alerts(movements(t)), G.campaign_alerts(t.campaigns), G.signal_alerts(market_signals(t)), G.persistence_alerts(summary(t)))
+    """Movements are found once and written: alerts of their own and the signals of concurrent campaigns read them."""
+    moved, verified = overwrite(movements(t), scratch(t.spark, "movements")), t.campaigns.where("verification_status = 'VERIFIED'")
+    signals = G.campaign_signals(verified).unionByName(G.concurrency_signals(moved, verified, t.competitors))
+    return G.union_all(G.price_alerts(moved), G.campaign_alerts(t.campaigns), G.signal_alerts(signals), G.persistence_alerts(summary(t)))
 
 
 @query("l6", f"select alert_type, priority, count(*) as n, count(*) - count(distinct coalesce(subject, '') || '|' || title) as duplicates from ({L1} union all {L2} union all {L3} union all {L4}) group by 1, 2")

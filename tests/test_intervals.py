@@ -92,3 +92,12 @@ def test_campaign_pairs_brute_force(spark):
     c = spark.createDataFrame([(k, 1, a, b) for k, _, a, b in held], "campaign_id int, competitor_id int, start_date date, end_date date")
     got = sorted((x.id, x.campaign_id) for x in P.overlapping_campaigns(m, c).collect())
     assert got == sorted((i, k) for i, p, o in moves for k, _, a, b in held if holds(a, b, day(p)) or holds(a, b, day(o)))
+
+
+def test_alerts_find_the_movements_once(spark, monkeypatch):
+    from marketloom.plans import bind, q_signals
+
+    calls, find = [], P.detect_movements
+    monkeypatch.setattr(P, "detect_movements", lambda prices: calls.append(1) or find(prices))
+    out = q_signals.alerts(bind.Tables(spark, "/root/testdata/sf0.001"))
+    assert len(calls) == 1 and "lineitem" not in plan(out.where("alert_type in ('PRICE_MOVEMENT', 'PRICE_CAMPAIGN_CONCURRENCY')"))
