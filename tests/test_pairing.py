@@ -76,6 +76,17 @@ def test_plans_have_no_block_join(spark, name):
     assert "NestedLoop" not in text and "Cartesian" not in text
 
 
+@pytest.mark.parametrize("find", [lambda df: A.defensible_pairs(df, "Own", ["Acme"], ["price"]), lambda df: A.best_matches(df, "Own", ["Acme"])])
+def test_no_pattern_runs_in_the_tasks_that_read_the_products(spark, monkeypatch, find):
+    """A filter by brand conflict before the profiles are written is pushed below their spread, to the one task of a small file."""
+    plans, numbered = [], A.numbered
+    monkeypatch.setattr(A, "numbered", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or numbered(df, label))
+    df = spark.createDataFrame([*products(random.Random(7), 60), ("c", "s", "Own", "fridge 90 l by acme", 60, 1.0)], COLS)
+    got = find(df).collect()
+    assert got and 60 not in {r.own_id for r in got}
+    assert len(plans) == 1 and "RLIKE" not in plans[0].split("Exchange", 1)[1] and "RLIKE" in plans[0]
+
+
 def test_features_cast_matched_text_only(spark):
     """A cast of '' that fails costs more than the pattern that found nothing."""
     plan = spark.createDataFrame([("x",)], "t string").select(M.product_features(F.col("t")))._jdf.queryExecution().analyzed().toString()
